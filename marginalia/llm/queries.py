@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .op4_simhash_dedup import op4_simhash_dedup
 from .op8_suffix_dedup import op8_suffix_dedup
 from .op10_substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op8_suffix_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op8_suffix_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
