@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from . import op2_chat_formatting as op2
+from .op2_chat_formatting import op2_chat_formatting
 from .op4_simhash_dedup import op4_simhash_dedup
 from .op6_language_id import op6_language_id
 from .op8_suffix_dedup import op8_suffix_dedup
 from .op9_packing import op9_packing
 from .op10_substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op4_simhash_dedup, op6_language_id, op8_suffix_dedup, op9_packing, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_chat_formatting, op4_simhash_dedup, op6_language_id, op8_suffix_dedup, op9_packing, op10_substring_dedup)
+}
+ORACLES: dict[str, str] = {"op2_chat_formatting": op2.ORACLE}
