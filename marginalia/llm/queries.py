@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from . import op2_chat_formatting as op2
 from .op2_chat_formatting import op2_chat_formatting
+from . import op3_topk_search as op3
+from . import op5_warc as op5
+from .op3_topk_search import op3_topk_search
 from .op4_simhash_dedup import op4_simhash_dedup
+from .op5_warc import op5_warc
 from .op6_language_id import op6_language_id
 from .op8_suffix_dedup import op8_suffix_dedup
 from .op9_packing import op9_packing
@@ -12,6 +16,6 @@ from .op10_substring_dedup import op10_substring_dedup
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_chat_formatting, op4_simhash_dedup, op6_language_id, op8_suffix_dedup, op9_packing, op10_substring_dedup)
+    for f in (op2_chat_formatting, op3_topk_search, op4_simhash_dedup, op5_warc, op6_language_id, op8_suffix_dedup, op9_packing, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {"op2_chat_formatting": op2.ORACLE}
+ORACLES: dict[str, str] = {"op2_chat_formatting": op2.ORACLE, "op3_topk_search": op3.ORACLE, "op5_warc": op5.ORACLE}
