@@ -1,12 +1,73 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: documents to packed training sequences, each stage one of the numbered operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from marginalia.llm.op4_simhash_dedup import first_of_groups
+from marginalia.llm.op6_language_id import UNKNOWN, trained, with_language
+from marginalia.llm.op7_decontamination import contaminated
+from marginalia.llm.op8_suffix_dedup import dedup_texts
+from marginalia.llm.op9_packing import packed, word_bpe
+from marginalia.llm.tables import load, written
+
+#: Least score of a language at which a document stays.
+LEAST_SCORE = 0.5
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the classifier is sure of; those without letters or of no language go."""
+    name = _unused("language", docs)
+    found = with_language(docs, trained(docs), out=name)
+    return found.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return first_of_groups(docs)
+
+
+def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings that stand earlier in the corpus; those of which nothing is left go."""
+    kept = dedup_texts(docs)
+    if "n_chars" in kept.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    return kept.where(F.col("text").isNull() | (F.col("text") != ""))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    found = contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaks")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaks"]), "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens."""
+    return packed(docs, word_bpe)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_text", repeated_text),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: SQL expresses none of the learnt, fuzzy or tokenising stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces that the last stage makes of the table documents."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -112,13 +112,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, differing: int = DIFFERING) -> DataFrame:
     """docs with one row of each component: of the rows with its smallest id the one of the smallest text.
 
-    A component whose ids are all null keeps one of its rows in the same way.
+    Rows with a null id all stay: nothing tells them apart.
     """
     marks = near_duplicates(docs, id_col, text_col, shingle, differing)
-    stay = marks.where("doc <=> component").select(F.col("doc").alias("_stays"), F.col("print").alias("_print")).distinct()
-    own = docs.join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stays")), "left_semi")
-    if_repeated = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`"))
-    return own.withColumn("_place", F.row_number().over(if_repeated)).where("_place = 1").drop("_place")
+    stay = marks.where("doc = component").select(F.col("doc").alias("_stays")).distinct()
+    key = F.col(f"`{id_col}`")
+    joined = docs.join(stay, key.cast("long") == F.col("_stays"), "left").where(key.isNull() | F.col("_stays").isNotNull())
+    one = Window.partitionBy(key, F.when(key.isNull(), F.xxhash64(F.col(f"`{text_col}`")))).orderBy(F.col(f"`{text_col}`"))
+    return joined.withColumn("_place", F.row_number().over(one)).where(key.isNull() | (F.col("_place") == 1)).drop("_place", "_stays")
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,37 +93,26 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs and the column spans: null where nothing is to go."""
-    spans = spans.select(F.col("doc").alias("_doc"), "spans")
-    return docs.join(spans, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
-
-
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with repeated strings removed from text_col, whole characters only; all other columns stay."""
-    name = "_spans"
-    while name in docs.columns:
-        name += "_"
-    joined = with_spans(docs, repeated_strings(docs, id_col, text_col, width), id_col).withColumnRenamed("spans", name) if "spans" not in docs.columns else None
-    if joined is None:
-        clash = docs.withColumnRenamed("spans", "_spans_in")
-        return dedup_texts(clash, id_col, text_col, width).withColumnRenamed("_spans_in", "spans")
+    spans = repeated_strings(docs, id_col, text_col, width)
+    name, key = "_spans", "_doc"
+    while name in docs.columns or key in docs.columns:
+        name, key = name + "_", key + "_"
 
     @F.pandas_udf("string")
-    def kept(text, spans):  # noqa: ANN001, ANN202
+    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, s in zip(text, spans, strict=True):
-            if t is None or s is None or not len(s):
-                out.append(t)
-            else:
-                raw = t.encode("utf-8", "surrogatepass")
-                out.append(cut(raw, whole_characters(raw, repeats.merged(list(s)))).decode("utf-8", "ignore"))
-        import pandas as pd
-
+            raw = t.encode("utf-8", "surrogatepass")
+            out.append(cut(raw, whole_characters(raw, repeats.merged(s))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    has = F.col(name).isNotNull()
-    return joined.withColumn(text_col, F.when(has, kept(F.col(f"`{text_col}`"), F.col(name))).otherwise(F.col(f"`{text_col}`"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`")
+    found = spans.select(F.col("doc").alias(key), F.col("spans").alias(name))
+    joined = docs.join(found, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col(key), "left")
+    new = F.when(F.col(name).isNotNull() & text.isNotNull(), kept(F.coalesce(text, F.lit("")), F.coalesce(name, F.array()))).otherwise(text)
+    return joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ costs one representative; map tasks settle their own copies before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -317,10 +317,10 @@ def repeated_spans(found: DataFrame, later: DataFrame, width: int) -> DataFrame:
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end")))).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans: Iterable[dict] | None) -> list[tuple[int, int]]:
     """Maximal ranges out of sorted ones."""
     out: list[tuple[int, int]] = []
-    for s in spans or ():
+    for s in () if spans is None else spans:
         if out and s["start"] <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
         else:
