@@ -185,9 +185,12 @@ def segment_rows(tokenize: Callable[[np.ndarray], np.ndarray], width: int, gram:
             key, content, doc, start, n, inner = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((start, doc, content, key))
             key, content, doc, start, n, inner = (x[order] for x in (key, content, doc, start, n, inner))
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1])
+            lead = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+            first = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
+            again = (doc != doc[first]) | (start != start[first])
             key[again] = mix(doc[again].view(np.uint64) ^ mix(start[again].view(np.uint64), 11))
+            stay = lead | again  # not the same place of a repeated row
+            key, content, doc, start, n, inner, again = (x[stay] for x in (key, content, doc, start, n, inner, again))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(inner)],
                 names=["key", "content", "doc", "start", "windows", "settled", "inner"],
@@ -204,11 +207,11 @@ def candidates(docs: DataFrame, tokenize: Callable, width: int, gram: int) -> Da
     """
     rows = docs.mapInArrow(segment_rows(tokenize, width, gram), "key long, content long, doc long, start int, windows int, settled boolean, inner boolean")
     key = Window.partitionBy("key")
-    ordered = key.orderBy("content", "doc", "start")
+    same = Window.partitionBy("key", "content").orderBy("doc", "start")
     rows = (
-        rows.withColumn("before", F.lag("content").over(ordered))
+        rows.withColumn("first", F.struct(F.first("doc").over(same).alias("doc"), F.first("start").over(same).alias("start")))
         .withColumn("other", F.col("inner") | (F.min("content").over(key) != F.max("content").over(key)))
-        .withColumn("repeats", F.col("settled") | F.coalesce(F.col("before") == F.col("content"), F.lit(False)))
+        .withColumn("repeats", F.col("settled") | (F.struct("doc", "start") != F.col("first")))
         .where("repeats or other")
         .select("key", "doc", "start", "windows", "repeats")
     )
