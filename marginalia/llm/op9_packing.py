@@ -14,9 +14,12 @@ share an id are documents of their own; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +33,104 @@ CAPACITY = 2048
 END = 1
 #: Part of a class's size that a piece may fall short of it without being cut again.
 SLACK = 1 / 64
-#: Words whose ids a task keeps; beyond that it forgets all and starts anew.
+#: Words whose ids a worker keeps; beyond that it forgets all and starts anew.
 WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = SCHEMA + ", ids array<int>"
 
 
+#: Lower-case words of Latin letters with ASCII punctuation behind, no digits, quotes or angle brackets: each part is
+#: one run of the tokenizer's, and so known apart.
+PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:;=?@[-`{-~]*)|(.*))$", re.MULTILINE)
+
+
 class Words:
-    """Ids of texts by a tokenizer that never joins across white space, kept by word.
+    """Ids of texts by a tokenizer that never joins across white space, kept by word in one worker process.
 
-    words, their ids, and where each word's ids begin are held as arrays, so that a text is a lookup and a gather.
+    A plain word is the ids of its letters and those of its punctuation; new letters are encoded many at once, without
+    the tokenizer's normalising and splitting, which change nothing of them. All else is encoded word by word.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.full = Tokenizer.from_file(path)
+        self.light = Tokenizer.from_file(path)
+        self.light.normalizer = normalizers.Sequence([])
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.full.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.begin = np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.code))
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum([len(x) for x in found])))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for x in found for i in x), np.uint32)))
+        self.units: dict[str, int] = {"": 0}
+        self.pairs = np.zeros((0, 2), np.int32)
+        self.length, self.begin, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def encode(self, text: bytes, words: list[bytes] | None = None) -> np.ndarray:
-        codes = np.fromiter(map(self.code.__getitem__, words if words is not None else text.split()), np.int64)
-        begin = self.begin[codes]
-        n = self.begin[codes + 1] - begin
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(begin - (ends - n), n)]
+    def _add(self, length: np.ndarray, ids: np.ndarray) -> None:
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
+        self.length = np.concatenate((self.length, length))
+        self.ids = np.concatenate((self.ids, ids))
 
+    def _add_each(self, texts: list[str]) -> None:
+        found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        self._add(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32))
 
-def token_ids(words: Words, raw: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+    def learn(self, words: set[bytes]) -> None:
+        new = list(words.difference(self.code))
+        if not new:
+            return
+        text = b"\n".join(new).decode("utf-8", "replace")
+        rows = PLAIN.findall(text.lower())
+        stems = list({r[0] for r in rows}.difference(self.units))
+        marks = list({r[1] for r in rows}.difference(self.units))
+        if stems:
+            ids = np.array(self.light.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(stems):
+                self._add(np.diff(last, prepend=0), ids)
+            else:
+                self._add_each(stems)
+        self._add_each(marks)
+        self.units.update(zip([*stems, *marks], range(len(self.units), len(self.units) + len(stems) + len(marks)), strict=True))
+        plain = text.split("\n")
+        others = [k for k, r in enumerate(rows) if r[2]]
+        first = len(self.length)
+        self._add_each([plain[k] for k in others])
+        for k, place in zip(others, range(first, first + len(others)), strict=True):
+            self.units["\n" + plain[k]] = place
+        units = self.units
+        pairs = np.array([(units[a], units[b]) if not c else (0, 0) for a, b, c in rows], np.int32).reshape(-1, 2)
+        pairs[others, 0] = np.arange(first, first + len(others))
+        self.code.update(zip(new, range(len(self.pairs), len(self.pairs) + len(new)), strict=True))
+        self.pairs = np.concatenate((self.pairs, pairs))
+
+    def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of texts that are given as words, all of them learnt."""
+        n = np.array([len(t) for t in texts], np.int64)
+        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
+        units = self.pairs[codes].ravel()
+        length = self.length[units]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[units] - ends[:-1], length)]
+        return np.split(ids, ends[2 * np.cumsum(n)[:-1]]) if len(texts) else []
+
+
+@cache
+def words_of(path: str) -> Words:
+    """Kept from task to task of a worker process."""
+    return Words(path)
+
+
+def token_ids(words: Words, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """The ids of each text of a block of texts."""
     if len(words.code) > WORDS:
         words.clear()
     texts = [raw[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:], strict=True)]
-    words.learn([w for t in texts for w in t])
-    for t in texts:
-        yield words.encode(b"", t)
+    words.learn(set(chain.from_iterable(texts)))
+    return words.encode(texts)
 
 
 def cuts(length: int, capacity: int) -> list[int]:
@@ -150,7 +202,7 @@ def packed(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer() if callable(tokenizer) else tokenizer)
+        words = words_of(tokenizer() if callable(tokenizer) else tokenizer)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         tail = np.array([] if end is None else [end], np.uint32)
