@@ -19,7 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +64,11 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
+        #: A word that is met for the first time gets the next number; learn() follows.
+        self.code: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.units: dict[str, int] = {"": 0}
-        self.pairs = np.zeros((0, 2), np.int32)
         self.length, self.begin, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.word_length, self.word_begin, self.word_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _add(self, length: np.ndarray, ids: np.ndarray) -> None:
         self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(length) - length))
@@ -78,8 +79,9 @@ class Words:
         found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
         self._add(np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], np.uint32))
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.code))
+    def learn(self) -> None:
+        """Encode the words that code has got since the last time."""
+        new = list(islice(reversed(self.code), len(self.code) - len(self.word_length)))[::-1]
         if not new:
             return
         text = b"\n".join(new).decode("utf-8", "replace")
@@ -104,18 +106,30 @@ class Words:
         units = self.units
         pairs = np.array([(units[a], units[b]) if not c else (0, 0) for a, b, c in rows], np.int32).reshape(-1, 2)
         pairs[others, 0] = np.arange(first, first + len(others))
-        self.code.update(zip(new, range(len(self.pairs), len(self.pairs) + len(new)), strict=True))
-        self.pairs = np.concatenate((self.pairs, pairs))
+        both = pairs.ravel()
+        length = self.length[both]
+        ids = gathered(self.ids, self.begin[both], length)
+        length = length.reshape(-1, 2).sum(1)
+        self.word_begin = np.concatenate((self.word_begin, len(self.word_ids) + np.cumsum(length) - length))
+        self.word_length = np.concatenate((self.word_length, length))
+        self.word_ids = np.concatenate((self.word_ids, ids))
 
     def encode(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The ids of texts that are given as words, all of them learnt."""
+        """The ids of texts that are given as words."""
         n = np.array([len(t) for t in texts], np.int64)
         codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
-        units = self.pairs[codes].ravel()
-        length = self.length[units]
+        self.learn()
+        length = self.word_length[codes]
+        ids = gathered(self.word_ids, self.word_begin[codes], length)
         ends = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[units] - ends[:-1], length)]
-        return np.split(ids, ends[2 * np.cumsum(n)[:-1]]) if len(texts) else []
+        return np.split(ids, ends[np.cumsum(n)[:-1]]) if len(texts) else []
+
+
+def gathered(ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """ids[begin : begin + length] of every pair, one behind the other."""
+    at = np.repeat(begin - (np.cumsum(length) - length), length)
+    at += np.arange(len(at))
+    return ids[at]
 
 
 @cache
@@ -129,7 +143,6 @@ def token_ids(words: Words, raw: np.ndarray, off: np.ndarray) -> list[np.ndarray
     if len(words.code) > WORDS:
         words.clear()
     texts = [raw[a:b].tobytes().split() for a, b in zip(off[:-1], off[1:], strict=True)]
-    words.learn(set(chain.from_iterable(texts)))
     return words.encode(texts)
 
 
