@@ -176,7 +176,9 @@ def r20_repeated_ids(frame: DataFrame, *key: str) -> DataFrame:
 
 
 def section_rank(section: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, SECTIONS)), section) - 1, F.lit(len(SECTIONS)))
+    """0 for the first section; what is no section comes last."""
+    place = F.array_position(F.array(*map(F.lit, SECTIONS)), section)
+    return F.when(place > 0, place - 1).otherwise(len(SECTIONS))
 
 
 def v08_section_dump(edus: DataFrame, limit: int = 400_000) -> DataFrame:

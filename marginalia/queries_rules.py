@@ -96,10 +96,10 @@ GROUP BY paper_id, fru_id""",
     "r13_meta_discourse": with_tables("edus frus covers", f"{_COVERED}, m AS (SELECT paper_id, fru_id, string_agg(edu_id, '|' ORDER BY pos) AS edu_ids, arg_min(section, section_rank * 100000 + ord) AS section FROM covered WHERE function = 'MetaDiscourse' GROUP BY paper_id, fru_id), l AS (SELECT paper_id, string_agg(fru_id || '>' || section || '>' || edu_ids, '|' ORDER BY fru_id || '>' || section || '>' || edu_ids) AS meta FROM m GROUP BY paper_id) SELECT e.paper_id, {_SET.format('section')} AS sections, coalesce(any_value(meta), '') AS meta FROM edus e LEFT JOIN l ON l.paper_id = e.paper_id GROUP BY e.paper_id"),
     "r15_resolve_evidence": with_tables(
         "edus covers",
-        """WITH w AS (SELECT paper_id, unnest([paper_id || ':fru:0', max(edu_id), 'none', max(edu_id)]) AS id, unnest([0, 1, 2, 3]) AS at FROM edus WHERE k < 3 GROUP BY paper_id),
-r AS (SELECT w.paper_id, w.at, 0 AS pos, w.id AS edu_id FROM w JOIN edus e ON e.paper_id = w.paper_id AND e.edu_id = w.id
-  UNION ALL SELECT w.paper_id, w.at, c.pos, c.edu_id FROM w JOIN covers c ON c.paper_id = w.paper_id AND c.fru_id = w.id),
-f AS (SELECT paper_id, edu_id, min(at * 10 + pos) AS place FROM r GROUP BY paper_id, edu_id)
+        """WITH w AS (SELECT paper_id, unnest([paper_id || ':fru:0', max(edu_id), 'none', max(edu_id)]) AS id, unnest([0, 1, 2, 3]) AS place_ FROM edus WHERE k < 3 GROUP BY paper_id),
+r AS (SELECT w.paper_id, w.place_, 0 AS pos, w.id AS edu_id FROM w JOIN edus e ON e.paper_id = w.paper_id AND e.edu_id = w.id
+  UNION ALL SELECT w.paper_id, w.place_, c.pos, c.edu_id FROM w JOIN covers c ON c.paper_id = w.paper_id AND c.fru_id = w.id),
+f AS (SELECT paper_id, edu_id, min(place_ * 10 + pos) AS place FROM r GROUP BY paper_id, edu_id)
 SELECT paper_id, 1 AS item, string_agg(edu_id, '|' ORDER BY place) AS edu_ids FROM f GROUP BY paper_id""",
     ),
     "r16_papers_with_units": with_tables("edus", "SELECT DISTINCT paper_id FROM edus"),

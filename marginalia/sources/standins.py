@@ -123,3 +123,15 @@ def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "cached").otherwise("pending")
     return rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("paper_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), F.floor(F.abs("value") * 1000).alias("file_size"))
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses that have ended: those of texts of at least 200 characters."""
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 200")
+    return docs.select(F.col("doc_id").cast("string").alias("paper_id"), (F.col("doc_id") + 10).alias("finished_at"))
+
+
+def evidence(units: DataFrame) -> DataFrame:
+    """(paper_id, defect_id, pos, edu_id): a defect's evidence is the unit of its number and the next one."""
+    rows = units.select("paper_id", "k", "edu_id", F.posexplode(F.array(F.col("k") + 1, F.col("k"))).alias("pos", "j")).where("j > 0 and k < 4")
+    return rows.select("paper_id", F.concat("paper_id", F.lit(":d"), "j").alias("defect_id"), "pos", "edu_id")

@@ -55,12 +55,16 @@ TABLES = {
   SELECT conv_id * 1000 + turn AS id, CASE WHEN conv_id % 10 <> 0 THEN conv_id::VARCHAR END AS paper_id, 'rule_check:' || {_RULE.format("turn")} AS stage,
     CASE role WHEN 'system' THEN 'large-heavy[1m]' WHEN 'user' THEN 'mid' ELSE 'small-light' END AS model, length(text)::BIGINT AS input_tokens,
     floor(length(text) / 4)::BIGINT AS output_tokens, turn * 10 AS cached_tokens, length(text) * 3 + floor(length(text) / 4)::BIGINT * 15 AS cost_micro, turn AS created_at FROM conversations""",
+    "results": "SELECT doc_id::VARCHAR AS paper_id, doc_id + 10 AS finished_at FROM documents WHERE length(text) >= 200",
+    "evidence": """
+  SELECT paper_id, paper_id || ':d' || (k + 1) AS defect_id, 0 AS pos, edu_id FROM edus WHERE k < 4
+  UNION ALL SELECT paper_id, paper_id || ':d' || k, 1, edu_id FROM edus WHERE k BETWEEN 1 AND 3""",
     "chat_messages": "SELECT conv_id * 1000 + turn AS id, conv_id::VARCHAR AS paper_id, role, text AS content FROM conversations",
     "upload_events": """
   SELECT event_id AS id, user_id::VARCHAR AS paper_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' ELSE 'pending' END AS status,
     ts AS created_at, floor(abs(value) * 1000)::BIGINT AS file_size FROM events""",
 }
-NEEDS = {"frus_": ["edus"], "frus": ["frus_"], "covers": ["frus_"], "rst": ["edus"], "rst_edges": ["edus"], "er_triples": ["edus"], "entities": ["er_triples"], "mentioned_in": ["er_triples"]}
+NEEDS = {"evidence": ["edus"], "frus_": ["edus"], "frus": ["frus_"], "covers": ["frus_"], "rst": ["edus"], "rst_edges": ["edus"], "er_triples": ["edus"], "entities": ["er_triples"], "mentioned_in": ["er_triples"]}
 
 
 def with_tables(names: str, query: str) -> str:
