@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from .components import smallest_reachable
-from .tables import load, slices, utf8, written
+from .tables import load, slices, tidy, utf8, written
 
 SHINGLE = 3
 SEED = 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(raw[a:b].tobytes(), shingle) for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(prints.view(np.int64))], names=["doc", "print"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc long, print long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), "doc long, print long")
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
@@ -92,8 +92,8 @@ def links(prints: DataFrame, differing: int = DIFFERING) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (print) that differ in at most so many bits, three at most."""
     if not 0 <= differing <= DIFFERING:
         raise ValueError("the segments allow for three differing bits")
-    filed = prints.mapInArrow(_filed, "key int, filed long")
-    asked = prints.mapInArrow(_asked, "key int, print long")
+    filed = prints.mapInArrow(tidy(_filed), "key int, filed long")
+    asked = prints.mapInArrow(tidy(_asked), "key int, print long")
     near = (F.col("print") < F.col("filed")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("filed"))) <= differing)
     return asked.join(filed.hint("shuffle_hash"), (asked["key"] == filed["key"]) & near).select(F.col("print").alias("a"), F.col("filed").alias("b")).distinct()
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .suffix_array import common_prefixes, suffix_array
-from .tables import load, slices, utf8
+from .tables import load, slices, tidy, utf8
 
 WIDTH = 100
 GRAM = 24
@@ -136,4 +136,4 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     spans = repeated_strings(docs)
     rows = keyed(docs, "doc_id", "text").join(spans, "doc", "left").select("doc", "text", "spans")
-    return rows.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(tidy(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import load, slices, utf8
+from .tables import load, slices, tidy, utf8
 
 CAPACITY = 2048
 END = 1
 #: Part of a class's size that a piece may fall short of it without being cut again.
 SLACK = 1 / 64
 #: Words whose ids a worker keeps; beyond that it forgets all and starts anew.
-WORDS = 400_000
+WORDS = 100_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES = SCHEMA + ", ids array<int>"
 
@@ -219,7 +219,7 @@ def packed(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "d
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         tail = np.array([] if end is None else [end], np.uint32)
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", 1 << 19):
             raw, off = utf8(part.column("text"))
             for doc, ids in zip(part.column("doc").to_pylist(), token_ids(words, raw, off), strict=True):
                 rows += bins.put(doc, np.concatenate((ids, tail)))
@@ -231,7 +231,7 @@ def packed(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "d
             yield batch_of(rows, with_ids)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, PIECES if with_ids else SCHEMA)
+    return rows.mapInArrow(tidy(run), PIECES if with_ids else SCHEMA)
 
 
 def word_bpe() -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import slices, utf8, written
+from .tables import slices, tidy, utf8, written
 
 #: A document's texts are hashed in pieces of at most so many tokens, so that memory does not follow its length.
 PIECE = 1 << 20
@@ -205,7 +205,7 @@ def candidates(docs: DataFrame, tokenize: Callable, width: int, gram: int) -> Da
     repeats: an equal segment stands earlier, so each of its windows repeats; otherwise the segment is the first of
     its content and shares its key with another content, or may repeat within itself, and is to be compared.
     """
-    rows = docs.mapInArrow(segment_rows(tokenize, width, gram), "key long, content long, doc long, start int, windows int, settled boolean, inner boolean")
+    rows = docs.mapInArrow(tidy(segment_rows(tokenize, width, gram)), "key long, content long, doc long, start int, windows int, settled boolean, inner boolean")
     key = Window.partitionBy("key")
     same = Window.partitionBy("key", "content").orderBy("doc", "start")
     rows = (
@@ -236,7 +236,7 @@ def fetched(found: DataFrame, docs: DataFrame, cut: Callable[[np.ndarray], tuple
                 for lo in range(0, len(out), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "start", "windows", "body"])
 
-    return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(run, "key long, doc long, start int, windows int, body binary")
+    return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(tidy(run), "key long, doc long, start int, windows int, body binary")
 
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
@@ -288,8 +288,8 @@ def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ..
                 yield pa.RecordBatch.from_arrays([pa.array(mix(h, 1).view(np.int64)), pa.array(part.column("doc").to_numpy()[which]), pa.array((part.column("start").to_numpy()[which] + at - starts[which]).astype(np.int32))], names=["window", "doc", "at"])
 
     dealt = parts.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "start")
-    out = dealt.mapInArrow(cold, "doc long, start int, windows int")
-    each = parts.where("hot").drop("hot").mapInArrow(windows, "window long, doc long, at int")
+    out = dealt.mapInArrow(tidy(cold), "doc long, start int, windows int")
+    each = parts.where("hot").drop("hot").mapInArrow(tidy(windows), "window long, doc long, at int")
     first = each.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = each.join(first, "window").where("struct(doc, at) > first").select("doc", F.col("at").alias("start"), F.lit(1).alias("windows"))
     return out.unionByName(later)
