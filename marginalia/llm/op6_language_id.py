@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import load
+from .tables import load, release, tidy
 
 FEATURES = 1 << 14
 GRAMS = (1, 2, 3, 4)
@@ -141,7 +141,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 packed = np.packbits(marks.astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc").cast(pa.string()), part.column("lang"), pa.array([p.tobytes() if s else None for p, s in zip(packed, some, strict=True)], pa.binary())], names=["doc", "lang", "bits"])
 
-    got = rows.where(draw < share).select("doc", "text", "lang").mapInArrow(bits, "doc string, lang string, bits binary").where("bits is not null").toArrow().sort_by([("lang", "ascending"), ("doc", "ascending"), ("bits", "ascending")])
+    got = rows.where(draw < share).select("doc", "text", "lang").mapInArrow(tidy(bits), "doc string, lang string, bits binary").where("bits is not null").toArrow().sort_by([("lang", "ascending"), ("doc", "ascending"), ("bits", "ascending")])
     marks = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in got.column("bits").to_pylist()]
     return fit(np.array(marks, np.float32).reshape(-1, FEATURES), got.column("lang").to_pylist())
 
@@ -165,6 +165,7 @@ def predicted(model: Model, text: Column) -> Column:
                 else:
                     out.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": [0.0] * len(part)}))
             yield pd.concat(out) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
+        release()
 
     return score(text)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .suffix_array import common_prefixes, suffix_array
-from .tables import load, slices, tidy, utf8
+from .tables import load, release, slices, tidy, utf8
 
 WIDTH = 100
 GRAM = 24
@@ -106,6 +106,7 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for t, s in zip(text, spans, strict=True):
             raw = t.encode("utf-8", "surrogatepass")
             out.append(cut(raw, whole_characters(raw, repeats.merged(s))).decode("utf-8", "ignore"))
+        release()
         return pd.Series(out, dtype=object)
 
     text = F.col(f"`{text_col}`")

@@ -134,7 +134,7 @@ def gathered(ids: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarr
 
 @cache
 def words_of(path: str) -> Words:
-    """Kept from task to task of a worker process."""
+    """The tokenizer is kept from task to task of a worker process."""
     return Words(path)
 
 
@@ -229,6 +229,7 @@ def packed(docs: DataFrame, tokenizer: str | Callable[[], str], id_col: str = "d
         rows += bins.rest()
         if rows:
             yield batch_of(rows, with_ids)
+        words.clear()  # the tokenizer stays for the worker's next task
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(tidy(run), PIECES if with_ids else SCHEMA)

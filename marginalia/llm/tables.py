@@ -72,15 +72,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             lo = hi
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """task, after which the memory that it has freed goes back to the system: Python workers outlive their tasks."""
+    """task, with release() behind it."""
 
     @wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-        if trim is not None:
-            trim(0)
+        release()
 
     return run
