@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_aggregates, queries_ranking, queries_rules
+from . import queries_aggregates, queries_ranking, queries_rules, queries_text
 
-_MODULES = (queries_rules, queries_aggregates, queries_ranking)
+_MODULES = (queries_rules, queries_aggregates, queries_ranking, queries_text)
 
 
 def queries() -> dict:
