@@ -58,8 +58,8 @@ def e04_consistency(runs: DataFrame) -> DataFrame:
 
 def e06_lenient_verdict(answer: Column) -> Column:
     """The winner in the first JSON object of an answer, else the first of the words a, b or tie in it, else tie."""
-    found = F.lower(F.get_json_object(F.regexp_extract(answer, r"(?s)\\{.*?\\}", 0), "$.winner"))
-    word = F.lower(F.regexp_extract(answer, r"(?i)\\b(a|b|tie)\\b", 1))
+    found = F.lower(F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*?\}", 0), "$.winner"))
+    word = F.lower(F.regexp_extract(answer, r"(?i)\b(a|b|tie)\b", 1))
     return F.when(found.isin("a", "b", "tie"), found).when(word != "", word).otherwise("tie")
 
 
