@@ -50,7 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
-    return packed(docs, word_bpe)
+    # workers still hold what the stages before needed
+    return packed(docs, word_bpe, keep=100_000, lasting=False)
 
 
 STAGES = [
