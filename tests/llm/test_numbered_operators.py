@@ -380,3 +380,24 @@ def test_pipeline_stages(spark, tiny, odd):
         assert out.columns == mixed.columns and out.count() <= len(ODD_ROWS), name
         assert stage(spark, mixed.limit(0), tiny).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, mixed, tiny).count() > 0
+
+
+def test_op7_finds_copies_amid_repeated_words_and_longer_than_a_window(spark, tiny):
+    from marginalia.llm.op7_decontamination import contaminated
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").orderBy("item_id").collect()]
+    long = " ".join(t for _, t in items[:5])
+    bench = spark.createDataFrame([*items, (9000, long)], "item_id long, text string")
+    junk = [max(set(t.split()), key=len) for _, t in items]
+    rows = []
+    for k, (i, t) in enumerate(items):
+        words = t.split()
+        changed = " ".join(w if j % 6 else "changed" for j, w in enumerate(words))
+        other = junk[(k + 7) % len(junk)]
+        rows += [(-1 - i, f"{other} " * 40 + t + f" {other}" * 40), (-1001 - i, f"{other} " * 40 + changed + f" {other}" * 40)]
+    rows.append((-5000, f"{junk[9]} " * 60 + long + f" {junk[9]}" * 60))
+    planted = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOCS)
+    got = {(r.doc_id, r.item_id) for r in contaminated(docs.unionByName(planted), bench).collect()}
+    want = {(d - i, i) for i, _ in items for d in (-1, -1001)} | {(-5000, 9000)}
+    assert want <= got
