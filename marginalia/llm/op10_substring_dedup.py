@@ -27,7 +27,7 @@ WIDTH = 20
 GRAM = 7
 
 
-def block_repeats(table: pa.Table, width: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_repeats(table: pa.Table, width: int, block: int) -> tuple[np.ndarray, ...]:
     """As shard_repeats of operator 8, for segments of word hashes."""
     tokens, _, starts, n = repeats.bodies(table, width, 8)
     sums = repeats.prefix(tokens)
@@ -53,18 +53,18 @@ def block_repeats(table: pa.Table, width: int, block: int) -> tuple[np.ndarray,
     near = hits[at + width - block + 1] > hits[at]
     which, inside, at = which[near], inside[near], at[near]
     window = repeats.span(sums, at, at + width)
-    doc, pos = table.column("doc").to_numpy()[which], first_word[which] + inside
-    order = np.lexsort((pos, doc, window))
+    doc, row, pos = table.column("doc").to_numpy()[which], table.column("row").to_numpy()[which], first_word[which] + inside
+    order = np.lexsort((pos, row, doc, window))
     again = np.zeros(len(order), bool)
     lead = np.append(True, window[order][1:] != window[order][:-1]) if len(order) else np.zeros(0, bool)
     first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
     same = (tokens[at[order][:, None] + np.arange(width)] == tokens[at[first][:, None] + np.arange(width)]).all(1) if len(order) else lead
-    again[order] = same & ((doc[order] != doc[first]) | (pos[order] != pos[first]))
-    return doc, pos, again
+    again[order] = same & ((doc[order] != doc[first]) | (row[order] != row[first]) | (pos[order] != pos[first]))
+    return doc, row, pos, again
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc, spans): the word ranges [start, end) of each document that are to go, sorted; null ids as NO_ID."""
+    """(doc, row, spans): the word ranges [start, end) of each row that are to go, sorted; null ids as NO_ID."""
     rows = keyed(docs, id_col, text_col)
     found = repeats.candidates(rows, repeats.word_tokens, width, min(GRAM, width))
     parts = repeats.fetched(found, rows, repeats.word_tokens, width)
@@ -98,5 +98,5 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = keyed(docs, "doc_id", "text").join(repeated_words(docs), "doc", "left").select("doc", "text", "spans")
+    rows = keyed(docs, "doc_id", "text").join(repeated_words(docs), ["doc", "row"], "left").select("doc", "text", "spans")
     return rows.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -6,8 +6,9 @@ that share a content-defined key (repeats.py), so equal strings always meet in o
 built by induced sorting and cut into groups at permuted common prefixes under width; within a group all but the first
 position repeat.
 
-Defined cases: a null text is empty; a null id comes before all others and is given back as null; rows that share an
-id are one document given several times (each row is returned, a repeat found in one is removed from all); texts
+Defined cases: a null text is empty; a null id comes before all others and is given back as null; rows of
+one id and one text are one document given several times (each row is returned, a repeat found in one is removed from
+all); rows of one id, or of none, and other texts are judged each by itself, in the order of a hash of the text; texts
 shorter than width lose nothing; an empty table gives an empty result; other columns are not read.
 """
 
@@ -33,11 +34,12 @@ NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    """(doc, row, text): what tells rows of one id apart is a hash of their text."""
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
 
-def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window of a shard's segments: its document, its start there, and whether an equal one is earlier."""
+def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    """For each window of a shard's segments: its document and row, its start there, and whether an equal one is earlier."""
     _, raw, starts, n = repeats.bodies(table, width, 1)
     letters = np.zeros(256, np.uint8)
     used = np.flatnonzero(np.bincount(raw, minlength=256))
@@ -52,18 +54,18 @@ def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray,
     group = np.empty(len(text), np.int64)
     group[sa] = np.cumsum(plcp[sa] < width)
     group = group[starts[which] + inside]
-    doc = table.column("doc").to_numpy()[which]
+    doc, row = table.column("doc").to_numpy()[which], table.column("row").to_numpy()[which]
     at = table.column("start").to_numpy()[which] + inside
-    order = np.lexsort((at, doc, group))
+    order = np.lexsort((at, row, doc, group))
     lead = np.append(True, group[order][1:] != group[order][:-1])
     first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     again = np.empty(len(order), bool)
-    again[order] = (doc[order] != doc[first]) | (at[order] != at[first])
-    return doc, at, again
+    again[order] = (doc[order] != doc[first]) | (row[order] != row[first]) | (at[order] != at[first])
+    return doc, row, at, again
 
 
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(doc, spans): the byte ranges [start, end) of each document that are to go, sorted; null ids as NO_ID."""
+    """(doc, row, spans): the byte ranges [start, end) of each row that are to go, sorted; null ids as NO_ID."""
     rows = keyed(docs, id_col, text_col)
     found = repeats.candidates(rows, repeats.byte_tokens, width, min(GRAM, width))
     parts = repeats.fetched(found, rows, lambda raw: raw, width)
@@ -96,9 +98,9 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with repeated strings removed from text_col, whole characters only; all other columns stay."""
     spans = repeated_strings(docs, id_col, text_col, width)
-    name, key = "_spans", "_doc"
-    while name in docs.columns or key in docs.columns:
-        name, key = name + "_", key + "_"
+    name, key, of_text = "_spans", "_doc", "_row"
+    while {name, key, of_text} & set(docs.columns):
+        name, key, of_text = name + "_", key + "_", of_text + "_"
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -110,8 +112,8 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out, dtype=object)
 
     text = F.col(f"`{text_col}`")
-    found = spans.select(F.col("doc").alias(key), F.col("spans").alias(name))
-    joined = docs.join(found, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col(key), "left")
+    found = spans.select(F.col("doc").alias(key), F.col("row").alias(of_text), F.col("spans").alias(name))
+    joined = docs.join(found, (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col(key)) & (F.xxhash64(text) == F.col(of_text)), "left")
     new = F.when(F.col(name).isNotNull() & text.isNotNull(), kept(F.coalesce(text, F.lit("")), F.coalesce(name, F.array()))).otherwise(text)
     return joined.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -136,5 +138,5 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     spans = repeated_strings(docs)
-    rows = keyed(docs, "doc_id", "text").join(spans, "doc", "left").select("doc", "text", "spans")
+    rows = keyed(docs, "doc_id", "text").join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
     return rows.mapInArrow(tidy(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

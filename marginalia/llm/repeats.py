@@ -6,6 +6,9 @@ form a segment, about 2 / (width - gram + 2) segments for each token. One shuffl
 cannot repeat (a key seen once) from those that can; only the latter are looked at again, and only their text is
 moved. Segments of equal content are resolved by their first position alone, so a passage copied ten thousand times
 costs one representative; map tasks settle their own copies before the shuffle.
+
+A row is known by its document's id and a hash of its text (``row``): rows of one id and other texts are texts of their
+own, in the order of their hashes; rows alike in both are one document.
 """
 
 from __future__ import annotations
@@ -159,7 +162,7 @@ def periodic(grams: np.ndarray, least: np.ndarray, start: np.ndarray, n: np.ndar
 
 
 def segment_rows(tokenize: Callable[[np.ndarray], np.ndarray], width: int, gram: int) -> Callable:
-    """For mapInArrow: a row (key, content, doc, start, windows, settled, inner) for each segment of (doc, text) rows.
+    """For mapInArrow: a row (key, content, doc, row, start, windows, settled, inner) for each segment of (doc, row, text) rows.
 
     Of segments of a task's batch with equal content all but the first are settled here: an earlier occurrence is
     known. They get a key of their own, so that they do not meet in one task.
@@ -171,6 +174,7 @@ def segment_rows(tokenize: Callable[[np.ndarray], np.ndarray], width: int, gram:
             for part in slices([batch], "text"):
                 raw, off = utf8(part.column("text"))
                 docs = part.column("doc").to_numpy(zero_copy_only=False)
+                rows = part.column("row").to_numpy(zero_copy_only=False)
                 texts = [tokenize(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
                 for group in pieces(np.array([len(t) for t in texts]), width):
                     tokens = np.concatenate([texts[d][a:b] for d, a, b in group])
@@ -179,64 +183,65 @@ def segment_rows(tokenize: Callable[[np.ndarray], np.ndarray], width: int, gram:
                     key, content, start, n, inner = segments(tokens, bounds, width, gram)
                     which = np.searchsorted(bounds, start, "right")
                     first = np.array([a for _, a, _ in group]) - (bounds - size)
-                    found.append((key, content, docs[[d for d, _, _ in group]][which], start + first[which], n, inner))
+                    own = np.array([d for d, _, _ in group])[which]
+                    found.append((key, content, docs[own], rows[own], start + first[which], n, inner))
             if not found:
                 continue
-            key, content, doc, start, n, inner = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, doc, content, key))
-            key, content, doc, start, n, inner = (x[order] for x in (key, content, doc, start, n, inner))
+            key, content, doc, row, start, n, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((start, row, doc, content, key))
+            key, content, doc, row, start, n, inner = (x[order] for x in (key, content, doc, row, start, n, inner))
             lead = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
             first = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-            again = (doc != doc[first]) | (start != start[first])
-            key[again] = mix(doc[again].view(np.uint64) ^ mix(start[again].view(np.uint64), 11))
+            again = (doc != doc[first]) | (row != row[first]) | (start != start[first])
+            key[again] = mix(doc[again].view(np.uint64) ^ mix(row[again].view(np.uint64) ^ mix(start[again].view(np.uint64), 11), 13))
             stay = lead | again  # not the same place of a repeated row
-            key, content, doc, start, n, inner, again = (x[stay] for x in (key, content, doc, start, n, inner, again))
+            key, content, doc, row, start, n, inner, again = (x[stay] for x in (key, content, doc, row, start, n, inner, again))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(inner)],
-                names=["key", "content", "doc", "start", "windows", "settled", "inner"],
+                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(inner)],
+                names=["key", "content", "doc", "row", "start", "windows", "settled", "inner"],
             )
 
     return run
 
 
 def candidates(docs: DataFrame, tokenize: Callable, width: int, gram: int) -> DataFrame:
-    """The segments that may repeat, of docs (doc, text): (key, doc, start, windows, repeats), as a written table.
+    """The segments that may repeat, of docs (doc, row, text): (key, doc, row, start, windows, repeats), as a written table.
 
     repeats: an equal segment stands earlier, so each of its windows repeats; otherwise the segment is the first of
     its content and shares its key with another content, or may repeat within itself, and is to be compared.
     """
-    rows = docs.mapInArrow(tidy(segment_rows(tokenize, width, gram)), "key long, content long, doc long, start int, windows int, settled boolean, inner boolean")
+    rows = docs.mapInArrow(tidy(segment_rows(tokenize, width, gram)), "key long, content long, doc long, row long, start int, windows int, settled boolean, inner boolean")
     key = Window.partitionBy("key")
-    same = Window.partitionBy("key", "content").orderBy("doc", "start")
+    same = Window.partitionBy("key", "content").orderBy("doc", "row", "start")
     rows = (
-        rows.withColumn("first", F.struct(F.first("doc").over(same).alias("doc"), F.first("start").over(same).alias("start")))
+        rows.withColumn("first", F.struct(F.first("doc").over(same).alias("doc"), F.first("row").over(same).alias("row"), F.first("start").over(same).alias("start")))
         .withColumn("other", F.col("inner") | (F.min("content").over(key) != F.max("content").over(key)))
-        .withColumn("repeats", F.col("settled") | (F.struct("doc", "start") != F.col("first")))
+        .withColumn("repeats", F.col("settled") | (F.struct("doc", "row", "start") != F.col("first")))
         .where("repeats or other")
-        .select("key", "doc", "start", "windows", "repeats")
+        .select("key", "doc", "row", "start", "windows", "repeats")
     )
     return written(rows, "segments")
 
 
 def fetched(found: DataFrame, docs: DataFrame, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], width: int) -> DataFrame:
-    """(key, doc, start, windows, body): the text of the segments that are to be compared.
+    """(key, doc, row, start, windows, body): the text of the segments that are to be compared.
 
     cut: of a document's bytes, an array to cut segments out of by token, whose items go into body.
     """
-    wanted = found.where("not repeats").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "windows", "key"))).alias("parts"))
+    wanted = found.where("not repeats").groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "windows", "key"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices([batch], "text"):
                 raw, off = utf8(part.column("text"))
                 out: list[tuple] = []
-                for i, (doc, parts) in enumerate(zip(part.column("doc").to_pylist(), part.column("parts").to_pylist(), strict=True)):
+                for i, (doc, row, parts) in enumerate(zip(part.column("doc").to_pylist(), part.column("row").to_pylist(), part.column("parts").to_pylist(), strict=True)):
                     items = cut(raw[off[i] : off[i + 1]])
-                    out += [(p["key"], doc, p["start"], p["windows"], items[p["start"] : p["start"] + p["windows"] + width - 1].tobytes()) for p in parts]
+                    out += [(p["key"], doc, row, p["start"], p["windows"], items[p["start"] : p["start"] + p["windows"] + width - 1].tobytes()) for p in parts]
                 for lo in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "start", "windows", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "row", "start", "windows", "body"])
 
-    return docs.join(wanted, "doc").select("doc", "text", "parts").mapInArrow(tidy(run), "key long, doc long, start int, windows int, body binary")
+    return docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "parts").mapInArrow(tidy(run), "key long, doc long, row long, start int, windows int, body binary")
 
 
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
@@ -262,9 +267,9 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
 
 
 def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], width: int, item: int, limit: int = 1 << 20) -> DataFrame:
-    """Runs of repeated windows (doc, start, windows) among the segments of each key.
+    """Runs of repeated windows (doc, row, start, windows) among the segments of each key.
 
-    within: of a table of whole keys, for each window its document, position and whether an equal one stands earlier.
+    within: of a table of whole keys, for each window its document, row, position and whether an equal one stands earlier.
     A key with more than HOT_SEGMENTS different contents is compared window by window in a grouped aggregate instead,
     which Spark deals out over all tasks.
     """
@@ -274,8 +279,8 @@ def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ..
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, limit):
-            doc, at, again = within(table)
-            yield runs(doc[again], at[again])
+            doc, row, at, again = within(table)
+            yield runs(doc[again], row[again], at[again])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,13 +290,13 @@ def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ..
                 at = np.concatenate([np.arange(s, s + k) for s, k in zip(starts, n, strict=True)])
                 which = np.repeat(np.arange(len(n)), n)
                 h = span(sums, at, at + width)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(h, 1).view(np.int64)), pa.array(part.column("doc").to_numpy()[which]), pa.array((part.column("start").to_numpy()[which] + at - starts[which]).astype(np.int32))], names=["window", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(h, 1).view(np.int64)), pa.array(part.column("doc").to_numpy()[which]), pa.array(part.column("row").to_numpy()[which]), pa.array((part.column("start").to_numpy()[which] + at - starts[which]).astype(np.int32))], names=["window", "doc", "row", "at"])
 
-    dealt = parts.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "start")
-    out = dealt.mapInArrow(tidy(cold), "doc long, start int, windows int")
-    each = parts.where("hot").drop("hot").mapInArrow(tidy(windows), "window long, doc long, at int")
-    first = each.groupBy("window").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = each.join(first, "window").where("struct(doc, at) > first").select("doc", F.col("at").alias("start"), F.lit(1).alias("windows"))
+    dealt = parts.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "row", "start")
+    out = dealt.mapInArrow(tidy(cold), "doc long, row long, start int, windows int")
+    each = parts.where("hot").drop("hot").mapInArrow(tidy(windows), "window long, doc long, row long, at int")
+    first = each.groupBy("window").agg(F.min(F.struct("doc", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = each.join(first, "window").where("struct(doc, row, at) > first").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("windows"))
     return out.unionByName(later)
 
 
@@ -303,21 +308,21 @@ def bodies(part: pa.RecordBatch | pa.Table, width: int, item: int) -> tuple[np.n
     return tokens, raw, (off[:-1] - off[0]) // item, part.column("windows").to_numpy()
 
 
-def runs(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Positions to runs of consecutive ones; a position may be given more than once."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order].astype(np.int64), at[order].astype(np.int64)
+    order = np.lexsort((at, row, doc))
+    doc, row, at = doc[order].astype(np.int64), row[order].astype(np.int64), at[order].astype(np.int64)
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(doc)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(at[start].astype(np.int32)), pa.array((at[last] - at[start] + 1).astype(np.int32))], names=["doc", "start", "windows"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(row[start]), pa.array(at[start].astype(np.int32)), pa.array((at[last] - at[start] + 1).astype(np.int32))], names=["doc", "row", "start", "windows"])
 
 
 def repeated_spans(found: DataFrame, later: DataFrame, width: int) -> DataFrame:
-    """(doc, spans): for each document the token ranges [start, end) that repeated windows cover, sorted, not merged."""
-    spans = found.where("repeats").select("doc", "start", "windows").unionByName(later)
-    return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end")))).alias("spans"))
+    """(doc, row, spans): for each row the token ranges [start, end) that repeated windows cover, sorted, not merged."""
+    spans = found.where("repeats").select("doc", "row", "start", "windows").unionByName(later)
+    return spans.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end")))).alias("spans"))
 
 
 def merged(spans: Iterable[dict] | None) -> list[tuple[int, int]]:

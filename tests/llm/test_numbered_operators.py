@@ -401,3 +401,30 @@ def test_op7_finds_copies_amid_repeated_words_and_longer_than_a_window(spark, ti
     got = {(r.doc_id, r.item_id) for r in contaminated(docs.unionByName(planted), bench).collect()}
     want = {(d - i, i) for i, _ in items for d in (-1, -1001)} | {(-5000, 9000)}
     assert want <= got
+
+
+@pytest.mark.parametrize("name", ["op8", "op10", "dedup_texts"])
+def test_rows_of_one_id_and_other_texts_keep_their_own_spans(spark, tmp_path, name):
+    from marginalia.llm.op8_suffix_dedup import dedup_texts, op8_suffix_dedup
+    from marginalia.llm.op10_substring_dedup import op10_substring_dedup
+
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(None, "null head " + PASSAGE), (None, other + " tail"), (None, "x"), (5, "y"), (5, PASSAGE + " five and more of it"), (5, "short " + other), (6, LONG[:3000]), (6, PASSAGE + " " + other)]
+    # nothing repeats but PASSAGE and other, first in the rows of no id: these stay whole, later ones lose them
+    df = documents(spark, rows)
+    if name == "dedup_texts":
+        got = [(r.doc_id, r.text) for r in dedup_texts(df).collect()]
+        assert {t for d, t in got if d is None} == {t for d, t in rows if d is None} and (5, "y") in got and (6, LONG[:3000]) in got
+        assert len(got) == len(rows) and not any("shared20" in t or "other30" in t for d, t in got if d is not None)
+        return
+    path = saved(df, tmp_path)
+    got = (op8_suffix_dedup if name == "op8" else op10_substring_dedup)(spark, path).collect()
+    size = (lambda t: len(t.encode())) if name == "op8" else (lambda t: len(t.split()))
+    removed = {(r.doc_id, r.n_bytes if name == "op8" else r.n_words): r.n_removed for r in got}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        if d is None or not ("shared20" in t or "other30" in t):
+            assert removed[d, size(t)] == 0
+        else:
+            least = sum(size(p) for p in (PASSAGE, other) if p in t)
+            assert least <= removed[d, size(t)] <= least + 4
