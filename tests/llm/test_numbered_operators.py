@@ -428,3 +428,12 @@ def test_rows_of_one_id_and_other_texts_keep_their_own_spans(spark, tmp_path, na
         else:
             least = sum(size(p) for p in (PASSAGE, other) if p in t)
             assert least <= removed[d, size(t)] <= least + 4
+
+
+def test_op7_looks_up_nothing_where_no_rare_word_is():
+    from marginalia.llm.op7_decontamination import Placed, items_of, rare_words
+
+    rare = rare_words(items_of([(1, "a b c d e f g")]), np.arange(7), 0.6)
+    none = np.zeros(0, np.int64)
+    for p in (Placed([1], np.array([0]), np.array([5]), none, none.astype(np.int32)), Placed([1], np.array([0]), np.array([5]), np.array([2]), np.array([6], np.int32))):
+        assert [len(x) for x in rare.places(p)] == [0, 0]
