@@ -3,11 +3,13 @@
 Turns are collected by conversation and sorted; adjacent turns of one role are merged by an array aggregate into one
 block, which keeps the bounds of its turns; blocks are concatenated:
 
-    <|role|>text<|next|>text of the same role<|end|>
+    <|role:ROLE|>text<|next|>text of the same role<|end|>
 
 Control strings inside roles and texts are escaped: "&" is written "&0;", and the k-th of CONTROLS "&k;". Escapes are
-the only places of "&", so that undoing the others first and "&0;" last gives back every text. The loss mask lists
-the ranges of the assistant's texts, in code points of the formatted text.
+the only places of "&", so that undoing the others first and "&0;" last gives back every text. Heads begin with a mark
+of their own, so that a role of any name, "end" or "next" too, is no other mark. The loss mask lists the ranges of the
+assistant's texts, in code points of the formatted text; where each text starts is a running sum of lengths, so that
+long conversations take time in proportion to their turns.
 
 Defined cases: a null text or role is empty; turns that share a number are sorted by role and text, repeated rows are
 turns of their own, a null turn number comes first; a null conversation is one of its own, with a null id; an empty
@@ -16,7 +18,7 @@ table gives only the rows that are added; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load
@@ -24,7 +26,7 @@ from .tables import load
 #: Strings that a chat template may give a meaning to.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 ASSISTANT = "assistant"
-NEXT, END = "<|next|>", "<|end|>"
+ROLE, NEXT, END = "<|role:", "<|next|>", "<|end|>"
 
 
 def escaped(text: Column) -> Column:
@@ -45,31 +47,24 @@ def formatted(rows: DataFrame, assistant: str = ASSISTANT) -> DataFrame:
 
     loss_mask: array<struct<start, length>>, code points from 0, of the assistant's escaped texts.
     """
-    turn = F.struct(F.col("turn"), escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    runs = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), ((i > 0) & (F.get("turns", i - 1)["role"] == t["role"])).alias("joins"), (F.get("turns", i + 1)["role"] == t["role"]).alias("goes_on")))
-    pieces = F.transform(
-        "runs",
-        lambda t: F.struct(
-            F.when(t["joins"], F.lit("")).otherwise(F.concat(F.lit("<|"), t["role"], F.lit("|>"))).alias("head"),
-            t["text"].alias("text"),
-            F.when(F.coalesce(t["goes_on"], F.lit(False)), F.lit(NEXT)).otherwise(F.lit(END)).alias("tail"),
-            (t["role"] == assistant).alias("learnt"),
-        ),
-    )
-    # where each text starts: an aggregate over lengths only, so that no text is copied again and again
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("mask"))
-    mask = F.aggregate(
-        "pieces",
-        zero,
-        lambda s, p: F.struct(
-            (s["at"] + F.char_length(p["head"]) + F.char_length(p["text"]) + F.char_length(p["tail"])).alias("at"),
-            F.when(p["learnt"], F.concat(s["mask"], F.array(F.struct((s["at"] + F.char_length(p["head"])).alias("start"), F.char_length(p["text"]).cast("long").alias("length"))))).otherwise(s["mask"]).alias("mask"),
-        ),
-        lambda s: s["mask"],
+    turns = rows.select("conv_id", "turn", escaped(F.coalesce("role", F.lit(""))).alias("role"), escaped(F.coalesce("text", F.lit(""))).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    joins = F.coalesce(F.lag("role").over(order) == F.col("role"), F.lit(False))
+    goes_on = F.coalesce(F.lead("role").over(order) == F.col("role"), F.lit(False))
+    head = F.when(F.col("joins"), F.lit("")).otherwise(F.concat(F.lit(ROLE), "role", F.lit("|>")))
+    tail = F.when(F.col("goes_on"), F.lit(NEXT)).otherwise(F.lit(END))
+    length = F.char_length("text").cast("long")
+    whole = F.char_length("head") + length + F.char_length("tail")
+    placed = (
+        turns.withColumns({"place": F.row_number().over(order), "joins": joins, "goes_on": goes_on})
+        .withColumns({"head": head, "tail": tail})
+        .withColumn("start", F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - length - F.char_length("tail"))
     )
+    piece = F.struct("place", "head", "text", "tail", (F.col("role") == assistant).alias("learnt"), "start", length.alias("length"))
+    chats = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces"))
+    mask = F.transform(F.filter("pieces", lambda p: p["learnt"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
     joined = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["text"], p["tail"])), "")
-    return turns.withColumn("runs", runs).withColumn("pieces", pieces).select("conv_id", joined.alias("formatted"), mask.alias("loss_mask"))
+    return chats.select("conv_id", joined.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:
@@ -78,8 +73,8 @@ def read_back(chats: DataFrame) -> DataFrame:
     turns = F.transform(
         blocks,
         lambda b: F.transform(
-            F.split(F.regexp_replace(b, r"(?s)^<\|.*?\|>", ""), r"<\|next\|>"),
-            lambda t: F.struct(unescaped(F.regexp_extract(b, r"(?s)^<\|(.*?)\|>", 1)).alias("role"), unescaped(t).alias("text")),
+            F.split(F.regexp_replace(b, r"(?s)^<\|role:.*?\|>", ""), r"<\|next\|>"),
+            lambda t: F.struct(unescaped(F.regexp_extract(b, r"(?s)^<\|role:(.*?)\|>", 1)).alias("role"), unescaped(t).alias("text")),
         ),
     )
     return chats.withColumn("turns", F.flatten(turns))
@@ -121,7 +116,7 @@ WITH rows_ AS (
   FROM rows_ WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), pieces AS (
   SELECT *, length({_sql_escaped("text")})
-    + CASE WHEN before = role THEN 8 ELSE length({_sql_escaped("role")}) + 11 END AS chars FROM numbered
+    + CASE WHEN before = role THEN 8 ELSE length({_sql_escaped("role")}) + 16 END AS chars FROM numbered
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
