@@ -51,15 +51,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc, print): every row's fingerprint as a signed long."""
+    """(doc, row, print): every row's id, a hash of its text, and its fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             raw, off = utf8(part.column("text"))
             prints = np.array([fingerprint(raw[a:b].tobytes(), shingle) for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(prints.view(np.int64))], names=["doc", "print"])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("row"), pa.array(prints.view(np.int64))], names=["doc", "row", "print"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text")).mapInArrow(tidy(run), "doc long, print long")
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(tidy(run), "doc long, row long, print long")
 
 
 def _segments(prints: np.ndarray) -> list[np.ndarray]:
@@ -89,37 +90,59 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(prints: DataFrame, differing: int = DIFFERING) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (print) that differ in at most so many bits, three at most."""
+    """Pairs (a, b), a < b, of distinct fingerprints (print) that differ in at most so many bits, three at most.
+
+    A fingerprint has 43,744 others within three bits, whatever the size of the corpus: copies of a text are one
+    fingerprint here, so that dense groups of near ones stay bounded for each of their members.
+    """
     if not 0 <= differing <= DIFFERING:
         raise ValueError("the segments allow for three differing bits")
     filed = prints.mapInArrow(tidy(_filed), "key int, filed long")
     asked = prints.mapInArrow(tidy(_asked), "key int, print long")
     near = (F.col("print") < F.col("filed")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("filed"))) <= differing)
-    return asked.join(filed.hint("shuffle_hash"), (asked["key"] == filed["key"]) & near).select(F.col("print").alias("a"), F.col("filed").alias("b")).distinct()
+    return asked.join(filed, (asked["key"] == filed["key"]) & near).select(F.col("print").alias("a"), F.col("filed").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, differing: int = DIFFERING) -> DataFrame:
-    """(doc, print, component): every row's fingerprint and the smallest id among the documents that it reaches."""
+def groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, differing: int) -> DataFrame:
+    """(doc, row, print, root, component): every row's fingerprint, the fingerprint that names its component, and the
+    smallest id in that; row: a hash of the text, which tells rows of one id, or of none, apart."""
     found = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(found.groupBy("print").agg(F.min("doc").alias("least")), "distinct-prints")
     roots = smallest_reachable(links(distinct.select("print"), differing)).withColumnRenamed("node", "print")
     grouped = distinct.join(roots, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "least")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
-    of_print = grouped.join(smallest, "root").select("print", "component")
-    return found.join(of_print, "print").select("doc", "print", "component")
+    of_print = grouped.join(smallest, "root").select("print", "root", "component")
+    return found.join(of_print, "print").select("doc", "row", "print", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, differing: int = DIFFERING) -> DataFrame:
+    """(doc, print, component): every row's fingerprint and the smallest id among the documents that it reaches."""
+    return groups(docs, id_col, text_col, shingle, differing).select("doc", "print", "component")
+
+
+def unused(names: list[str], taken: list[str]) -> list[str]:
+    """names, made longer until none is among the columns taken."""
+    while {n.lower() for n in names} & {t.lower() for t in taken}:
+        names = [n + "_" for n in names]
+    return names
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, differing: int = DIFFERING) -> DataFrame:
-    """docs with one row of each component: of the rows with its smallest id the one of the smallest text.
+    """docs with one row of each component, every column kept.
 
-    Rows with a null id all stay: nothing tells them apart.
+    It is the row with the smallest id; of rows that share that id the one whose text has the smallest hash, of repeated
+    rows any one; a null id is the largest. Components are told apart by their fingerprint, never by an id, so that ids
+    that several rows share, or no row has, lose nothing but copies. Null and wordless texts are one component.
     """
-    marks = near_duplicates(docs, id_col, text_col, shingle, differing)
-    stay = marks.where("doc = component").select(F.col("doc").alias("_stays")).distinct()
-    key = F.col(f"`{id_col}`")
-    joined = docs.join(stay, key.cast("long") == F.col("_stays"), "left").where(key.isNull() | F.col("_stays").isNotNull())
-    one = Window.partitionBy(key, F.when(key.isNull(), F.xxhash64(F.col(f"`{text_col}`")))).orderBy(F.col(f"`{text_col}`"))
-    return joined.withColumn("_place", F.row_number().over(one)).where(key.isNull() | (F.col("_place") == 1)).drop("_place", "_stays")
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    marks = groups(docs, id_col, text_col, shingle, differing)
+    stay = marks.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("stays"))
+    doc, row, place = unused(["_doc", "_row", "_place"], docs.columns)
+    # a component's row is named by (id, hash): two components have no text, hence no such pair, in common
+    stay = stay.select(F.col("stays.doc").alias(doc), F.col("stays.row").alias(row)).distinct()
+    kept = docs.join(stay, key.eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(row)))
+    copies = Window.partitionBy(doc, row).orderBy(row)
+    return kept.withColumn(place, F.row_number().over(copies)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
