@@ -5,8 +5,8 @@ places. Its kernel with another text is the number of common places over the geo
 texts give the Nyström features k(x, landmarks) K^(-1/2), on which one-versus-rest kernel ridge regression is solved.
 Scoring is batched: presence rows times the landmarks' matrix times the weights.
 
-The classifier alone is fitted on a sample, of about SAMPLE labelled texts for each language, chosen by a hash of the
-id; every text is scored, whole. The score is the softmax of the regressions' outputs.
+The classifier alone is fitted on a sample, of at most SAMPLE labelled texts for each language, those of the smallest
+hash of id and text; every text is scored, whole. The score is the softmax of the regressions' outputs.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are; rows
 with a null label are not learnt from; a null id is in no fold that is held out; an empty table gives an empty result;
@@ -22,14 +22,14 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import load, release, tidy
 
 FEATURES = 1 << 14
 GRAMS = (1, 2, 3, 4)
-#: Labelled texts of each language that the classifier is fitted on, about; and landmarks in all.
+#: Labelled texts of each language that the classifier is fitted on, at most; and landmarks in all.
 SAMPLE = 600
 LANDMARKS = 64
 RIDGE = 1e-2
@@ -125,13 +125,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the rows outside the held-out fold; executors send presence bits, 2 KB for each sampled text."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(~held_out("doc") & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rows = rows.withColumn("draw", F.xxhash64(F.lit("sample"), "doc", "text"))
+    place = Window.partitionBy("lang").orderBy("draw")
+    # the draws alone are ranked; the texts of those drawn are picked afterwards, ties cut by the same rank
+    last = rows.select("lang", "draw").withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample).groupBy("lang").agg(F.max("draw").alias("last"))
+    drawn = rows.join(F.broadcast(last), "lang").where("draw <= last").withColumn("place", F.row_number().over(place)).where(F.col("place") <= sample)  # last: a row for each language
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +139,7 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 packed = np.packbits(marks.astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("doc").cast(pa.string()), part.column("lang"), pa.array([p.tobytes() if s else None for p, s in zip(packed, some, strict=True)], pa.binary())], names=["doc", "lang", "bits"])
 
-    got = rows.where(draw < share).select("doc", "text", "lang").mapInArrow(tidy(bits), "doc string, lang string, bits binary").where("bits is not null").toArrow().sort_by([("lang", "ascending"), ("doc", "ascending"), ("bits", "ascending")])
+    got = drawn.select("doc", "text", "lang").mapInArrow(tidy(bits), "doc string, lang string, bits binary").where("bits is not null").toArrow().sort_by([("lang", "ascending"), ("doc", "ascending"), ("bits", "ascending")])
     marks = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in got.column("bits").to_pylist()]
     return fit(np.array(marks, np.float32).reshape(-1, FEATURES), got.column("lang").to_pylist())
 
