@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from .tables import load, new_path
 
@@ -44,6 +47,20 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+class SchemaClash(ValueError):
+    """An arrival has a column in another type than the store."""
+
+
+def merged_schema(store: StructType | None, arrival: StructType) -> StructType:
+    """The columns of both, all of them nullable: each shard lacks what came after it."""
+    fields = {f.name.lower(): f for f in (store.fields if store is not None else [])}
+    for f in arrival.fields:
+        known = fields.setdefault(f.name.lower(), f)
+        if known.dataType.simpleString() != f.dataType.simpleString():
+            raise SchemaClash(f"{f.name} is {known.dataType.simpleString()} in the store, {f.dataType.simpleString()} in the arrival")
+    return StructType([StructField(f.name, f.dataType, True) for f in fields.values()])
+
+
 class ShardStore:
     """A table of shards in a folder that all executors share."""
 
@@ -68,19 +85,36 @@ class ShardStore:
         return [Shard(**s) for s in found["shards"]], StructType.fromJson(found["schema"])
 
     def commit(self, base: int, shards: list[Shard], schema: StructType) -> int:
-        """Make shards the version after base: written aside, then renamed, which fails where the name is taken."""
+        """Make shards the version after base: written aside, then put in place, which fails where the name is taken."""
         version = base + 1
         aside = self._path(f"{self.folder}/aside/{uuid.uuid4().hex}")
         self._fs.mkdirs(self._path(f"{self.folder}/manifests"))
         out = self._fs.create(aside, False)
         out.write(json.dumps({"version": version, "schema": json.loads(schema.json()), "shards": [asdict(s) for s in shards]}).encode())
         out.close()
-        place = self._path(f"{self.folder}/manifests/{version:09d}.json")
-        if self._fs.exists(place) or not self._fs.rename(aside, place):
+        try:
+            self._place(aside, self._path(f"{self.folder}/manifests/{version:09d}.json"))
+        finally:
             self._fs.delete(aside, False)
-            raise Conflict(f"version {version} exists")
         return version
 
+    def _place(self, aside: JavaObject, place: JavaObject) -> None:
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(aside.toUri().getPath(), place.toUri().getPath())
+            except FileExistsError:
+                raise Conflict(f"{place.getName()} exists") from None
+            return
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            context.rename(aside, place, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                raise Conflict(f"{place.getName()} exists") from None
+            raise
+
     def _written(self, folder: str, schema: StructType) -> list[Shard]:
         """The shards in a folder that Spark has just written: rows counted from the files' footers."""
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")}
@@ -91,11 +125,18 @@ class ShardStore:
         return [Shard(f"{folder.removeprefix(self.folder + '/')}/{name}", rows[name], size) for name, size in sorted(sizes.items()) if rows.get(name)]
 
     def append(self, arrival: DataFrame, rows: int = ROWS) -> int:
-        """Write an arrival as small shards and commit them."""
-        base = self.version()
+        """Write an arrival as small shards and commit them, after whichever versions other writers commit meanwhile."""
+        merged_schema(self.manifest()[1], arrival.schema)  # a clash is refused before anything is written
         folder = f"{self.folder}/shards/{uuid.uuid4().hex}"
         arrival.write.option("maxRecordsPerFile", rows).parquet(folder)
-        return self.commit(base, self.manifest(base)[0] + self._written(folder, arrival.schema), arrival.schema)
+        new = self._written(folder, arrival.schema)
+        while True:
+            base = self.version()
+            shards, schema = self.manifest(base)
+            try:
+                return self.commit(base, shards + new, merged_schema(schema, arrival.schema))
+            except Conflict:
+                continue
 
     def tier(self, shard: Shard) -> int:
         """0 for shards of the target size, and k for those that k more merges of FAN bring there."""
