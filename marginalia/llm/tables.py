@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where neither is set (local tests) a temporary folder is made and set as the checkpoint folder.
+    Where neither is set only a local master may go on, with a temporary folder of this machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        path = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marginalia-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
