@@ -182,8 +182,27 @@ def test_first_of_groups(spark, odd):
 
     out = first_of_groups(odd)
     assert out.columns == odd.columns
-    ids = sorted((r.doc_id for r in out.collect()), key=lambda d: (d is not None, d or 0))
-    assert ids == [None, 1, 4, 5, 6, 7, 8, 9, 10, 11] or set(ids) <= {d for d, _ in ODD_ROWS} and ids.count(6) == 1 and 12 not in ids and 2 not in ids
+    prints = [fingerprint(t) for _, t in ODD_ROWS]
+    near = lambda i: {j for j in range(len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    want = []
+    for i, (d, _) in enumerate(ODD_ROWS):
+        group = near(i)
+        assert all(near(j) == group for j in group)  # no chains here
+        first = min(group, key=lambda j: (ODD_ROWS[j][0] is None, ODD_ROWS[j][0] or 0, j))
+        if i == first:
+            want.append(d)
+    assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_first_of_groups_by_row_with_shared_ids(spark):
+    from marginalia.llm.op4_simhash_dedup import first_of_groups
+
+    a, b, c, d, e = (" ".join(f"{x}{i * i}" for i in range(80)) for x in "abcde")
+    rows = [(5, a), (5, b), (6, a), (7, b), (9, c), (None, d), (None, e), (None, d), (8, e), (5, a)]
+    df = documents(spark, rows).withColumns({n: F.lit("x") for n in ("_stays", "_place", "_doc", "_row", "root", "row")})
+    out = first_of_groups(df)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(5, a), (5, b), (9, c), (None, d), (8, e)], key=repr)
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -242,6 +261,17 @@ def test_op6_learns_languages_and_defined_cases(spark, tiny, tmp_path):
     assert [tuple(r) for r in op6_language_id(spark, saved(unlabelled, tmp_path)).collect()] == [(1, False, "und", 0.0)]
 
 
+def test_op6_draws_rows_of_one_id_or_none_each_by_itself(spark):
+    from marginalia.llm.op6_language_id import trained
+
+    texts = [(f"the house number {k} of that street", "en") if k % 2 else (f"das haus nummer {k} jener stra\u00dfe", "de") for k in range(900)]
+    for doc in (1, 2, 3, None):
+        model = trained(spark.createDataFrame([(doc, t, g, None, None) for t, g in texts], DOCS), sample=50)
+        assert model.languages == ["de", "en"]
+    same = trained(spark.createDataFrame([(1, "the house", "en", None, None)] * 900, DOCS), sample=50)
+    assert same.languages == ["en"]
+
+
 def test_op7_finds_items_and_paraphrases(spark, tiny):
     from marginalia.llm.op7_decontamination import contaminated, plain_words
 
@@ -265,14 +295,14 @@ def test_op7_finds_items_and_paraphrases(spark, tiny):
 def test_op2_reads_back_what_it_was_given(spark, tmp_path):
     from marginalia.llm.op2_chat_formatting import formatted, learnt_text, read_back
 
-    rows = [(1, 0, "user", "a <|end|> & &1; [INST]<"), (1, 1, "user", None), (1, 2, "assistant", "|>x</s>"), (1, 3, "assistant", "&0;"), (1, 4, None, ">"), (2, None, "assistant", "only\n"), (2, 1, "us|>er", "<|"), (None, 0, "user", "q"), (3, 0, "user", "same"), (3, 0, "user", "same")]
+    rows = [(1, 0, "user", "a <|end|> & &1; [INST]<"), (1, 1, "user", None), (1, 2, "assistant", "|>x</s>"), (1, 3, "assistant", "&0;"), (1, 4, None, ">"), (2, None, "assistant", "only\n"), (2, 1, "us|>er", "<|"), (4, 0, "end", "a"), (4, 1, "next", "b"), (4, 2, "next", "c"), (4, 3, "role:", "d"), (4, 4, "<", "e"), (4, 5, "|", "f"), (4, 6, ">", "g"), (4, 7, "", "h"), (4, 8, "role:end", "<|end|>"), (None, 0, "user", "q"), (3, 0, "user", "same"), (3, 0, "user", "same")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("turns", "runs", "pieces")})
     got = {r.conv_id: r for r in read_back(formatted(df)).withColumn("learnt", learnt_text()).collect()}
-    for conv in (1, 2, 3, None):
+    for conv in (1, 2, 3, 4, None):
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         assert [(t.role, t.text) for t in got[conv].turns] == [(r[2] or "", r[3] or "") for r in own]
         assert got[conv].learnt == "".join(r[3] or "" for r in own if r[2] == "assistant")
-    assert got[1].formatted.count("<|user|>") == 1 and formatted(df.limit(0)).count() == 0
+    assert got[1].formatted.count("<|role:user|>") == 1 and formatted(df.limit(0)).count() == 0
 
 
 def test_op3_matches_brute_force(spark):
@@ -314,7 +344,7 @@ def test_op5_round_trip(spark):
     from marginalia.llm.tables import new_path
 
     big = "é" * 50_000
-    rows = [(1, "http://a/ü\r\n", big), (2, None, big), (3, "u", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (0, "u", "x" * 100), (7, "u", "x" * 100), (7, "u", "x" * 100)]
+    rows = [(1, "http://a/ü\r\n", big), (2, None, big), (3, "http://a/x%20y?q=%", "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", big), (0, "u", "x" * 100), (7, "u", "x" * 100), (7, "u", "x" * 100)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(0) for c in ("first", "digest", "bytes", "payload", "n")})
     folder = new_path(spark, "warc")
     table = read_archives(write_archives(chunk_rows(pages, chunk=7001), folder), folder, 9000).collect()
@@ -326,12 +356,31 @@ def test_op5_round_trip(spark):
         revisit = len(raw) >= 100 and page != first[html]
         want.append((page, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first[html] if revisit else None))
     assert last == sorted(want, key=repr)
+    assert {(r.page_id, r.url) for r in table} == {(p, u) for p, u, _ in rows}
     body = b"".join(r.body for r in sorted((r for r in table if r.page_id == 1), key=lambda r: r.chunk))
     assert body == big.encode() and max(len(r.body) for r in table) <= 9000
     empty = new_path(spark, "warc")
     assert read_archives(write_archives(chunk_rows(pages.limit(0)), empty), empty).count() == 0
 
 
+def test_op5_records_are_linked_and_damage_is_told(spark):
+    import gzip
+    import io
+
+    from marginalia.llm.op5_warc import header, record_id, records_of
+
+    row = {"page_id": 7, "url": "http://a/x%20y\u00fc\n", "refers_to": None, "digest": hashlib.sha256(b"abcdef").hexdigest(), "bytes": 6}
+    first, again = header(row), header({**row, "page_id": 8, "refers_to": 7})
+    assert first == header(row) and record_id(7, row["digest"]).encode() in first
+    assert b"WARC-Refers-To: " + record_id(7, row["digest"]).encode() in again and b"WARC-Target-URI: http://a/x%20y%C3%BC%0A" in first
+    raw = first + b"abcdef\r\n\r\n" + again + b"\r\n\r\n"
+    read = lambda b: [(r[0], r[1], r[2], r[3]) for r in records_of(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(b)))), 4) if r[-1]]
+    assert read(raw) == [(7, row["url"], "response", None), (8, row["url"], "revisit", 7)]
+    for bad in (raw.replace(b"abcdef", b"abcdeg"), first + b"abc", raw[:40]):
+        with pytest.raises((ValueError, KeyError)):
+            read(bad)
+
+
 def test_op1_versions_and_conflicts(spark, odd):
     from marginalia.llm.op1_sharding import Conflict, ShardStore
     from marginalia.llm.tables import new_path
@@ -351,6 +400,52 @@ def test_op1_versions_and_conflicts(spark, odd):
     assert store.append(odd.limit(0)) == store.version()
 
 
+def test_op1_merges_schemas_and_refuses_clashes(spark):
+    from marginalia.llm.op1_sharding import SchemaClash, ShardStore
+    from marginalia.llm.tables import new_path
+
+    store = ShardStore(spark, new_path(spark, "store"))
+    store.append(spark.createDataFrame([(1, "a")], "id long, x string"))
+    store.append(spark.createDataFrame([(2, 0.5)], "ID long, y double"))
+    want = [(1, "a", None), (2, None, 0.5)]
+    assert sorted(map(tuple, store.read().collect())) == want
+    with pytest.raises(SchemaClash):
+        store.append(spark.createDataFrame([("3",)], "id string"))
+    store.compact()
+    assert store.read().columns == ["id", "x", "y"] and sorted(map(tuple, store.read().collect())) == want
+
+
+@pytest.mark.parametrize("hadoop", [False, True])
+def test_op1_one_of_two_live_writers_gets_a_conflict(spark, monkeypatch, hadoop):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from marginalia.llm import op1_sharding as op1
+    from marginalia.llm.tables import new_path
+
+    store = op1.ShardStore(spark, new_path(spark, "store"))
+    schema = spark.range(1).schema
+
+    def write(k):
+        try:
+            return store.commit(base, [op1.Shard(f"w{k}", 1, 1)], schema), k
+        except op1.Conflict:
+            return None
+
+    if hadoop:  # the way of other file systems, one writer after the other: local folders do not rename atomically
+        monkeypatch.setattr(type(store._fs), "getScheme", lambda self: "other", raising=False)
+        base = 0
+        assert [write(0), write(1)] == [(1, 0), None]
+        return
+    with ThreadPoolExecutor(4) as pool:
+        for base in range(20):
+            won = [w for w in pool.map(write, range(4)) if w]
+            assert len(won) == 1 and store.manifest(base + 1)[0][0].path == f"w{won[0][1]}"
+    with ThreadPoolExecutor(3) as pool:
+        live = op1.ShardStore(spark, new_path(spark, "store"))
+        list(pool.map(lambda k: live.append(spark.range(k * 10, k * 10 + 10)), range(3)))
+    assert live.version() == 3 and sorted(r.id for r in live.read().collect()) == list(range(30))
+
+
 def test_empty_tables(spark, tmp_path):
     from marginalia.llm import queries
 
