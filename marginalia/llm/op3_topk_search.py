@@ -1,12 +1,14 @@
 """Operator 3: exact top-k inner products, score at a time over an impact-ordered index.
 
 Vectors are dealt into blocks by their id. A block's index holds, for each dimension, its vectors sorted by component
-and cut into posting segments of one quantised impact (component >> STEP_BITS). A query takes the segments of all
-dimensions by descending impact, adding each member's contribution over the least that the dimension can give. What a
-vector can still gain is at most the sum, over dimensions, of the next segment's impact; once that leaves few vectors
-that could be among the k best, the others are ruled out by proof and these few are scored exactly.
+and cut into posting segments of one quantised component (component >> STEP_BITS). A query takes the segments of all
+dimensions by descending quantised impact, a round of them at a time, and adds what each member contributes over the
+least that the dimension can give. What a vector can still gain is at most the sum, over dimensions, of the next
+segment's impact. A query stops once that proves all but a SHARE-th of the block's vectors, or all but k, to be out;
+the others are scored exactly. Where no proof comes, all segments are taken. Blocks of every size go this way.
 
-Queries and blocks meet in a grid of (block, query block) groups of bounded size; each gives k rows for each query.
+Queries and blocks meet in a grid of (block, query block) groups of bounded size; each gives k rows for each query. A
+group builds the index of its block anew, which takes as long as a dozen of its queries do.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; only vectors of equal
 length are compared; of rows that share an id the one of the smallest vector counts; rows with a null id take no part;
@@ -24,11 +26,11 @@ from .tables import load
 
 K = 10
 SCALE = 1024
-#: Vectors of a block, and queries of a query block, about.
-BLOCK, QUERIES = 16_384, 4_096
-STEP_BITS = 6
-#: Vectors that may be left for exact scoring, and segments between two looks at how many there are.
-LEFT, LOOK = 512, 24
+#: Bytes of a block's vectors, and queries of a query block, about.
+BLOCK_BYTES, QUERIES = 8 << 20, 4_096
+STEP_BITS = 8
+#: A query stops when so small a part of a block is left for exact scoring; it looks after each of so many rounds.
+SHARE, ROUNDS = 8, 12
 
 
 class Index:
@@ -36,54 +38,73 @@ class Index:
 
     def __init__(self, x: np.ndarray) -> None:
         self.x = x
-        self.columns = np.ascontiguousarray(x.T)
-        self.members, dims, most, least = [], [], [], []
-        for d, column in enumerate(self.columns):
-            order = np.argsort(column, kind="stable")
-            values = column[order]
-            ends = np.append(np.flatnonzero(np.diff(values >> STEP_BITS)) + 1, len(order))
-            at = 0
-            for end in ends:
-                self.members.append(order[at:end])
-                dims.append(d)
-                least.append(values[at])
-                most.append(values[end - 1])
-                at = end
-        self.dims, self.most, self.least = (np.array(v, np.int64) for v in (dims, most, least))
+        order = np.argsort(x, axis=0, kind="stable").T
+        values = np.take_along_axis(np.ascontiguousarray(x.T), order, 1)
+        d, n = values.shape
+        self.members, self.values = order.ravel(), values.ravel().astype(np.float64)
+        begin = np.ones((d, n), bool)
+        begin[:, 1:] = values[:, 1:] >> STEP_BITS != values[:, :-1] >> STEP_BITS
+        self.begin = np.flatnonzero(begin)
+        self.end = np.append(self.begin[1:], d * n)
+        self.dims = self.begin // n
+        self.least, self.most = self.values[self.begin], self.values[self.end - 1]
+        # what a member gives over the least of its dimension, for a weight of 1 and of -1
+        rows = self.values.reshape(d, n)
+        self.over = (rows - rows[:, :1]).ravel(), (rows[:, -1:] - rows).ravel()
+        self.looked_at = 0
 
     def best(self, q: np.ndarray, k: int, never: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions, scores) of all that can be among the k best, without the positions in never."""
-        n = len(self.x)
-        if n - len(never) <= max(k, LEFT):
-            left = np.setdiff1d(np.arange(n), never)
-            return left, self.x[left] @ q
-        weight = q[self.dims]
-        high = np.maximum(weight * self.most, weight * self.least)
-        low = np.full(len(q), np.iinfo(np.int64).max)
-        np.minimum.at(low, self.dims, np.minimum(weight * self.most, weight * self.least))
-        gain = high - low[self.dims]
+        n, d = self.x.shape
+        k = min(k, n - len(never))
+        if not k:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        weight = q.astype(np.float64)
+        ends = weight[self.dims] * self.most, weight[self.dims] * self.least
+        low = np.full(d, np.inf)
+        np.minimum.at(low, self.dims, np.minimum(*ends))
+        gain = np.maximum(*ends) - low[self.dims]
         order = np.argsort(-gain, kind="stable")
+        dims, begin, end = self.dims[order], self.begin[order], self.end[order]
         # what each dimension can still give after each step: the gain of its next segment in this order
-        following = np.zeros(len(order), np.int64)
-        by_dim = np.argsort(self.dims[order], kind="stable")
-        d = self.dims[order][by_dim]
+        following = np.zeros(len(order))
+        by_dim = np.argsort(dims, kind="stable")
         g = gain[order][by_dim]
-        following[by_dim[:-1]] = np.where(d[1:] == d[:-1], g[1:], 0)
-        first = np.zeros(len(q), np.int64)
+        following[by_dim[:-1]] = np.where(dims[by_dim][1:] == dims[by_dim][:-1], g[1:], 0)
+        first = np.zeros(d)
         np.maximum.at(first, self.dims, gain)
-        remaining = int(first.sum()) + np.cumsum(following - gain[order])
-        score = np.full(n, low.sum(), np.int64)
-        score[never] = np.iinfo(np.int64).min // 2
-        for step, s in enumerate(order):
-            dim = self.dims[s]
-            members = self.members[s]
-            score[members] += q[dim] * self.columns[dim][members] - low[dim]
-            if step % LOOK == LOOK - 1:
-                bound = np.partition(score, n - k)[n - k] - remaining[step]
-                left = np.flatnonzero(score >= bound)
-                if len(left) <= LEFT:
-                    return left, self.x[left] @ q
-        left = np.flatnonzero(score >= np.partition(score, n - k)[n - k])
+        remaining = first.sum() + np.cumsum(following - gain[order])
+        # sums of such numbers in floating point are off by less than this
+        slack = 2.0**-48 * (np.abs(low).sum() + first.sum())
+        score = np.zeros(n)
+        score[never] = -np.inf
+        rounds = np.flatnonzero(np.diff(np.cumsum(end - begin) * ROUNDS // (n * d), append=-1))
+        done = 0
+        for last in rounds:
+            own = slice(done, last + 1)
+            size = end[own] - begin[own]
+            # segments of one dimension lie side by side: as few ranges as dimensions
+            side = np.lexsort((begin[own], dims[own]))
+            b, e, m = begin[own][side], end[own][side], dims[own][side]
+            joint = np.append(True, (b[1:] != e[:-1]) | (m[1:] != m[:-1]))
+            lo, hi, m = b[joint], e[np.append(joint[1:], True)], m[joint]
+            ranges = list(zip(lo.tolist(), hi.tolist(), strict=True))
+            members = np.concatenate([self.members[i:j] for i, j in ranges])
+            value = np.concatenate([self.over[below][i:j] for (i, j), below in zip(ranges, (weight[m] < 0).tolist(), strict=True)])
+            value *= np.repeat(np.abs(weight[m]), hi - lo)
+            score += np.bincount(members, value, n)
+            self.looked_at += int(size.sum())
+            done = last + 1
+            if n == k:
+                break
+            bound = np.partition(score, n - k)[n - k] - remaining[last] - slack
+            left = np.flatnonzero(score >= bound)
+            if len(left) <= max(k, n // SHARE):
+                break
+        else:
+            left = np.flatnonzero(score >= np.partition(score, n - k)[n - k] - slack)
+        if n == k:
+            left = np.arange(n)
         left = left[~np.isin(left, never)]
         return left, self.x[left] @ q
 
@@ -100,13 +121,13 @@ def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[first], x[first]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors for each of queries, but for the query's own id.
 
     Both are (id long, vector array<long>), without nulls; scores must fit a long.
     """
-    n, m = vectors.count(), queries.count()
-    blocks, groups = max(1, -(-n // block)), max(1, -(-m // QUERIES))
+    size, m = vectors.agg(F.sum(F.size("vector") * 8)).first()[0] or 0, queries.count()
+    blocks, groups = max(1, -(-size // block_bytes)), max(1, -(-m // QUERIES))
     deal = lambda salt, parts: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(parts)).cast("int")
     size = F.size("vector").alias("size")
     left = vectors.select("id", "vector", size, deal("block", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("queries"))
