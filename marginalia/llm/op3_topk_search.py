@@ -28,7 +28,7 @@ K = 10
 SCALE = 1024
 #: Bytes of a block's vectors, and queries of a query block, about.
 BLOCK_BYTES, QUERIES = 8 << 20, 4_096
-STEP_BITS = 8
+STEP_BITS = 7
 #: A query stops when so small a part of a block is left for exact scoring; it looks after each of so many rounds.
 SHARE, ROUNDS = 8, 12
 

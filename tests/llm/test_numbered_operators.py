@@ -311,10 +311,10 @@ def test_op3_matches_brute_force(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(0, 0.12, (2500, 16))
     x[100:140] = x[0]
-    rows = [(i, [float(v) for v in v_]) for i, v_ in enumerate(x)] + [(5000, None), (5001, [None] * 16), (5002, [float("nan")] * 16), (5003, []), (None, [0.1] * 16), (5004, [0.5] * 3), (0, [float(v) for v in x[0]])]
+    rows = [(i, [float(v) for v in v_]) for i, v_ in enumerate(x)] + [(5000, None), (5001, [None] * 16), (5002, [float("nan")] * 16), (5003, []), (None, [0.1] * 16), (5004, [0.5] * 3), (0, [float(v) for v in x[0]]), (0, [2.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("vector", F.lit("y"))
     vectors = op3.scaled(df)
-    got = sorted(map(tuple, op3.top_k(vectors, vectors.where("id % 100 = 0"), 10, 1200).collect()))
+    got = sorted(map(tuple, op3.top_k(vectors, vectors.where("id % 100 = 0"), 10, 150_000).collect()))
     v = np.floor(1024 * x.astype(np.float32).astype(np.float64)).astype(np.int64)
     want = []
     for q in range(0, 2500, 100):
@@ -325,18 +325,25 @@ def test_op3_matches_brute_force(spark):
     assert op3.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
-def test_op3_stops_on_proof():
+@pytest.mark.parametrize("n", [1, 9, 10, 11, 200, 500, 6000])
+def test_op3_stops_on_proof(n):
     from marginalia.llm.op3_topk_search import Index
 
     rng = np.random.default_rng(2)
-    x = rng.integers(-300, 300, (6000, 8))
+    x = rng.integers(-300, 300, (n, 8))
     index = Index(x)
     for q in rng.integers(-300, 300, (20, 8)):
-        left, score = index.best(q, 10, np.array([3]))
+        left, score = index.best(q, 10, np.array([min(3, n - 1)]))
         every = x @ q
-        every[3] = np.iinfo(np.int64).min
-        assert len(left) < 6000 and 3 not in left
-        assert sorted(score)[-10:] == sorted(every)[-10:]
+        every = np.delete(every, min(3, n - 1))
+        assert min(3, n - 1) not in left and (score == x[left] @ q).all()
+        assert sorted(score)[::-1][:10] == sorted(every)[::-1][:10]
+        assert n < 200 or len(left) <= max(10, n // 16)
+    if n >= 200:  # the index is used, and not all of it is looked at
+        assert 0 < index.looked_at < 20 * n * 8
+    wide = Index(x * (1 << 40))
+    left, score = wide.best(np.full(8, 7), 10, np.zeros(0, np.int64))
+    assert sorted(score)[::-1][:10] == sorted((x * (1 << 40)).sum(1) * 7)[::-1][:10]
 
 
 def test_op5_round_trip(spark):
