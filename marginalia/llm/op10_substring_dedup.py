@@ -1,11 +1,15 @@
 """Operator 10: remove word windows that repeat in a corpus, found by fixed-block anchors.
 
 Words are runs of bytes other than white space. Every word covered by a window of ``width`` words that also starts
-earlier, in a document of a smaller id or earlier in the same one, is removed; all are judged on the input. Within the
-segments that share a content-defined key (repeats.py), the blocks of ``block`` words at multiples of block in their
-document are indexed. Every window of 2 * block words holds such a block, so each repeat is met by a rolling window of
-block words that probes the index; hits are extended to whole windows, compared as wholes, and runs of repeated
-windows are the maximal exact repeats.
+earlier, in a document of a smaller id or earlier in the same one, is removed; all are judged on the input.
+
+The blocks of ``block`` words at multiples of block in their document are the index; a window of 2 * block - 1 words or
+more holds one whole. Every rolling window of block words, of every document, probes it: both travel as hashes of six
+bytes, each once for a batch of texts, to the bucket of the index that they belong to. What comes back to a batch is
+which of its rolling windows are blocks that stand elsewhere too. These hits are extended: around them lie the windows
+of width words that may repeat, filed under the smallest hash of a hit in them, which is the same for equal windows.
+Those that share an anchor are compared word by word (repeats.py), and runs of repeated windows are the maximal exact
+repeats.
 
 Defined cases: as in operator 8, with words for bytes; a null text has no words.
 """
@@ -13,62 +17,232 @@ Defined cases: as in operator 8, with words for bytes; a null text has no words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import repeats
 from .op8_suffix_dedup import NO_ID, keyed
-from .tables import load, slices, utf8
+from .tables import load, slices, tidy, utf8, written
 
 WIDTH = 20
-GRAM = 7
-
-
-def block_repeats(table: pa.Table, width: int, block: int) -> tuple[np.ndarray, ...]:
-    """As shard_repeats of operator 8, for segments of word hashes."""
-    tokens, _, starts, n = repeats.bodies(table, width, 8)
-    sums = repeats.prefix(tokens)
-    first_word = table.column("start").to_numpy()
-    words = n + width - 1
-    rolls = words - block + 1
-    which = np.repeat(np.arange(len(n)), rolls)
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(rolls) - rolls, rolls)
-    at = starts[which] + inside
-    rolling = repeats.span(sums, at, at + block)
-    anchors = (first_word[which] + inside) % block == 0
-    index, times = np.unique(rolling[anchors], return_counts=True)
-    # hits: rolling windows that meet an indexed block other than themselves, and blocks that are met by another window
-    place = np.minimum(np.searchsorted(index, rolling), len(index) - 1)
-    known = index[place] == rolling
-    probes = np.bincount(place[known], minlength=len(index))
-    hit = np.zeros(len(tokens) + 1, np.int64)
-    hit[at[known]] = (probes[place[known]] > 1).astype(np.int64)
-    hits = np.concatenate(([0], np.cumsum(hit)))
+#: Bytes of text in a batch, and probes in a bucket of the index, about.
+BATCH, PROBES = 1 << 20, 1 << 21
+BATCHES = "batch long, bytes long, docs array<long>, rows array<long>, texts array<string>"
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The part of a hash that travels, but for its two lowest bits: in their place stands whether the batch has the window twice, and whether it has it as a block.
+CARRIED = np.uint64((1 << 48) - 4)
+TWICE, AS_BLOCK = np.uint64(1), np.uint64(2)
+
+
+def in_batches(rows: DataFrame, size: int = BATCH) -> DataFrame:
+    """BATCHES rows, written: (doc, row, text) rows that travel together, size bytes of text or a single one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for part in slices(batches, "text", size):
+            _, off = utf8(part.column("text"))
+            whole = [0, part.num_rows]
+            lists = [pa.ListArray.from_arrays(pa.array(whole, pa.int32()), part.column(c)) for c in ("doc", "row", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(off[-1] - off[0])]), *lists], names=["batch", "bytes", "docs", "rows", "texts"])
+            number += 1
+
+    return written(rows.mapInArrow(tidy(run), BATCHES), "batches")
+
+
+class Words:
+    """The words of a batch of texts, laid end to end, and the hashes of its rolling windows of block words."""
+
+    def __init__(self, batch: pa.RecordBatch, block: int) -> None:
+        raw, off = utf8(batch.column("texts").flatten())
+        raw = np.insert(raw[off[0] : off[-1]], off[1:-1] - off[0], 32)  # no word goes from one text into the next
+        self.raw = raw
+        self.starts, self.ends = repeats.word_bounds(raw)
+        self.tokens = repeats.word_tokens(raw)
+        self.sums = repeats.prefix(self.tokens)
+        #: The first word of each text, and the end of the last.
+        self.first = np.searchsorted(self.starts, off - off[0] + np.arange(len(off)))
+        self.first[-1] = len(self.starts)
+        size = np.diff(self.first)
+        #: Of each word its text and its place there.
+        self.text = np.repeat(np.arange(len(size)), size)
+        self.place = np.arange(len(self.starts)) - self.first[self.text]
+        self.left = self.first[self.text + 1] - np.arange(len(self.starts))
+        at = np.flatnonzero(self.left >= block)
+        self.rolling = np.full(len(self.starts), NONE)
+        self.rolling[at] = repeats.mix(repeats.span(self.sums, at, at + block), 5) & ~np.uint64(1)  # never NONE
+
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, where each word starts): the words with one space behind each."""
+        size = self.ends - self.starts + 1
+        begin = np.concatenate(([0], np.cumsum(size)))
+        at = np.repeat(self.starts - begin[:-1], size) + np.arange(begin[-1])
+        out = np.append(self.raw, np.uint8(32))[at]
+        out[begin[1:] - 1] = 32
+        return out, begin
+
+
+def six_bytes(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+
+
+def from_six_bytes(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values of six bytes for each number, cut at ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends * 6)).astype(np.int32)), pa.py_buffer(six_bytes(values))])
+
+
+def probes(batches: DataFrame, block: int, buckets: int) -> DataFrame:
+    """(bucket, batch, probes): each rolling window of a batch once, blocks of the index among them."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in found:
+            for k in range(part.num_rows):
+                one = part.slice(k, 1)
+                w = Words(one, block)
+                at = np.flatnonzero(w.rolling != NONE)
+                if not len(at):
+                    continue
+                at = at[np.argsort(w.rolling[at], kind="stable")]
+                h = w.rolling[at]
+                lead = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                as_block = np.logical_or.reduceat(w.place[at] % block == 0, lead)
+                twice = np.diff(lead, append=len(h)) > 1
+                h = h[lead]
+                bucket = (h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+                value = h & CARRIED | np.where(twice, TWICE, np.uint64(0)) | np.where(as_block, AS_BLOCK, np.uint64(0))
+                last = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]), len(h) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[last].astype(np.int32)), pa.array(np.full(len(last), one.column("batch")[0].as_py())), blobs(value, last + 1)], names=["bucket", "batch", "probes"])
+
+    return batches.select("batch", "texts").mapInArrow(tidy(run), "bucket int, batch long, probes binary")
+
+
+def hits(found: DataFrame) -> DataFrame:
+    """(batch, hits): of each batch the rolling windows that are a block somewhere and stand in two places at least."""
+
+    def of_bucket(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        value = from_six_bytes(np.frombuffer(b"".join(b for _, b in held), np.uint8))
+        own = np.repeat(np.arange(len(held)), [len(b) // 6 for _, b in held])
+        key = value & CARRIED
+        order = np.argsort(key, kind="stable")
+        lead = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        size = np.diff(lead, append=len(order))
+        flags = np.bitwise_or.reduceat(value[order], lead)
+        hit = (flags & AS_BLOCK > 0) & ((size > 1) | (flags & TWICE > 0))
+        at = np.sort(order[np.repeat(hit, size)])
+        last = np.append(np.flatnonzero(own[at][1:] != own[at][:-1]), len(at) - 1) if len(at) else at
+        ids = np.array([b for b, _ in held], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[own[at[last]]]), blobs(key[at], last + 1)], names=["batch", "hits"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        open_ = None
+        for part in rows:
+            for bucket, batch, blob in zip(*(part.column(c).to_pylist() for c in ("bucket", "batch", "probes")), strict=True):
+                if bucket != open_ and held:
+                    yield of_bucket(held)
+                    held = []
+                open_ = bucket
+                held.append((batch, blob))
+        if held:
+            yield of_bucket(held)
+
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "batch long, hits binary")
+
+
+def extended(batches: DataFrame, found: DataFrame, width: int, block: int) -> DataFrame:
+    """PARTS rows and whether they are settled, written: the stretches of windows around hits, by their anchor."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows:
+            for k in range(part.num_rows):
+                one = part.slice(k, 1)
+                w = Words(one, block)
+                known = np.unique(from_six_bytes(np.frombuffer(b"".join(one.column("hits")[0].as_py()), np.uint8)))
+                place = np.minimum(np.searchsorted(known, w.rolling & CARRIED), len(known) - 1)
+                anchors = np.where((known[place] == w.rolling & CARRIED) & (w.rolling != NONE), w.rolling, NONE)
+                if len(anchors) < width:
+                    continue
+                least = repeats.sliding_min(anchors, width - block + 1)[: len(anchors) - width + 1]
+                least[w.left[: len(least)] < width] = NONE
+                new = np.append(True, least[1:] != least[:-1])
+                new[1:] |= w.text[1 : len(least)] != w.text[: len(least) - 1]
+                start = np.flatnonzero(new)
+                n = np.diff(start, append=len(least))
+                some = least[start] != NONE
+                start, n = start[some], n[some]
+                if not len(start):
+                    continue
+                key = least[start]
+                content = repeats.mix(repeats.span(w.sums, start, start + n + width - 1) + n.astype(np.uint64), 3)
+                docs, ids = (one.column(c).flatten().to_numpy()[w.text[start]] for c in ("docs", "rows"))
+                raw, begin = w.spaced()
+                a, b = begin[start], begin[start + n + width - 1]
+                order, copy = repeats.settled(key, content, docs, ids, w.place[start], lambda i: raw[a[i] : b[i]].tobytes())
+                key, content, docs, ids, n, at, a, b = (x[order] for x in (key, content, docs, ids, n, w.place[start], a, b))
+                b = np.where(copy, a, b)  # settled: their text need not travel
+                for lo in range(0, len(order), 20_000):
+                    s = slice(lo, lo + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[s].view(np.int64)), pa.array(content[s].view(np.int64)), pa.array(docs[s]), pa.array(ids[s]), pa.array(at[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), repeats.binary(raw, a[s], b[s]), pa.array(copy[s])],
+                        names=["key", "content", "doc", "row", "start", "windows", "body", "settled"],
+                    )
+
+    gathered = found.groupBy("batch").agg(F.collect_list("hits").alias("hits"))  # no more than the batch's own probes
+    return written(batches.drop("bytes").join(gathered, "batch").mapInArrow(tidy(run), repeats.PARTS + ", settled boolean"), "anchored")
+
+
+def tokenized(part: pa.RecordBatch | pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """(tokens, where each body starts in them, a function that cuts bodies by token)."""
+    raw, off = utf8(part.column("body"))
+    raw = raw[off[0] : off[-1]]
+    words = part.column("windows").to_numpy().astype(np.int64) + width - 1
+    begin, end = repeats.word_bounds(raw)
+    return repeats.word_tokens(raw), np.cumsum(words) - words, lambda a, b: repeats.binary(raw, begin[a], end[b - 1] + 1)
+
+
+def window_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
+    """As shard_repeats of operator 8, for stretches of words that share an anchor: windows are compared word by word."""
+    tokens, starts, _ = tokenized(table, width)
+    raw, off = utf8(table.column("body"))
+    data = raw[off[0] : off[-1]].tobytes()
+    begin, end = repeats.word_bounds(np.frombuffer(data, np.uint8))
+    n = table.column("windows").to_numpy().astype(np.int64)
     which = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = starts[which] + inside
-    near = hits[at + width - block + 1] > hits[at]
-    which, inside, at = which[near], inside[near], at[near]
-    window = repeats.span(sums, at, at + width)
-    doc, row, pos = table.column("doc").to_numpy()[which], table.column("row").to_numpy()[which], first_word[which] + inside
+    window = repeats.span(repeats.prefix(tokens), at, at + width)
+    doc, row = table.column("doc").to_numpy()[which], table.column("row").to_numpy()[which]
+    pos = table.column("start").to_numpy()[which] + inside
     order = np.lexsort((pos, row, doc, window))
+    lead = np.append(True, window[order][1:] != window[order][:-1])
+    first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+    other = np.flatnonzero((doc[order] != doc[first]) | (row[order] != row[first]) | (pos[order] != pos[first]))
     again = np.zeros(len(order), bool)
-    lead = np.append(True, window[order][1:] != window[order][:-1]) if len(order) else np.zeros(0, bool)
-    first = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
-    same = (tokens[at[order][:, None] + np.arange(width)] == tokens[at[first][:, None] + np.arange(width)]).all(1) if len(order) else lead
-    again[order] = same & ((doc[order] != doc[first]) | (row[order] != row[first]) | (pos[order] != pos[first]))
+    a, b = begin[at], end[at + width - 1]
+    x, y = order[other], first[other]
+    again[x] = [data[i:j] == data[k:m] for i, j, k, m in zip(a[x].tolist(), b[x].tolist(), a[y].tolist(), b[y].tolist(), strict=True)]
     return doc, row, pos, again
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc, row, spans): the word ranges [start, end) of each row that are to go, sorted; null ids as NO_ID."""
-    rows = keyed(docs, id_col, text_col)
-    found = repeats.candidates(rows, repeats.word_tokens, width, min(GRAM, width))
-    parts = repeats.fetched(found, rows, repeats.word_tokens, width)
-    later = repeats.compared(parts, lambda t: block_repeats(t, width, width // 2), width, 8)
+    block = (width + 1) // 2
+    batches = in_batches(keyed(docs, id_col, text_col))
+    size = batches.agg(F.sum("bytes")).first()[0] or 0
+    buckets = min(1 << 24, max(1, -(-size // (6 * PROBES))))
+    found = extended(batches, hits(probes(batches, block, buckets)), width, block)
+    parts = found.where("not settled").drop("settled")
+    later = repeats.compared(parts, parts.select("key", "content"), lambda t: window_repeats(t, width), lambda p: tokenized(p, width), width, ((3 * width + 3) // 4, width))
     return repeats.repeated_spans(found, later, width)
 
 
@@ -99,4 +273,4 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     rows = keyed(docs, "doc_id", "text").join(repeated_words(docs), ["doc", "row"], "left").select("doc", "text", "spans")
-    return rows.mapInArrow(digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(tidy(digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -1,10 +1,11 @@
 """Operator 8: remove byte strings that repeat in a corpus, found in suffix arrays of shards.
 
 Texts are UTF-8 bytes. Every byte covered by a string of ``width`` bytes that also starts earlier, in a document of a
-smaller id or earlier in the same one, is removed; all are judged on the input. Shards hold the segments of the corpus
-that share a content-defined key (repeats.py), so equal strings always meet in one shard. A shard's suffix array is
-built by induced sorting and cut into groups at permuted common prefixes under width; within a group all but the first
-position repeat.
+smaller id or earlier in the same one, is removed; all are judged on the input. Shards hold the stretches of the corpus
+that share a content-defined key (repeats.py), so equal strings always meet in one shard; stretches that agree in all
+their bytes with another are aggregated beforehand. A shard's suffix array is built by induced sorting: suffixes are
+classified, the leftmost-smaller substrings sorted by recursion on their names, all others induced in linear time. It is
+cut into groups where permuted common prefixes are under width; within a group all but the first position repeat.
 
 Defined cases: a null text is empty; a null id comes before all others and is given back as null; rows of
 one id and one text are one document given several times (each row is returned, a repeat found in one is removed from
@@ -15,7 +16,7 @@ shorter than width lose nothing; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from .suffix_array import common_prefixes, suffix_array
 from .tables import load, release, slices, tidy, utf8
 
 WIDTH = 100
-GRAM = 24
+#: Lengths of the strings whose hash is a stretch's key: the first as a rule, the others for crowded keys.
+GRAMS = (24, 60)
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 
@@ -40,8 +42,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     """For each window of a shard's segments: its document and row, its start there, and whether an equal one is earlier."""
-    _, raw, starts, n = repeats.bodies(table, width, 1)
-    letters = np.zeros(256, np.uint8)
+    raw, off = utf8(table.column("body"))
+    raw, starts = raw[off[0] : off[-1]], off[:-1] - off[0]
+    n = table.column("windows").to_numpy()
     used = np.flatnonzero(np.bincount(raw, minlength=256))
     kind = np.uint8 if len(used) < 256 else np.uint16
     letters = np.zeros(256, kind)
@@ -67,12 +70,20 @@ def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc, row, spans): the byte ranges [start, end) of each row that are to go, sorted; null ids as NO_ID."""
     rows = keyed(docs, id_col, text_col)
-    found = repeats.candidates(rows, repeats.byte_tokens, width, min(GRAM, width))
-    parts = repeats.fetched(found, rows, lambda raw: raw, width)
-    later = repeats.compared(parts, lambda t: shard_repeats(t, width), width, 1)
+    first, *longer = (min(g, width) for g in GRAMS)
+    found = repeats.candidates(rows, width, first)
+    open_ = found.where("not settled")
+    parts = repeats.fetched(open_, rows, width)
+    later = repeats.compared(parts, open_.select("key", "content"), lambda t: shard_repeats(t, width), tokenized, width, (*longer, width))
     return repeats.repeated_spans(found, later, width)
 
 
+def tokenized(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Callable]:
+    raw, off = utf8(part.column("body"))
+    raw = raw[off[0] : off[-1]]
+    return repeats.byte_tokens(raw), off[:-1] - off[0], lambda a, b: repeats.binary(raw, a, b)
+
+
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """raw without the spans."""
     out, at = [], 0

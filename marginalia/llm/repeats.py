@@ -1,11 +1,12 @@
-"""Find token windows that occur more than once in a corpus: what op8 (bytes) and op10 (words) share.
+"""Deal out stretches of texts that may repeat, and compare them: what op8 (bytes) and op10 (words) share.
 
-A document is a sequence of 64-bit tokens. Every window of ``width`` tokens is filed under the smallest hash of the
-``gram``-token strings in it, so equal windows have equal keys wherever they stand. Consecutive windows with one key
-form a segment, about 2 / (width - gram + 2) segments for each token. One shuffle by key tells the segments that
-cannot repeat (a key seen once) from those that can; only the latter are looked at again, and only their text is
-moved. Segments of equal content are resolved by their first position alone, so a passage copied ten thousand times
-costs one representative; map tasks settle their own copies before the shuffle.
+A document is a sequence of tokens. Each operator cuts it into segments, runs of consecutive windows of ``width`` tokens
+that have one key, such that equal windows have equal keys wherever they stand (op8: the smallest hash of the strings in
+a window; op10: the smallest hash of the indexed blocks in it). Segments of one key are compared in one shard. Equal
+segments are aggregated first: in each map task within its batch, then in the sorted rows of a key, where each copy is
+compared item by item with the first and settled by it. So a passage that is copied ten thousand times costs a shard
+one representative, and nothing rests on a hash alone. A key with many different segments is dealt again by the
+smallest hash of longer strings, at last of whole windows, of which all equal ones are copies.
 
 A row is known by its document's id and a hash of its text (``row``): rows of one id and other texts are texts of their
 own, in the order of their hashes; rows alike in both are one document.
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from .tables import slices, tidy, utf8, written
 
 #: A document's texts are hashed in pieces of at most so many tokens, so that memory does not follow its length.
-PIECE = 1 << 20
-#: Segments of one key with different contents beyond which a key is dealt out again by whole windows.
-HOT_SEGMENTS = 20_000
+PIECE = 1 << 18
+#: Different segments of one key beyond which they are dealt out again, by longer strings.
+CROWDED = 20_000
+PARTS = "key long, content long, doc long, row long, start int, windows int, body binary"
+SPANS = "doc long, row long, start int, windows int"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -161,151 +164,212 @@ def periodic(grams: np.ndarray, least: np.ndarray, start: np.ndarray, n: np.ndar
     return out
 
 
-def segment_rows(tokenize: Callable[[np.ndarray], np.ndarray], width: int, gram: int) -> Callable:
-    """For mapInArrow: a row (key, content, doc, row, start, windows, settled, inner) for each segment of (doc, row, text) rows.
+def settled(key: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, body: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, settled): segments of a batch in order of their content, without further mentions of one place, and which
+    of them are copies of an earlier one: their bodies agree."""
+    order = np.lexsort((start, row, doc, content, key))
+    key, content, doc, row, start = (x[order] for x in (key, content, doc, row, start))
+    lead = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+    place = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1]))
+    first = np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))
+    copy = np.zeros(len(order), bool)
+    at, known = -1, b""
+    for k in np.flatnonzero(place & ~lead).tolist():
+        if first[k] != at:
+            at, known = int(first[k]), body(int(order[first[k]]))
+        copy[k] = body(int(order[k])) == known
+    stay = lead | place
+    return order[stay], copy[stay]
 
-    Of segments of a task's batch with equal content all but the first are settled here: an earlier occurrence is
-    known. They get a key of their own, so that they do not meet in one task.
-    """
+
+def own_keys(doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Keys by which settled segments do not meet in one task."""
+    return mix(doc.view(np.uint64) ^ mix(row.view(np.uint64) ^ mix(start.astype(np.uint64), 11), 13))
+
+
+def rows_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return part.column("doc").to_numpy(zero_copy_only=False), part.column("row").to_numpy(zero_copy_only=False)
+
+
+def segment_rows(width: int, gram: int) -> Callable:
+    """For mapInArrow: a row (key, content, doc, row, start, windows, settled, inner) for each segment of the bytes of
+    (doc, row, text) rows. Settled ones, copies within a batch, have keys of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            raw, off = utf8(batch.column("text"))
+            docs, rows = rows_of(batch)
             found: list[tuple[np.ndarray, ...]] = []
-            for part in slices([batch], "text"):
-                raw, off = utf8(part.column("text"))
-                docs = part.column("doc").to_numpy(zero_copy_only=False)
-                rows = part.column("row").to_numpy(zero_copy_only=False)
-                texts = [tokenize(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
-                for group in pieces(np.array([len(t) for t in texts]), width):
-                    tokens = np.concatenate([texts[d][a:b] for d, a, b in group])
-                    size = np.array([b - a for _, a, b in group])
-                    bounds = np.cumsum(size)
-                    key, content, start, n, inner = segments(tokens, bounds, width, gram)
-                    which = np.searchsorted(bounds, start, "right")
-                    first = np.array([a for _, a, _ in group]) - (bounds - size)
-                    own = np.array([d for d, _, _ in group])[which]
-                    found.append((key, content, docs[own], rows[own], start + first[which], n, inner))
+            for group in pieces(np.diff(off), width):
+                tokens = np.concatenate([byte_tokens(raw[off[d] + a : off[d] + b]) for d, a, b in group])
+                size = np.array([b - a for _, a, b in group])
+                bounds = np.cumsum(size)
+                key, content, start, n, inner = segments(tokens, bounds, width, gram)
+                which = np.searchsorted(bounds, start, "right")
+                first = np.array([a for _, a, _ in group]) - (bounds - size)
+                own = np.array([d for d, _, _ in group])[which]
+                found.append((key, content, own, start + first[which], n, inner))
             if not found:
                 continue
-            key, content, doc, row, start, n, inner = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((start, row, doc, content, key))
-            key, content, doc, row, start, n, inner = (x[order] for x in (key, content, doc, row, start, n, inner))
-            lead = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
-            first = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-            again = (doc != doc[first]) | (row != row[first]) | (start != start[first])
-            key[again] = mix(doc[again].view(np.uint64) ^ mix(row[again].view(np.uint64) ^ mix(start[again].view(np.uint64), 11), 13))
-            stay = lead | again  # not the same place of a repeated row
-            key, content, doc, row, start, n, inner, again = (x[stay] for x in (key, content, doc, row, start, n, inner, again))
+            key, content, own, start, n, inner = (np.concatenate(x) for x in zip(*found, strict=True))
+            begin, end = off[own] + start, off[own] + start + n + width - 1
+            order, copy = settled(key, content, docs[own], rows[own], start, lambda k: raw[begin[k] : end[k]].tobytes())
+            key, content, own, start, n, inner = (x[order] for x in (key, content, own, start, n, inner))
+            key[copy] = own_keys(docs[own][copy], rows[own][copy], start[copy])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again), pa.array(inner)],
+                [pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(docs[own]), pa.array(rows[own]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(copy), pa.array(inner)],
                 names=["key", "content", "doc", "row", "start", "windows", "settled", "inner"],
             )
 
     return run
 
 
-def candidates(docs: DataFrame, tokenize: Callable, width: int, gram: int) -> DataFrame:
-    """The segments that may repeat, of docs (doc, row, text): (key, doc, row, start, windows, repeats), as a written table.
+def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """The segments that may repeat, of docs (doc, row, text): (key, content, doc, row, start, windows, settled), written.
 
-    repeats: an equal segment stands earlier, so each of its windows repeats; otherwise the segment is the first of
-    its content and shares its key with another content, or may repeat within itself, and is to be compared.
-    """
-    rows = docs.mapInArrow(tidy(segment_rows(tokenize, width, gram)), "key long, content long, doc long, row long, start int, windows int, settled boolean, inner boolean")
-    key = Window.partitionBy("key")
-    same = Window.partitionBy("key", "content").orderBy("doc", "row", "start")
-    rows = (
-        rows.withColumn("first", F.struct(F.first("doc").over(same).alias("doc"), F.first("row").over(same).alias("row"), F.first("start").over(same).alias("start")))
-        .withColumn("other", F.col("inner") | (F.min("content").over(key) != F.max("content").over(key)))
-        .withColumn("repeats", F.col("settled") | (F.struct("doc", "row", "start") != F.col("first")))
-        .where("repeats or other")
-        .select("key", "doc", "row", "start", "windows", "repeats")
-    )
-    return written(rows, "segments")
-
-
-def fetched(found: DataFrame, docs: DataFrame, cut: Callable[[np.ndarray], tuple[np.ndarray, int]], width: int) -> DataFrame:
-    """(key, doc, row, start, windows, body): the text of the segments that are to be compared.
-
-    cut: of a document's bytes, an array to cut segments out of by token, whose items go into body.
+    Others have a key that stands nowhere else, nor within themselves.
     """
-    wanted = found.where("not repeats").groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "windows", "key"))).alias("parts"))
+    rows = docs.mapInArrow(tidy(segment_rows(width, gram)), "key long, content long, doc long, row long, start int, windows int, settled boolean, inner boolean")
+    met = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    return written(rows.withColumn("met", met).where("settled or inner or met > 1").drop("met", "inner"), "segments")
+
+
+def fetched(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """PARTS rows: found segments with their bytes."""
+    wanted = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "key", "content"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices([batch], "text"):
+            for part in slices([batch], "text", 1 << 20):
                 raw, off = utf8(part.column("text"))
-                out: list[tuple] = []
-                for i, (doc, row, parts) in enumerate(zip(part.column("doc").to_pylist(), part.column("row").to_pylist(), part.column("parts").to_pylist(), strict=True)):
-                    items = cut(raw[off[i] : off[i + 1]])
-                    out += [(p["key"], doc, row, p["start"], p["windows"], items[p["start"] : p["start"] + p["windows"] + width - 1].tobytes()) for p in parts]
-                for lo in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 20_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "row", "start", "windows", "body"])
-
-    return docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "parts").mapInArrow(tidy(run), "key long, doc long, row long, start int, windows int, body binary")
-
-
-def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
-    """Tables of whole keys out of rows sorted by key, of about limit bytes of body each."""
+                docs, rows = rows_of(part)
+                lists = part.column("parts")
+                n = np.diff(lists.offsets.to_numpy())
+                own = np.repeat(np.arange(len(n)), n)
+                flat = lists.flatten()
+                start, windows = (flat.field(c).to_numpy() for c in ("start", "windows"))
+                begin = off[own] + start
+                end = begin + windows + width - 1
+                for lo in range(0, len(own), 20_000):
+                    at = slice(lo, lo + 20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [flat.field("key").slice(lo, 20_000), flat.field("content").slice(lo, 20_000), pa.array(docs[own[at]]), pa.array(rows[own[at]]), pa.array(start[at]), pa.array(windows[at]), binary(raw, begin[at], end[at])],
+                        names=["key", "content", "doc", "row", "start", "windows", "body"],
+                    )
+
+    # repeated rows are one document
+    texts = docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "parts")
+    return texts.mapInArrow(tidy(run), PARTS)
+
+
+def binary(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """An Arrow array of raw[begin:end]."""
+    size = end - begin
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    at = np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[at]))])
+
+
+def representatives(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch | None, pa.Table | None]]:
+    """Of PARTS rows sorted by key, content and place: (copies, None) for rows that agree with the first of their content,
+    and (None, shard) for tables of the other rows, of whole keys and some limit bytes."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, last, first, first_place = 0, None, b"", None
     for batch in batches:
-        keys = batch.column("key").to_numpy()
-        off = utf8(batch.column("body"))[1]
+        key, content = batch.column("key").to_numpy(), batch.column("content").to_numpy()
+        raw, off = utf8(batch.column("body"))
+        data = raw.tobytes()
+        place = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "start")), strict=True))
+        lead = np.append(last is None or (key[0], content[0]) != last, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+        kind = np.zeros(len(key), np.int8)  # 0 for a representative, 1 for a copy, 2 for another mention of the first place
+        for k, is_lead in enumerate(lead.tolist()):
+            body = data[off[k] : off[k + 1]]
+            if is_lead:
+                first, first_place = body, place[k]
+            elif body == first:
+                kind[k] = 2 if place[k] == first_place else 1
+        last = (key[-1], content[-1])
+        copies = pa.array(kind == 1)
+        if (kind == 1).any():
+            yield batch.filter(copies), None
+        own = np.flatnonzero(kind == 0)
         lo = 0
-        while lo < len(keys):
-            hi = min(len(keys), max(lo + 1, int(np.searchsorted(off, off[lo] + max(1, limit - size), "left"))))
-            if hi < len(keys):  # to the end of its key
-                hi = hi + int(np.argmax(np.append(keys[hi:] != keys[hi - 1], True)))
-            held.append(batch.slice(lo, hi - lo))
-            size += int(off[hi] - off[lo])
-            if size >= limit and hi < len(keys):
-                yield pa.Table.from_batches(held)
+        while lo < len(own):
+            grown = size + np.cumsum((off[own + 1] - off[own])[lo:])
+            hi = min(len(own), lo + 1 + int(np.searchsorted(grown, limit)))
+            if hi < len(own):  # to the end of its key
+                hi += int(np.argmax(np.append(key[own[hi:]] != key[own[hi - 1]], True)))
+            if size >= limit and held and held[-1].column("key")[-1].as_py() != key[own[lo]]:
+                yield None, pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            held.append(batch.take(pa.array(own[lo:hi])))
+            size = int(grown[hi - lo - 1])
+            if size >= limit and hi < len(own):
+                yield None, pa.Table.from_batches(held)
                 held, size = [], 0
             lo = hi
     if held:
-        yield pa.Table.from_batches(held)
+        yield None, pa.Table.from_batches(held)
 
 
-def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], width: int, item: int, limit: int = 1 << 20) -> DataFrame:
-    """Runs of repeated windows (doc, row, start, windows) among the segments of each key.
+def compared(parts: DataFrame, keys: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], tokenize: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, Callable]], width: int, grams: tuple[int, ...], limit: int = 1 << 20) -> DataFrame:
+    """SPANS of repeated windows among PARTS rows; keys: their columns key and content, out of a written table.
 
-    within: of a table of whole keys, for each window its document, row, position and whether an equal one stands earlier.
-    A key with more than HOT_SEGMENTS different contents is compared window by window in a grouped aggregate instead,
-    which Spark deals out over all tasks.
+    within: of a shard, for each window its document, row, position and whether an equal one stands earlier. tokenize: of
+    a batch (tokens, where each body starts in them, a function that cuts bodies by token). grams: of crowded keys, the
+    lengths of strings to deal by, one after another; the last is width.
     """
-    parts = written(parts, "parts")
-    hot = parts.groupBy("key").count().where(F.col("count") > HOT_SEGMENTS).select("key", F.lit(True).alias("hot"))
-    parts = parts.join(hot, "key", "left")
+    out: list[DataFrame] = []
+    for gram in (*grams, None):
+        crowd = None
+        if gram is not None:
+            crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("content").alias("kinds")).where((F.col("n") > CROWDED) & (F.col("kinds") > CROWDED)).select("key")
+            crowd = written(crowd, "crowded")
+            if crowd.isEmpty():
+                crowd = None
+        calm = parts if crowd is None else parts.join(crowd, "key", "left_anti")
+        out.append(_in_shards(calm, within, limit))
+        if crowd is None:
+            break
+        parts = written(parts.join(crowd, "key", "left_semi").mapInArrow(tidy(rekeyed(tokenize, width, gram)), PARTS), "parts")
+        keys = parts.select("key", "content")
+    spans = out[0]
+    for more in out[1:]:
+        spans = spans.unionByName(more)
+    return spans
+
+
+def _in_shards(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], limit: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for copies, table in representatives(batches, limit):
+            if table is None:
+                yield copies.select(["doc", "row", "start", "windows"])
+            else:
+                doc, row, at, again = within(table)
+                yield runs(doc[again], row[again], at[again])
 
-    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in shards(batches, limit):
-            doc, row, at, again = within(table)
-            yield runs(doc[again], row[again], at[again])
+    return parts.repartition("key").sortWithinPartitions("key", "content", "doc", "row", "start").mapInArrow(tidy(run), SPANS)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch], "body", 1 << 18):
-                tokens, _, starts, n = bodies(part, width, item)
-                sums = prefix(tokens)
-                at = np.concatenate([np.arange(s, s + k) for s, k in zip(starts, n, strict=True)])
-                which = np.repeat(np.arange(len(n)), n)
-                h = span(sums, at, at + width)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(h, 1).view(np.int64)), pa.array(part.column("doc").to_numpy()[which]), pa.array(part.column("row").to_numpy()[which]), pa.array((part.column("start").to_numpy()[which] + at - starts[which]).astype(np.int32))], names=["window", "doc", "row", "at"])
 
-    dealt = parts.where("hot is null").drop("hot").repartition("key").sortWithinPartitions("key", "doc", "row", "start")
-    out = dealt.mapInArrow(tidy(cold), "doc long, row long, start int, windows int")
-    each = parts.where("hot").drop("hot").mapInArrow(tidy(windows), "window long, doc long, row long, at int")
-    first = each.groupBy("window").agg(F.min(F.struct("doc", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = each.join(first, "window").where("struct(doc, row, at) > first").select("doc", "row", F.col("at").alias("start"), F.lit(1).alias("windows"))
-    return out.unionByName(later)
+def rekeyed(tokenize: Callable, width: int, gram: int) -> Callable:
+    """For mapInArrow: PARTS rows cut into segments by the smallest hash of gram tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch], "body", 1 << 18):
+                tokens, starts, cut = tokenize(part)
+                docs, rows = rows_of(part)
+                key, content, start, n, _ = segments(tokens, np.append(starts[1:], len(tokens)), width, gram)
+                own = np.searchsorted(starts, start, "right") - 1
+                old = part.column("key").to_numpy().view(np.uint64)[own]
+                at = part.column("start").to_numpy()[own] + start - starts[own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((old ^ mix(key, gram)).view(np.int64)), pa.array(content.view(np.int64)), pa.array(docs[own]), pa.array(rows[own]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), cut(start, start + n + width - 1)],
+                    names=["key", "content", "doc", "row", "start", "windows", "body"],
+                )
 
-def bodies(part: pa.RecordBatch | pa.Table, width: int, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, raw bytes, where each body starts in tokens, windows of each)."""
-    raw, off = utf8(part.column("body"))
-    raw = raw[off[0] : off[-1]]
-    tokens = byte_tokens(raw) if item == 1 else np.frombuffer(raw.tobytes(), np.uint64)
-    return tokens, raw, (off[:-1] - off[0]) // item, part.column("windows").to_numpy()
+    return run
 
 
 def runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -315,13 +379,13 @@ def runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 1)
     start = np.flatnonzero(new)
-    last = np.append(start[1:], len(doc)) - 1
+    last = np.append(start[1:], len(doc))[: len(start)] - 1
     return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(row[start]), pa.array(at[start].astype(np.int32)), pa.array((at[last] - at[start] + 1).astype(np.int32))], names=["doc", "row", "start", "windows"])
 
 
-def repeated_spans(found: DataFrame, later: DataFrame, width: int) -> DataFrame:
+def repeated_spans(found: DataFrame | None, later: DataFrame, width: int) -> DataFrame:
     """(doc, row, spans): for each row the token ranges [start, end) that repeated windows cover, sorted, not merged."""
-    spans = found.where("repeats").select("doc", "row", "start", "windows").unionByName(later)
+    spans = later if found is None else found.where("settled").select("doc", "row", "start", "windows").unionByName(later)
     return spans.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end")))).alias("spans"))
 
 

@@ -1,16 +1,17 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, with whole-array numpy steps.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as larger (L) or smaller (S) than their right neighbour. The leftmost S suffixes of each run
-are sorted, by recursion on the names of their substrings, and all others are induced from them in two passes. A pass
-visits the buckets of first letters in turn and moves each bucket's predecessors in one stable counting sort, so that
-its work is linear while Python sees only one step for each bucket and each repeat of a letter.
+are sorted, by recursion on the names of their substrings, and all others are induced from them in two passes. Over few
+letters a pass visits the buckets of first letters in turn and moves each bucket's predecessors in one stable counting
+sort, so that Python sees only one step for each bucket and each repeat of a letter. Over the many names of a
+recursion, whose buckets are small, it visits the suffixes one by one. Both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Buckets up to which a pass takes them one by one; names of more kinds are sorted by doubling.
+#: Letters up to which a pass moves whole buckets.
 LETTERS = 512
 
 
@@ -29,6 +30,8 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int)
     counts = np.bincount(text, minlength=sigma)
     ends = np.cumsum(counts)
     begins = ends - counts
+    if sigma > LETTERS:
+        return _induce_each(text, smaller, seeds, begins, ends)
     larger = np.bincount(text[~smaller], minlength=sigma)
     sa = np.full(n, -1, np.int64)
     letters = text[seeds]
@@ -75,14 +78,41 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int)
     return sa
 
 
+def _induce_each(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """induce() suffix by suffix."""
+    letter, is_smaller, tail = text.tolist(), smaller.tolist(), ends.tolist()
+    sa = [0] * len(letter)  # nothing is induced from suffix 0, so that 0 stands for an empty place too
+    for i in seeds[::-1].tolist():
+        c = letter[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    head = begins.tolist()
+    for i in sa:  # sees what the loop itself places further on
+        if i and not is_smaller[i - 1]:
+            c = letter[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(len(sa) - 1, -1, -1):
+        i = sa[at]
+        if i and is_smaller[i - 1]:
+            c = letter[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    return np.array(sa, np.int64)
+
+
 def same_substrings(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the substrings of the given lengths at a and at b agree."""
     out = np.ones(len(a), bool)
-    open_, k = np.flatnonzero(length > 0), 0
-    while len(open_):
+    open_ = np.flatnonzero(length > 0)
+    for k in range(64):
         out[open_] = text[a[open_] + k] == text[b[open_] + k]
-        k += 1
-        open_ = open_[out[open_] & (length[open_] > k)]
+        open_ = open_[out[open_] & (length[open_] > k + 1)]
+        if not len(open_):
+            return out
+    for p in open_.tolist():  # long ones, pair by pair
+        out[p] = np.array_equal(text[a[p] : a[p] + length[p]], text[b[p] : b[p] + length[p]])
     return out
 
 
@@ -91,8 +121,6 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int64)
-    if sigma > LETTERS:
-        return _by_doubling(text)
     smaller = types(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     sa = induce(text, smaller, lms, sigma)
@@ -115,32 +143,6 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     return induce(text, smaller, in_order, sigma)
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """The same for names of a large alphabet, whose buckets are too small for array steps: rank pairs of names,
-    then pairs of pairs, and so on, only among suffixes that are not yet told apart."""
-    n, h = len(names), 1
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    sa = np.argsort(rank, kind="stable")
-    ordered = rank[sa]
-    start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    group = np.repeat(start, np.diff(np.append(start, n)))
-    rank[sa] = group
-    while True:
-        size = np.bincount(rank, minlength=n)
-        open_ = np.flatnonzero(size[rank[sa]] > 1)  # places in sa whose suffixes share a rank with others
-        if not len(open_):
-            return sa
-        at = sa[open_]
-        nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, rank[at]))
-        at, nxt = at[order], nxt[order]
-        sa[open_] = at
-        old = rank[at]
-        new = np.append(True, (old[1:] != old[:-1]) | (nxt[1:] != nxt[:-1]))
-        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
-        h *= 2
-
-
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """PLCP: for each position the common prefix with the suffix before it in the suffix array.
 
