@@ -17,10 +17,11 @@ Defined cases: as in operator 8, with words for bytes; a null text has no words.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ WIDTH = 20
 BATCH, PROBES = 1 << 20, 1 << 21
 BATCHES = "batch long, bytes long, docs array<long>, rows array<long>, texts array<string>"
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: The part of a hash that travels, but for its two lowest bits: in their place stands whether the batch has the window twice, and whether it has it as a block.
+#: The part of a hash that travels, but for its two lowest bits. On the way there they tell whether the batch has the
+#: window twice, and whether it has it as a block; on the way back the level of crowded hits (repeats.CROWDED).
 CARRIED = np.uint64((1 << 48) - 4)
 TWICE, AS_BLOCK = np.uint64(1), np.uint64(2)
 
@@ -129,6 +131,8 @@ def probes(batches: DataFrame, block: int, buckets: int) -> DataFrame:
 def hits(found: DataFrame) -> DataFrame:
     """(batch, hits): of each batch the rolling windows that are a block somewhere and stand in two places at least."""
 
+    crowded = repeats.CROWDED, repeats.VERY * repeats.CROWDED
+
     def of_bucket(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
         value = from_six_bytes(np.frombuffer(b"".join(b for _, b in held), np.uint8))
         own = np.repeat(np.arange(len(held)), [len(b) // 6 for _, b in held])
@@ -138,10 +142,13 @@ def hits(found: DataFrame) -> DataFrame:
         size = np.diff(lead, append=len(order))
         flags = np.bitwise_or.reduceat(value[order], lead)
         hit = (flags & AS_BLOCK > 0) & ((size > 1) | (flags & TWICE > 0))
+        level = (size > crowded[0]).astype(np.uint64) + (size > crowded[1])
+        back = np.empty_like(key)
+        back[order] = key[order] | np.repeat(level, size)
         at = np.sort(order[np.repeat(hit, size)])
         last = np.append(np.flatnonzero(own[at][1:] != own[at][:-1]), len(at) - 1) if len(at) else at
         ids = np.array([b for b, _ in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[own[at[last]]]), blobs(key[at], last + 1)], names=["batch", "hits"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[own[at[last]]]), blobs(back[at], last + 1)], names=["batch", "hits"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -160,16 +167,17 @@ def hits(found: DataFrame) -> DataFrame:
 
 
 def extended(batches: DataFrame, found: DataFrame, width: int, block: int) -> DataFrame:
-    """PARTS rows and whether they are settled, written: the stretches of windows around hits, by their anchor."""
+    """PARTS rows: the stretches of windows around hits, by their anchor; those that are settled have no body."""
+    grams = (3 * width + 3) // 4, width
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows:
             for k in range(part.num_rows):
                 one = part.slice(k, 1)
                 w = Words(one, block)
-                known = np.unique(from_six_bytes(np.frombuffer(b"".join(one.column("hits")[0].as_py()), np.uint8)))
-                place = np.minimum(np.searchsorted(known, w.rolling & CARRIED), len(known) - 1)
-                anchors = np.where((known[place] == w.rolling & CARRIED) & (w.rolling != NONE), w.rolling, NONE)
+                known = np.sort(from_six_bytes(np.frombuffer(b"".join(one.column("hits")[0].as_py()), np.uint8)))
+                place = np.minimum(np.searchsorted(known & CARRIED, w.rolling & CARRIED), len(known) - 1)
+                anchors = np.where((known[place] & CARRIED == w.rolling & CARRIED) & (w.rolling != NONE), w.rolling, NONE)
                 if len(anchors) < width:
                     continue
                 least = repeats.sliding_min(anchors, width - block + 1)[: len(anchors) - width + 1]
@@ -184,39 +192,40 @@ def extended(batches: DataFrame, found: DataFrame, width: int, block: int) -> Da
                     continue
                 key = least[start]
                 content = repeats.mix(repeats.span(w.sums, start, start + n + width - 1) + n.astype(np.uint64), 3)
+                level = known[np.searchsorted(known & CARRIED, key & CARRIED)] & ~CARRIED
+                cuts = [(key[level == 0], content[level == 0], start[level == 0], n[level == 0])]
+                for lv, gram in enumerate(grams, 1):
+                    at = np.flatnonzero(level == lv)
+                    for lo in range(0, len(at), 10_000):
+                        a = at[lo : lo + 10_000]
+                        tokens = np.concatenate([w.tokens[i:j] for i, j in zip(start[a], (start + n)[a] + width - 1, strict=True)])
+                        which, k2, c2, inside, n2 = repeats.cut_again(tokens, n[a] + width - 1, key[a], width, gram)
+                        cuts.append((k2, c2, start[a][which] + inside, n2))
+                key, content, start, n = (np.concatenate(x) for x in zip(*cuts, strict=True))
                 docs, ids = (one.column(c).flatten().to_numpy()[w.text[start]] for c in ("docs", "rows"))
                 raw, begin = w.spaced()
                 a, b = begin[start], begin[start + n + width - 1]
-                order, copy = repeats.settled(key, content, docs, ids, w.place[start], lambda i: raw[a[i] : b[i]].tobytes())
+                order, copy = repeats.settled(key, content, docs, ids, w.place[start], lambda i: raw[a[i] : b[i]].tobytes())  # noqa: B023
                 key, content, docs, ids, n, at, a, b = (x[order] for x in (key, content, docs, ids, n, w.place[start], a, b))
-                b = np.where(copy, a, b)  # settled: their text need not travel
+                key[copy] = repeats.own_keys(docs[copy], ids[copy], at[copy])
+                bodies = repeats.binary(raw, a, np.where(copy, a, b))
+                bodies = pc.if_else(pa.array(copy), pa.scalar(None, pa.binary()), bodies)
                 for lo in range(0, len(order), 20_000):
-                    s = slice(lo, lo + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[s].view(np.int64)), pa.array(content[s].view(np.int64)), pa.array(docs[s]), pa.array(ids[s]), pa.array(at[s].astype(np.int32)), pa.array(n[s].astype(np.int32)), repeats.binary(raw, a[s], b[s]), pa.array(copy[s])],
-                        names=["key", "content", "doc", "row", "start", "windows", "body", "settled"],
-                    )
+                    yield repeats.parts_of(key.view(np.int64), content.view(np.int64), docs, ids, at, n, bodies).slice(lo, 20_000)
 
     gathered = found.groupBy("batch").agg(F.collect_list("hits").alias("hits"))  # no more than the batch's own probes
-    return written(batches.drop("bytes").join(gathered, "batch").mapInArrow(tidy(run), repeats.PARTS + ", settled boolean"), "anchored")
-
-
-def tokenized(part: pa.RecordBatch | pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, Callable]:
-    """(tokens, where each body starts in them, a function that cuts bodies by token)."""
-    raw, off = utf8(part.column("body"))
-    raw = raw[off[0] : off[-1]]
-    words = part.column("windows").to_numpy().astype(np.int64) + width - 1
-    begin, end = repeats.word_bounds(raw)
-    return repeats.word_tokens(raw), np.cumsum(words) - words, lambda a, b: repeats.binary(raw, begin[a], end[b - 1] + 1)
+    return batches.drop("bytes").join(gathered, "batch").mapInArrow(tidy(run), repeats.PARTS)
 
 
 def window_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
     """As shard_repeats of operator 8, for stretches of words that share an anchor: windows are compared word by word."""
-    tokens, starts, _ = tokenized(table, width)
     raw, off = utf8(table.column("body"))
-    data = raw[off[0] : off[-1]].tobytes()
-    begin, end = repeats.word_bounds(np.frombuffer(data, np.uint8))
+    raw = raw[off[0] : off[-1]]
+    data = raw.tobytes()
+    tokens = repeats.word_tokens(raw)
+    begin, end = repeats.word_bounds(raw)
     n = table.column("windows").to_numpy().astype(np.int64)
+    starts = np.cumsum(n + width - 1) - (n + width - 1)
     which = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = starts[which] + inside
@@ -240,10 +249,9 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     batches = in_batches(keyed(docs, id_col, text_col))
     size = batches.agg(F.sum("bytes")).first()[0] or 0
     buckets = min(1 << 24, max(1, -(-size // (6 * PROBES))))
-    found = extended(batches, hits(probes(batches, block, buckets)), width, block)
-    parts = found.where("not settled").drop("settled")
-    later = repeats.compared(parts, parts.select("key", "content"), lambda t: window_repeats(t, width), lambda p: tokenized(p, width), width, ((3 * width + 3) // 4, width))
-    return repeats.repeated_spans(found, later, width)
+    found = written(hits(probes(batches, block, buckets)), "hits")
+    later = repeats.compared(extended(batches, found, width, block), lambda t: window_repeats(t, width))
+    return repeats.repeated_spans(later, width)
 
 
 def kept_words(raw: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:

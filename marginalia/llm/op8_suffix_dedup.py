@@ -16,7 +16,7 @@ shorter than width lose nothing; an empty table gives an empty result; other col
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,18 +70,12 @@ def shard_repeats(table: pa.Table, width: int) -> tuple[np.ndarray, ...]:
 def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc, row, spans): the byte ranges [start, end) of each row that are to go, sorted; null ids as NO_ID."""
     rows = keyed(docs, id_col, text_col)
-    first, *longer = (min(g, width) for g in GRAMS)
+    first, longer = (min(g, width) for g in GRAMS)
     found = repeats.candidates(rows, width, first)
-    open_ = found.where("not settled")
-    parts = repeats.fetched(open_, rows, width)
-    later = repeats.compared(parts, open_.select("key", "content"), lambda t: shard_repeats(t, width), tokenized, width, (*longer, width))
-    return repeats.repeated_spans(found, later, width)
-
-
-def tokenized(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Callable]:
-    raw, off = utf8(part.column("body"))
-    raw = raw[off[0] : off[-1]]
-    return repeats.byte_tokens(raw), off[:-1] - off[0], lambda a, b: repeats.binary(raw, a, b)
+    parts = repeats.fetched(repeats.with_levels(found.where("not settled")), rows, width, (longer, width))
+    later = repeats.compared(parts, lambda t: shard_repeats(t, width))
+    settled = found.where("settled").select("doc", "row", "start", "windows")
+    return repeats.repeated_spans(settled.unionByName(later), width)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -5,8 +5,8 @@ that have one key, such that equal windows have equal keys wherever they stand (
 a window; op10: the smallest hash of the indexed blocks in it). Segments of one key are compared in one shard. Equal
 segments are aggregated first: in each map task within its batch, then in the sorted rows of a key, where each copy is
 compared item by item with the first and settled by it. So a passage that is copied ten thousand times costs a shard
-one representative, and nothing rests on a hash alone. A key with many different segments is dealt again by the
-smallest hash of longer strings, at last of whole windows, of which all equal ones are copies.
+one representative, and nothing rests on a hash alone. The segments of a crowded key, one with many different segments,
+are cut and dealt by the smallest hash of longer strings, or of whole windows, of which all equal ones are copies.
 
 A row is known by its document's id and a hash of its text (``row``): rows of one id and other texts are texts of their
 own, in the order of their hashes; rows alike in both are one document.
@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from .tables import slices, tidy, utf8, written
 
 #: A document's texts are hashed in pieces of at most so many tokens, so that memory does not follow its length.
 PIECE = 1 << 18
-#: Different segments of one key beyond which they are dealt out again, by longer strings.
-CROWDED = 20_000
+#: Different segments of one key beyond which it is crowded, and so many times as many for whole windows to be dealt.
+CROWDED, VERY = 10_000, 5
 PARTS = "key long, content long, doc long, row long, start int, windows int, body binary"
 SPANS = "doc long, row long, start int, windows int"
 
@@ -225,18 +226,26 @@ def segment_rows(width: int, gram: int) -> Callable:
 
 
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """The segments that may repeat, of docs (doc, row, text): (key, content, doc, row, start, windows, settled), written.
+    """The segments that may repeat, of docs (doc, row, text): (key, content, doc, row, start, windows, settled, met), written.
 
-    Others have a key that stands nowhere else, nor within themselves.
+    Others have a key that stands nowhere else, nor within themselves. met: how many segments share the key.
     """
     rows = docs.mapInArrow(tidy(segment_rows(width, gram)), "key long, content long, doc long, row long, start int, windows int, settled boolean, inner boolean")
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return written(rows.withColumn("met", met).where("settled or inner or met > 1").drop("met", "inner"), "segments")
+    return written(rows.withColumn("met", met).where("settled or inner or met > 1").drop("inner"), "segments")
 
 
-def fetched(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """PARTS rows: found segments with their bytes."""
-    wanted = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "key", "content"))).alias("parts"))
+def with_levels(found: DataFrame) -> DataFrame:
+    """found candidates and their level: 0, or for crowded keys 1 or 2."""
+    kinds = found.where((F.col("met") > CROWDED) & ~F.col("settled")).groupBy("key").agg(F.approx_count_distinct("content").alias("kinds"))
+    crowded = written(kinds.where(F.col("kinds") > CROWDED).select("key", F.when(F.col("kinds") > VERY * CROWDED, 2).otherwise(1).alias("level")), "crowded")
+    return found.join(crowded, "key", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+
+
+def fetched(found: DataFrame, docs: DataFrame, width: int, grams: tuple[int, int]) -> DataFrame:
+    """PARTS rows: found segments (key, content, doc, row, start, windows, level) with their bytes, those of crowded keys
+    cut again by strings of grams[level - 1] bytes."""
+    wanted = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "key", "content", "level"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,21 +256,41 @@ def fetched(found: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 n = np.diff(lists.offsets.to_numpy())
                 own = np.repeat(np.arange(len(n)), n)
                 flat = lists.flatten()
-                start, windows = (flat.field(c).to_numpy() for c in ("start", "windows"))
+                start, windows, key, content, level = (flat.field(c).to_numpy() for c in ("start", "windows", "key", "content", "level"))
                 begin = off[own] + start
                 end = begin + windows + width - 1
-                for lo in range(0, len(own), 20_000):
-                    at = slice(lo, lo + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [flat.field("key").slice(lo, 20_000), flat.field("content").slice(lo, 20_000), pa.array(docs[own[at]]), pa.array(rows[own[at]]), pa.array(start[at]), pa.array(windows[at]), binary(raw, begin[at], end[at])],
-                        names=["key", "content", "doc", "row", "start", "windows", "body"],
-                    )
-
-    # repeated rows are one document
+                plain = np.flatnonzero(level == 0)
+                for lo in range(0, len(plain), 20_000):
+                    at = plain[lo : lo + 20_000]
+                    yield parts_of(key[at], content[at], docs[own[at]], rows[own[at]], start[at], windows[at], binary(raw, begin[at], end[at]))
+                for lv, gram in enumerate(grams, 1):
+                    some = np.flatnonzero(level == lv)
+                    for lo in range(0, len(some), 1_000):
+                        at = some[lo : lo + 1_000]
+                        tokens = byte_tokens(np.concatenate([raw[a:b] for a, b in zip(begin[at], end[at], strict=True)]))
+                        which, k, c, inside, w = cut_again(tokens, end[at] - begin[at], key[at].view(np.uint64), width, gram)
+                        o = at[which]
+                        yield parts_of(k.view(np.int64), c.view(np.int64), docs[own[o]], rows[own[o]], start[o] + inside, w, binary(raw, begin[o] + inside, begin[o] + inside + w + width - 1))
+
     texts = docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "parts")
     return texts.mapInArrow(tidy(run), PARTS)
 
 
+def cut_again(tokens: np.ndarray, size: np.ndarray, key: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments laid end to end, cut by the smallest hash of gram tokens: (segment, key, content, start in it, windows)."""
+    bounds = np.cumsum(size)
+    least, content, start, n, _ = segments(tokens, bounds, width, gram)
+    which = np.searchsorted(bounds, start, "right")
+    return which, key[which] ^ mix(least, gram), content, start - (bounds - size)[which], n
+
+
+def parts_of(key: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, body: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(content), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), body],
+        names=["key", "content", "doc", "row", "start", "windows", "body"],
+    )
+
+
 def binary(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     """An Arrow array of raw[begin:end]."""
     size = end - begin
@@ -272,10 +301,16 @@ def binary(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
 
 def representatives(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch | None, pa.Table | None]]:
     """Of PARTS rows sorted by key, content and place: (copies, None) for rows that agree with the first of their content,
-    and (None, shard) for tables of the other rows, of whole keys and some limit bytes."""
+    or were settled before and so have no body, and (None, shard) for tables of the other rows, of whole keys and some limit bytes."""
     held: list[pa.RecordBatch] = []
     size, last, first, first_place = 0, None, b"", None
     for batch in batches:
+        known = batch.column("body").is_null()
+        if known.true_count:
+            yield batch.filter(known), None
+            batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
         key, content = batch.column("key").to_numpy(), batch.column("content").to_numpy()
         raw, off = utf8(batch.column("body"))
         data = raw.tobytes()
@@ -313,34 +348,12 @@ def representatives(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[t
         yield None, pa.Table.from_batches(held)
 
 
-def compared(parts: DataFrame, keys: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], tokenize: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, Callable]], width: int, grams: tuple[int, ...], limit: int = 1 << 20) -> DataFrame:
-    """SPANS of repeated windows among PARTS rows; keys: their columns key and content, out of a written table.
+def compared(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], limit: int = 1 << 20) -> DataFrame:
+    """SPANS of repeated windows among PARTS rows.
 
-    within: of a shard, for each window its document, row, position and whether an equal one stands earlier. tokenize: of
-    a batch (tokens, where each body starts in them, a function that cuts bodies by token). grams: of crowded keys, the
-    lengths of strings to deal by, one after another; the last is width.
+    within: of a shard, for each window its document, row, position and whether an equal one stands earlier.
     """
-    out: list[DataFrame] = []
-    for gram in (*grams, None):
-        crowd = None
-        if gram is not None:
-            crowd = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("content").alias("kinds")).where((F.col("n") > CROWDED) & (F.col("kinds") > CROWDED)).select("key")
-            crowd = written(crowd, "crowded")
-            if crowd.isEmpty():
-                crowd = None
-        calm = parts if crowd is None else parts.join(crowd, "key", "left_anti")
-        out.append(_in_shards(calm, within, limit))
-        if crowd is None:
-            break
-        parts = written(parts.join(crowd, "key", "left_semi").mapInArrow(tidy(rekeyed(tokenize, width, gram)), PARTS), "parts")
-        keys = parts.select("key", "content")
-    spans = out[0]
-    for more in out[1:]:
-        spans = spans.unionByName(more)
-    return spans
-
-
-def _in_shards(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray, ...]], limit: int) -> DataFrame:
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for copies, table in representatives(batches, limit):
             if table is None:
@@ -352,26 +365,6 @@ def _in_shards(parts: DataFrame, within: Callable[[pa.Table], tuple[np.ndarray,
     return parts.repartition("key").sortWithinPartitions("key", "content", "doc", "row", "start").mapInArrow(tidy(run), SPANS)
 
 
-def rekeyed(tokenize: Callable, width: int, gram: int) -> Callable:
-    """For mapInArrow: PARTS rows cut into segments by the smallest hash of gram tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices([batch], "body", 1 << 18):
-                tokens, starts, cut = tokenize(part)
-                docs, rows = rows_of(part)
-                key, content, start, n, _ = segments(tokens, np.append(starts[1:], len(tokens)), width, gram)
-                own = np.searchsorted(starts, start, "right") - 1
-                old = part.column("key").to_numpy().view(np.uint64)[own]
-                at = part.column("start").to_numpy()[own] + start - starts[own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((old ^ mix(key, gram)).view(np.int64)), pa.array(content.view(np.int64)), pa.array(docs[own]), pa.array(rows[own]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), cut(start, start + n + width - 1)],
-                    names=["key", "content", "doc", "row", "start", "windows", "body"],
-                )
-
-    return run
-
-
 def runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Positions to runs of consecutive ones; a position may be given more than once."""
     order = np.lexsort((at, row, doc))
@@ -383,10 +376,10 @@ def runs(doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[start]), pa.array(row[start]), pa.array(at[start].astype(np.int32)), pa.array((at[last] - at[start] + 1).astype(np.int32))], names=["doc", "row", "start", "windows"])
 
 
-def repeated_spans(found: DataFrame | None, later: DataFrame, width: int) -> DataFrame:
-    """(doc, row, spans): for each row the token ranges [start, end) that repeated windows cover, sorted, not merged."""
-    spans = later if found is None else found.where("settled").select("doc", "row", "start", "windows").unionByName(later)
-    return spans.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end")))).alias("spans"))
+def repeated_spans(found: DataFrame, width: int) -> DataFrame:
+    """(doc, row, spans), written: for each row the token ranges [start, end) that SPANS cover, sorted, not merged."""
+    span_ = F.struct("start", (F.col("start") + F.col("windows") + F.lit(width - 1)).alias("end"))
+    return written(found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(span_)).alias("spans")), "spans")
 
 
 def merged(spans: Iterable[dict] | None) -> list[tuple[int, int]]:

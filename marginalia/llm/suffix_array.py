@@ -3,16 +3,19 @@
 Suffixes are classified as larger (L) or smaller (S) than their right neighbour. The leftmost S suffixes of each run
 are sorted, by recursion on the names of their substrings, and all others are induced from them in two passes. Over few
 letters a pass visits the buckets of first letters in turn and moves each bucket's predecessors in one stable counting
-sort, so that Python sees only one step for each bucket and each repeat of a letter. Over the many names of a
-recursion, whose buckets are small, it visits the suffixes one by one. Both are linear.
+sort, so that Python sees only one step for each bucket and each repeat of a letter. In a short text, or over many
+letters, whose buckets are small, it visits the suffixes one by one. Both are linear.
+
+The names of a recursion are many. They are spelled as two digits each where the string of digits is still shorter than
+the one that the names stand for by a tenth: suffixes that begin at a name keep their order, and digits are few letters.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Letters up to which a pass moves whole buckets.
-LETTERS = 512
+#: Letters up to which a pass moves whole buckets, and the length of text, in letters of the alphabet, from which it does.
+LETTERS, LONG = 512, 100
 
 
 def types(text: np.ndarray) -> np.ndarray:
@@ -30,7 +33,7 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, sigma: int)
     counts = np.bincount(text, minlength=sigma)
     ends = np.cumsum(counts)
     begins = ends - counts
-    if sigma > LETTERS:
+    if sigma > LETTERS or n < LONG * sigma:
         return _induce_each(text, smaller, seeds, begins, ends)
     larger = np.bincount(text[~smaller], minlength=sigma)
     sa = np.full(n, -1, np.int64)
@@ -138,11 +141,21 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     reduced = names[lms]
     top = int(names[in_order[-1]]) + 1
     if top < len(lms):
-        reduced_sa = suffix_array(reduced.astype(np.uint16 if top <= LETTERS else np.int64), top)
-        in_order = lms[reduced_sa]
+        in_order = lms[_order_of_names(reduced, top, n)]
     return induce(text, smaller, in_order, sigma)
 
 
+def _order_of_names(names: np.ndarray, top: int, n: int) -> np.ndarray:
+    """The suffix array of names, under top, which stand for a text of n letters."""
+    base = int(np.ceil(np.sqrt(top)))
+    if top <= LETTERS or base >= LETTERS or 2 * len(names) > 0.9 * n or 2 * len(names) < 10 * LONG * base:
+        return suffix_array(names.astype(np.uint16 if top <= LETTERS else np.int64), top)
+    digits = np.zeros(2 * len(names) + 1, np.uint16)
+    digits[:-1:2], digits[1::2] = names // base + 1, names % base + 1
+    sa = suffix_array(digits, base + 1)
+    return sa[(sa % 2 == 0) & (sa < 2 * len(names))] // 2
+
+
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """PLCP: for each position the common prefix with the suffix before it in the suffix array.
 

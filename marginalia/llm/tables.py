@@ -37,10 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again, which cuts the lineage."""
+    """Write df as a Parquet table in the shared folder and read it again, which cuts the lineage.
+
+    The driver then collects its garbage: Spark's cleaner removes the shuffle files of plans that nothing refers to.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
