@@ -17,25 +17,40 @@ LEAST_SCORE = 0.5
 
 
 def _unused(name: str, docs: DataFrame) -> str:
-    while name in docs.columns:
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the classifier is sure of; those without letters or of no language go."""
+    """Documents in a language that the classifier is sure of.
+
+    Null, empty and letterless texts are of no language and go; without any labelled row all go. Each row is judged by
+    its text alone, so that repeated rows, ties and null or shared ids change nothing; very long texts are scored whole.
+    An empty table stays empty; columns of any name and number are kept.
+    """
     name = _unused("language", docs)
     found = with_language(docs, trained(docs), out=name)
     return found.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id."""
+    """One document of each group of near-duplicates: that with the smallest id, a null id being the largest.
+
+    Of rows that share that id one stays; groups are never told apart by ids, so that no group is lost where rows share
+    one or have none. Null and wordless texts are one group; very long texts are fingerprinted whole; repeated rows are
+    copies. An empty table stays empty; columns of any name and number are kept.
+    """
     return first_of_groups(docs)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that stand earlier in the corpus; those of which nothing is left go."""
+    """Documents without the strings that stand earlier in the corpus; those of which nothing is left go.
+
+    Null texts stay null, empty ones go as nothing is left of them. Null ids come first; rows of one id and other texts
+    are judged each by itself, repeated rows as one. n_chars, where there is one, follows the text. Very long texts are
+    read whole. An empty table stays empty; columns of any name and number are kept.
+    """
     kept = dedup_texts(docs)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
@@ -43,13 +58,24 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    found = contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaks"]), "left_anti")
+    """Documents that hold no item of the benchmark.
+
+    A row goes for what its own text holds: rows are known by id and a hash of the text, so that others of the same id,
+    or without one, stay. Null and empty texts stay; very long ones are searched whole; repeated rows go or stay
+    together. With an empty benchmark all stay. Columns of any name and number are kept.
+    """
+    doc, row = _unused("_leak_doc", docs), _unused("_leak_row", docs)
+    found = contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
+    leaks = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text")) == F.col(row))
+    return docs.join(found, leaks, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    Null and empty texts are their end token alone; null, shared and repeated ids are passed on, a document for each row;
+    very long texts are cut. An empty table gives no pieces; other columns are not read.
+    """
     # workers still hold what the stages before needed
     return packed(docs, word_bpe, keep=100_000, lasting=False)
 
