@@ -298,7 +298,7 @@ def test_op6_draws_rows_of_one_id_or_none_each_by_itself(spark):
 
 
 def test_op7_finds_items_and_paraphrases(spark, tiny):
-    from marginalia.llm.op7_decontamination import contaminated, plain_words
+    from marginalia.llm.op7_decontamination import contaminated, plain
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
@@ -309,7 +309,7 @@ def test_op7_finds_items_and_paraphrases(spark, tiny):
     odd = spark.createDataFrame([(d, t, None, None, None) for d, t in extra], DOCS)
     got = {(r.doc_id, r.item_id) for r in contaminated(docs.unionByName(odd), bench.unionByName(spark.createDataFrame([(None, None), (9999, "")], "item_id long, text string"))).collect()}
     assert {(-1, 0), (-2, 0), (None, 1)} <= got and not {d for d, _ in got} & {-3, -4, -5}
-    spaced = lambda t: b" " + b" ".join(plain_words(t)) + b" "
+    spaced = lambda t: b" " + b" ".join(plain(t).split()) + b" "
     exact = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if spaced(t) in spaced(r.text)}
     assert exact and exact <= got
     unrelated = {p for p in got - exact if p[0] is not None and p[0] >= 0}
@@ -558,9 +558,94 @@ def test_rows_of_one_id_and_other_texts_keep_their_own_spans(spark, tmp_path, na
 
 
 def test_op7_looks_up_nothing_where_no_rare_word_is():
-    from marginalia.llm.op7_decontamination import Placed, items_of, rare_words
+    from marginalia.llm.op7_decontamination import FEATURES, Placed, block_of, coded, rare_words
+
+    rare = rare_words(block_of([(1, "a b c d e f g")]), np.zeros(FEATURES, np.int64), 0.6)
+    some = coded(["x y z"])[0]
+    for code in (some[:0], some):
+        at = np.arange(len(code))
+        assert [len(x) for x in rare.places(Placed([1], [0], np.array([0]), np.array([5]), at, code))] == [0, 0]
+
+
+def test_op7_latent_space_alone_finds_what_brute_force_does(spark, tiny):
+    """Recall of the cosine search, without the look-up by rare words, against the subsequences of all pairs; another
+    space gives another result."""
+    from marginalia.llm import op7_decontamination as op7
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(4)
+    pool = " ".join(t for _, t in items).split()
+    items += [(9000 + n, " ".join(rng.choice(pool, n))) for n in (400, 800, 5000)]
+    hosts = [r.text.split() for r in docs.where("length(text) > 400").limit(40).collect()]
+    words = [w for h in hosts for w in h]
+    rows = []
+    for k, (i, t) in enumerate(items):
+        own, host = t.split(), hosts[k % len(hosts)]
+        other = [w if j % 5 or j > 0.7 * len(own) else str(rng.choice(words)) for j, w in enumerate(own)]
+        for n, body in enumerate((own, other)):
+            at = int(rng.integers(0, len(host)))
+            rows.append((-1 - i - 100_000 * n, " ".join([*host[:at], *body, *host[at:]])))
+    every = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    block = op7.block_of(items)
+    want = set()
+    for r in every.collect():
+        code = op7.coded([r.text])[0]
+        for i, item in zip(block.ids, block.words, strict=True):
+            if np.isin(item, code).sum() >= 0.8 * len(item) and op7.common_subsequence(item, code) >= 0.8 * len(item):
+                want.add((r.doc_id, i))
+    found = lambda **k: {(r.doc_id, r.item_id) for r in op7.contaminated(every, bench, **k).collect()}
+    alone, whole = found(lookup=False), found()
+    assert {(d, i) for d, i in want if d < 0} >= {(-1 - i, i) for i, _ in items}
+    planted = {(d, i) for d, i in want if d in (-1 - i, -100_001 - i)}  # in other pairs the words are scattered over a long text
+    assert len(want & alone) >= 0.9 * len(want) and planted <= whole and alone <= whole
+    identity = np.eye(op7.FEATURES, 16, dtype=np.float32)
+    assert len(found(lookup=False, space=identity) & want) < 0.5 * len(want)
+
+
+def test_pipeline_decontamination_and_near_duplicates_keep_clean_rows_of_shared_ids(spark, tiny):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{tiny}/benchmark.parquet").first().text
+    clean = [" ".join(f"{c}{k}" for k in range(60)) for c in "pqr"]
+    rows = [(None, item), (None, clean[0]), (3, item + " more"), (3, clean[1]), (4, clean[2]), (5, None), (6, "")]
+    df = documents(spark, rows).withColumns({c: F.lit(1) for c in ("row", "_leak_doc", "doc_id_")})
+    out = corpus_pipeline.decontamination(spark, df, tiny)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(None, clean[0]), (3, clean[1]), (4, clean[2]), (5, None), (6, "")], key=repr)
+    near = corpus_pipeline.near_duplicates(spark, df, tiny)
+    assert sorted((r.text or "" for r in near.collect())) == sorted([item, *clean, ""]) or item + " more" in {r.text for r in near.collect()}
+
 
-    rare = rare_words(items_of([(1, "a b c d e f g")]), np.arange(7), 0.6)
-    none = np.zeros(0, np.int64)
-    for p in (Placed([1], np.array([0]), np.array([5]), none, none.astype(np.int32)), Placed([1], np.array([0]), np.array([5]), np.array([2]), np.array([6], np.int32))):
-        assert [len(x) for x in rare.places(p)] == [0, 0]
+def test_pipeline_is_its_stages_one_after_another(spark, tmp_path, tiny):
+    """A small corpus whose result is known for every stage, by hand."""
+    import shutil
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    item = spark.read.parquet(f"{tiny}/benchmark.parquet").first().text
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect()]
+    long_text = next(t for _, t, *_ in base if t and 3000 < len(t) < 9000)
+    copy = (900_001, long_text, "en", "x", len(long_text))
+    leak = (900_002, long_text[::-1] + " " + item + " " + long_text[:40], "en", "x", 1)
+    none = (900_003, "123 ... 456", None, "x", 11)
+    spark.createDataFrame([*base, copy, leak, none], docs.schema).write.parquet(f"file://{tmp_path}/documents.parquet")
+    shutil.copy(f"{tiny}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    path = f"file://{tmp_path}"
+    at = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in at.select("doc_id").collect()}
+        at = corpus_pipeline.written(stage(spark, at, path), name)
+        left = {r.doc_id for r in at.select("doc_id").collect()}
+        assert left <= before
+        if name == "language_id":
+            assert 900_003 not in left and 900_001 in left
+        if name == "near_duplicates":
+            assert 900_001 not in left
+        if name == "decontamination":
+            assert 900_002 not in left
+    pieces = corpus_pipeline.run(spark, path).collect()
+    assert {r.doc_id for r in pieces} == left
+    assert {r.doc_id: r.doc_tokens for r in pieces} == {r.doc_id: r.doc_tokens for r in corpus_pipeline.packing(spark, at, path).collect()}
