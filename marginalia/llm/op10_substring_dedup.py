@@ -199,7 +199,7 @@ def extended(batches: DataFrame, found: DataFrame, width: int, block: int) -> Da
                     for lo in range(0, len(at), 10_000):
                         a = at[lo : lo + 10_000]
                         tokens = np.concatenate([w.tokens[i:j] for i, j in zip(start[a], (start + n)[a] + width - 1, strict=True)])
-                        which, k2, c2, inside, n2 = repeats.cut_again(tokens, n[a] + width - 1, key[a], width, gram)
+                        which, k2, c2, inside, n2, _ = repeats.cut_again(tokens, n[a] + width - 1, key[a], width, gram)
                         cuts.append((k2, c2, start[a][which] + inside, n2))
                 key, content, start, n = (np.concatenate(x) for x in zip(*cuts, strict=True))
                 docs, ids = (one.column(c).flatten().to_numpy()[w.text[start]] for c in ("docs", "rows"))
@@ -211,7 +211,7 @@ def extended(batches: DataFrame, found: DataFrame, width: int, block: int) -> Da
                 bodies = repeats.binary(raw, a, np.where(copy, a, b))
                 bodies = pc.if_else(pa.array(copy), pa.scalar(None, pa.binary()), bodies)
                 for lo in range(0, len(order), 20_000):
-                    yield repeats.parts_of(key.view(np.int64), content.view(np.int64), docs, ids, at, n, bodies).slice(lo, 20_000)
+                    yield repeats.parts_of(key.view(np.int64), content.view(np.int64), docs, ids, at, n, np.ones(len(n), bool), bodies).slice(lo, 20_000)
 
     gathered = found.groupBy("batch").agg(F.collect_list("hits").alias("hits"))  # no more than the batch's own probes
     return batches.drop("bytes").join(gathered, "batch").mapInArrow(tidy(run), repeats.PARTS)

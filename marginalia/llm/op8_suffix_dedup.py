@@ -30,7 +30,7 @@ from .tables import load, release, slices, tidy, utf8
 
 WIDTH = 100
 #: Lengths of the strings whose hash is a stretch's key: the first as a rule, the others for crowded keys.
-GRAMS = (24, 60)
+GRAMS = (32, 60)
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 

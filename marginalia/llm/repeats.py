@@ -28,7 +28,7 @@ from .tables import slices, tidy, utf8, written
 PIECE = 1 << 18
 #: Different segments of one key beyond which it is crowded, and so many times as many for whole windows to be dealt.
 CROWDED, VERY = 10_000, 5
-PARTS = "key long, content long, doc long, row long, start int, windows int, body binary"
+PARTS = "key long, content long, doc long, row long, start int, windows int, inner boolean, body binary"
 SPANS = "doc long, row long, start int, windows int"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -226,13 +226,14 @@ def segment_rows(width: int, gram: int) -> Callable:
 
 
 def candidates(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """The segments that may repeat, of docs (doc, row, text): (key, content, doc, row, start, windows, settled, met), written.
+    """The segments that may repeat, of docs (doc, row, text): (key, content, doc, row, start, windows, settled, inner, met), written.
 
-    Others have a key that stands nowhere else, nor within themselves. met: how many segments share the key.
+    Others have a key that stands nowhere else, and do not repeat within themselves. inner: whether a segment may do so;
+    met: how many segments share the key.
     """
     rows = docs.mapInArrow(tidy(segment_rows(width, gram)), "key long, content long, doc long, row long, start int, windows int, settled boolean, inner boolean")
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return written(rows.withColumn("met", met).where("settled or inner or met > 1").drop("inner"), "segments")
+    return written(rows.withColumn("met", met).where("settled or inner or met > 1"), "segments")
 
 
 def with_levels(found: DataFrame) -> DataFrame:
@@ -245,7 +246,7 @@ def with_levels(found: DataFrame) -> DataFrame:
 def fetched(found: DataFrame, docs: DataFrame, width: int, grams: tuple[int, int]) -> DataFrame:
     """PARTS rows: found segments (key, content, doc, row, start, windows, level) with their bytes, those of crowded keys
     cut again by strings of grams[level - 1] bytes."""
-    wanted = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "key", "content", "level"))).alias("parts"))
+    wanted = found.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "windows", "key", "content", "inner", "level"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,38 +257,39 @@ def fetched(found: DataFrame, docs: DataFrame, width: int, grams: tuple[int, int
                 n = np.diff(lists.offsets.to_numpy())
                 own = np.repeat(np.arange(len(n)), n)
                 flat = lists.flatten()
-                start, windows, key, content, level = (flat.field(c).to_numpy() for c in ("start", "windows", "key", "content", "level"))
+                start, windows, key, content, inner, level = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "windows", "key", "content", "inner", "level"))
                 begin = off[own] + start
                 end = begin + windows + width - 1
                 plain = np.flatnonzero(level == 0)
                 for lo in range(0, len(plain), 20_000):
                     at = plain[lo : lo + 20_000]
-                    yield parts_of(key[at], content[at], docs[own[at]], rows[own[at]], start[at], windows[at], binary(raw, begin[at], end[at]))
+                    yield parts_of(key[at], content[at], docs[own[at]], rows[own[at]], start[at], windows[at], inner[at], binary(raw, begin[at], end[at]))
                 for lv, gram in enumerate(grams, 1):
                     some = np.flatnonzero(level == lv)
                     for lo in range(0, len(some), 1_000):
                         at = some[lo : lo + 1_000]
                         tokens = byte_tokens(np.concatenate([raw[a:b] for a, b in zip(begin[at], end[at], strict=True)]))
-                        which, k, c, inside, w = cut_again(tokens, end[at] - begin[at], key[at].view(np.uint64), width, gram)
+                        which, k, c, inside, w, again = cut_again(tokens, end[at] - begin[at], key[at].view(np.uint64), width, gram)
                         o = at[which]
-                        yield parts_of(k.view(np.int64), c.view(np.int64), docs[own[o]], rows[own[o]], start[o] + inside, w, binary(raw, begin[o] + inside, begin[o] + inside + w + width - 1))
+                        yield parts_of(k.view(np.int64), c.view(np.int64), docs[own[o]], rows[own[o]], start[o] + inside, w, again, binary(raw, begin[o] + inside, begin[o] + inside + w + width - 1))
 
     texts = docs.join(wanted, ["doc", "row"]).select("doc", "row", "text", "parts")
     return texts.mapInArrow(tidy(run), PARTS)
 
 
 def cut_again(tokens: np.ndarray, size: np.ndarray, key: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments laid end to end, cut by the smallest hash of gram tokens: (segment, key, content, start in it, windows)."""
+    """Segments laid end to end, cut by the smallest hash of gram tokens: (segment, key, content, start in it, windows,
+    whether it may repeat within itself)."""
     bounds = np.cumsum(size)
-    least, content, start, n, _ = segments(tokens, bounds, width, gram)
+    least, content, start, n, inner = segments(tokens, bounds, width, gram)
     which = np.searchsorted(bounds, start, "right")
-    return which, key[which] ^ mix(least, gram), content, start - (bounds - size)[which], n
+    return which, key[which] ^ mix(least, gram), content, start - (bounds - size)[which], n, inner
 
 
-def parts_of(key: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, body: pa.Array) -> pa.RecordBatch:
+def parts_of(key: np.ndarray, content: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, inner: np.ndarray, body: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(content), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), body],
-        names=["key", "content", "doc", "row", "start", "windows", "body"],
+        [pa.array(key), pa.array(content), pa.array(doc), pa.array(row), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(inner), body],
+        names=["key", "content", "doc", "row", "start", "windows", "inner", "body"],
     )
 
 
@@ -328,6 +330,11 @@ def representatives(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[t
         if (kind == 1).any():
             yield batch.filter(copies), None
         own = np.flatnonzero(kind == 0)
+        # what is alone in its key, its copies apart, and does not repeat within itself has nothing to be compared with
+        change = np.append(True, key[own[1:]] != key[own[:-1]])
+        alone = change & np.append(change[1:], False) & ~batch.column("inner").to_numpy(zero_copy_only=False)[own]
+        alone[:1] = False  # its key may go on from the last batch, or into the next
+        own = own[~alone]
         lo = 0
         while lo < len(own):
             grown = size + np.cumsum((off[own + 1] - off[own])[lo:])
