@@ -74,6 +74,21 @@ def has_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
+#: The ranges that exports and imports tell by; the three are not one.
+CJK_EXPORT = "[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]"
+CJK_IMPORT = "[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
+
+
+def has_cjk_export(text: Column) -> Column:
+    """With kana and extension A."""
+    return text.rlike(CJK_EXPORT)
+
+
+def has_cjk_import(text: Column) -> Column:
+    """With extension A and compatibility ideographs."""
+    return text.rlike(CJK_IMPORT)
+
+
 def garbled(text: Column) -> Column:
     """More than 3 % of the first 4000 characters are marks that a broken font leaves; never below 200 characters."""
     head = F.substring(text, 1, 4000)

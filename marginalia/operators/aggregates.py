@@ -54,9 +54,14 @@ def judged(judgments: DataFrame, defects: DataFrame, how: str = "inner") -> Data
     return judgments.join(first_defects(defects).drop("rule_id"), DEFECT, how)
 
 
-def a04_evaluation_by_severity(judgments: DataFrame, defects: DataFrame) -> DataFrame:
-    """Counts by severity; none is unknown, and severities outside the domain are left out."""
-    rows = judged(judgments, defects).withColumn("severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown")))
+def finished(judgments: DataFrame, results: DataFrame) -> DataFrame:
+    """Judgments of papers whose analysis has ended."""
+    return judgments.join(results.select("paper_id"), "paper_id", "left_semi")
+
+
+def a04_evaluation_by_severity(judgments: DataFrame, defects: DataFrame, results: DataFrame) -> DataFrame:
+    """Counts by severity over finished papers; none is unknown, and severities outside the domain are left out."""
+    rows = judged(finished(judgments, results), defects).withColumn("severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown")))
     return _with_precision(rows.where(F.col("severity").isin(*SEVERITIES, "unknown")).groupBy("severity").agg(*_verdicts()))
 
 
@@ -64,13 +69,14 @@ def confidence_bucket(confidence: Column) -> Column:
     return F.when(confidence.isNull(), "n/a").when(confidence >= 0.8, ">=0.8").when(confidence >= 0.5, "0.5-0.8").otherwise("<0.5")
 
 
-def a05_evaluation_by_confidence(judgments: DataFrame, defects: DataFrame) -> DataFrame:
-    return _with_precision(judged(judgments, defects).groupBy(confidence_bucket(F.col("confidence")).alias("bucket")).agg(*_verdicts()))
+def a05_evaluation_by_confidence(judgments: DataFrame, defects: DataFrame, results: DataFrame) -> DataFrame:
+    return _with_precision(judged(finished(judgments, results), defects).groupBy(confidence_bucket(F.col("confidence")).alias("bucket")).agg(*_verdicts()))
 
 
-def a06_orphans(judgments: DataFrame, defects: DataFrame) -> DataFrame:
-    """How many judgments are of a defect that is gone."""
-    return judgments.join(defects, DEFECT, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+def a06_orphans(judgments: DataFrame, defects: DataFrame, results: DataFrame) -> DataFrame:
+    """How many judgments are of a defect, or of a finished paper, that is gone."""
+    there = finished(defects, results).select(*DEFECT)
+    return judgments.join(there, DEFECT, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
 
 
 def evidence_texts(evidence: DataFrame, edus: DataFrame) -> DataFrame:
@@ -99,8 +105,11 @@ def rule_catalog(spark: SparkSession, n: int = 13) -> DataFrame:
 
 
 def a09_rule_stats(catalog: DataFrame, judgments: DataFrame, defects: DataFrame, results: DataFrame) -> DataFrame:
-    rows = catalog.join(a08_rule_firing(defects, results), "rule_id", "left").join(a01_judgments_by_rule(judgments), "rule_id", "left")
-    return rows.na.fill(0, ["papers_fired", "total_defects", "papers_analyzed", "total", *VERDICTS])
+    """All rules of the catalog, those that never fired too; the papers analysed are the same for each."""
+    analysed = results.agg(F.count(F.lit(1)).alias("papers_analyzed"))
+    fired = a08_rule_firing(defects, results).drop("papers_analyzed")
+    rows = catalog.crossJoin(F.broadcast(analysed)).join(fired, "rule_id", "left").join(a01_judgments_by_rule(judgments), "rule_id", "left")  # one row
+    return rows.na.fill(0, ["papers_fired", "total_defects", "total", *VERDICTS])
 
 
 _TOKENS = ("input_tokens", "output_tokens", "cached_tokens", "cost_micro")
@@ -125,6 +134,12 @@ def a12_upload_stats(events: DataFrame, since: str) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total"))))  # one row
 
 
+def a12_upload_errors(events: DataFrame, since: str) -> DataFrame:
+    """(place, id, paper_id, created_at): the uploads that failed from a time on, the newest first."""
+    rows = events.where((F.col("created_at") >= F.lit(since).cast("timestamp")) & (F.col("status") == "error"))
+    return rows.select("id", "paper_id", "created_at", F.col("error_message") if "error_message" in events.columns else F.lit(None).cast("string").alias("error_message")).orderBy(F.desc("created_at"), F.desc("id"))
+
+
 def a13_papers(papers: DataFrame, results: DataFrame) -> DataFrame:
     """Papers with whether they are finished and the time that they are listed by."""
     rows = papers.join(results.select("paper_id", "finished_at"), "paper_id", "left")
@@ -285,9 +300,10 @@ def a35_cross_section(defects: DataFrame) -> DataFrame:
 
 
 def size_label(n: Column) -> Column:
-    """Bytes, KB or MB with one place; empty for none."""
-    tenths = lambda unit: F.format_string("%d.%d", F.floor(n * 10 / unit / 10).cast("long"), F.floor(n * 10 / unit).cast("long") % 10)
-    return F.when(n.isNull() | (n == 0), "").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(tenths(1 << 10), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))
+    """Bytes, whole KB, or MB with one place, rounded half up; empty for none."""
+    kb, tenths = F.floor((n + 512) / 1024).cast("string"), F.floor((n * 10 + (1 << 19)) / (1 << 20))
+    mb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
+    return F.when(n.isNull() | (n == 0), "").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(kb, F.lit(" KB"))).otherwise(mb)
 
 
 def ellipsis(text: Column, limit: int = 160) -> Column:

@@ -39,6 +39,7 @@ def cascade(gone: DataFrame, key: str, **dependents: DataFrame) -> DataFrame:
 
 def keep_newest(log: DataFrame, key: str, order: str, n: int, only: Column | None = None) -> DataFrame:
     """The newest n rows of each key; rows for which ``only`` does not hold all stay."""
+    only = None if only is None else F.coalesce(only, F.lit(False))  # a null label is no autosave
     held = log if only is None else log.where(only)
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     newest = held.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
@@ -55,6 +56,16 @@ def fold_updates(patches: DataFrame, key: str, order: str, expected: str) -> Dat
     return rows.select(key, F.aggregate("p", F.lit(0).cast("long"), step).alias("version"), F.size("p").cast("long").alias("patches"))
 
 
+def applied_patches(patches: DataFrame, key: str, order: str, expected: str, fields: list[str]) -> DataFrame:
+    """(key, version, fields): as fold_updates(), with what the patches that were applied leave: each sets the fields
+    that it does not have as null; one that sets none is no patch and counts for nothing."""
+    some = patches.where(F.coalesce(*(F.col(f).cast("string") for f in fields)).isNotNull())
+    rows = some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, expected, *fields))).alias("p"))
+    start = F.struct(F.lit(0).cast("long").alias("version"), *(F.lit(None).cast(patches.schema[f].dataType).alias(f) for f in fields))
+    step = lambda v, p: F.when(p[expected] == v["version"], F.struct((v["version"] + 1).alias("version"), *(F.coalesce(p[f], v[f]).alias(f) for f in fields))).otherwise(v)
+    return rows.select(key, F.aggregate("p", start, step).alias("v")).select(key, "v.*")
+
+
 def restore(current: DataFrame, versions: DataFrame, wanted: DataFrame) -> DataFrame:
     """The log records (doc_id, seq, label, content) that going back to wanted (doc_id, version_id) writes."""
     backup = current.join(wanted, "doc_id", "left_semi").select("doc_id", F.lit(0).alias("seq"), F.lit("restore-backup").alias("label"), "content")
@@ -63,9 +74,16 @@ def restore(current: DataFrame, versions: DataFrame, wanted: DataFrame) -> DataF
 
 
 def interrupt(events: DataFrame) -> DataFrame:
-    """Events with what was pending ended as an error."""
-    pending = F.col("status") == "pending"
-    return events.withColumn("error_message", F.when(pending, "Interrupted")).withColumn("status", F.when(pending, "error").otherwise(F.col("status")))
+    """Events with what was pending ended as an error; the messages of all others stay."""
+    pending = F.coalesce(F.col("status") == "pending", F.lit(False))
+    return events.withColumn("error_message", F.when(pending, "Interrupted").otherwise(F.col("error_message"))).withColumn("status", F.when(pending, "error").otherwise(F.col("status")))
+
+
+def finished(events: DataFrame, done: DataFrame, failed: DataFrame) -> DataFrame:
+    """Events (id, status, error_message) after the reports of jobs that are done (id) or have failed (id, message)."""
+    rows = events.join(done.select("id", F.lit(True).alias("_done")).distinct(), "id", "left").join(failed.select("id", F.col("message").alias("_message"), F.lit(True).alias("_failed")), "id", "left")
+    status = F.when(F.col("_failed"), "error").when(F.col("_done"), "done").otherwise(F.col("status"))
+    return rows.withColumn("status", status).withColumn("error_message", F.when(F.col("_failed"), F.col("_message")).otherwise(F.col("error_message"))).drop("_done", "_failed", "_message")
 
 
 def list_events(events: DataFrame, status: str | None, limit: int) -> DataFrame:

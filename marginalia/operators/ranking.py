@@ -20,11 +20,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
+#: Parts that the chunks of a topic are dealt into.
+BLOCKS = 8
+
+
 def w01_top_chunks(claims: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
-    """(topic, claim_id, rank, chunk_id, score): the k chunks of its topic that are most like each claim."""
-    pairs = claims.join(chunks, "topic").where("claim_id <> chunk_id").withColumn("score", cosine(F.col("claim"), F.col("chunk")))
-    place = F.row_number().over(Window.partitionBy("topic", "claim_id").orderBy(F.desc("score"), "chunk_id"))
-    return pairs.select("topic", "claim_id", "chunk_id", "score", place.alias("rank")).where(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+    """(topic, claim_id, rank, chunk_id, score): the k chunks of its topic that are most like each claim.
+
+    Norms are taken once for each vector. Chunks are dealt into BLOCKS of a topic, claims go to each, so that a topic is
+    many tasks; the k best of each block are merged. Work is claims times chunks of a topic: the claims are a set stated.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    here = chunks.withColumns({"_norm": F.sqrt(dot(F.col("chunk"), F.col("chunk"))), "_block": F.pmod(F.xxhash64("chunk_id"), F.lit(BLOCKS)).cast("int")})
+    asked = claims.withColumns({"_own": F.sqrt(dot(F.col("claim"), F.col("claim"))), "_block": F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))})
+    norms = F.col("_own") * F.col("_norm")
+    score = F.when(norms > 0, dot(F.col("claim"), F.col("chunk")) / norms).otherwise(0.0)
+    pairs = asked.join(here, ["topic", "_block"]).where("claim_id <> chunk_id").select("topic", "_block", "claim_id", "chunk_id", score.alias("score"))
+    best = [F.desc("score"), "chunk_id"]
+    in_block = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "_block", "claim_id").orderBy(*best))).where(F.col("rank") <= k)
+    merged = in_block.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "claim_id").orderBy(*best))).where(F.col("rank") <= k)
+    return merged.select("topic", "claim_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def w02_rerank(items: DataFrame) -> DataFrame:
@@ -85,11 +100,21 @@ def w07_entity_dedupe(triples: DataFrame) -> DataFrame:
     return rows.join(side("src"), ["paper_id", "src_key"]).join(side("tgt"), ["paper_id", "tgt_key"]).select("paper_id", "rel_id", F.col("src_name").alias("src"), "predicate", F.col("tgt_name").alias("tgt"))
 
 
+def w08_by_name(entities: DataFrame, edus: DataFrame, least: int = 3) -> DataFrame:
+    """(paper_id, entity_id, section): of entities whose evidence is unknown, the section of the first unit in their paper
+    that has their name in it, of three characters at least; none without one. A paper's units meet its entities alone."""
+    named = entities.where(F.char_length(F.trim("name")) >= least).select("paper_id", "entity_id", F.lower(F.trim("name")).alias("_name"))
+    found = named.join(edus.select("paper_id", "section_rank", "ord", "section", F.lower("text").alias("_text")), "paper_id").where(F.col("_text").contains(F.col("_name")))
+    return found.groupBy("paper_id", "entity_id").agg(F.min(F.struct("section_rank", "ord", "section"))["section"].alias("section"))
+
+
 def w08_entity_sections(entities: DataFrame, mentioned: DataFrame, edus: DataFrame) -> DataFrame:
-    """(paper_id, entity_id, section): the first section of an entity's evidence, or unsectioned without any."""
+    """(paper_id, entity_id, section): the first section of an entity's evidence, or of a unit that names it, or unsectioned."""
     at = mentioned.join(edus.select("paper_id", "edu_id", "section_rank", "ord", "section"), ["paper_id", "edu_id"])
     first = at.groupBy("paper_id", "entity_id").agg(F.min(F.struct("section_rank", "ord", "section"))["section"].alias("section"))
-    return entities.join(first, ["paper_id", "entity_id"], "left").select("paper_id", "entity_id", F.coalesce("section", F.lit("__unsectioned__")).alias("section"))
+    rest = entities.join(first, ["paper_id", "entity_id"], "left_anti")
+    found = first.unionByName(w08_by_name(rest, edus))
+    return entities.join(found, ["paper_id", "entity_id"], "left").select("paper_id", "entity_id", F.coalesce("section", F.lit("__unsectioned__")).alias("section"))
 
 
 def _relations(triples: DataFrame) -> DataFrame:

@@ -56,6 +56,30 @@ def e04_consistency(runs: DataFrame) -> DataFrame:
     return rows.select("group", "runs", F.round("mean", 3).alias("mean"), F.round("sd", 3).alias("sd"), F.when(F.col("mean") != 0, F.round(F.col("sd") / F.col("mean"), 3)).alias("cv"))
 
 
+def e04_jaccard(findings: DataFrame) -> DataFrame:
+    """By group of runs (group, run, issue) the mean similarity of their sets of issues over all pairs of runs, runs
+    without an issue included; two empty sets are alike.
+
+    Pairs are of runs that share an issue; the others add 0, but for pairs of empty runs.
+    """
+    issue = F.lower(F.trim(F.coalesce("issue", F.lit(""))))
+    runs = findings.groupBy("group", "run").agg(F.collect_set(F.when(issue != "", issue)).alias("issues")).withColumn("n", F.size("issues"))
+    sets = runs.select("group", "run", "n", F.explode("issues").alias("issue"))
+    other = sets.select("group", F.col("run").alias("run2"), F.col("n").alias("n2"), "issue")
+    shared = sets.join(other, ["group", "issue"]).where("run < run2").groupBy("group", "run", "run2", "n", "n2").agg(F.count(F.lit(1)).alias("both"))
+    alike = shared.groupBy("group").agg(F.sum(F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("alike"))
+    counts = runs.groupBy("group").agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("n") == 0).alias("e"))
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    return counts.join(alike, "group", "left").select("group", F.when(F.col("r") > 1, F.round((F.coalesce("alike", F.lit(0.0)) + pairs("e")) / pairs("r"), 3)).alias("jaccard"))
+
+
+def e10_corpus(papers: DataFrame, ids: list[str] | None = None, first: int | None = None, fresh: bool = False) -> DataFrame:
+    """Papers of an experiment: those named, or the first so many by id; fresh keeps those with a file."""
+    rows = papers if ids is None else papers.where(F.col("paper_id").isin(*ids))
+    rows = rows if first is None else rows.orderBy("paper_id").limit(first)
+    return rows.where("can_fresh") if fresh else rows
+
+
 def e06_lenient_verdict(answer: Column) -> Column:
     """The winner in the first JSON object of an answer, else the first of the words a, b or tie in it, else tie."""
     found = F.lower(F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*?\}", 0), "$.winner"))

@@ -23,6 +23,40 @@ def accepted(verdicts: DataFrame) -> DataFrame:
     return rows.withColumns({"severity": F.when(F.col("severity").isin(*SEVERITIES), F.col("severity")).otherwise("medium"), "section": F.coalesce(F.nullif("section", F.lit("")), F.lit("Other")), "confidence": clamped(F.col("confidence"))})
 
 
+def all_rules(checks: dict[str, DataFrame], cross_section: bool = True) -> DataFrame:
+    """The verdicts of all rules in their order, rule_ord from 0; those that judge whole papers are left to the pass
+    across sections where that is on."""
+    skipped = ("REL-04", "REL-12") if cross_section else ()
+    out = None
+    for place, (rule, rows) in enumerate((r, d) for r, d in sorted(checks.items()) if r not in skipped):
+        own = rows.withColumns({"rule_id": F.lit(rule), "rule_ord": F.lit(place)})
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def localized(defects: DataFrame, translations: DataFrame, locale: str, fields: tuple[str, ...] = ("description", "suggestion")) -> DataFrame:
+    """Defects (paper_id, pos, fields as maps by locale) with the translated texts; indexes that no defect has and empty
+    texts change nothing."""
+    rows = defects.join(translations.select("paper_id", F.col("index").alias("pos"), *(F.col(f).alias(f"_{f}") for f in fields)), ["paper_id", "pos"], "left")
+    for f in fields:
+        # the new text stands before the old one, of which a map would hold two
+        new = F.map_concat(F.map_filter(F.col(f), lambda k, v: k != locale), F.create_map(F.lit(locale), F.col(f"_{f}")))
+        rows = rows.withColumn(f, F.when(F.coalesce(F.col(f"_{f}"), F.lit("")) != "", new).otherwise(F.col(f)))
+    return rows.drop(*(f"_{f}" for f in fields))
+
+
+def normalized_locale(locale: Column, supported: tuple[str, ...], primary: str) -> Column:
+    """V12."""
+    return F.when(locale.isin(*supported), locale).otherwise(primary)
+
+
+def formatted_defects(defects: DataFrame, evidence: DataFrame, edus: DataFrame) -> DataFrame:
+    """Defects with the texts of their known evidence in order, as an array."""
+    known = evidence.join(edus.select("paper_id", "edu_id", "text"), ["paper_id", "edu_id"])
+    lists = known.groupBy("paper_id", "defect_id").agg(F.sort_array(F.collect_list(F.struct("pos", "edu_id", "text"))).alias("e"))
+    return defects.join(lists, ["paper_id", "defect_id"], "left").withColumn("evidence", F.coalesce(F.transform("e", lambda e: e["text"]), F.array().cast("array<string>"))).drop("e")
+
+
 def check_meta(candidates: DataFrame, defects: DataFrame) -> DataFrame:
     """By paper and rule the candidates and the defects among them."""
     n = lambda df, name: df.groupBy("paper_id", "rule_id").agg(F.count(F.lit(1)).alias(name))
@@ -50,7 +84,8 @@ def picked(texts: Column, locale: Column, primary: str) -> Column:
 
 def memo_key(text: Column, locale: Column, version: str) -> Column:
     """What a stored check is found by."""
-    return F.sha2(F.concat_ws("|", text, locale, F.lit(version)).cast("binary"), 256)
+    part = lambda c: F.coalesce(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0"))  # no two triples give one text
+    return F.sha2(F.concat(part(text), F.lit("|"), part(locale), F.lit("|"), part(F.lit(version))).cast("binary"), 256)
 
 
 def memo(sections: DataFrame, cache: DataFrame, version: str) -> DataFrame:

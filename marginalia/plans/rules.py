@@ -50,7 +50,7 @@ def r01_claim_evidence(g: Graph) -> DataFrame:
     evidence = g.frus.where("function = 'Evidence'").join(g.covers, ["paper_id", "fru_id"]).select("paper_id", "edu_id")
     related = g.rst.where("rst_type = 'Evidence'").join(g.rst_edges, ["paper_id", "rst_id"]).select("paper_id", "edu_id")
     backed = claims.join(evidence.unionByName(related), ["paper_id", "edu_id"], "left_semi").select("paper_id", "fru_id").distinct()
-    return claims.join(backed, ["paper_id", "fru_id"], "left_anti").groupBy("paper_id", "fru_id").agg(F.first("summary").alias("summary"), joined("edu_id", "pos").alias("edu_ids"), F.min(F.struct("section_rank", "ord", "section"))["section"].alias("section"))
+    return claims.join(backed, ["paper_id", "fru_id"], "left_anti").groupBy("paper_id", "fru_id").agg(F.first("summary").alias("summary"), joined("edu_id", "pos").alias("edu_ids"), joined("text", "pos").alias("edu_texts"), F.min(F.struct("section_rank", "ord", "section"))["section"].alias("section"))
 
 
 def r02_baseline_critique(g: Graph) -> DataFrame:
@@ -161,6 +161,16 @@ def r17_graph_edges(g: Graph) -> DataFrame:
     return edges.join(nodes.withColumnRenamed("id", "to_id"), ["paper_id", "to_id"], "left_semi").select("paper_id", "kind", "from_id", "to_id")
 
 
+def r17_graph_nodes(g: Graph) -> DataFrame:
+    """(paper_id, label, id, text): all nodes, a unit's text, a function's and an entity's name, a relation's type."""
+    node = lambda frame, label, i, text: frame.select("paper_id", F.lit(label).alias("label"), F.col(i).alias("id"), F.col(text).alias("text"))
+    parts = ((g.edus, "EDU", "edu_id", "text"), (g.frus, "FRU", "fru_id", "function"), (g.rst, "RST", "rst_id", "rst_type"), (g.entities, "Entity", "entity_id", "name"))
+    first, *rest = (node(*p) for p in parts)
+    for more in rest:
+        first = first.unionByName(more)
+    return first
+
+
 def r18_unit(g: Graph, paper_id: str, edu_id: str) -> DataFrame:
     return g.edus.where((F.col("paper_id") == paper_id) & (F.col("edu_id") == edu_id))
 

@@ -45,9 +45,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r15_resolve_evidence": _of_graph(lambda g: R.r15_resolve_evidence(g, _evidence(g))),
     "r16_papers_with_units": _of_graph(R.r16_papers_with_units),
     "r17_graph_edges": _of_graph(R.r17_graph_edges),
+    "r17_graph_nodes": _of_graph(R.r17_graph_nodes),
+    "r18_unit": _of_graph(lambda g: R.r18_unit(g, "3", "3:Method:edu:0").select("paper_id", "edu_id", "section", "text")),
     "r19_cleared": _of_graph(lambda g: R.r19_cleared(g.frus, g.papers.where("title like 'T%'"))),
     "r20_repeated_ids": lambda spark, sf_dir: R.r20_repeated_ids(S.judgments(spark, sf_dir), "rule_id"),
-    "v08_section_dump": _of_graph(lambda g: R.v08_section_dump(g.edus, 2000)),
+    "v08_section_dump": _of_graph(lambda g: R.v08_section_dump(g.edus, 400_000)),
     "v18_structure": _of_graph(R.v18_structure),
     "v19_full_text": _of_graph(lambda g: R.v19_full_text(g.edus)),
 }
@@ -73,12 +75,14 @@ def _section_list(section: str) -> str:
 _SET = "string_agg(DISTINCT {0}, '|' ORDER BY {0})"
 
 ORACLES: dict[str, str] = {
+    "r17_graph_nodes": with_tables("edus frus rst entities", "SELECT paper_id, 'EDU' AS label, edu_id AS id, text FROM edus UNION ALL SELECT paper_id, 'FRU', fru_id, function FROM frus UNION ALL SELECT paper_id, 'RST', rst_id, rst_type FROM rst UNION ALL SELECT paper_id, 'Entity', entity_id, name FROM entities"),
+    "r18_unit": with_tables("edus", "SELECT paper_id, edu_id, section, text FROM edus WHERE paper_id = '3' AND edu_id = '3:Method:edu:0'"),
     "r01_claim_evidence": with_tables(
         "edus frus covers rst rst_edges",
         f"""{_COVERED}, touched AS (
   SELECT paper_id, edu_id FROM covered WHERE function = 'Evidence'
   UNION SELECT paper_id, edu_id FROM rst JOIN rst_edges USING (paper_id, rst_id) WHERE rst_type = 'Evidence')
-SELECT paper_id, fru_id, any_value(summary) AS summary, string_agg(edu_id, '|' ORDER BY pos) AS edu_ids, arg_min(section, section_rank * 100000 + ord) AS section
+SELECT paper_id, fru_id, any_value(summary) AS summary, string_agg(edu_id, '|' ORDER BY pos) AS edu_ids, string_agg(text, '|' ORDER BY pos) AS edu_texts, arg_min(section, section_rank * 100000 + ord) AS section
 FROM covered c WHERE function = 'Claim' AND NOT EXISTS (SELECT 1 FROM covered x JOIN touched t ON x.paper_id = t.paper_id AND x.edu_id = t.edu_id WHERE x.fru_id = c.fru_id AND x.paper_id = c.paper_id)
 GROUP BY paper_id, fru_id""",
     ),
@@ -106,7 +110,7 @@ SELECT paper_id, 1 AS item, string_agg(edu_id, '|' ORDER BY place) AS edu_ids FR
     "r17_graph_edges": with_tables("edus frus covers rst_edges mentioned_in", "WITH x AS (SELECT paper_id, 'COVERS' AS kind, fru_id AS from_id, edu_id AS to_id FROM covers UNION ALL SELECT paper_id, role, rst_id, edu_id FROM rst_edges UNION ALL SELECT paper_id, 'MENTIONED_IN', entity_id, edu_id FROM mentioned_in) SELECT x.* FROM x JOIN edus e ON e.paper_id = x.paper_id AND e.edu_id = x.to_id"),
     "r19_cleared": with_tables("edus frus papers", "SELECT * FROM frus WHERE paper_id NOT IN (SELECT paper_id FROM papers WHERE title LIKE 'T%')"),
     "r20_repeated_ids": with_tables("judgments", "SELECT rule_id, count(*) AS n FROM judgments GROUP BY rule_id HAVING count(*) > 1"),
-    "v08_section_dump": with_tables("edus", "SELECT paper_id, substr(string_agg('[' || edu_id || '] ' || text, chr(10) ORDER BY section_rank, ord), 1, 2000) AS dump FROM edus GROUP BY paper_id"),
+    "v08_section_dump": with_tables("edus", "SELECT paper_id, substr(string_agg('[' || edu_id || '] ' || text, chr(10) ORDER BY section_rank, ord), 1, 400000) AS dump FROM edus GROUP BY paper_id"),
     "v18_structure": with_tables("edus frus covers", f"{_COVERED}, l AS (SELECT paper_id, fru_id || ' ' || function || ' ' || coalesce(nullif(summary, ''), substr(string_agg(text, ' ' ORDER BY pos), 1, 120)) AS line FROM covered GROUP BY paper_id, fru_id, function, summary) SELECT paper_id, string_agg(line, chr(10) ORDER BY line) AS structure FROM l GROUP BY paper_id"),
     "v19_full_text": with_tables("edus", "SELECT paper_id, string_agg(text, chr(10) ORDER BY section_rank, ord) AS full_text FROM edus GROUP BY paper_id"),
 }

@@ -51,12 +51,12 @@ def _findings(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "v01_check_meta": _meta,
     "v02_accepted": lambda s, d: V.accepted(verdicts(s, d)).select("candidate_index", "severity", "section", "confidence"),
-    "v06_payload_cap": lambda s, d: V.capped_payload(S.edus(s, d).select("paper_id", F.col("k").alias("pos"), F.col("text").alias("json")), 2000),
+    "v06_payload_cap": lambda s, d: V.capped_payload(S.edus(s, d).select("paper_id", F.col("k").alias("pos"), F.col("text").alias("json")), 120_000),
     "v09_cross_section": lambda s, d: V.cross_section(S.defects(s, d), S.evidence(S.edus(s, d)), S.edus(s, d)),
     "v11_locale_pick": lambda s, d: S.table(s, d, "documents").select("doc_id", V.picked(F.create_map(F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("")), F.lit("zh-Hant"), F.lit("")), F.lit("en"), "fr").alias("picked")),
     "v13_single_section": lambda s, d: S.defects(s, d).where(~F.col("rule_id").isin(*V.NOT_IN_DRAFTS)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")),
     "v14_memo_keys": lambda s, d: S.table(s, d, "documents").select("doc_id", V.memo_key(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), "1").alias("cache_key")),
-    "v15_merged_drafts": lambda s, d: V.merged_draft(S.edus(s, d).select("paper_id", F.col("k").alias("pos"), "text"), 3000),
+    "v15_merged_drafts": lambda s, d: V.merged_draft(S.edus(s, d).select("paper_id", F.col("k").alias("pos"), "text"), 40_000),
     "v17_findings": _findings,
     "x06_garbled": _texts(garbled=X.garbled),
     "x07_sentences": _texts(n=lambda t: F.size(X.sentences(t)).cast("long"), joined=lambda t: F.array_join(X.sentences(t), "|")),
@@ -87,12 +87,12 @@ _VERDICTS = """verdicts AS (SELECT user_id::VARCHAR AS paper_id, event_id AS can
 ORACLES: dict[str, str] = {
     "v01_check_meta": f"WITH {_VERDICTS} SELECT paper_id, rule_id, count(*) AS candidate_count, count(*) FILTER (holds) AS defect_count FROM verdicts GROUP BY paper_id, rule_id",
     "v02_accepted": f"WITH {_VERDICTS} SELECT candidate_index, severity, section, confidence FROM verdicts WHERE holds",
-    "v06_payload_cap": with_tables("edus", "WITH t AS (SELECT paper_id, sum(length(text) + 2) OVER (PARTITION BY paper_id ORDER BY k) AS total FROM edus) SELECT paper_id, count(*) FILTER (total <= 2000) AS kept, count(*) FILTER (total > 2000) AS dropped FROM t GROUP BY paper_id"),
+    "v06_payload_cap": with_tables("edus", "WITH t AS (SELECT paper_id, sum(length(text) + 2) OVER (PARTITION BY paper_id ORDER BY k) AS total FROM edus) SELECT paper_id, count(*) FILTER (total <= 120000) AS kept, count(*) FILTER (total > 120000) AS dropped FROM t GROUP BY paper_id"),
     "v09_cross_section": with_tables("defects evidence", "SELECT d.paper_id, d.defect_id, d.rule_id, count(*) AS units FROM defects d JOIN evidence v ON v.paper_id = d.paper_id AND v.defect_id = d.defect_id WHERE rule_id IN ('REL-04', 'REL-08', 'REL-12') GROUP BY 1, 2, 3 HAVING count(*) >= 2"),
     "v11_locale_pick": "SELECT doc_id, coalesce(nullif(CASE WHEN lang IS NOT NULL THEN source END, ''), nullif(source, ''), '') AS picked FROM documents",
     "v13_single_section": with_tables("defects", "SELECT rule_id, count(*) AS n FROM defects WHERE rule_id NOT IN ('REL-04', 'REL-08', 'REL-12') GROUP BY rule_id"),
-    "v14_memo_keys": "SELECT doc_id, sha256(coalesce(text, '') || '|' || coalesce(lang, '') || '|1') AS cache_key FROM documents",
-    "v15_merged_drafts": with_tables("edus", "SELECT paper_id, substr(string_agg(trim(text), chr(10) || chr(10) ORDER BY k), 1, 3000) AS draft FROM edus WHERE trim(text) <> '' GROUP BY paper_id"),
+    "v14_memo_keys": "SELECT doc_id, sha256(replace(replace(coalesce(text, ''), '\\', '\\\\'), '|', '\\|') || '|' || replace(replace(coalesce(lang, ''), '\\', '\\\\'), '|', '\\|') || '|1') AS cache_key FROM documents",
+    "v15_merged_drafts": with_tables("edus", "SELECT paper_id, substr(string_agg(trim(text), chr(10) || chr(10) ORDER BY k), 1, 40000) AS draft FROM edus WHERE trim(text) <> '' GROUP BY paper_id"),
     "v17_findings": with_tables("defects evidence edus", "WITH e AS (SELECT v.paper_id, v.defect_id, string_agg(text, ' / ' ORDER BY pos, v.edu_id) AS location FROM evidence v JOIN edus u ON u.paper_id = v.paper_id AND u.edu_id = v.edu_id GROUP BY 1, 2) SELECT d.paper_id, coalesce(location, '') AS location, coalesce(nullif(defect_type, ''), rule_id) AS issue_type FROM defects d LEFT JOIN e ON e.paper_id = d.paper_id AND e.defect_id = d.defect_id"),
     "x06_garbled": "SELECT doc_id, CASE WHEN length(h) < 200 THEN false ELSE length(regexp_replace(h, '[^`*~^|]', '', 'g')) * 100 > length(h) * 3 END AS garbled FROM (SELECT doc_id, substr(text, 1, 4000) AS h FROM documents)",
     "x07_sentences": "SELECT doc_id, len(s)::BIGINT AS n, array_to_string(s, '|') AS joined FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?[。．.!?！？\n]+|.+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 20)[1:400] AS s FROM documents)",

@@ -6,6 +6,7 @@ sentence becomes depends on its document's id, its place and its length alone, s
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,22 @@ def edu_name(paper: Column, k: Column, n: Column) -> Column:
     return F.concat_ws(":", paper, pick(SECTIONS, rank), F.lit("edu"), (k - F.ceil(rank * n / len(SECTIONS))).cast("string"))
 
 
+#: Units by application and folder: every frame of the graph is read from them, so texts are taken apart once.
+_units: dict[tuple[str, str], DataFrame] = {}
+
+
 def edus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of at least 20 characters as units: (paper_id, doc_id, k, n, section, section_rank, ord, edu_id, text)."""
+    """Sentences of at least 20 characters as units: (paper_id, doc_id, k, n, section, section_rank, ord, edu_id, text).
+
+    Kept on the executors, on disk where memory is short; a lost block is made again from the table.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _units:
+        _units[key] = _edus(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return _units[key]
+
+
+def _edus(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     clean = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= 20)
     rows = docs.select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), clean.alias("s")).select("doc_id", "paper_id", F.size("s").alias("n"), F.posexplode("s").alias("k", "text"))
@@ -86,6 +101,7 @@ def mentioned_in(triples: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.concat("paper_id", F.lit(":ent:"), "name").alias("entity_id"), "edu_id")
 
 
+#: The last rule never fires.
 def _rule(number: Column) -> Column:
     return F.concat(F.lit("REL-"), F.lpad((number % 13 + 1).cast("string"), 2, "0"))
 
@@ -96,7 +112,7 @@ def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     severity = F.when((F.col("doc_id") + F.col("j")) % 11 != 0, pick(("high", "medium", "low", "critical"), (F.col("doc_id") + F.col("j")) % 4))
     confidence = F.when((F.col("doc_id") + F.col("j")) % 7 != 0, ((F.col("doc_id") * 3 + F.col("j")) % 11) / 10.0)
     paper = F.col("doc_id").cast("string")
-    return docs.select(paper.alias("paper_id"), F.concat(paper, F.lit(":d"), "j").alias("defect_id"), F.col("j").alias("pos"), _rule(F.col("doc_id") + F.col("j") - 1).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"), F.concat(F.lit("type"), F.col("j") % 2).alias("defect_type"))
+    return docs.select(paper.alias("paper_id"), F.concat(paper, F.lit(":d"), "j").alias("defect_id"), F.col("j").alias("pos"), _rule((F.col("doc_id") + F.col("j") - 1) % 12).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"), F.concat(F.lit("type"), F.col("j") % 2).alias("defect_type"))
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +138,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "cached").otherwise("pending")
-    return rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("paper_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), F.floor(F.abs("value") * 1000).alias("file_size"))
+    return rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("paper_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("created_at"), F.floor(F.abs("value") * 1000).alias("file_size"), F.when(status == "error", F.concat(F.lit("disk full at "), "user_id")).alias("error_message"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ TABLES = {
   SELECT paper_id, paper_id || ':ent:' || name AS entity_id, edu_id
   FROM (SELECT paper_id, src AS name, evidence_edu_id AS edu_id FROM er_triples UNION SELECT paper_id, tgt, evidence_edu_id FROM er_triples)""",
     "defects": f"""
-  SELECT doc_id::VARCHAR AS paper_id, doc_id || ':d' || j AS defect_id, j AS pos, {_RULE.format("doc_id + j - 1")} AS rule_id,
+  SELECT doc_id::VARCHAR AS paper_id, doc_id || ':d' || j AS defect_id, j AS pos, {_RULE.format("((doc_id + j - 1) % 12)")} AS rule_id,
     CASE WHEN (doc_id + j) % 11 <> 0 THEN ['high', 'medium', 'low', 'critical'][(doc_id + j) % 4 + 1] END AS severity,
     CASE WHEN (doc_id + j) % 7 <> 0 THEN ((doc_id * 3 + j) % 11) / 10.0::DOUBLE END AS confidence, 'type' || j % 2 AS defect_type
   FROM (SELECT doc_id, unnest(range(1, doc_id % 3 + 2))::INTEGER AS j FROM documents)""",
@@ -62,7 +62,7 @@ TABLES = {
     "chat_messages": "SELECT conv_id * 1000 + turn AS id, conv_id::VARCHAR AS paper_id, role, text AS content FROM conversations",
     "upload_events": """
   SELECT event_id AS id, user_id::VARCHAR AS paper_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'view' THEN 'cached' ELSE 'pending' END AS status,
-    ts AS created_at, floor(abs(value) * 1000)::BIGINT AS file_size FROM events""",
+    ts AS created_at, floor(abs(value) * 1000)::BIGINT AS file_size, CASE WHEN event_type = 'error' THEN 'disk full at ' || user_id END AS error_message FROM events""",
 }
 NEEDS = {"evidence": ["edus"], "frus_": ["edus"], "frus": ["frus_"], "covers": ["frus_"], "rst": ["edus"], "rst_edges": ["edus"], "er_triples": ["edus"], "entities": ["er_triples"], "mentioned_in": ["er_triples"]}
 

@@ -1 +1 @@
-
+"""Limits, job states and windows over streams."""
