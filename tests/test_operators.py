@@ -74,3 +74,147 @@ def test_text_functions(spark):
     assert got[1] == ["1", "2"]
     assert got[2] == "A b. C"
     assert got[3] == r"a\_\{\textbackslash{}\}"
+
+
+def test_rules_that_never_fire_and_lost_labels(spark):
+    stats = A.a09_rule_stats(A.rule_catalog(spark), spark.createDataFrame([], "rule_id string, verdict string"), spark.createDataFrame([("p", "REL-01")], "paper_id string, rule_id string"), spark.createDataFrame([("p",), ("q",)], "paper_id string"))
+    rows = {r.rule_id: r for r in stats.collect()}
+    assert len(rows) == 13 and all(r.papers_analyzed == 2 for r in rows.values()) and rows["REL-02"].papers_fired == 0
+    assert {r.rule_id: r.status for r in A.a27_rule_status(stats).collect()}["REL-02"] == "never fired"
+    log = spark.createDataFrame([("d", 1, None), ("d", 2, "autosave"), ("d", 3, "autosave")], "doc string, v int, label string")
+    assert {r.v for r in M.keep_newest(log, "doc", "v", 1, F.col("label") == "autosave").collect()} == {1, 3}
+
+
+def test_events_keep_their_messages(spark):
+    events = spark.createDataFrame([(1, "pending", None), (2, "error", "disk full"), (3, None, "x")], "id int, status string, error_message string")
+    assert [tuple(r) for r in M.interrupt(events).orderBy("id").collect()] == [(1, "error", "Interrupted"), (2, "error", "disk full"), (3, None, "x")]
+    done = M.finished(events, spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(3, "late")], "id int, message string"))
+    assert [tuple(r) for r in done.orderBy("id").collect()] == [(1, "done", None), (2, "error", "disk full"), (3, "error", "late")]
+
+
+def test_patches_of_some_columns(spark):
+    patches = spark.createDataFrame([("d", 1, 0, "t", None), ("d", 2, 1, None, "b"), ("d", 3, 2, None, None), ("d", 4, 1, "stale", None)], "doc string, seq int, expected long, title string, body string")
+    assert tuple(M.applied_patches(patches, "doc", "seq", "expected", ["title", "body"]).first()) == ("d", 2, "t", "b")
+
+
+def test_sizes_are_rounded(spark):
+    got = values(spark, "n long", [(0,), (1023,), (1996,), (1_600_000,), (None,)], A.size_label(F.col("n")))
+    assert got == [("",), ("1023 B",), ("2 KB",), ("1.5 MB",), ("",)]
+
+
+def test_memo_keys_tell_bars_and_nulls_apart(spark):
+    got = values(spark, "a string, b string", [("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c"), ("\\0", "c")], V.memo_key(F.col("a"), F.col("b"), "1"))
+    assert len(set(got)) == 5
+
+
+def test_lint_marks_and_overlaps(spark):
+    from marginalia.functions import typography as T
+
+    df = spark.createDataFrame([(1, "中,a中A中 ，x"), (2, "plain, text"), (3, None), (4, "")], "id int, text string")
+    rows = T.lint(df, "id", "text")
+    got = sorted((r.id, r.at, r.end, r.type, r.replacement) for r in rows.collect())
+    assert got == [(1, 1, 2, "half", "，"), (1, 2, 4, "spacing", "a 中"), (1, 3, 5, "spacing", "中 A"), (1, 4, 6, "spacing", "A 中"), (1, 6, 7, "space", "")]
+    assert sorted(r.at for r in T.without_overlaps(rows, "id").collect()) == [1, 2, 4, 6]
+
+
+def test_text_joins_gaps_and_claims(spark):
+    from marginalia.functions import typography as T
+
+    assert values(spark, "l array<string>", [(["net-", "work", "Zwei", "中", "文", ""],)], T.joined_lines(F.col("l"))) == [("net-work Zwei中文",)]
+    assert values(spark, "t string", [("網路成 癮（ 2000 ）x y",)], T.without_gaps(F.col("t"))) == [("網路成癮（2000）x y",)]
+    assert values(spark, "t string", [("First one. Second, with a claim ",), ("none",)], T.claim(F.col("t"))) == [("Second, with a claim",), ("none",)]
+    assert values(spark, "t string", [("a \\% b % c\nd",)], T.latex_uncommented(F.col("t"))) == [("a \\% b \nd",)]
+    assert values(spark, "t string", [("3.1",), ("1. Intro",)], T.without_number(F.col("t"))) == [("3.1",), ("Intro",)]
+
+
+def test_sections_of_lines(spark):
+    from marginalia.operators import sections as N
+
+    df = spark.createDataFrame([(1, "Title\n\n1. Introduction\nwords\nMethods\nmore\n2 introduction again\nlast"), (2, "no heading\nhere"), (3, "Abstract\nx")], "id int, text string")
+    got = {(r.id, r.line): (r.section, r.section_place) for r in N.sections(N.lines(df, "id", "text"), "id").collect()}
+    assert got[1, 0] == ("Abstract", 0) and got[1, 3] == ("Introduction", 1) and got[1, 5] == ("Method", 2) and got[1, 7] == ("Introduction", 1)
+    assert got[2, 1] == ("Other", 0) and got[3, 1] == ("Abstract", 0)
+
+
+def test_chunks_leave_long_spans_alone(spark):
+    from marginalia.operators import sections as N
+
+    spans = spark.createDataFrame([("p", k, "x" * n) for k, n in enumerate([3, 3, 3, 20, 1, 9])], "p string, k int, text string")
+    assert [r.chunk for r in N.chunks(spans, ["p"], "k", "text", 10).orderBy("k").collect()] == [0, 0, 0, 1, 2, 2]
+    assert [r.part for r in N.halves(spans, ["p"], "k", "text", 10).orderBy("k").collect()] == [0, 0, 0, 3, 4, 4]
+
+
+def test_heading_numbers_pass_over_unnumbered_chapters(spark):
+    from marginalia.operators import sections as N
+
+    rows = [("d", 0, 1, "Preface"), ("d", 1, 1, "One"), ("d", 2, 2, "a"), ("d", 3, 3, "x"), ("d", 4, 3, "y"), ("d", 5, 2, "b"), ("d", 6, 1, "Two"), ("d", 7, 2, "c")]
+    got = [r.number for r in N.heading_numbers(spark.createDataFrame(rows, "d string, place int, level int, text string"), "d", ("Preface",)).orderBy("place").collect()]
+    assert got == [None, "1", "1.1", "1.1.1", "1.1.2", "1.2", "2", "2.1"]
+
+
+def test_citations_in_brackets_and_sentences(spark):
+    from marginalia.operators import citations as C
+
+    df = spark.createDataFrame([(1, "(boyd & Ellison, 2007) and （王小明，2010） but (see Eq. 3), (n=2009). Guo 與 Li (2018) and Table (2001)")], "id int, text string")
+    got = [(r.surname, r.year, r.authors) for r in C.bracketed(df, "id", "text").orderBy("place").collect()]
+    assert got[:2] == [("boyd", 2007, "boyd, Ellison"), ("王小明", 2010, "王小明")] and len(got) == 2
+    assert [(r.surname, r.year) for r in C.narrative(df, "id", "text").collect()] == [("guo", 2018)]
+    spans = spark.createDataFrame([(1, 0, 20, "narrative"), (1, 15, 20, "bracket"), (1, 18, 30, "bracket"), (1, 30, 35, "bracket")], "id int, at int, end int, kind string")
+    assert sorted((r.at, r.kind) for r in C.without_contained(spans, "id").collect()) == [(0, "narrative"), (30, "bracket")]
+
+
+def test_entities_without_evidence_take_the_unit_that_names_them(spark):
+    entities = spark.createDataFrame([("p", "e1", "Corpus"), ("p", "e2", "ab"), ("p", "e3", "absent")], "paper_id string, entity_id string, name string")
+    units = spark.createDataFrame([("p", "u1", 2, 0, "Method", "the CORPUS is"), ("p", "u2", 1, 0, "Introduction", "a corpus")], "paper_id string, edu_id string, section_rank int, ord int, section string, text string")
+    none = spark.createDataFrame([], "paper_id string, entity_id string, edu_id string")
+    assert {r.entity_id: r.section for r in W.w08_entity_sections(entities, none, units).collect()} == {"e1": "Introduction", "e2": "__unsectioned__", "e3": "__unsectioned__"}
+
+
+def test_denied_requests_take_no_slot(spark):
+    from marginalia.streaming import limits as T
+
+    kept, got = T.admit([], [0.0, 1.0, 2.0, 59.0, 60.0, 61.5], 2)
+    assert got == [(True, 0), (True, 0), (False, 58), (False, 1), (True, 0), (True, 0)] and kept == [60.0, 61.5]
+
+
+def test_stream_answers_as_the_batch_does(spark, tmp_path):
+    from marginalia.streaming import limits as T
+
+    rows = [(k % 3, 1_700_000_000 + 7 * k) for k in range(120)]
+    df = spark.createDataFrame(rows, "who long, at long").withColumn("time", F.timestamp_seconds("at"))
+    for part in range(3):  # three batches, in order
+        df.where(f"at >= {1_700_000_000 + 280 * part} and at < {1_700_000_000 + 280 * (part + 1)}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("who long, at long, time timestamp").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    query = T.limited_stream(stream, "who", 2, "1 hour").writeStream.format("memory").queryName("limited").option("checkpointLocation", f"file://{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.who, r.time): (r.admitted, r.wait) for r in spark.table("limited").collect()}
+    want = {(r.who, r.time): (r.admitted, r.wait) for r in T.limited(df, "who", 2).collect()}
+    assert got == want and len(got) == 120 and not all(a for a, _ in got.values())
+
+
+def test_upload_streams_deduplicate_and_count(spark, tmp_path):
+    from marginalia.streaming import limits as T
+
+    rows = [(k, 1_700_000_000 + 60 * k, k % 4, "done") for k in range(40)]
+    spark.createDataFrame(rows, "id long, at long, content long, status string").withColumn("time", F.timestamp_seconds("at")).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("id long, at long, content long, status string, time timestamp").parquet(f"file://{tmp_path}/in")
+    for name, frame, mode in (("first", T.deduplicated(stream(), "content", "1 day"), "append"), ("days", T.by_day(stream(), "1 hour"), "complete")):
+        frame.writeStream.format("memory").queryName(name).option("checkpointLocation", f"file://{tmp_path}/{name}").outputMode(mode).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.table("first").count() == 4
+    assert sum(r.n for r in spark.table("days").collect()) == 40
+
+
+def test_graph_rules_on_a_small_graph_by_hand(spark):
+    """A claim that support follows at once is not asked about; one without any is."""
+    from marginalia.plans import rules as R
+
+    units = [("p", f"p:Results:edu:{k}", k, "Results", 4, f"unit number {k} of the paper") for k in range(8)]
+    edus = spark.createDataFrame([(p, 1, k, 8, s, r, k, e, t) for p, e, k, s, r, t in units], "paper_id string, doc_id long, k int, n int, section string, section_rank int, ord int, edu_id string, text string")
+    frus = spark.createDataFrame([("p", "f0", "Claim", ""), ("p", "f1", "Evidence", ""), ("p", "f7", "Claim", ""), ("p", "f3", "MethodStep", ""), ("p", "f4", "Motivation", ""), ("q", "f3", "MethodStep", "")], "paper_id string, fru_id string, function string, summary string")
+    covers = spark.createDataFrame([("p", "f0", 0, "p:Results:edu:0"), ("p", "f1", 0, "p:Results:edu:0"), ("p", "f7", 0, "p:Results:edu:7"), ("p", "f3", 0, "p:Results:edu:3"), ("p", "f4", 0, "p:Results:edu:6"), ("q", "f3", 0, "p:Results:edu:3")], "paper_id string, fru_id string, pos int, edu_id string")
+    edus = edus.unionByName(edus.where("k = 3").withColumn("paper_id", F.lit("q")))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    g = R.Graph(empty("paper_id string, title string"), edus, frus, covers, empty("paper_id string, rst_id string, rst_type string"), empty("paper_id string, rst_id string, edu_id string, role string"), empty("paper_id string, entity_id string, name string, type string"), empty("paper_id string, entity_id string, edu_id string"))
+    assert [(r.fru_id, r.edu_texts) for r in R.r01_claim_evidence(g).collect()] == [("f7", "unit number 7 of the paper")]
+    assert [r.paper_id for r in R.r03_action_justification(g).collect()] == ["q"]  # in p the motivation is three units on
+    assert R.r18_unit(g, "q", "p:Results:edu:3").count() == 1 and R.r17_graph_nodes(g).count() == 9 + 6
