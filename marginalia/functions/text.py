@@ -39,8 +39,10 @@ def collapsed_repeats(text: Column) -> Column:
     parts = F.regexp_extract_all(text, F.lit("(?s).+?[.!?\n]+|.+"), F.lit(0))
     key = lambda s: F.regexp_replace(s, r"\s", "")
     keys = F.transform(parts, key)
-    kept = F.filter(parts, lambda s, i: (i == F.size(parts) - 1) | (F.array_position(keys, key(s)) == i + 1))
-    return F.array_join(kept, "")
+    # one struct holds both arrays, so that they are made once and not for each piece
+    both = F.struct(parts.alias("parts"), keys.alias("keys"))
+    kept = lambda z: F.filter(z["parts"], lambda s, i: (i == F.size(z["parts"]) - 1) | (F.array_position(z["keys"], F.get(z["keys"], i)) == i + 1))
+    return F.get(F.transform(F.array(both), lambda z: F.array_join(kept(z), "")), 0)
 
 
 def markers(text: Column, kind: str) -> Column:
