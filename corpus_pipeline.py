@@ -14,13 +14,6 @@ from marginalia.llm.tables import load, written
 
 #: Least score of a language at which a document stays.
 LEAST_SCORE = 0.5
-#: Bytes of text in an Arrow batch, about: what a Python worker holds at once, however long the texts are.
-BATCH_BYTES = 8 << 20
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Set the session's bound of Arrow batches, for good: a stage is run by its caller, after its function has returned."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def _unused(name: str, docs: DataFrame) -> str:
@@ -36,7 +29,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its text alone, so that repeated rows, ties and null or shared ids change nothing; very long texts are scored whole.
     An empty table stays empty; columns of any name and number are kept.
     """
-    _small_batches(spark)
     name = _unused("language", docs)
     found = with_language(docs, trained(docs), out=name)
     return found.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
@@ -49,7 +41,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one or have none. Null and wordless texts are one group; very long texts are fingerprinted whole; repeated rows are
     copies. An empty table stays empty; columns of any name and number are kept.
     """
-    _small_batches(spark)
     return first_of_groups(docs)
 
 
@@ -60,7 +51,6 @@ def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     are judged each by itself, repeated rows as one. n_chars, where there is one, follows the text. Very long texts are
     read whole. An empty table stays empty; columns of any name and number are kept.
     """
-    _small_batches(spark)
     kept = dedup_texts(docs)
     if "n_chars" in kept.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
@@ -74,7 +64,6 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or without one, stay. Null and empty texts stay; very long ones are searched whole; repeated rows go or stay
     together. With an empty benchmark all stay. Columns of any name and number are kept.
     """
-    _small_batches(spark)
     doc, row = _unused("_leak_doc", docs), _unused("_leak_row", docs)
     found = contaminated(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(doc), F.col("row").alias(row)).distinct()
     leaks = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text")) == F.col(row))
@@ -87,7 +76,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end token alone; null, shared and repeated ids are passed on, a document for each row;
     very long texts are cut. An empty table gives no pieces; other columns are not read.
     """
-    _small_batches(spark)
     # workers still hold what the stages before needed
     return packed(docs, word_bpe, keep=100_000, lasting=False)
 
