@@ -163,6 +163,7 @@ def predicted(model: Model, text: Column) -> Column:
                 else:
                     out.append(pd.DataFrame({"lang_pred": [UNKNOWN] * len(part), "score": [0.0] * len(part)}))
             yield pd.concat(out) if out else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
+        texts = part = out = marks = None  # what is still held can't be given back
         release()
 
     return score(text)

@@ -107,14 +107,17 @@ def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while {name, key, of_text} & set(docs.columns):
         name, key, of_text = name + "_", key + "_", of_text + "_"
 
+    def without(text: str, spans: list[dict]) -> str:
+        raw = text.encode("utf-8", "surrogatepass")
+        return cut(raw, whole_characters(raw, repeats.merged(spans))).decode("utf-8", "ignore")
+
     @F.pandas_udf("string")
-    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            raw = t.encode("utf-8", "surrogatepass")
-            out.append(cut(raw, whole_characters(raw, repeats.merged(s))).decode("utf-8", "ignore"))
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        texts = spans = None
+        for texts, spans in batches:
+            yield pd.Series([without(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+        texts = spans = None  # what is still held can't be given back
         release()
-        return pd.Series(out, dtype=object)
 
     text = F.col(f"`{text_col}`")
     found = spans.select(F.col("doc").alias(key), F.col("row").alias(of_text), F.col("spans").alias(name))
