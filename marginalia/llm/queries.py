@@ -16,12 +16,14 @@ from .op7_decontamination import op7_decontamination
 from .op8_suffix_dedup import op8_suffix_dedup
 from .op9_packing import op9_packing
 from .op10_substring_dedup import op10_substring_dedup
+from . import op12_conversation_repair as op12
 from . import op13_collocations as op13
 from .op11_fingerprints import op11_fingerprints
+from .op12_conversation_repair import op12_conversation_repair
 from .op13_collocations import op13_collocations
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_chat_formatting, op3_topk_search, op4_simhash_dedup, op5_warc, op6_language_id, op7_decontamination, op8_suffix_dedup, op9_packing, op10_substring_dedup, op11_fingerprints, op13_collocations)
+    for f in (op1_sharding, op2_chat_formatting, op3_topk_search, op4_simhash_dedup, op5_warc, op6_language_id, op7_decontamination, op8_suffix_dedup, op9_packing, op10_substring_dedup, op11_fingerprints, op12_conversation_repair, op13_collocations)
 }
-ORACLES: dict[str, str] = {"op1_sharding": op1.ORACLE, "op2_chat_formatting": op2.ORACLE, "op3_topk_search": op3.ORACLE, "op5_warc": op5.ORACLE, "op13_collocations": op13.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": op1.ORACLE, "op2_chat_formatting": op2.ORACLE, "op3_topk_search": op3.ORACLE, "op5_warc": op5.ORACLE, "op12_conversation_repair": op12.ORACLE, "op13_collocations": op13.ORACLE}
