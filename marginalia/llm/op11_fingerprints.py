@@ -48,22 +48,23 @@ def draws(terms: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
     """Of each (term, weight) and sample one number: the bits of a above, 16 bits of a hash of (term, t) below."""
     out = np.empty((len(terms), samples), np.uint64)
     numbers = (np.arange(samples, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    part, log_w = np.uint64(0xFFFFFF), np.log(weights.astype(np.float64))
-    for lo in range(0, len(terms), 1024):
-        own = terms[lo : lo + 1024, None]
-        h = mix(own + numbers[None, :])
-        g = mix(h, 1)
+    part, log_w = np.uint64(0xFFFFFF), np.log(weights).astype(np.float32)
+    half, unit = np.float32(0.5), np.float32(2.0**-24)
 
-        def uniform(bits: np.ndarray, at: int) -> np.ndarray:
-            return ((bits >> np.uint64(at) & part).astype(np.float64) + 0.5) * 2.0**-24
+    def uniform(bits: np.ndarray, at: int) -> np.ndarray:
+        return ((bits >> np.uint64(at) & part).astype(np.float32) + half) * unit
 
+    for lo in range(0, len(terms), 512):
+        own = terms[lo : lo + 512, None]
+        h = mix(own + numbers[None, :])
+        g = mix(h, 1)
         r = -np.log(uniform(h, 40) * uniform(h, 16))
         c = -np.log(uniform(g, 40) * uniform(g, 16))
-        b = ((h & np.uint64(0xFFFF)) << np.uint64(16) | g & np.uint64(0xFFFF)).astype(np.float64) * 2.0**-32
-        t = np.floor(log_w[lo : lo + 1024, None] / r + b)
-        a = (c * np.exp(-r * (t - b + 1))).astype(np.float32)  # positive, so that its bits are ordered as it is
+        b = ((h & np.uint64(0xFFFF)) << np.uint64(8) | g & np.uint64(0xFF)).astype(np.float32) * unit
+        t = np.floor(log_w[lo : lo + 512, None] / r + b)
+        a = c * np.exp(-r * (t - b + np.float32(1)))  # positive, so that its bits are ordered as it is
         code = mix(own + mix(t.astype(np.int64).view(np.uint64), 11)) >> np.uint64(48)
-        out[lo : lo + 1024] = a.view(np.uint32).astype(np.uint64) << np.uint64(32) | code
+        out[lo : lo + 512] = a.view(np.uint32).astype(np.uint64) << np.uint64(32) | code
     return out
 
 
@@ -125,9 +126,7 @@ _COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary,
 _NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
-def _compared(ids: list, texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> list[pa.Array]:
-    changed = [edited(t, f).encode() for t, f in zip(texts, following, strict=True)]
-    other = signatures(changed, own.shape[1])
+def _compared(ids: list, texts: list[str], changed: list[bytes], own: np.ndarray, other: np.ndarray, after: np.ndarray) -> list[pa.Array]:
     binary = lambda rows: pa.array([r.astype(">u2").tobytes() for r in rows], pa.binary())
     return [
         pa.array(ids, pa.int64()),
@@ -146,14 +145,19 @@ def _along(samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, names = TaskContext.get().partitionId(), ["part", *_NAMES, "first_text", "last_text"]
         held, begun = None, None
-        for part in slices(batches, "text", SLICE):
+        for part in slices(batches, "text", SLICE // 2):
             ids, texts = part.column("doc").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-            found = signatures([t.encode() for t in texts], samples)
             begun = begun or (ids[0], texts[0])
+            new = [t.encode() for t in texts]
+            if held is not None:
+                ids, texts = [held[0], *ids], [held[1], *texts]
+            changed = [edited(a, b).encode() for a, b in zip(texts[:-1], texts[1:], strict=True)]
+            found = signatures(new + changed, samples)  # together, as they share most of their draws
+            found, other = found[: len(new)], found[len(new) :]
             if held is not None:
-                ids, texts, found = [held[0], *ids], [held[1], *texts], np.vstack((held[2], found))
-            if len(ids) > 1:
-                columns = _compared(ids[:-1], texts[:-1], texts[1:], found[:-1], found[1:])
+                found = np.vstack((held[2], found))
+            if changed:
+                columns = _compared(ids[:-1], texts[:-1], changed, found[:-1], other, found[1:])
                 none = pa.nulls(len(ids) - 1, pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([number] * (len(ids) - 1), pa.int32()), *columns, none, none], names=names)
             held = ids[-1], texts[-1], found[-1:]
@@ -169,8 +173,9 @@ def _pairs(samples: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, text, following = (batch.column(c)[k].as_py() for c in ("doc_id", "last_text", "next_text"))
-                found = signatures([text.encode(), following.encode()], samples)
-                yield pa.RecordBatch.from_arrays(_compared([doc], [text], [following], found[:1], found[1:]), names=_NAMES)
+                changed = edited(text, following).encode()
+                found = signatures([text.encode(), changed, following.encode()], samples)
+                yield pa.RecordBatch.from_arrays(_compared([doc], [text], [changed], *found[:, None]), names=_NAMES)
 
     return run
 
