@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_aggregates, queries_citations, queries_documents, queries_ranking, queries_rules, queries_text
+from . import queries_aggregates, queries_citations, queries_documents, queries_imports, queries_ranking, queries_rules, queries_text
 
-_MODULES = (queries_rules, queries_aggregates, queries_ranking, queries_text, queries_documents, queries_citations)
+_MODULES = (queries_rules, queries_aggregates, queries_ranking, queries_text, queries_documents, queries_citations, queries_imports)
 
 
 def queries() -> dict:
