@@ -196,6 +196,12 @@ def in_blocks(phrases: DataFrame, blocks: int) -> tuple[str, DataFrame]:
     return folder, spark.read.schema(schema).parquet(folder)
 
 
+def block_of(folder: str, block: int) -> pa.Table:
+    """The phrases of a block, in the order of their places."""
+    place, at = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    return ds.dataset(at, filesystem=place, format="parquet").to_table(columns=["place", "lang", "phrase"]).sort_by("place")
+
+
 _automata: dict[str, tuple[dict[str, ahocorasick.Automaton], int]] = {}
 
 
@@ -204,8 +210,7 @@ def automata(folder: str, block: int) -> tuple[dict[str, ahocorasick.Automaton],
     path = f"{folder}/block={block}"
     if path not in _automata:
         _automata.clear()
-        place, at = fs.FileSystem.from_uri(path)
-        table = ds.dataset(at, filesystem=place, format="parquet").to_table(columns=["place", "lang", "phrase"])
+        table = block_of(folder, block)
         made: dict[str, ahocorasick.Automaton] = {}
         for k, lang, phrase in zip(*(table.column(c).to_pylist() for c in ("place", "lang", "phrase")), strict=True):
             made.setdefault(lang, ahocorasick.Automaton(ahocorasick.STORE_INTS)).add_word(f" {phrase} ", k)
@@ -216,7 +221,8 @@ def automata(folder: str, block: int) -> tuple[dict[str, ahocorasick.Automaton],
 
 
 def matched(rows: DataFrame, folder: str, block: int) -> DataFrame:
-    """(block, place, f): how often each task of rows (lang, text) finds the phrases of a block."""
+    """(block, stretch, size, counts): how often each task of rows (lang, text) finds the phrases of a block, 2**STRETCH
+    phrases to a row, so that what a task sends follows its automata's size in bytes, not in rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, size = automata(folder, block)
@@ -227,12 +233,35 @@ def matched(rows: DataFrame, folder: str, block: int) -> DataFrame:
                 if lang in made and text:
                     found.extend(k for _, k in made[lang].iter(text))
             counts += np.bincount(found, minlength=size) if found else 0
-        some = np.flatnonzero(counts)
-        for lo in range(0, len(some), 1 << 16):
-            own = some[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), block, np.int32)), pa.array(own.astype(np.int32)), pa.array(counts[own])], names=["block", "place", "f"])
+        for k in range(0, size, 1 << STRETCH):
+            own = counts[k : k + (1 << STRETCH)]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([k >> STRETCH], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)])], names=["block", "stretch", "size", "counts"])
+
+    return rows.mapInArrow(tidy(run), "block int, stretch int, size int, counts binary")
+
+
+def summed(counts: DataFrame, folder: str, least: int) -> DataFrame:
+    """(lang, phrase, f) of the phrases that all tasks together found least times."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, np.int64)
+
+        def done() -> pa.RecordBatch:
+            own = block_of(folder, now[0]).slice(now[1] << STRETCH, len(total)).select(["lang", "phrase"])
+            return own.append_column("f", pa.array(total)).filter(pa.array(total >= least)).combine_chunks()
+
+        for batch in batches:
+            for block, stretch, blob, size in zip(*(batch.column(c).to_pylist() for c in ("block", "stretch", "counts", "size")), strict=True):
+                if now != (block, stretch):
+                    if now is not None:
+                        yield from done().to_batches()
+                    now, total = (block, stretch), np.zeros(size, np.int64)
+                total += np.frombuffer(pa.decompress(blob, 8 * size, "zstd", asbytes=True), np.int64)
+        if now is not None:
+            yield from done().to_batches()
 
-    return rows.mapInArrow(tidy(run), "block int, place int, f long")
+    return counts.repartition("block", "stretch").sortWithinPartitions("block", "stretch").mapInArrow(tidy(add), "lang string, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -247,28 +276,31 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         by_stretch[r["stretch"]] = np.unpackbits(np.frombuffer(r["heavy"], np.uint8)).view(bool)
     found = written(candidates(rows, heavy, bits, longest), "candidates")
     phrases = found.where("phrase <> ''")
-    size = phrases.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
+    spark, size = docs.sparkSession, phrases.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
     folder, blocks = in_blocks(phrases, max(1, -(-size // block_bytes)))
     counts = None
     for r in sorted(blocks.groupBy("block").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).collect()):
         own = matched(rows.where(F.col("lang").between(r["low"], r["high"])), folder, r["block"])
         counts = own if counts is None else counts.unionByName(own)
+    totals = written(found.where("phrase = ''").select("lang", "n"), "words")
     if counts is None:
-        counts = rows.sparkSession.createDataFrame([], "block int, place int, f long")
-    summed = counts.groupBy("block", "place").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return written(summed.join(blocks, ["block", "place"]).select("lang", "phrase", "f"), "phrase-counts"), found.where("phrase = ''").select("lang", "n")
+        return spark.createDataFrame([], "lang string, phrase string, f long"), totals
+    return written(summed(counts, folder, least), "phrase-counts"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """(lang, phrase, words, a, l, r, n, score) of the phrases of two words or more, by their lowest-scoring cut."""
     words = F.split("phrase", " ")
-    whole = counts.select("lang", "phrase", words.alias("words"), F.col("f").alias("a")).where(F.size("words") > 1)
-    cut = whole.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
-    cut = cut.select("lang", "phrase", "words", "a", "k", F.array_join(F.slice("words", F.lit(1), F.col("k")), " ").alias("left"), F.array_join(F.slice("words", F.col("k") + 1, F.size("words")), " ").alias("right"))
-    left = counts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
-    right = counts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    both = cut.join(left, ["lang", "left"]).join(right, ["lang", "right"]).join(totals, "lang")
-    exact = both.withColumn("score", F.expr("(cast(a as decimal(16, 0)) * cast(n as decimal(16, 0)) * cast(1000 as decimal(4, 0))) div (cast(l as decimal(16, 0)) * cast(r as decimal(16, 0)))"))
+    whole = counts.withColumn("words", words).where(F.size("words") > 1)
+    side = lambda k, first, part: F.struct(k.alias("k"), F.lit(first).alias("first"), F.array_join(part, " ").alias("part"))
+    sides = F.flatten(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.array(side(k, True, F.slice("words", F.lit(1), k)), side(k, False, F.slice("words", k + 1, F.size("words"))))))
+    cut = whole.select("lang", "phrase", F.col("f").alias("a"), F.explode(sides).alias("x")).select("lang", "phrase", "a", "x.k", "x.first", F.col("x.part").alias("part"))
+    known = counts.select("lang", F.col("phrase").alias("part"), "f")
+    halves = cut.join(known, ["lang", "part"]).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.collect_list(F.struct("k", "first", "f")).alias("halves"))  # two for each of at most longest - 1 cuts
+    of = lambda k, first: F.filter("halves", lambda h: (h["k"] == k) & (h["first"] == F.lit(first)))[0]["f"]
+    both = halves.withColumn("words", words).select("lang", "phrase", "words", "a", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda k: F.struct(k.alias("k"), of(k, True).alias("l"), of(k, False).alias("r")))).alias("x"))
+    exact = both.join(totals, "lang").select("lang", "phrase", "words", "a", "x.k", "x.l", "x.r", "n")
+    exact = exact.withColumn("score", F.expr("(cast(a as decimal(16, 0)) * cast(n as decimal(16, 0)) * cast(1000 as decimal(4, 0))) div (cast(l as decimal(16, 0)) * cast(r as decimal(16, 0)))"))
     least = exact.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"), F.first("words").alias("words"), F.first("a").alias("a"), F.first("n").alias("n"))
     return least.select("lang", "phrase", "words", "a", "cut.l", "cut.r", "n", "cut.score")
 
@@ -276,9 +308,13 @@ def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
 def not_inside(found: DataFrame, share: int = SHARE) -> DataFrame:
     """found without phrases that stand inside a longer one, of which share hundredths of their occurrences are."""
     size = F.size("words")
-    inner = found.where(size > 2).select("lang", F.col("a").alias("longer"), F.explode(F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda k: F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.array_join(F.slice("words", i, k), " "))))).alias("phrase"))
-    most = inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-    return found.join(most, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("a"), F.lit(True))).drop("longer")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.array_join(F.slice("words", i, k), " "))))
+    inside = F.when(size > 2, F.transform(inner, lambda p: F.struct(p.alias("phrase"), F.lit(None).cast(found.select(F.struct("words", "a", "l", "r", "n", "score").alias("own")).schema["own"].dataType).alias("own"), F.col("a").alias("longer"))))
+    self = F.array(F.struct("phrase", F.struct("words", "a", "l", "r", "n", "score").alias("own"), F.lit(None).cast("long").alias("longer")))
+    rows = found.select("lang", F.explode(F.concat(self, F.coalesce(inside, F.slice(self, 1, 0)))).alias("x")).select("lang", "x.*")
+    most = rows.groupBy("lang", "phrase").agg(F.max("own").alias("own"), F.max("longer").alias("longer"))
+    kept = most.where(F.coalesce(100 * F.col("longer") < share * F.col("own.a"), F.lit(True)))
+    return kept.select("lang", "phrase", "own.*")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, share: int = SHARE, **sizes: int) -> DataFrame:
