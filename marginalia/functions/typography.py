@@ -154,7 +154,7 @@ def claim(before: Column) -> Column:
 
 def latex_uncommented(text: Column) -> Column:
     """every line up to its first % that no escape stands before."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.regexp_extract(line, r"^((?:\\.|[^%\\])*)", 1)), "\n")
+    return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)%[^\n]*", "$1")
 
 
 def tabular_rows(body: Column) -> Column:

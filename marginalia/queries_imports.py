@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources import imports as IN
+from .sources import latex as TEX
 from .sources import markdown as MD
 from .sources import standins as S
 
@@ -123,5 +125,120 @@ SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY n, i) - 1)::INT
 FROM found LEFT JOIN led USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"s07_blocks": s07_blocks}
-ORACLES: dict[str, str] = {"s07_blocks": _S07}
+
+def typeset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): every line of every document as LaTeX, of a kind that follows from its id and number."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "text")
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(F.translate(t, _MARKS + "%{}^", ""), "[ \t\r\x0b\x0c]+", " "), r"^[^\p{L}]+", ""))
+    lines = F.filter(F.transform(F.split("text", "\n"), clean), lambda t: t != "")
+
+    def block(line: Column, k: Column) -> Column:
+        w = F.split(line, " ")
+        word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
+        kind = (F.col("doc_id") + 3 * k + F.floor(k / 10)) % 10
+        sub = F.repeat(F.lit("sub"), k % 3)
+        cases = [
+            F.concat(F.lit("\\"), sub, F.lit("section*{"), line, F.lit(" \\textbf{"), word(0), F.lit("}}")),
+            F.concat(word(0), F.lit(" \\textbf{"), word(1), F.lit(" \\emph{"), word(2), F.lit("} "), line, F.lit("} 50\\% ~\\cite{a}$x_1$ % gone {\n\\noindent \\textsf{"), word(1), F.lit("}\\\\"), word(2)),
+            F.concat(F.lit("\\begin{itemize}\n\\item "), line, F.lit("\n\\item \\texttt{"), word(0), F.lit("}\n\\end{itemize}")),
+            F.concat(F.lit("\\begin{enumerate}\\item "), word(0), F.lit("\\item "), word(1), F.lit("\\end{enumerate}")),
+            F.concat(F.lit("\\begin{quote}\n"), line, F.lit("\n \n"), word(0), F.lit("\n\\end{quote}")),
+            F.concat(F.lit("\\begin{equation*}\n "), word(0), F.lit(" = \\frac{1}{2}\n\\end{equation*}")),
+            F.concat(F.lit("\\begin{verbatim}\n"), line, F.lit("\n  \\item {\n\\end{verbatim}")),
+            F.concat(F.lit("\\begin{table}[h]\n\\caption{\\emph{"), word(0), F.lit("} "), word(1), F.lit("}\n\\begin{tabular}{|l|p{2cm}|}\n\\hline\n"), word(0), F.lit(" & "), word(1), F.lit(" \\\\ \\hline\n"), line, F.lit(" & \\textbf{"), word(2), F.lit("} \\\\\n\\end{tabular}\n\\end{table}")),
+            F.concat(F.lit("\\begin{figure}\\includegraphics[width=1cm]{"), word(0), F.when(k % 2 == 0, F.concat(F.lit("}\\caption{"), line, F.lit("}"))).otherwise("}"), F.lit("\\end{figure}")),
+            F.concat(F.lit("\\begin{center}\n"), line, F.lit("\n\\begin{mybox}\n\\textit{"), word(0), F.lit("}\n\\end{mybox}\n\\end{center}")),
+        ]
+        out = F.lit(None).cast("string")
+        for i, c in enumerate(cases):
+            out = F.when(kind == i, c).otherwise(out)
+        return out
+
+    body = F.array_join(F.transform(lines, block), "\n\n")
+    whole = F.concat(F.lit("\\documentclass{article}\n\\title{On \\emph{document} "), F.col("doc_id"), F.lit("}\n\\begin{document}\n\\maketitle\n\n"), body, F.lit("\n\\end{document}\n"))
+    return docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, whole).otherwise(body).alias("text"))
+
+
+def s10_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = TEX.latex_blocks(typeset(spark, sf_dir), "doc_id", "text")
+    return shown(rows.withColumn("place", F.lit(0))).drop("place", "top")
+
+
+#: What each line of typeset() is to give, from its words: the text is made by concatenation, so no parser is needed.
+_S10 = rf"""
+WITH cleaned AS (
+  SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(regexp_replace(translate(t, '{_SQL_MARKS}%{{}}^', ''), '[ \t\r\x0b\x0c]+', ' ', 'g'), '^[^\p{{L}}]+', ''))), lambda t: t <> '') AS ls
+  FROM documents
+), ls AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM cleaned),
+p AS (
+  SELECT doc_id, k, line, (doc_id + 3 * k + k // 10) % 10 AS kind, string_split(line, ' ')[1] AS w0, coalesce(string_split(line, ' ')[2], 'x') AS w1, coalesce(string_split(line, ' ')[3], 'x') AS w2 FROM ls
+), found AS (
+  SELECT doc_id, 0 AS part, 'title' AS kind, NULL AS level, 0 AS depth, NULL::BOOLEAN AS ordered, 'On document ' || doc_id AS text, '' AS marks, NULL AS cells, NULL AS src FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT doc_id, 0, 'heading', k % 3 + 1, 0, NULL, line || ' ' || w0, 'bold:' || w0, NULL, NULL FROM p WHERE kind = 0
+  UNION ALL SELECT doc_id, 0, 'paragraph', NULL, 0, NULL, w0 || ' ' || w1 || ' ' || w2 || ' ' || line || ' 50%  x_1 ' || chr(10) || ' ' || w1 || chr(10) || w2, 'bold:' || w1 || ' ;bold+italic:' || w2 || ';bold: ' || line || ';math:x_1', NULL, NULL FROM p WHERE kind = 1
+  UNION ALL SELECT doc_id, 0, 'item', NULL, 1, false, line, '', NULL, NULL FROM p WHERE kind = 2
+  UNION ALL SELECT doc_id, 1, 'item', NULL, 1, false, w0, 'code:' || w0, NULL, NULL FROM p WHERE kind = 2
+  UNION ALL SELECT doc_id, i, 'item', NULL, 1, true, CASE i WHEN 0 THEN w0 ELSE w1 END, '', NULL, NULL FROM p, range(2) r(i) WHERE kind = 3
+  UNION ALL SELECT doc_id, i, 'quote', NULL, 1, NULL, CASE i WHEN 0 THEN line ELSE w0 END, '', NULL, NULL FROM p, range(2) r(i) WHERE kind = 4
+  UNION ALL SELECT doc_id, 0, 'math', NULL, 0, NULL, w0 || ' = \frac{{1}}{{2}}', '', NULL, NULL FROM p WHERE kind = 5
+  UNION ALL SELECT doc_id, 0, 'code', NULL, 0, NULL, line || chr(10) || '  \item {{', '', NULL, NULL FROM p WHERE kind = 6
+  UNION ALL SELECT doc_id, 0, 'caption', NULL, 0, NULL, w0 || ' ' || w1, 'italic:' || w0, NULL, NULL FROM p WHERE kind = 7
+  UNION ALL SELECT doc_id, i + 1, 'row', 1 - i, 0, NULL, '', '', CASE i WHEN 0 THEN w0 || '|' || w1 ELSE line || '|' || w2 END, NULL FROM p, range(2) r(i) WHERE kind = 7
+  UNION ALL SELECT doc_id, 0, 'figure', NULL, 0, NULL, CASE WHEN k % 2 = 0 THEN line ELSE '[' || w0 || ']' END, '', NULL, '' FROM p WHERE kind = 8
+  UNION ALL SELECT doc_id, 0, 'paragraph', NULL, 0, NULL, CASE i WHEN 0 THEN line ELSE w0 END, CASE i WHEN 0 THEN '' ELSE 'italic:' || w0 END, NULL, NULL FROM p, range(2) r(i) WHERE kind = 9
+)
+SELECT doc_id, part::INT AS part, depth::INT AS depth, kind, level::INT AS level, ordered, text, marks, cells, src FROM found
+"""
+
+
+def f02_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first caption of each document, braces balanced."""
+    return typeset(spark, sf_dir).select("doc_id", TEX.argument_of(F.col("text"), "\\caption").alias("caption"))
+
+
+_TYPESET_LINES = _S10[: _S10.index("), found AS")] + ")"
+_F02 = (
+    _TYPESET_LINES
+    + r""", c AS (SELECT doc_id, k, CASE kind WHEN 7 THEN '\emph{' || w0 || '} ' || w1 ELSE line END AS caption FROM p WHERE kind = 7 OR kind = 8 AND k % 2 = 0)
+SELECT d.doc_id, coalesce((SELECT first(caption ORDER BY k) FROM c WHERE c.doc_id = d.doc_id), '') AS caption FROM documents d"""
+)
+
+
+def f07_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and whether the body was found between the bounds of a document."""
+    rows = TEX.parts(typeset(spark, sf_dir), "doc_id", "text")
+    return rows.select(F.col("key").alias("doc_id"), "title", F.col("body").contains("maketitle").alias("bounded"), F.col("body").contains("documentclass").alias("preamble"))
+
+
+_F07 = r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'On document ' || doc_id ELSE '' END AS title, doc_id % 2 = 0 AS bounded, false AS preamble FROM documents"
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, filename, text): documents as files of five kinds, one of which has no reader."""
+    kind = F.col("doc_id") % 5
+    name = F.concat(F.lit("in/Doc."), F.col("doc_id"), F.when(kind == 0, ".md").when(kind == 1, ".TEX").when(kind == 2, ".txt").when(kind == 3, ".odt").otherwise(""))
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("plain"))
+    both = docs.join(dressed(spark, sf_dir).withColumnRenamed("text", "md"), "doc_id").join(typeset(spark, sf_dir).withColumnRenamed("text", "tex"), "doc_id")
+    return both.select("doc_id", name.alias("filename"), F.when(kind == 0, F.col("md")).when(kind == 1, F.col("tex")).otherwise(F.col("plain")).alias("text"))
+
+
+def s05_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titles, blocks = IN.imported(filed(spark, sf_dir), "doc_id", "filename", "text")
+    counts = blocks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.char_length("text")).alias("chars"))
+    return titles.join(counts, "doc_id", "left").select("doc_id", "title", "kind", F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"), F.coalesce("chars", F.lit(0).cast("long")).alias("chars"))
+
+
+_S05 = rf"""
+WITH md AS ({_S07}), tex AS ({_S10}),
+plain AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t]*\n')) AS t FROM documents),
+blocks AS (
+  SELECT doc_id, kind, text FROM md WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, kind, text FROM tex WHERE doc_id % 5 = 1
+  UNION ALL SELECT doc_id, 'paragraph', regexp_replace(t, '^[\s\x0b]+|[\s\x0b]+$', '', 'g') FROM plain WHERE doc_id % 5 = 2 AND regexp_matches(t, '[^\s\x0b]')
+), titles AS (SELECT doc_id, any_value(text) FILTER (WHERE kind = 'title') AS title, count(*) FILTER (WHERE kind <> 'title') AS n, sum(length(text)) FILTER (WHERE kind <> 'title') AS chars FROM blocks GROUP BY doc_id)
+SELECT d.doc_id, coalesce(nullif(trim(title), ''), CASE WHEN d.doc_id % 5 = 4 THEN 'Doc' ELSE 'Doc.' || d.doc_id END)[1 : 300] AS title,
+  CASE d.doc_id % 5 WHEN 0 THEN 'markdown' WHEN 1 THEN 'latex' WHEN 2 THEN 'text' END AS kind, coalesce(n, 0) AS blocks, coalesce(chars, 0)::BIGINT AS chars
+FROM documents d LEFT JOIN titles t ON t.doc_id = d.doc_id
+"""
+
+QUERIES: dict[str, Query] = {"s07_blocks": s07_blocks, "s10_blocks": s10_blocks, "f02_captions": f02_captions, "s05_imports": s05_imports, "f07_titles": f07_titles}
+ORACLES: dict[str, str] = {"s07_blocks": _S07, "s10_blocks": _S10, "f02_captions": _F02, "s05_imports": _S05, "f07_titles": _F07}
