@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_aggregates, queries_citations, queries_documents, queries_imports, queries_ranking, queries_rules, queries_text
+from . import queries_aggregates, queries_citations, queries_documents, queries_imports, queries_ranking, queries_repairs, queries_rules, queries_text
 
-_MODULES = (queries_rules, queries_aggregates, queries_ranking, queries_text, queries_documents, queries_citations, queries_imports)
+_MODULES = (queries_rules, queries_aggregates, queries_ranking, queries_text, queries_documents, queries_citations, queries_imports, queries_repairs)
 
 
 def queries() -> dict:
