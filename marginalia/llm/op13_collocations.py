@@ -23,6 +23,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,6 +44,8 @@ NO_LANGUAGE = "und"
 #: Bits of a counter's number at most, of a stretch of counters that travels, and bytes of text handled at once.
 BITS, STRETCH, SLICE = 24, 16, 2 << 20
 ROWS = 2
+#: Bits of a bucket's number in which phrases are merged, and bytes of them that a task holds back.
+BUCKETS, HELD = 8, 8 << 20
 #: Bytes of the phrases in a block of automata, about.
 BLOCK_BYTES = 6 << 20
 
@@ -150,20 +154,38 @@ def heavy_cells(rows: DataFrame, least: int, longest: int, bits: int) -> DataFra
 
 
 def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, n): phrases whose bounds reach least, of n 0; and for each language the empty phrase, n its words."""
+    """(lang, phrase, n): phrases whose bounds reach least, of n 0; and for each language the empty phrase, n its words.
+
+    A task gives each of its phrases once, those of a bucket of hashes in one row; buckets are merged one at a time.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(np.packbits(heavy, axis=1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = np.unpackbits(sent.value, axis=1).view(bool)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bit = sent.value
         seen = np.zeros(0, np.uint64)
+        words: Counter[str] = Counter()
+        held: dict[int, list[tuple[str, str]]] = {}
+        size = 0
+
+        def is_heavy(row: int, at: np.ndarray) -> np.ndarray:
+            return (bit[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+        def rows_of(held: dict[int, list[tuple[str, str]]], counts: list[int] | None = None) -> pa.RecordBatch:
+            keys = sorted(held)
+            lists = [pa.array([[x[k] for x in held[b]] for b in keys], pa.list_(pa.string())) for k in (0, 1)]
+            n = pa.array([[0] * len(held[b]) for b in keys] if counts is None else [[c] for c in counts], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *lists, n], names=["bucket", "langs", "phrases", "n"])
+
         for part in slices(batches, "text", SLICE):
             own, langs = Phrases(part), _languages(part)
             whole, begin = own.spaced()
-            out: list[tuple[str, str, int]] = [(x, "", int(n)) for x, n in zip(langs, np.diff(own.first), strict=True)]
+            for lang, n in zip(langs, np.diff(own.first).tolist(), strict=True):
+                words[lang] += n
             may = np.ones(len(own.starts) + 1, bool)
             for k, (at, h) in enumerate(own.hashes(langs, longest), 1):
                 a, b = cells(h, bits)
-                yes = may[at] & (may[at + 1] if k > 1 else True) & bit[0][a] & bit[1][b]
+                yes = may[at] & (may[at + 1] if k > 1 else True)
+                yes[yes] = is_heavy(0, a[yes]) & is_heavy(1, b[yes])
                 may = np.zeros(len(own.starts) + 1, bool)
                 may[at[yes]] = True
                 h, first = np.unique(h[yes], return_index=True)
@@ -171,12 +193,38 @@ def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> D
                 new = np.ones(len(h), bool)
                 new[place < len(seen)] = seen[place[place < len(seen)]] != h[place < len(seen)]
                 seen = np.insert(seen, place[new], h[new])
-                out += [(langs[own.text[i]], whole[begin[i] : begin[i + k] - 1].decode(), 0) for i in at[yes][first[new]].tolist()]
-            if out:
-                lang, phrase, n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+                for i, bucket in zip(at[yes][first[new]].tolist(), (h[new] >> np.uint64(64 - BUCKETS)).tolist(), strict=True):
+                    phrase = whole[begin[i] : begin[i + k] - 1].decode()
+                    held.setdefault(bucket, []).append((langs[own.text[i]], phrase))
+                    size += len(phrase)
+            if size > HELD:
+                yield rows_of(held)
+                held, size = {}, 0
+        if held:
+            yield rows_of(held)
+        for lang, n in words.items():
+            yield rows_of({zlib.crc32(lang.encode()) >> (32 - BUCKETS): [(lang, "")]}, [n])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, Counter()
+
+        def done() -> pa.RecordBatch:
+            lang, phrase = zip(*total, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(total.values(), pa.int64())], names=["lang", "phrase", "n"])
+
+        for batch in batches:
+            for k, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if bucket != now:
+                    if now is not None:
+                        yield done()
+                    now, total = bucket, Counter()
+                for lang, phrase, n in zip(*(batch.column(c)[k].as_py() for c in ("langs", "phrases", "n")), strict=True):
+                    total[lang, phrase] += n
+        if now is not None:
+            yield done()
 
-    return rows.mapInArrow(tidy(run), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(tidy(find), "bucket int, langs array<string>, phrases array<string>, n array<bigint>")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merge), "lang string, phrase string, n long")
 
 
 def in_blocks(phrases: DataFrame, blocks: int) -> tuple[str, DataFrame]:
@@ -272,7 +320,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         bits = min(BITS, max(STRETCH, (size // 25).bit_length()))
     heavy = np.zeros((ROWS, 1 << bits), bool)
     by_stretch = heavy.reshape(-1, 1 << min(bits, STRETCH))
-    for r in heavy_cells(rows, least, longest, bits).toLocalIterator():  # a bit for each counter, whatever the corpus
+    for r in heavy_cells(rows, least, longest, bits).collect():  # a bit for each counter, 4 MB at most
         by_stretch[r["stretch"]] = np.unpackbits(np.frombuffer(r["heavy"], np.uint8)).view(bool)
     found = written(candidates(rows, heavy, bits, longest), "candidates")
     phrases = found.where("phrase <> ''")
