@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import localization as L
+from .operators import repairs as B
+from .queries_imports import _S10, shown, typeset
+from .sources import latex as TEX
 from .sources import standins as S
 from .sources.standins_sql import with_tables
 
@@ -94,5 +97,189 @@ checked AS (
 SELECT p.doc_id, p.place, coalesce(f.text, p.text) AS text, f.text IS NOT NULL AS restored FROM paragraphs p LEFT JOIN fixed f ON f.doc_id = p.doc_id AND f.place = p.place
 """
 
-QUERIES: dict[str, Query] = {"x04_places": x04_places, "b13_restored": b13_restored}
-ORACLES: dict[str, str] = {"x04_places": _X04, "b13_restored": _B13}
+
+def read_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units as the blocks that a typeset document is read into, of a kind that follows from id, place and length."""
+    w = lambda i: F.coalesce(F.get(F.split("text", " "), F.lit(i)), F.lit("x"))
+    t, bare = F.col("text"), F.regexp_replace("text", "[.!?,]+$", "")
+    r = (F.col("k").cast("long") * F.col("k") + F.col("doc_id") * 3 + F.length("text")) % 20
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    heads = [F.lit("目錄"), F.lit("References"), text("附錄 ", w(0)), F.lit("List of Tables"), text("1.2 ", w(0)), text("第一章 ", w(0)), text("資料來源 ", w(0)), t]
+    heading = F.lit(None).cast("string")
+    for i, h in enumerate(heads):
+        heading = F.when((F.col("doc_id") + F.col("k")) % 8 == i, h).otherwise(heading)
+    row = lambda *cells: F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells))
+    block = lambda kind, said="", items=None, rows=None, ordered=None: F.struct(F.lit(kind).alias("kind"), (F.lit(said) if isinstance(said, str) else said).alias("text"), (F.lit(None) if ordered is None else F.lit(ordered)).cast("boolean").alias("ordered"), (F.lit(None) if items is None else F.array(*items)).cast("array<string>").alias("items"), (F.lit(None) if rows is None else F.array(*rows)).cast("array<array<string>>").alias("rows"))
+    cases = {
+        0: block("heading", heading),
+        2: block("list", items=[t, F.lower(text(w(0), " ", w(1))), text(w(1), "."), text("(a) ", w(0)), w(0)], ordered=False),
+        3: block("table", rows=[row("h1", "h2"), row(w(0), w(1)), row("", w(1)), row(w(1), "y-"), row("", F.lower(w(0)))]),
+        4: block("figure"),
+        5: block("paragraph", text("Figure ", F.col("k"), ": ", w(0), " ", w(1), F.when(F.col("k") % 2 == 0, text(" 資料來源 ", w(0), " 表 1-2 ", w(1))).otherwise(""))),
+        6: block("paragraph", text("Table ", F.col("k"), ". ", w(0))),
+        7: block("table", rows=[F.when(F.col("k") % 2 == 0, row("h1", "h2")).otherwise(row(w(0), w(1))), row(w(1), w(0))]),
+        8: block("quote", F.when(F.col("k") % 2 == 0, t).otherwise(w(0))),
+        9: block("paragraph", F.lower(bare)),
+        10: block("paragraph", text(w(0), " ..... ", F.col("k"))),
+        11: block("paragraph", text(w(0), " Retrieved from")),
+        12: block("paragraph", text("https://a.example/", F.col("k"), "/")),
+        13: block("paragraph", text("1.2.3 ", w(0), " ", t)),
+        14: block("list", items=[bare, F.lower(t), w(0)], ordered=True),
+        15: block("table", rows=[row(text("表 1 ", w(0)), ""), row(w(0), w(1)), row("x", w(0))]),
+        16: block("list", items=[w(0), w(1)], ordered=False),
+        19: block("paragraph", F.lower(t)),
+    }
+    out = F.when(r.isin(1, 17), block("paragraph", text("--- end of page ", F.col("k"), " ---"))).otherwise(block("paragraph", t))
+    for i, c in cases.items():
+        out = F.when(r == i, c).otherwise(out)
+    rows = S.edus(spark, sf_dir).select("doc_id", F.col("k").cast("long").alias("place"), out.alias("b"), (F.col("k") % 3 + 1).alias("level"))
+    return rows.select("doc_id", "place", "b.kind", F.when(F.col("b.kind") == "heading", F.col("level")).alias("level"), "b.text", "b.ordered", "b.items", "b.rows", F.lit(None).cast("string").alias("caption"))
+
+
+def _flat(blocks: DataFrame) -> DataFrame:
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), "/")
+    return blocks.select("doc_id", "place", "kind", "level", "text", "ordered", F.array_join("items", "|").alias("items"), rows.alias("rows"), "caption")
+
+
+def _repair(repair: Callable[[DataFrame, str], DataFrame]) -> Query:
+    return lambda s, d: _flat(repair(read_blocks(s, d), "doc_id"))
+
+
+_WORDS = ", ".join(f"coalesce(string_split(text, ' ')[{i + 1}], 'x') AS w{i}" for i in range(2))
+_BLOCKS = rf"""units AS (
+  SELECT doc_id, k::BIGINT AS place, text AS t, regexp_replace(text, '[.!?,]+$', '') AS bare, {_WORDS}, (k::BIGINT * k + doc_id * 3 + length(text)) % 20 AS r FROM edus
+), blocks AS (
+  SELECT doc_id, place, CASE WHEN r = 0 THEN 'heading' WHEN r IN (2, 14, 16) THEN 'list' WHEN r IN (3, 7, 15) THEN 'table' WHEN r = 4 THEN 'figure' WHEN r = 8 THEN 'quote' ELSE 'paragraph' END AS kind,
+    CASE WHEN r = 0 THEN place % 3 + 1 END::INTEGER AS level,
+    CASE r WHEN 0 THEN ['目錄', 'References', '附錄 ' || w0, 'List of Tables', '1.2 ' || w0, '第一章 ' || w0, '資料來源 ' || w0, t][(doc_id + place) % 8 + 1]
+      WHEN 1 THEN '--- end of page ' || place || ' ---' WHEN 17 THEN '--- end of page ' || place || ' ---'
+      WHEN 5 THEN 'Figure ' || place || ': ' || w0 || ' ' || w1 || CASE WHEN place % 2 = 0 THEN ' 資料來源 ' || w0 || ' 表 1-2 ' || w1 ELSE '' END
+      WHEN 6 THEN 'Table ' || place || '. ' || w0 WHEN 8 THEN CASE WHEN place % 2 = 0 THEN t ELSE w0 END WHEN 9 THEN lower(bare) WHEN 10 THEN w0 || ' ..... ' || place
+      WHEN 11 THEN w0 || ' Retrieved from' WHEN 12 THEN 'https://a.example/' || place || '/' WHEN 13 THEN '1.2.3 ' || w0 || ' ' || t WHEN 19 THEN lower(t)
+      ELSE CASE WHEN r IN (2, 3, 4, 7, 14, 15, 16) THEN '' ELSE t END END AS text,
+    CASE WHEN r IN (2, 16) THEN false WHEN r = 14 THEN true END AS ordered,
+    CASE r WHEN 2 THEN [t, lower(w0 || ' ' || w1), w1 || '.', '(a) ' || w0, w0] WHEN 14 THEN [bare, lower(t), w0] WHEN 16 THEN [w0, w1] END AS items,
+    CASE r WHEN 3 THEN [['h1', 'h2'], [w0, w1], ['', w1], [w1, 'y-'], ['', lower(w0)]] WHEN 7 THEN [CASE WHEN place % 2 = 0 THEN ['h1', 'h2'] ELSE [w0, w1] END, [w1, w0]] WHEN 15 THEN [['表 1 ' || w0, ''], [w0, w1], ['x', w0]] END AS rows,
+    NULL::VARCHAR AS caption, NULL::VARCHAR AS s
+  FROM units
+)"""
+_SHOW = "doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, part) - 1)::BIGINT AS place, kind, level::INTEGER AS level, text, ordered, array_to_string(items, '|') AS items, array_to_string(list_transform(rows, lambda x: array_to_string(x, '|')), '/') AS rows, caption"
+_CLOSED = r"""regexp_matches(regexp_replace({}, '[\s」』〉》）)\]｝}}＞>"'']+$', ''), '[。．.！？!?；;：:…]$')"""
+_LABELLED = r"regexp_matches({}, '^(（[一二三四五六七八九十]+）|\([a-z0-9]{{1,3}}\)|[一二三四五六七八九十]+、|第[一-鿿\d]+章|附錄|圖\s*\d|表\s*\d|H\d|[\d.]+\s)')"
+_ENTRY = r"regexp_matches({}, '^([A-Z][^()]{{0,100}}\(\d{{4}}[a-z]?\)|[㐀-鿿]{{1,8}}[、，]?[㐀-鿿、，\s]{{0,25}}[（(]\s*\d{{4}}|網路資源$|中文$|英文$)')"
+#: Between two texts of these tables: nothing behind a hyphen before a small letter, else a space; no text is empty or ideographic here.
+_GLUE = r"CASE WHEN {0} = '' OR {1} = '' OR ends_with({0}, '-') AND regexp_matches({1}, '^[a-z]') OR regexp_matches({0}, '[㐀-䶿一-鿿，。、；：！？（）「」『』《》〈〉【】]$') OR regexp_matches({1}, '^[㐀-䶿一-鿿，。、；：！？（）「」『』《》〈〉【】]') THEN '' ELSE ' ' END"
+
+
+def _sql(ctes: str, of: str) -> str:
+    return with_tables("edus", f"WITH {_BLOCKS}{ctes} SELECT {_SHOW} FROM {of}")
+
+
+_REPAIRS_SQL = {
+    "b01_headings": _sql(r""", p AS (SELECT *, kind = 'heading' AND (length(text) >= 40 OR regexp_matches(text, '[。．.！？!?；;：:，,、]$|^([（(]?資料來源|來源[:：]|(圖|表|Figure|Table)\s*\d)')) AS prose FROM blocks),
+      out AS (SELECT * REPLACE (CASE WHEN prose THEN 'paragraph' ELSE kind END AS kind, CASE WHEN NOT prose THEN level END AS level), 0 AS part FROM p)""", "out"),
+    "b02_quotes": _sql(", out AS (SELECT * REPLACE (CASE WHEN kind = 'quote' AND (length(text) >= 40 OR regexp_matches(text, '[。．.！？!?；;：:]$')) THEN 'paragraph' ELSE kind END AS kind), 0 AS part FROM blocks)", "out"),
+    "b03_captions": _sql(r""", c AS (
+        SELECT *, CASE WHEN regexp_matches(text, '^Figure \d+') THEN regexp_extract(text, '^Figure \d+: (.*)$', 1) END AS f, CASE WHEN regexp_matches(text, '^Table \d+') THEN regexp_extract(text, '^Table \d+[.] (.*)$', 1) END AS tb FROM blocks
+      ), n AS (SELECT *, lag(kind) OVER w AS b, lead(kind) OVER w AS nx, lead(f) OVER w AS ff, lag(tb) OVER w AS tt FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      out AS (SELECT * REPLACE (CASE WHEN kind = 'figure' THEN ff WHEN kind = 'table' THEN tt END AS caption), 0 AS part FROM n WHERE NOT coalesce(f IS NOT NULL AND b = 'figure' OR tb IS NOT NULL AND nx = 'table', false))""", "out"),
+    "b04_directories": _sql(r""", d AS (SELECT *, coalesce(kind = 'paragraph' AND (text = '' OR regexp_matches(text, '[.…]{2,}\s*(\d+|(?i)[ivxlcdm]+)?\s*$')), false) AS debris, CASE WHEN kind = 'heading' AND text IN ('目錄', 'List of Tables') THEN CASE text WHEN '目錄' THEN 'tableOfContents' ELSE 'tableList' END END AS node FROM blocks),
+      u AS (SELECT *, max(CASE WHEN NOT debris THEN place END) OVER (PARTITION BY doc_id ORDER BY place) AS opener FROM d),
+      kept AS (SELECT u.* FROM u LEFT JOIN d o ON o.doc_id = u.doc_id AND o.place = u.opener WHERE NOT u.debris OR o.node IS NULL),
+      out AS (SELECT * EXCLUDE (debris, node, opener), 0 AS part FROM kept UNION ALL SELECT doc_id, place, node, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1 FROM kept WHERE node IS NOT NULL)""", "out"),
+    "b05_caption_lines": _sql(r""", c AS (SELECT *, CASE WHEN kind = 'paragraph' AND text LIKE 'Figure % 資料來源 %' THEN [split_part(text, ' 資料來源 ', 1), '資料來源 ' || split_part(split_part(text, ' 資料來源 ', 2), ' 表 1-2 ', 1), '表 1-2 ' || split_part(text, ' 表 1-2 ', 2)] ELSE [text] END AS ts FROM blocks),
+      out AS (SELECT * EXCLUDE (ts) REPLACE (unnest(ts) AS text), unnest(range(len(ts))) AS part FROM c)""", "out"),
+    "b06_lists": _sql(f""", refs AS (SELECT doc_id, min(place) AS at_ FROM blocks WHERE kind = 'heading' AND text = 'References' GROUP BY 1),
+      i AS (SELECT doc_id, place, unnest(items) AS t, unnest(range(len(items))) AS j FROM blocks WHERE kind = 'list'),
+      l AS (SELECT *, lag(t) OVER w AS b FROM i WINDOW w AS (PARTITION BY doc_id, place ORDER BY j)),
+      c AS (SELECT *, coalesce(NOT {_CLOSED.format("b")} AND NOT {_LABELLED.format("t")} AND NOT {_ENTRY.format("t")}, false) AS goes, coalesce({_GLUE.format("b", "t")}, '') AS glue FROM l),
+      ch AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY doc_id, place ORDER BY j) AS chain FROM c),
+      hd AS (SELECT *, least(j, coalesce(min(CASE WHEN length(t) >= 30 THEN j END) OVER (PARTITION BY doc_id, place, chain), j)) AS head FROM ch),
+      m AS (SELECT doc_id, place, head, string_agg(CASE WHEN j = head THEN '' ELSE glue END || t, '' ORDER BY j) AS t FROM hd GROUP BY ALL),
+      ls AS (SELECT doc_id, place, list(t ORDER BY head) AS ts, max(length(t)) AS longest FROM m GROUP BY ALL),
+      x AS (SELECT b.*, ts, coalesce(kind = 'list' AND NOT ordered AND NOT coalesce(b.place > at_, false) AND len(ts) >= 2 AND longest <= 40, false) AS stays FROM blocks b LEFT JOIN ls ON ls.doc_id = b.doc_id AND ls.place = b.place LEFT JOIN refs ON refs.doc_id = b.doc_id),
+      y AS (SELECT *, CASE WHEN kind <> 'list' OR stays THEN [text] WHEN ordered THEN list_transform(ts, lambda t, n: n || '. ' || t) ELSE ts END AS parts FROM x),
+      out AS (SELECT * EXCLUDE (ts, stays, parts) REPLACE (CASE WHEN kind = 'list' AND NOT stays THEN 'paragraph' ELSE kind END AS kind, CASE WHEN stays THEN ordered END AS ordered, CASE WHEN stays THEN ts END AS items, unnest(parts) AS text), unnest(range(len(parts))) AS part FROM y)""", "out"),
+    "b07_pages": _sql(f""", m AS (SELECT *, kind = 'paragraph' AND text LIKE '--- end of page %' AS mark FROM blocks),
+      pg AS (SELECT *, coalesce(lag(mark) OVER (PARTITION BY doc_id ORDER BY place), false) AS paged FROM m),
+      n AS (SELECT * EXCLUDE (mark) REPLACE (text AS s), lag(kind) OVER w AS bk, lag(text) OVER w AS b FROM pg WHERE NOT mark WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      c AS (SELECT *, coalesce(kind = 'paragraph' AND bk = 'paragraph' AND paged AND NOT {_CLOSED.format("b")} AND regexp_matches(s, '^[㐀-鿿a-z]') AND NOT {_LABELLED.format("s")}, false) AS page,
+        coalesce(kind = 'paragraph' AND bk = 'paragraph' AND NOT paged AND regexp_matches(b, '(Retrieved from|https?://\\S*[-/])$') AND regexp_matches(s, '^(https?://|\\S+\\.(com|org|net|edu))') OR kind = 'table' AND bk = 'table' AND paged, false) AS free,
+        coalesce({_GLUE.format("b", "s")}, '') AS glue FROM n),
+      ru AS (SELECT *, sum((NOT (page OR free))::INT) OVER w AS chain, sum((NOT free)::INT) OVER w AS run FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      bg AS (SELECT *, min(place) OVER (PARTITION BY doc_id, run) AS b0, sum(length(s) + length(glue)) OVER (PARTITION BY doc_id, run) AS chars FROM ru),
+      hd AS (SELECT *, least(b0, coalesce(min(CASE WHEN chars >= 30 THEN b0 END) OVER (PARTITION BY doc_id, chain), b0)) AS head FROM bg),
+      out AS (SELECT doc_id, head AS place, arg_min(kind, place) AS kind, arg_min(level, place) AS level, CASE WHEN arg_min(kind, place) = 'paragraph' THEN string_agg(CASE WHEN place = head THEN '' ELSE glue END || s, '' ORDER BY place) ELSE arg_min(s, place) END AS text, arg_min(ordered, place) AS ordered, arg_min(items, place) AS items,
+        CASE WHEN arg_min(kind, place) = 'table' THEN flatten(list(CASE WHEN place > head AND rows[1] = htop THEN rows[2:] ELSE rows END ORDER BY place)) END AS rows, NULL AS caption, 0 AS part
+        FROM (SELECT *, first_value(rows[1]) OVER (PARTITION BY doc_id, head ORDER BY place) AS htop FROM hd) GROUP BY doc_id, head)""", "out"),
+    "b08_tables": _sql(f""", tb AS (SELECT *, kind = 'table' AND rows[1][1] LIKE '表 1 %' AND rows[1][2] = '' AS lifted FROM blocks),
+      ln AS (SELECT doc_id, place, unnest(CASE WHEN lifted THEN rows[2:] ELSE rows END) AS x, unnest(range(len(CASE WHEN lifted THEN rows[2:] ELSE rows END))) AS i FROM tb WHERE kind = 'table'),
+      nm AS (SELECT *, sum((NOT (i > 0 AND x[1] = ''))::INT) OVER (PARTITION BY doc_id, place ORDER BY i) AS n FROM ln),
+      ce AS (SELECT doc_id, place, n, i, unnest(x) AS c, unnest(range(len(x))) AS j FROM nm),
+      cc AS (SELECT *, lag(c) OVER (PARTITION BY doc_id, place, n, j ORDER BY i) AS b FROM ce WHERE c <> ''),
+      jc AS (SELECT doc_id, place, n, j, string_agg(CASE WHEN b IS NULL THEN '' ELSE {_GLUE.format("b", "c")} END || c, '' ORDER BY i) AS c FROM cc GROUP BY ALL),
+      every AS (SELECT DISTINCT doc_id, place, n, j FROM ce),
+      jr AS (SELECT doc_id, place, n, list(coalesce(c, '') ORDER BY j) AS r FROM every LEFT JOIN jc USING (doc_id, place, n, j) GROUP BY ALL),
+      jt AS (SELECT doc_id, place, list(r ORDER BY n) AS rs FROM jr GROUP BY ALL),
+      out AS (SELECT tb.* EXCLUDE (lifted) REPLACE (jt.rs AS rows, CASE WHEN lifted THEN regexp_extract(replace(rows[1][1], ' ', ''), '^表\\d+[：:.]*(.*)$', 1) END AS caption), 0 AS part FROM tb LEFT JOIN jt ON jt.doc_id = tb.doc_id AND jt.place = tb.place)""", "out"),
+    "b10_references": _sql(f""", refs AS (SELECT doc_id, min(place) AS at_ FROM blocks WHERE kind = 'heading' AND text = 'References' GROUP BY 1),
+      app AS (SELECT b.doc_id, min(place) AS end_ FROM blocks b JOIN refs USING (doc_id) WHERE kind = 'heading' AND text LIKE '附錄%' AND place > at_ GROUP BY 1),
+      n AS (SELECT b.* REPLACE (text AS s), coalesce(place > at_ AND place < coalesce(end_, 1e12), false) AS inside FROM blocks b LEFT JOIN refs USING (doc_id) LEFT JOIN app USING (doc_id)),
+      c AS (SELECT *, lag(s) OVER w AS b, coalesce(inside AND lag(inside) OVER w AND kind = 'paragraph' AND lag(kind) OVER w = 'paragraph' AND NOT {_ENTRY.format("s")} AND NOT {_CLOSED.format("lag(s) OVER w")}, false) AS goes FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      g AS (SELECT *, sum((NOT goes)::INT) OVER (PARTITION BY doc_id ORDER BY place) AS head, coalesce({_GLUE.format("b", "s")}, '') AS glue FROM c),
+      out AS (SELECT doc_id, min(place) AS place, arg_min(kind, place) AS kind, arg_min(level, place) AS level, string_agg(CASE WHEN goes THEN glue ELSE '' END || s, '' ORDER BY place) AS text, arg_min(ordered, place) AS ordered, arg_min(items, place) AS items, arg_min(rows, place) AS rows, NULL AS caption, 0 AS part FROM g GROUP BY doc_id, head)""", "out"),
+    "b11_levels": _sql(r""", h AS (SELECT *, kind = 'heading' AND regexp_matches(text, '^(目錄|第一章|\d+[.、\s]|Abstract|Introduction)') AS anchor, kind = 'heading' AND text = 'References' AS ref FROM blocks),
+      o AS (SELECT *, max(anchor) OVER w OR NOT max(anchor) OVER (PARTITION BY doc_id) AS opened FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+      f AS (SELECT *, coalesce(max(ref AND opened) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS behind FROM o),
+      z AS (SELECT *, kind = 'heading' AND (NOT opened OR behind AND NOT ref AND text NOT LIKE '附錄%') AS down FROM f),
+      out AS (SELECT * REPLACE (CASE WHEN down THEN 'paragraph' ELSE kind END AS kind, CASE WHEN down OR kind <> 'heading' THEN NULL WHEN ref OR regexp_matches(text, '^(第一章|附錄)') THEN 1 WHEN regexp_matches(text, '^\d+\.\d+\b') THEN 2 ELSE level END AS level), 0 AS part FROM z)""", "out"),
+    "b12_inline_headings": _sql(r""", c AS (SELECT *, kind = 'paragraph' AND regexp_matches(text, '^1\.2\.3 +[^\d\s]\S{1,24} +\S') AS cut FROM blocks),
+      d AS (SELECT *, CASE WHEN cut THEN [regexp_extract(text, '^(1\.2\.3) +(\S+)', 1) || ' ' || regexp_extract(text, '^(1\.2\.3) +(\S+)', 2), regexp_extract(text, '^1\.2\.3 +\S+ +(.*)$', 1)] ELSE [text] END AS ts FROM c),
+      out AS (SELECT * EXCLUDE (cut, ts) REPLACE (unnest(ts) AS text, unnest(CASE WHEN cut THEN ['heading', 'paragraph'] ELSE [kind] END) AS kind, unnest(CASE WHEN cut THEN [3, NULL] ELSE [level] END) AS level), unnest(range(len(ts))) AS part FROM d)""", "out"),
+}
+
+
+def b15_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a document as its images, a page being 20 lines: those that are on most pages."""
+    lines = S.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    images = lines.select("doc_id", F.floor(F.col("line") / 2).alias("page"), F.when(F.col("line") % 2 == 0, F.char_length("t") % 2).otherwise(F.char_length("t") % 5 + 2).alias("image"))
+    pages = images.groupBy("doc_id").agg((F.max("page") + 1).alias("pages"))
+    return B.watermarks(images, pages, "doc_id")
+
+
+_B15 = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+  i AS (SELECT doc_id, line // 2 AS page, CASE WHEN line % 2 = 0 THEN length(t) % 2 ELSE length(t) % 5 + 2 END AS image FROM l),
+  p AS (SELECT doc_id, max(page) + 1 AS pages FROM i GROUP BY 1)
+  SELECT doc_id, image::INTEGER AS image FROM i JOIN p USING (doc_id) GROUP BY doc_id, image, pages HAVING pages >= 5 AND count(*) >= greatest(5, 0.6 * pages)"""
+
+_REPAIRS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "b01_headings": B.demoted_headings,
+    "b02_quotes": B.unwrapped_quotes,
+    "b03_captions": B.attached_captions,
+    "b04_directories": B.relinked_directories,
+    "b05_caption_lines": B.split_captions,
+    "b06_lists": B.flattened_lists,
+    "b07_pages": B.merged_pages,
+    "b08_tables": B.repaired_tables,
+    "b10_references": B.rebuilt_references,
+    "b11_levels": B.releveled_headings,
+    "b12_inline_headings": B.split_headings,
+}
+
+
+def b14_without_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the LaTeX blocks without the mark code."""
+    rows = TEX.latex_blocks(typeset(spark, sf_dir), "doc_id", "text")
+    return shown(rows.withColumn("runs", B.without_code(F.col("runs"))).withColumn("place", F.lit(0))).select("doc_id", "part", "kind", "text", "marks")
+
+
+_B14 = f"SELECT doc_id, part, kind, text, CASE WHEN marks LIKE 'code:%' THEN '' ELSE marks END AS marks FROM ({_S10}) x"
+
+
+def b16_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(B.repaired(read_blocks(spark, sf_dir), "doc_id"))
+
+
+QUERIES: dict[str, Query] = {"x04_places": x04_places, "b14_without_code": b14_without_code, "b16_repaired": b16_repaired, "b13_restored": b13_restored, "b15_watermarks": b15_watermarks, **{k: _repair(f) for k, f in _REPAIRS.items()}}
+#: The whole chain (B16) has no SQL: its parts have, and tests hold each of them against rules applied block by block.
+ORACLES: dict[str, str] = {"x04_places": _X04, "b14_without_code": _B14, "b13_restored": _B13, "b15_watermarks": _B15, **_REPAIRS_SQL}
