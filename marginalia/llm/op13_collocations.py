@@ -8,7 +8,7 @@ each phrase of one to ``longest`` words stands in the pieces of a language, for
    it reached ``least``. The bits have a fixed size, and so travel to all tasks.
 2. A phrase is a candidate if its bounds, and those of all phrases inside it, reach ``least``. No phrase that does can
    miss; one that doesn't costs time alone.
-3. Candidates, sorted into blocks of bounded bytes, are compiled into Aho-Corasick automata, one for each block and
+3. Candidates, dealt to blocks of bounded bytes by language, are compiled into Aho-Corasick automata, one for each block and
    language. Words are guarded by a space on either side and pieces by a line end, so that only whole words of one piece
    match, overlapping matches too. A job for each block scans the texts of its languages; tasks give the matches of each
    candidate, which are summed, and only then held against ``least``.
@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs as fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -227,20 +226,31 @@ def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> D
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merge), "lang string, phrase string, n long")
 
 
-def in_blocks(phrases: DataFrame, blocks: int) -> tuple[str, DataFrame]:
-    """(folder, table): (block, place, lang, phrase), sorted into blocks; in the folder block k is in block=k."""
+def in_blocks(phrases: DataFrame, block_bytes: int) -> tuple[str, DataFrame]:
+    """(folder, table): (block, place, lang, phrase); in the folder block k is in block=k.
+
+    Languages are laid end to end by the bytes of their phrases, and each phrase falls somewhere in its language's stretch
+    by its hash: blocks of block_bytes, about, hold one language or neighbouring ones, whatever the number of partitions.
+    """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at = TaskContext.get().partitionId(), 0
+        now, at = None, 0
         for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int32()), pa.array(range(at, at + n), pa.int32()), *batch.columns], names=["block", "place", "lang", "phrase"])
-            at += n
+            places = []
+            for block in batch.column("block").to_pylist():
+                at = at + 1 if block == now else 0
+                now = block
+                places.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(places, pa.int32()), batch.column("lang"), batch.column("phrase")], names=["block", "place", "lang", "phrase"])
 
     spark, folder = phrases.sparkSession, new_path(phrases.sparkSession, "phrases")
-    ranged = phrases.select("lang", "phrase").repartitionByRange(blocks, "lang", "phrase")
+    sizes = phrases.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 2).alias("bytes"))
+    ends = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)  # a row for each language
+    laid = sizes.withColumn("begin", F.coalesce(F.sum("bytes").over(ends), F.lit(0)))
+    block = F.floor((F.col("begin") + F.pmod(F.xxhash64("phrase"), F.col("bytes"))) / block_bytes).cast("int")
+    dealt = phrases.join(laid, "lang").select(block.alias("block"), "lang", "phrase").repartition("block").sortWithinPartitions("block", "lang", "phrase")
     schema = "block int, place int, lang string, phrase string"
-    ranged.mapInArrow(number, schema).write.partitionBy("block").parquet(folder)
+    dealt.mapInArrow(number, schema).write.partitionBy("block").parquet(folder)
     return folder, spark.read.schema(schema).parquet(folder)
 
 
@@ -324,8 +334,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
         by_stretch[r["stretch"]] = np.unpackbits(np.frombuffer(r["heavy"], np.uint8)).view(bool)
     found = written(candidates(rows, heavy, bits, longest), "candidates")
     phrases = found.where("phrase <> ''")
-    spark, size = docs.sparkSession, phrases.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    folder, blocks = in_blocks(phrases, max(1, -(-size // block_bytes)))
+    spark = docs.sparkSession
+    folder, blocks = in_blocks(phrases, block_bytes)
     counts = None
     for r in sorted(blocks.groupBy("block").agg(F.min("lang").alias("low"), F.max("lang").alias("high")).collect()):
         own = matched(rows.where(F.col("lang").between(r["low"], r["high"])), folder, r["block"])
