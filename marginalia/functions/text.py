@@ -35,14 +35,21 @@ def ends_sentence(text: Column) -> Column:
 
 
 def collapsed_repeats(text: Column) -> Column:
-    """Sentences without those that stand earlier, white space aside; the last piece always stays."""
-    parts = F.regexp_extract_all(text, F.lit("(?s).+?[.!?\n]+|.+"), F.lit(0))
-    key = lambda s: F.regexp_replace(s, r"\s", "")
-    keys = F.transform(parts, key)
+    """Sentences without those that stand earlier, white space aside; the last piece always stays, blank ones do.
+
+    Repeats are neighbours among the sorted keys, so that a text takes time by its sentences' sort.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"((?s).*?[。．.！？!?\n]+|.+\z)"), F.lit(1))
+    keys = F.array_sort(F.transform(parts, lambda s, i: F.struct(F.regexp_replace(s, r"\s", "").alias("key"), i.alias("at"))))
     # one struct holds both arrays, so that they are made once and not for each piece
     both = F.struct(parts.alias("parts"), keys.alias("keys"))
-    kept = lambda z: F.filter(z["parts"], lambda s, i: (i == F.size(z["parts"]) - 1) | (F.array_position(z["keys"], F.get(z["keys"], i)) == i + 1))
-    return F.get(F.transform(F.array(both), lambda z: F.array_join(kept(z), "")), 0)
+
+    def kept(z: Column) -> Column:
+        repeats = F.transform(z["keys"], lambda x, j: F.when((j > 0) & (x["key"] != "") & (F.get(z["keys"], j - 1)["key"] == x["key"]) & (x["at"] < F.size(z["parts"]) - 1), x["at"]).otherwise(F.lit(-1)))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(z["parts"]) - 1), repeats), lambda i: F.get(z["parts"], i))
+
+    joined = F.get(F.transform(F.array(both), lambda z: F.array_join(F.when(F.size(z["parts"]) > 0, kept(z)).otherwise(z["parts"]), "")), 0)
+    return joined
 
 
 def markers(text: Column, kind: str) -> Column:

@@ -17,8 +17,9 @@ WEB = r"(?i)wiki|https?://|維基|\bn\.?\s?d\.?\b|無日期|retrieved|取自"
 BETWEEN = r"\s*(?:&|et al\.?|,|，|and|與|；|;)\s*"
 CJK = "[぀-ヿ㐀-䶿一-鿿]"
 NUMBERED = ("ieee", "numeric")
-#: Words that lead a sentence and are no author's name.
-LEADS = ("The", "This", "That", "These", "Those", "In", "On", "At", "For", "From", "By", "With", "As", "And", "But", "See", "Table", "Figure", "Fig", "Section", "Chapter", "Equation", "Since", "Until", "Before", "After", "During")
+#: An author run with its year in brackets, led by a Latin name; leads that are no author's name alone.
+NARRATIVE = r"([A-Z][A-Za-z.'\-]+(?:\s*(?:,|，|、|&|and|與|et\s+al\.?)\s*(?:[A-Z][A-Za-z.'\-]+|[一-鿿]{2,}))*(?:\s+et\s+al\.?)?)\s*[（(]((?:19|20)\d{2})[a-z]?[）)]"
+LEADS = ("table", "figure", "fig", "chapter", "section", "appendix", "equation", "eq", "vol", "no", "the", "this", "that", "in", "since", "around", "circa", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def reference_lines(blocks: DataFrame, key: str) -> DataFrame:
@@ -59,12 +60,11 @@ def bracketed(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def narrative(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, place, surname, year, authors): authors named in the sentence with the year alone in brackets."""
-    name = r"(?:[A-Z][A-Za-z'\-]+|[一-鿿]{2,4})"
-    pattern = rf"({name}(?:\s*(?:&|and|與|,)\s*{name})*(?:\s+et al\.?)?)\s*[（(]((?:19|20)\d{{2}})[)）]"
-    found = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)).alias("y"))
+    found = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(NARRATIVE), F.lit(1)).alias("a"), F.regexp_extract_all(F.col(text), F.lit(NARRATIVE), F.lit(2)).alias("y"))
     rows = texts.select(key, F.posexplode(found).alias("place", "f")).select(key, "place", F.col("f.a").alias("a"), F.col("f.y").cast("int").alias("year"))
-    led = F.regexp_extract("a", r"^[A-Za-z]+", 0).isin(*LEADS)
-    return rows.where(~led).select(key, "place", surname(F.col("a")).alias("surname"), "year", authors_of(F.col("a")).alias("authors"))
+    rows = rows.withColumn("surname", surname(F.col("a")))
+    led = (F.size(F.regexp_extract_all("a", F.lit(f"({AUTHOR})"), F.lit(1))) <= 1) & F.col("surname").isin(*LEADS)
+    return rows.where(~led & (F.col("surname") != "")).select(key, "place", "surname", "year", authors_of(F.col("a")).alias("authors"))
 
 
 def without_contained(spans: DataFrame, key: str) -> DataFrame:

@@ -139,13 +139,13 @@ def chapter_counts(blocks: DataFrame, key: str) -> DataFrame:
 
 def heading_numbers(blocks: DataFrame, key: str, unnumbered: tuple[str, ...] = ()) -> DataFrame:
     """Headings (key, place, level, text, number): chapters are counted but for titles that have no number; the
-    counts of levels 2 and 3 begin anew below each heading above them."""
+    counts of levels 2 and 3 begin anew below each counted heading above them."""
     own = Window.partitionBy(key).orderBy("place")
     heads = blocks.where("level between 1 and 3")
     counted = (F.col("level") == 1) & ~F.trim("text").isin(*unnumbered) if unnumbered else F.col("level") == 1
-    heads = heads.withColumn("_one", F.sum(F.coalesce(counted, F.lit(False)).cast("int")).over(own)).withColumn("_chapter", F.sum((F.col("level") == 1).cast("int")).over(own))
-    heads = heads.withColumn("_two", F.sum((F.col("level") == 2).cast("int")).over(Window.partitionBy(key, "_chapter").orderBy("place")))
-    heads = heads.withColumn("_three", F.sum((F.col("level") == 3).cast("int")).over(Window.partitionBy(key, "_chapter", "_two").orderBy("place")))
+    heads = heads.withColumn("_one", F.sum(F.coalesce(counted, F.lit(False)).cast("int")).over(own))
+    heads = heads.withColumn("_two", F.sum((F.col("level") == 2).cast("int")).over(Window.partitionBy(key, "_one").orderBy("place")))
+    heads = heads.withColumn("_three", F.sum((F.col("level") == 3).cast("int")).over(Window.partitionBy(key, "_one", "_two").orderBy("place")))
     number = F.when(F.col("level") == 1, F.when(F.coalesce(counted, F.lit(False)), F.col("_one").cast("string"))).when(F.col("level") == 2, F.concat_ws(".", "_one", "_two")).otherwise(F.concat_ws(".", "_one", "_two", "_three"))
     return heads.select(key, "place", "level", "text", number.alias("number"))
 

@@ -81,10 +81,15 @@ def e10_corpus(papers: DataFrame, ids: list[str] | None = None, first: int | Non
 
 
 def e06_lenient_verdict(answer: Column) -> Column:
-    """The winner in the first JSON object of an answer, else the first of the words a, b or tie in it, else tie."""
-    found = F.lower(F.get_json_object(F.regexp_extract(answer, r"(?s)\{.*?\}", 0), "$.winner"))
-    word = F.lower(F.regexp_extract(answer, r"(?i)\b(a|b|tie)\b", 1))
-    return F.when(found.isin("a", "b", "tie"), found).when(word != "", word).otherwise("tie")
+    """X, Y or tie: what the object between an answer's first and last brace says, if it is one and names one of them; else
+    the quoted label, X before Y, in an answer that speaks of a winner; else tie."""
+    # in brackets, so that anything behind the object's end is an error or another element
+    held = F.try_parse_json(F.concat(F.lit("["), F.nullif(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), F.lit("")), F.lit("]")))
+    found = F.when(F.try_variant_get(held, "$[1]", "string").isNull(), F.upper(F.trim(F.try_variant_get(held, "$[0].winner", "string"))))
+    said = F.upper(F.coalesce(answer, F.lit("")))
+    label = F.when(found.isin("X", "Y"), found).when(found == "TIE", "tie")
+    quoted = F.when(said.contains("WINNER"), F.when(said.contains('"X"'), "X").when(said.contains('"Y"'), "Y"))
+    return F.coalesce(label, quoted, F.lit("tie"))
 
 
 def e07_audit(stored: DataFrame, recomputed: DataFrame, key: list[str], *columns: str) -> DataFrame:

@@ -30,6 +30,14 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.concat(F.lit("As shown ("), name, F.lit(" & Lee, "), year, F.lit("; Wikipedia, n.d.) with (n=2009) and ("), F.lit("see Eq. 3) "), name, F.lit(" and Moss ("), year, F.lit(") agree. The (2001) one.")).alias("text"))
 
 
+def narrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units whose first word is cited with a year, alone or with others; in some a month or a word of time has the year."""
+    first, rest = F.regexp_extract("text", "^([^ ]+)", 1), F.regexp_extract("text", "^[^ ]+ (.*)$", 1)
+    year, k = (1950 + F.col("k") % 70).cast("string"), F.col("k") % 4
+    said = F.when(k == 0, F.concat(first, F.lit(" ("), year, F.lit(") "), rest)).when(k == 1, F.concat(F.lit("去年 (2020) "), first, F.lit(" et al.（"), year, F.lit("a） "), rest)).when(k == 2, F.concat(F.lit("and "), first, F.lit(" & Lee 與 王小明 ("), year, F.lit("b), "), rest)).otherwise(F.concat(F.lit("May (2019), Eq. (2004) and 王小明 ("), year, F.lit(") "), rest))
+    return S.edus(spark, sf_dir).select("edu_id", said.alias("text"))
+
+
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = S.table(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
@@ -103,7 +111,7 @@ def _support(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "c01_reference_lines": lambda s, d: C.reference_lines(blocks(S.edus(s, d)), "doc_id"),
     "c02_bracketed": lambda s, d: C.bracketed(cited(s, d), "doc_id", "text"),
-    "c03_narrative": lambda s, d: C.narrative(cited(s, d), "doc_id", "text"),
+    "c03_narrative": lambda s, d: C.narrative(narrated(s, d), "edu_id", "text"),
     "c04_spans": lambda s, d: C.without_contained(S.table(s, d, "events").select("user_id", F.pmod("event_id", F.lit(977)).alias("at"), (F.pmod("event_id", F.lit(977)) + 2).alias("end"), F.when(F.lit(False), "narrative").otherwise("bracket").alias("kind")).distinct(), "user_id"),
     "c06_index": lambda s, d: C.index(references(s, d).select(F.lower("authors").alias("surname"), "year", "doc_id", "title"), "doc_id"),
     "c07_link_counts": lambda s, d: C.link_counts(C.linked(C.bracketed(cited(s, d), "doc_id", "text"), references(s, d).where("doc_id % 2 = 0").select(_pick(NAMES, F.col("doc_id")).alias("surname"), "year", F.col("doc_id").alias("pos")), "pos"), "doc_id"),
@@ -155,7 +163,7 @@ _NAME = _LIST(NAMES, "doc_id")
 ORACLES: dict[str, str] = {
     "c01_reference_lines": with_tables("edus", "WITH b AS (SELECT doc_id, k AS place, CASE WHEN ord = 0 THEN 'heading' WHEN k % 4 = 3 THEN 'list' ELSE 'paragraph' END AS kind, CASE WHEN section = 'Conclusion' AND ord = 0 THEN 'References' ELSE text END AS text FROM edus), h AS (SELECT doc_id, min(place) AS first FROM b WHERE kind = 'heading' AND regexp_matches(text, '(?i)References|Bibliography') GROUP BY 1) SELECT b.doc_id, place, kind, text FROM b JOIN h ON h.doc_id = b.doc_id AND place > first WHERE kind <> 'list' AND length(trim(text)) > 12"),
     "c02_bracketed": f"SELECT doc_id, 0 AS place, 0 AS part, lower({_NAME}) AS surname, (1990 + doc_id % 30)::INTEGER AS year, {_NAME} || ', Lee' AS authors, false AS web, {_NAME} || ' & Lee, ' || (1990 + doc_id % 30) AS raw FROM documents UNION ALL SELECT doc_id, 0, 1, 'wikipedia', NULL, 'Wikipedia', true, 'Wikipedia, n.d.' FROM documents",
-    "c03_narrative": f"SELECT doc_id, 0 AS place, lower({_NAME}) AS surname, (1990 + doc_id % 30)::INTEGER AS year, {_NAME} || ', Moss' AS authors FROM documents",
+    "c03_narrative": with_tables("edus", rf"WITH w AS (SELECT edu_id, k % 4 AS kind, 1950 + k % 70 AS y, string_split(text, ' ')[1] AS w FROM edus), m AS (SELECT *, regexp_full_match(w, '[A-Z][A-Za-z.''\-]+') AS latin FROM w), r AS (SELECT *, CASE WHEN kind < 2 AND latin THEN w WHEN kind = 2 THEN CASE WHEN latin THEN w || ' & ' ELSE '' END || 'Lee 與 王小明' END AS a FROM m), f AS (SELECT *, lower(regexp_replace(trim(regexp_split_to_array(a, '\s*(&|et al\.?|,|，|and|與|；|;)\s*')[1]), '^[,，.]+|[,，.]+$', '', 'g')) AS surname, regexp_replace(regexp_replace(a, '\s*(&|et al\.?|and|與)\s*', ', ', 'g'), '^[\s,，、.]+|[\s,，、.]+$', '', 'g') AS authors FROM r WHERE a IS NOT NULL) SELECT edu_id, 0 AS place, surname, y::INTEGER AS year, authors FROM f WHERE surname <> '' AND (kind = 2 OR surname NOT IN {C.LEADS})"),
     "c04_spans": """WITH RECURSIVE e AS (SELECT user_id, a, row_number() OVER (PARTITION BY user_id ORDER BY a) AS r FROM (SELECT DISTINCT user_id, event_id % 977 AS a FROM events)), f AS (SELECT user_id, a, r, a + 2 AS last, true AS kept FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.a, e.r, CASE WHEN e.a >= f.last THEN e.a + 2 ELSE f.last END, e.a >= f.last FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1) SELECT user_id, a AS "at", a + 2 AS "end", 'bracket' AS kind FROM f WHERE kept""",
     "c06_index": f"WITH {_REFERENCES} SELECT lower(authors) AS surname, year, max(doc_id) AS doc_id, arg_max(coalesce(title, '?'), doc_id) AS t_ FROM refs WHERE year IS NOT NULL GROUP BY 1, 2".replace("SELECT lower(authors)", "SELECT surname, year, doc_id, nullif(t_, '?') AS title FROM (SELECT lower(authors)") + ")",
     "c07_link_counts": f"WITH i AS (SELECT DISTINCT {_NAME} AS name, 1990 + doc_id % 30 AS year FROM documents WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0) SELECT doc_id, CASE WHEN ({_NAME}, 1990 + doc_id % 30) IN (SELECT (name, year) FROM i) THEN 1 ELSE 0 END AS linked, CASE WHEN ({_NAME}, 1990 + doc_id % 30) IN (SELECT (name, year) FROM i) THEN 1 ELSE 2 END AS unlinked FROM documents",

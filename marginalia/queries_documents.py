@@ -89,6 +89,24 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHATS = "chats AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn, role, text) AS m FROM conversations GROUP BY conv_id)"
 
 
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a judge around the letters of each turn: objects that hold others, broken ones, quoted and bare labels."""
+    c = S.table(spark, sf_dir, "conversations").withColumn("t", F.regexp_replace("text", r"[^\p{L} ]", ""))
+    forms = [
+        ('{"scores": {"X": 2}, "winner": " x ", "reason": "', '"}'),
+        ('{"winner": "Tie", "reason": "', '"} and more'),
+        ('```json\n{"winner": "Y", "reason": "', '", "more": {"a": [1, 2]}}\n```'),
+        ("I like X a bit more: Y wins. ", ""),
+        ('{"winner": "Y", "reason": "', '"} but } not "z"'),
+        ('The winner is "X", not "Y". ', ""),
+        ('{"winner": "neither", "reason": "', '"}'),
+    ]
+    out = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(forms):
+        out = F.when(F.char_length("text") % 7 == i, F.concat(F.lit(before), "t", F.lit(after))).otherwise(out)
+    return c.select("conv_id", "turn", out.alias("answer"))
+
+
 def outlines(units: DataFrame) -> DataFrame:
     level = F.when(F.col("k") % 5 == 4, "x").otherwise((F.col("k") % 5).cast("string"))
     text = F.when(F.col("k") % 7 == 3, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" ")))
@@ -168,7 +186,7 @@ QUERIES: dict[str, Query] = {
     "v12_locales": lambda s, d: S.table(s, d, "documents").select("doc_id", V.normalized_locale(F.col("lang"), ("en", "zh-Hant"), "zh-Hant").alias("locale")),
     "v16_formatted": lambda s, d: V.formatted_defects(S.defects(s, d), S.evidence(S.edus(s, d)), S.edus(s, d).where("k <> 2")).select("paper_id", "defect_id", F.array_join("evidence", "|").alias("evidence")),
     "e04_jaccard": lambda s, d: E.e04_jaccard(findings(s, d)),
-    "e06_verdicts": lambda s, d: S.table(s, d, "events").select("event_id", E.e06_lenient_verdict(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('so {"winner": "'), F.when(F.col("event_id") % 2 == 0, "A").otherwise("tie"), F.lit('"}'))).when(F.col("event_id") % 3 == 1, "I say B wins").otherwise(F.lit("none"))).alias("winner")),
+    "e06_verdicts": lambda s, d: answers(s, d).select("conv_id", "turn", E.e06_lenient_verdict(F.col("answer")).alias("winner")),
     "e08_arm_pairs": lambda s, d: E.e08_arm_pairs(s.createDataFrame([("A", 0), ("C", 1), ("B", 2)], "arm string, place int"), S.table(s, d, "events").select(F.col("event_type").alias("model")).distinct()),
     "e10_corpus": lambda s, d: E.e10_corpus(S.papers(s, d).withColumn("can_fresh", F.col("created_at") % 2 == 0), first=50, fresh=True).select("paper_id"),
 }
@@ -200,7 +218,7 @@ ORACLES: dict[str, str] = {
     "x02_chunks": with_tables("edus", f"WITH {_FOLD}, f AS (SELECT paper_id, section, k, r, n AS total, 0 AS chunk FROM e WHERE r = 1 UNION ALL SELECT e.paper_id, e.section, e.k, e.r, CASE WHEN f.total > 0 AND f.total + e.n > 400 THEN e.n ELSE f.total + e.n END, CASE WHEN f.total > 0 AND f.total + e.n > 400 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN e ON e.paper_id = f.paper_id AND e.section = f.section AND e.r = f.r + 1) SELECT paper_id, section, k, chunk::INTEGER AS chunk FROM f").replace("WITH ", "WITH RECURSIVE ", 1),
     "x03_halves": with_tables("edus", f"WITH {_FOLD}, g AS (SELECT paper_id, section, count(*) AS m, list(n ORDER BY r) AS ns FROM e GROUP BY 1, 2), p AS (SELECT paper_id, section, ns, 0::BIGINT AS lo, m::BIGINT AS hi FROM g UNION ALL SELECT paper_id, section, ns, unnest([lo, (lo + hi) // 2]), unnest([(lo + hi) // 2, hi]) FROM p WHERE hi - lo > 1 AND list_sum(ns[lo + 1:hi]) > 400), d AS (SELECT * FROM p WHERE NOT (hi - lo > 1 AND list_sum(ns[lo + 1:hi]) > 400)) SELECT e.paper_id, e.section, e.k, d.lo AS part FROM e JOIN d ON d.paper_id = e.paper_id AND d.section = e.section AND e.r > d.lo AND e.r <= d.hi").replace("WITH ", "WITH RECURSIVE ", 1),
     "x05_indexed": with_tables("edus", "SELECT paper_id, section, k, ord::BIGINT AS ord, edu_id FROM edus"),
-    "x08_collapsed": "WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s).+?[.!?\\n]+|.+') AS s FROM documents), k AS (SELECT doc_id, s, list_transform(s, lambda x: regexp_replace(x, '\\s', '', 'g')) AS k FROM p) SELECT doc_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda i: i = len(s) OR list_position(k, k[i]) = i), lambda i: s[i]), ''), '') AS collapsed FROM k",
+    "x08_collapsed": r"WITH p AS (SELECT doc_id, regexp_extract_all(text, '((?s).*?[。．.！？!?\n]+|.+$)') AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS i, len(s) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(t, '\s', '', 'g') ORDER BY i) AS nth FROM e) SELECT d.doc_id, coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE nth = 1 OR i = n - 1 OR regexp_replace(t, '\s', '', 'g') = ''), '') AS collapsed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id",
     "x10_half_width": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i AS \"end\", c AS original, CASE c {_HALVES} END AS replacement FROM c WHERE CASE c {_HALVES} END IS NOT NULL AND (regexp_matches(b, {_CJK}) OR regexp_matches(n, {_CJK}))",
     "x11_spacing": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i + 1 AS \"end\", c || n AS original, c || ' ' || n AS replacement FROM c WHERE (regexp_matches(c, {_CJK}) AND regexp_matches(n, '[A-Za-z]')) OR (regexp_matches(c, '[A-Za-z]') AND regexp_matches(n, {_CJK}))",
     "x12_spaces": f"WITH {_MIXED}, {_CHARS}, r AS (SELECT *, regexp_extract(substr(text, i), '^( +)[{T.CLOSING}]', 1) AS r FROM c WHERE c = ' ' AND b <> ' ') SELECT doc_id, i - 1 AS \"at\", i - 1 + length(r) AS \"end\", r AS original, '' AS replacement FROM r WHERE r <> ''",
@@ -230,7 +248,7 @@ ORACLES: dict[str, str] = {
     "v12_locales": "SELECT doc_id, CASE WHEN lang IN ('en', 'zh-Hant') THEN lang ELSE 'zh-Hant' END AS locale FROM documents",
     "v16_formatted": with_tables("defects evidence edus", "WITH e AS (SELECT v.paper_id, v.defect_id, string_agg(text, '|' ORDER BY pos, v.edu_id) AS evidence FROM evidence v JOIN edus u ON u.paper_id = v.paper_id AND u.edu_id = v.edu_id WHERE u.k <> 2 GROUP BY 1, 2) SELECT d.paper_id, d.defect_id, coalesce(evidence, '') AS evidence FROM defects d LEFT JOIN e ON e.paper_id = d.paper_id AND e.defect_id = d.defect_id"),
     "e04_jaccard": with_tables("defects papers", "WITH f AS (SELECT substr(filename, 1, 4) AS g, d.paper_id AS run, CASE WHEN pos < 3 THEN lower(rule_id) END AS issue FROM defects d JOIN papers p ON p.paper_id = d.paper_id WHERE d.paper_id < '3'), r AS (SELECT g, run, list(DISTINCT issue) FILTER (issue IS NOT NULL) AS s FROM f GROUP BY 1, 2), p AS (SELECT a.g, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM r a JOIN r b ON a.g = b.g AND a.run < b.run) SELECT r.g AS \"group\", round(avg(j), 3) AS jaccard FROM (SELECT DISTINCT g FROM r) r LEFT JOIN p ON p.g = r.g GROUP BY 1"),
-    "e06_verdicts": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'tie' END WHEN 1 THEN 'b' ELSE 'tie' END AS winner FROM events",
+    "e06_verdicts": "SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0 THEN 'X' WHEN length(text) % 7 = 1 THEN 'tie' WHEN length(text) % 7 = 2 THEN 'Y' WHEN length(text) % 7 = 3 THEN 'tie' WHEN length(text) % 7 = 4 THEN 'Y' WHEN length(text) % 7 = 5 THEN 'X' ELSE 'tie' END AS winner FROM conversations",
     "e08_arm_pairs": "SELECT a AS arm1, b AS arm2, model FROM (VALUES ('A', 'C'), ('A', 'B'), ('C', 'B')) t(a, b), (SELECT DISTINCT event_type AS model FROM events)",
     "e10_corpus": with_tables("papers", "SELECT paper_id FROM (SELECT * FROM papers ORDER BY paper_id LIMIT 50) WHERE created_at % 2 = 0"),
 }

@@ -57,8 +57,26 @@ def test_swap_verdicts(spark):
 
 
 def test_lenient_verdicts(spark):
-    rows = [('so {"winner": "B"} it is',), ("I take A.",), ("nothing here",), (None,)]
-    assert [r[0] for r in values(spark, "t string", rows, E.e06_lenient_verdict(F.col("t")))] == ["b", "a", "tie", "tie"]
+    rows = [
+        ('so {"a": {"b": 1}, "winner": " y "} it is', "Y"),
+        ("I like X a bit more: Y wins", "tie"),
+        ('winner: "Y", I think', "Y"),
+        ('the "X" is better', "tie"),
+        ('{"winner": "Y"} or {"winner": "X"}', "X"),
+        ('{"winner": "Z", "of": "X"}', "X"),
+        ('{"winner": "TIE"}', "tie"),
+        ('{"winner": null}', "tie"),
+        ("", "tie"),
+        (None, "tie"),
+    ]
+    df = spark.createDataFrame(rows, "t string, wanted string")
+    assert df.where(E.e06_lenient_verdict(F.col("t")) != F.col("wanted")).collect() == []
+
+
+def test_repeated_sentences_of_any_script_go(spark):
+    rows = [("甲是。乙是。甲是。丙", "甲是。乙是。丙"), ("A b. A  b. C", "A b. C"), ("x.\n\n\n\ny.\n\nx. x.", "x.\n\n\n\ny.\n\n x."), ("a. b. a. b. a.", "a. b. a."), ("one", "one"), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, wanted string")
+    assert [(r.g, r.wanted) for r in df.select(X.collapsed_repeats(F.col("t")).alias("g"), "wanted").collect() if r.g != r.wanted] == []
 
 
 def test_alpha_without_pairs_and_without_disagreement(spark):
@@ -150,6 +168,9 @@ def test_heading_numbers_pass_over_unnumbered_chapters(spark):
     rows = [("d", 0, 1, "Preface"), ("d", 1, 1, "One"), ("d", 2, 2, "a"), ("d", 3, 3, "x"), ("d", 4, 3, "y"), ("d", 5, 2, "b"), ("d", 6, 1, "Two"), ("d", 7, 2, "c")]
     got = [r.number for r in N.heading_numbers(spark.createDataFrame(rows, "d string, place int, level int, text string"), "d", ("Preface",)).orderBy("place").collect()]
     assert got == [None, "1", "1.1", "1.1.1", "1.1.2", "1.2", "2", "2.1"]
+    rows = [("d", 0, 2, "before"), ("d", 1, 1, "One"), ("d", 2, 2, "a"), ("d", 3, 1, "References"), ("d", 4, 2, "b"), ("d", 5, 3, "x"), ("d", 6, 1, "Two"), ("d", 7, 3, "y")]
+    got = [r.number for r in N.heading_numbers(spark.createDataFrame(rows, "d string, place int, level int, text string"), "d", ("References",)).orderBy("place").collect()]
+    assert got == ["0.1", "1", "1.1", None, "1.2", "1.2.1", "2", "2.0.1"]
 
 
 def test_citations_in_brackets_and_sentences(spark):
@@ -159,6 +180,9 @@ def test_citations_in_brackets_and_sentences(spark):
     got = [(r.surname, r.year, r.authors) for r in C.bracketed(df, "id", "text").orderBy("place").collect()]
     assert got[:2] == [("boyd", 2007, "boyd, Ellison"), ("王小明", 2010, "王小明")] and len(got) == 2
     assert [(r.surname, r.year) for r in C.narrative(df, "id", "text").collect()] == [("guo", 2018)]
+    said = "去年 (2020), May (2019), Eq. (2004), January (2011) and Vol (1999); Smith (2001a), Sheldon et al. (2017), The Smiths (1980), O'Neil, Lee、王小明（1999b）"
+    found = C.narrative(spark.createDataFrame([(1, said)], "id int, text string"), "id", "text").orderBy("place").collect()
+    assert [(r.surname, r.year) for r in found] == [("smith", 2001), ("sheldon", 2017), ("smiths", 1980), ("o'neil", 1999)]
     spans = spark.createDataFrame([(1, 0, 20, "narrative"), (1, 15, 20, "bracket"), (1, 18, 30, "bracket"), (1, 30, 35, "bracket")], "id int, at int, end int, kind string")
     assert sorted((r.at, r.kind) for r in C.without_contained(spans, "id").collect()) == [(0, "narrative"), (30, "bracket")]
 
