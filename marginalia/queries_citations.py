@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .operators import citations as C
 from .sources import standins as S
 from .sources.standins_sql import with_tables
+from .streaming import jobs as J
 from .streaming import limits as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,23 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("time"), state.alias("state"))
 
 
+def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of updates, a job for each user and day."""
+    e = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")  # as a pattern it may be a file or a folder
+    state = F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "extracting").when(F.col("event_type") == "signup", "checking").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error")
+    return e.select(F.concat_ws(":", "user_id", F.to_date("ts").cast("string")).alias("job"), F.col("ts").cast("timestamp").alias("time"), state.alias("state"))
+
+
+def _job_stream(late: str, stalled: int, keep: int) -> Query:
+    """What is left of a stream of all updates, run through at once: then its watermark passes the last but late."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        changes = J.job_changes(job_stream(J.with_store(spark), sf_dir), late, stalled, keep)
+        return J.latest(J.run_through(changes, J.shared_folder(spark, "jobs")))
+
+    return query
+
+
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = S.table(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), (F.col("user_id") % 20).alias("content"))
@@ -129,6 +147,8 @@ QUERIES: dict[str, Query] = {
     "t03_idle_keys": lambda s, d: T.idle_keys(requests(s, d).withColumn("admitted", F.col("event_id") % 2 == 0), "user_id", F.unix_timestamp(F.lit(NOW).cast("timestamp")) / 3600.0 + 300),
     "t04_same_jobs": lambda s, d: T.same_jobs(uploads(s, d), "content", 7200).select("id", "job"),
     "t05_answered": lambda s, d: T.answered(S.papers(s, d).select("paper_id", "content_hash"), S.papers(s, d).join(S.results(s, d), "paper_id").groupBy("content_hash").agg(F.min("paper_id").alias("paper_id")), "content_hash").select("paper_id", "known_as"),
+    "t06_stream_states": _job_stream("1000 days", 10**8, 10**8),
+    "t11_stream_expiry": _job_stream("1 hour", 5 * 86400, 10 * 86400),
     "t06_job_states": lambda s, d: T.job_states(jobs(s, d), F.lit("2024-01-31 00:00:00").cast("timestamp"), 36000).select("job", "state"),
     "t07_days": lambda s, d: T.by_day(S.upload_events(s, d).withColumnRenamed("created_at", "time")),
     "t08_swept": lambda s, d: T.swept(S.upload_events(s, d).withColumnRenamed("created_at", "time"), F.lit(NOW).cast("timestamp"), 86400).select("id", "status", "error_message"),
@@ -140,6 +160,13 @@ _EVENTS = "e AS (SELECT user_id, event_id, floor(epoch(ts)) / 3600.0::DOUBLE AS
 _STATE = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 WHEN 'error' THEN 5 END"
 
 
+#: Jobs that ended are gone, and others interrupted, where the watermark, the last time less what may be late, has passed the time to do so.
+_JOB_STREAM = f"""WITH e AS (SELECT user_id || ':' || ts::DATE AS job, {_STATE} AS rank, date_trunc('millisecond', ts) AS ts FROM events), w AS (SELECT date_trunc('millisecond', max(ts)) - {{late}} AS mark FROM events),
+  s AS (SELECT job, max(rank) AS rank, max(ts) AS t FROM e WHERE rank IS NOT NULL GROUP BY 1)
+  SELECT job, CASE WHEN rank < 4 AND t + INTERVAL {{stalled}} <= mark THEN 'error' ELSE ['queued', 'extracting', 'checking', 'done', 'error'][rank] END AS state, CASE WHEN rank < 4 AND t + INTERVAL {{stalled}} <= mark THEN 'Interrupted' ELSE '' END AS message
+  FROM s, w WHERE NOT (rank >= 4 AND t + INTERVAL {{keep}} <= mark)"""
+
+
 def _label_sql(style: str, said: bool) -> str:
     n = "'[' || doc_id % 9 || ']'"
     if said:
@@ -181,6 +208,8 @@ ORACLES: dict[str, str] = {
     "t03_idle_keys": f"SELECT user_id, max(floor(epoch(ts)) / 3600.0::DOUBLE) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1 HAVING epoch(TIMESTAMP '{NOW}') / 3600.0::DOUBLE + 300 - max(floor(epoch(ts)) / 3600.0::DOUBLE) >= 60",
     "t04_same_jobs": "WITH u AS (SELECT event_id AS id, ts, user_id % 20 AS content FROM events), n AS (SELECT *, CASE WHEN floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) < 7200 THEN 0 ELSE 1 END AS new FROM u WINDOW w AS (PARTITION BY content ORDER BY ts, id)), g AS (SELECT *, sum(new) OVER (PARTITION BY content ORDER BY ts, id) AS run FROM n) SELECT id, first_value(id) OVER (PARTITION BY content, run ORDER BY ts, id) AS job FROM g",
     "t05_answered": with_tables("papers results", "SELECT p.paper_id, k.paper_id AS known_as FROM papers p LEFT JOIN (SELECT content_hash, min(paper_id) AS paper_id FROM papers JOIN results USING (paper_id) GROUP BY 1) k ON k.content_hash = p.content_hash"),
+    "t06_stream_states": _JOB_STREAM.format(late="INTERVAL 1000 DAY", stalled="1000000 HOUR", keep="1000000 HOUR"),
+    "t11_stream_expiry": _JOB_STREAM.format(late="INTERVAL 1 HOUR", stalled="5 DAY", keep="10 DAY"),
     "t06_job_states": f"WITH s AS (SELECT user_id AS job, max({_STATE}) AS rank, max(ts) FILTER ({_STATE} IS NOT NULL) AS t FROM events GROUP BY 1) SELECT job, ['queued', 'extracting', 'checking', 'done', 'error'][rank] AS state FROM s WHERE rank IS NOT NULL AND NOT (rank >= 4 AND epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(t)) > 36000)",
     "t07_days": with_tables("upload_events", "SELECT date_trunc('day', created_at)::TIMESTAMP AS day, status, count(*) AS n FROM upload_events GROUP BY 1, 2"),
     "t08_swept": with_tables("upload_events", f"WITH g AS (SELECT *, status = 'pending' AND epoch(TIMESTAMP '{NOW}') - floor(epoch(created_at)) > 86400 AS gone FROM upload_events) SELECT id, CASE WHEN gone THEN 'error' ELSE status END AS status, CASE WHEN gone THEN 'Interrupted' ELSE error_message END AS error_message FROM g"),
