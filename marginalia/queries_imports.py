@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .sources import imports as IN
 from .sources import latex as TEX
 from .sources import markdown as MD
+from .sources import renders as RE
 from .sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,5 +241,112 @@ SELECT d.doc_id, coalesce(nullif(trim(title), ''), CASE WHEN d.doc_id % 5 = 4 TH
 FROM documents d LEFT JOIN titles t ON t.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Query] = {"s07_blocks": s07_blocks, "s10_blocks": s10_blocks, "f02_captions": f02_captions, "s05_imports": s05_imports, "f07_titles": f07_titles}
-ORACLES: dict[str, str] = {"s07_blocks": _S07, "s10_blocks": _S10, "f02_captions": _F02, "s05_imports": _S05, "f07_titles": _F07}
+
+def _rendered(form: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        blocks = MD.markdown_blocks(dressed(spark, sf_dir), "doc_id", "text")
+        titles = S.table(spark, sf_dir, "documents").select("doc_id").join(blocks.where("kind = 'title'").select("doc_id", F.col("text").alias("title")), "doc_id", "left")
+        return RE.rendered(blocks, titles, "doc_id", form)
+
+    return query
+
+
+def _render_sql(title: str, sep: str, cases: dict[int, str], end: str) -> str:
+    """The text of each document from the words that dressed() made its lines of."""
+    kinds = " ".join(f"WHEN {k} THEN {c}" for k, c in cases.items())
+    return rf"""WITH {_DRESSED}, d AS (SELECT doc_id, doc_id % 3 = 0 OR doc_id % 12 = 10 AND EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = documents.doc_id) AS led FROM documents),
+      t AS (SELECT doc_id, led, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id WHEN led THEN (SELECT line FROM parts p WHERE p.doc_id = d.doc_id AND k = 0) ELSE '(untitled)' END AS title FROM d),
+      h AS (SELECT p.*, least(3, greatest(1, CASE WHEN kind = 10 THEN 1 ELSE k % 4 + 1 END - led::INT)) AS lv FROM parts p JOIN d USING (doc_id) WHERE NOT (k = 0 AND doc_id % 12 = 10)),
+      b AS (SELECT doc_id, string_agg({sep} || CASE kind {kinds} END, '' ORDER BY k) AS body FROM h GROUP BY doc_id)
+      SELECT t.doc_id, {title} || coalesce(body, '') || {end} AS text FROM t LEFT JOIN b ON b.doc_id = t.doc_id"""
+
+
+_N = "chr(10)"
+_BREAK = f"CASE WHEN k % 2 = 1 THEN a || b ELSE a || ' ' || b END"
+_F09 = _render_sql(
+    "'# ' || title",
+    f"{_N} || {_N}",
+    {
+        0: "repeat('#', (lv + 1)::INT) || ' ' || line",
+        1: "'**' || w0 || '** ' || rest || ' *' || w1 || '*'",
+        2: _BREAK,
+        3: f"'- ' || w0 || {_N} || '- ' || w0",
+        4: f"'```' || {_N} || line || {_N} || '# ' || w0 || {_N} || '```'",
+        5: f"'| ' || w0 || ' | ' || w1 || ' |' || {_N} || '| --- | --- |' || {_N} || '| ' || rest || ' | a | b |'",
+        6: f"'> ' || line || {_N} || '> ~~' || w0 || '~~ lazy ' || w1",
+        7: "'---'",
+        8: f"'$$' || {_N} || line || {_N} || '$$'",
+        9: f"'![**' || w0 || '**](img/' || w1 || '.png)' || {_N} || '***' || w0 || '***' || {_N} || {_N} || line",
+        10: "repeat('#', (lv + 1)::INT) || ' ' || line",
+        11: f"'```' || {_N} || line || {_N} || w0 || {_N} || '```'",
+    },
+    _N,
+)
+_F11 = _render_sql(
+    "title",
+    f"{_N} || {_N}",
+    {
+        0: "line",
+        1: "w0 || ' ' || rest || ' ' || w1",
+        2: _BREAK,
+        3: f"'- ' || w0 || {_N} || '- ' || w0",
+        4: f"line || {_N} || '# ' || w0",
+        5: f"w0 || chr(9) || w1 || {_N} || rest || chr(9) || 'a | b'",
+        6: _N,
+        7: "''",
+        8: "'$' || line || '$'",
+        9: f"'[圖: **' || w0 || '**]' || {_N} || {_N} || line",
+        10: "line",
+        11: f"line || {_N} || w0",
+    },
+    _N,
+)
+_F11 = f"SELECT doc_id, regexp_replace(text, '\\s+$', '') || chr(10) AS text FROM ({_F11}) x"
+_E = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+_F12 = _render_sql(
+    f"'<h1>' || {_E('title')} || '</h1>'",
+    "''",
+    {
+        0: f"'<h' || least(lv + 1, 4) || '>' || {_E('line')} || '</h' || least(lv + 1, 4) || '>'",
+        1: f"'<p><strong>' || {_E('w0')} || '</strong> ' || {_E('rest')} || ' <em>' || {_E('w1')} || '</em></p>'",
+        2: f"'<p>' || {_E(_BREAK)} || '</p>'",
+        3: f"'<ul><li>' || {_E('w0')} || '</li><li>' || {_E('w0')} || '</li></ul>'",
+        4: f"'<pre><code>' || {_E('line')} || {_N} || '# ' || {_E('w0')} || '</code></pre>'",
+        5: f"'<table><tr><td>' || {_E('w0')} || '</td><td>' || {_E('w1')} || '</td></tr><tr><td>' || {_E('rest')} || '</td><td>a | b</td></tr></table>'",
+        6: f"'<blockquote><p>' || {_E('line')} || '</p><p><s>' || {_E('w0')} || '</s> lazy ' || {_E('w1')} || '</p></blockquote>'",
+        7: "'<hr>'",
+        8: f"'<p>\\[' || {_E('line')} || '\\]</p>'",
+        9: f"'<figure><img src=\"img/' || {_E('w1')} || '.png\" alt=\"**' || {_E('w0')} || '**\"><figcaption>**' || {_E('w0')} || '**</figcaption></figure><p>' || {_E('line')} || '</p>'",
+        10: f"'<h' || least(lv + 1, 4) || '>' || {_E('line')} || '</h' || least(lv + 1, 4) || '>'",
+        11: f"'<pre><code>' || {_E('line')} || {_N} || {_E('w0')} || '</code></pre>'",
+    },
+    "''",
+)
+
+
+def b17_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RE.outline(MD.markdown_blocks(dressed(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
+_B17 = f"SELECT doc_id, place, level, text FROM ({_S07}) x WHERE kind = 'heading' AND trim(text) <> ''"
+
+
+def b24_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RE.previews(MD.markdown_blocks(dressed(spark, sf_dir), "doc_id", "text"), "doc_id")
+
+
+_B24 = f"SELECT doc_id, string_agg(coalesce(replace(replace(cells, 'a | b', 'a ¦ b'), '|', ''), text) || CASE WHEN kind IN ('heading', 'paragraph', 'item', 'more', 'quote') THEN chr(10) ELSE '' END, '' ORDER BY place, part) AS text FROM ({_S07}) x WHERE kind <> 'title' GROUP BY doc_id"
+_B24 = f"SELECT doc_id, replace(text, '¦', '|') AS text FROM ({_B24}) y"
+
+
+def b18_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with their caption and rows, of the LaTeX blocks."""
+    rows = TEX.latex_blocks(typeset(spark, sf_dir), "doc_id", "text").where("kind in ('row', 'caption')")
+    own = rows.groupBy("doc_id", "top").agg(F.max(F.when(F.col("kind") == "caption", F.col("text"))).alias("caption"), F.sort_array(F.collect_list(F.when(F.col("kind") == "row", F.struct("part", F.array_join("cells", "|").alias("c"))))).alias("r"))
+    return own.select("doc_id", "caption", F.array_join(F.transform("r", lambda x: x["c"]), "/").alias("rows"))
+
+
+_B18 = _TYPESET_LINES + " SELECT doc_id, w0 || ' ' || w1 AS caption, w0 || '|' || w1 || '/' || line || '|' || w2 AS rows FROM p WHERE kind = 7"
+
+QUERIES: dict[str, Query] = {"s07_blocks": s07_blocks, "s10_blocks": s10_blocks, "f02_captions": f02_captions, "f09_markdown": _rendered("markdown"), "f11_text": _rendered("text"), "f12_html": _rendered("html"), "b17_outline": b17_outline, "b18_tables": b18_tables, "b24_previews": b24_previews, "s05_imports": s05_imports, "f07_titles": f07_titles}
+ORACLES: dict[str, str] = {"s07_blocks": _S07, "s10_blocks": _S10, "f02_captions": _F02, "f09_markdown": _F09, "f11_text": _F11, "f12_html": _F12, "b17_outline": _B17, "b18_tables": _B18, "b24_previews": _B24, "s05_imports": _S05, "f07_titles": _F07}
