@@ -17,6 +17,7 @@ from .schema import SECTIONS
 from .sources import exports as O
 from .sources import standins as S
 from .sources.standins_sql import with_tables
+from .streaming import echoes as EC
 
 Query = Callable[[SparkSession, str], DataFrame]
 PRESETS = {"view": "Look at it.", "error": "Mend it.", "purchase": "Pay for it."}
@@ -156,6 +157,7 @@ QUERIES: dict[str, Query] = {
     "x02_chunks": _UNITS(lambda u: N.chunks(u, ["paper_id", "section"], "k", "text", 400)),
     "x03_halves": _UNITS(lambda u: N.halves(u, ["paper_id", "section"], "k", "text", 400)),
     "x05_indexed": _UNITS(lambda u: N.indexed(u.select("paper_id", "section", "k"), "paper_id", "section", "k")),
+    "x09_echoes": lambda s, d: S.table(s, d, "documents").select("doc_id", EC.without_echo(F.expr("left(text, char_length(text) div 2)"), F.expr("substr(text, char_length(text) div 2 + 1)")).alias("given")),
     "x08_collapsed": lambda s, d: S.table(s, d, "documents").select("doc_id", X.collapsed_repeats(F.col("text")).alias("collapsed")),
     "x10_half_width": _lint("half"),
     "x11_spacing": _lint("spacing"),
@@ -218,6 +220,7 @@ ORACLES: dict[str, str] = {
     "x02_chunks": with_tables("edus", f"WITH {_FOLD}, f AS (SELECT paper_id, section, k, r, n AS total, 0 AS chunk FROM e WHERE r = 1 UNION ALL SELECT e.paper_id, e.section, e.k, e.r, CASE WHEN f.total > 0 AND f.total + e.n > 400 THEN e.n ELSE f.total + e.n END, CASE WHEN f.total > 0 AND f.total + e.n > 400 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN e ON e.paper_id = f.paper_id AND e.section = f.section AND e.r = f.r + 1) SELECT paper_id, section, k, chunk::INTEGER AS chunk FROM f").replace("WITH ", "WITH RECURSIVE ", 1),
     "x03_halves": with_tables("edus", f"WITH {_FOLD}, g AS (SELECT paper_id, section, count(*) AS m, list(n ORDER BY r) AS ns FROM e GROUP BY 1, 2), p AS (SELECT paper_id, section, ns, 0::BIGINT AS lo, m::BIGINT AS hi FROM g UNION ALL SELECT paper_id, section, ns, unnest([lo, (lo + hi) // 2]), unnest([(lo + hi) // 2, hi]) FROM p WHERE hi - lo > 1 AND list_sum(ns[lo + 1:hi]) > 400), d AS (SELECT * FROM p WHERE NOT (hi - lo > 1 AND list_sum(ns[lo + 1:hi]) > 400)) SELECT e.paper_id, e.section, e.k, d.lo AS part FROM e JOIN d ON d.paper_id = e.paper_id AND d.section = e.section AND e.r > d.lo AND e.r <= d.hi").replace("WITH ", "WITH RECURSIVE ", 1),
     "x05_indexed": with_tables("edus", "SELECT paper_id, section, k, ord::BIGINT AS ord, edu_id FROM edus"),
+    "x09_echoes": r"WITH h AS (SELECT doc_id, left(text, length(text) // 2) AS c, text[length(text) // 2 + 1 :] AS t FROM documents), p AS (SELECT doc_id, 0 AS own, regexp_extract_all(c, '((?s).*?[。．.！？!?\n]+|.+$)') AS s FROM h UNION ALL SELECT doc_id, 1, regexp_extract_all(t, '((?s).*?[。．.！？!?\n]+|.+$)') FROM h), e AS (SELECT doc_id, own, unnest(s) AS t, unnest(range(len(s))) AS i FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(t, '\s', '', 'g') ORDER BY own, i) > 1 AND regexp_replace(t, '\s', '', 'g') <> '' AND own = 1 AS echo FROM e), f AS (SELECT doc_id, min(i) FILTER (WHERE echo) AS cut FROM k GROUP BY 1) SELECT d.doc_id, coalesce((SELECT string_agg(t, '' ORDER BY i) FROM k WHERE k.doc_id = d.doc_id AND own = 1 AND (cut IS NULL OR i < cut)), '') AS given FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id",
     "x08_collapsed": r"WITH p AS (SELECT doc_id, regexp_extract_all(text, '((?s).*?[。．.！？!?\n]+|.+$)') AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS i, len(s) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(t, '\s', '', 'g') ORDER BY i) AS nth FROM e) SELECT d.doc_id, coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE nth = 1 OR i = n - 1 OR regexp_replace(t, '\s', '', 'g') = ''), '') AS collapsed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id",
     "x10_half_width": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i AS \"end\", c AS original, CASE c {_HALVES} END AS replacement FROM c WHERE CASE c {_HALVES} END IS NOT NULL AND (regexp_matches(b, {_CJK}) OR regexp_matches(n, {_CJK}))",
     "x11_spacing": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i + 1 AS \"end\", c || n AS original, c || ' ' || n AS replacement FROM c WHERE (regexp_matches(c, {_CJK}) AND regexp_matches(n, '[A-Za-z]')) OR (regexp_matches(c, '[A-Za-z]') AND regexp_matches(n, {_CJK}))",
