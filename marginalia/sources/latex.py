@@ -35,6 +35,8 @@ RULES = r"\\(?:hline|toprule|midrule|bottomrule)"
 LEVELS = {"section": 1, "subsection": 2, "subsubsection": 3}
 
 _STOP = re.compile(r"\n\n+|\n\Z|\\begin\{(\w+\*?)\}|\\(section|subsection|subsubsection)\*?\s*\{")
+_BRACE = re.compile(r"\\(?s:.)|[{}]")
+_PLAIN = re.compile(r"[^$\\~]+")
 _COMMAND = re.compile(r"\\([a-zA-Z]+)\*?( *)")
 _OWN = {*LISTS, *QUOTES, *CODE, *MATH, *TABLES, "figure"}
 SEGMENTS = "array<struct<kind:string,env:string,text:string>>"
@@ -42,16 +44,13 @@ SEGMENTS = "array<struct<kind:string,env:string,text:string>>"
 
 def closes(s: str) -> dict[int, int]:
     """Of every brace that opens, where its other closes, or the end of s; escaped ones are none."""
-    found, opened, at = {}, [], 0
-    while at < len(s):
-        c = s[at]
-        if c == "\\":
-            at += 1
-        elif c == "{":
-            opened.append(at)
-        elif c == "}" and opened:
-            found[opened.pop()] = at
-        at += 1
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    for brace in _BRACE.finditer(s):
+        if brace[0] == "{":
+            opened.append(brace.start())
+        elif brace[0] == "}" and opened:
+            found[opened.pop()] = brace.start()
     return found | dict.fromkeys(opened, len(s))
 
 
@@ -149,9 +148,13 @@ def _inline(s: str) -> list[tuple[str, list[str]]]:
                     at = command.end() + 1
             else:
                 at = command.start(2)
-        else:
-            buffer.append(" " if c == "~" else c)
+        elif c == "~":
+            buffer.append(" ")
             at += 1
+        else:
+            plain = _PLAIN.match(s, at, end)
+            buffer.append(plain[0])
+            at = plain.end()
 
 
 def _udf(function, kind: str):
@@ -185,7 +188,8 @@ def plain(runs: Column) -> Column:
 def parts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, title, body) of LaTeX texts without their comments."""
     clean = latex_uncommented(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\r\n?", "\n"))
-    rows = texts.select(F.col(f"`{key}`").alias("key"), clean.alias("_clean"))
+    # exploded, so that what the text is made of is made once, not for each use of it
+    rows = texts.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(clean)).alias("_clean"))
     inner = F.regexp_extract("_clean", r"(?s)\\begin\{document\}(.*)\\end\{document\}", 1)
     held = F.col("_clean").rlike(r"(?s)\\begin\{document\}.*\\end\{document\}")
     rows = rows.select("key", F.when(F.col("_clean").contains("\\title"), argument_of(F.col("_clean"), "\\title")).otherwise("").alias("title"), F.when(held, inner).otherwise(F.col("_clean")).alias("body"))
@@ -200,9 +204,9 @@ def table_rows(inner: Column) -> Column:
 
 
 def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Block rows of LaTeX texts: a row of kind title first where there is one, then those of the body."""
+    """Block rows of LaTeX texts: a row of kind title, of top -1, where there is one, and those of the body."""
     own = parts(texts, key, text)
-    found = own.select("key", F.posexplode(segments(F.col("body"))).alias("at", "s")).select("key", "at", "s.*")
+    found = own.select("key", "title", F.posexplode_outer(segments(F.col("body"))).alias("at", "s")).select("key", "title", "at", "s.*")
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     env, body = F.col("env"), F.col("text")
     tabular = F.regexp_extract("text", r"(?s)\\begin\{tabular\}(.*?)\\end\{tabular\}", 1)
@@ -226,7 +230,10 @@ def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
         .when(env == "figure", F.array(block("figure", F.coalesce(F.nullif("caption", F.lit("")), F.when(image != "", F.concat(F.lit("["), image, F.lit("]"))), F.lit("")))))
         .otherwise(F.concat(F.coalesce(captions, F.array().cast("array<struct<kind:string,level:int,ordered:boolean,text:string,cells:array<string>>>")), F.transform(rows_of, lambda r, k: block("row", F.lit(""), (k == 0).cast("int"), None, r))))
     )
-    rows = found.select("key", "at", F.posexplode(cut).alias("part", "b")).select("key", "at", "part", "b.*")
+    no_blocks = F.array().cast("array<struct<top:int,part:int,b:struct<kind:string,level:int,ordered:boolean,text:string,cells:array<string>>>>")
+    titled = F.when((F.coalesce("at", F.lit(0)) == 0) & (F.col("title") != ""), F.array(F.struct(F.lit(-1).alias("top"), F.lit(0).alias("part"), block("title", F.col("title")).alias("b"))))
+    numbered = F.when(F.col("at").isNotNull(), F.transform(cut, lambda b, k: F.struct(F.col("at").alias("top"), k.alias("part"), b.alias("b"))))
+    rows = found.select("key", F.explode(F.concat(F.coalesce(titled, no_blocks), F.coalesce(numbered, no_blocks))).alias("x")).select("key", "x.top", "x.part", "x.b.*")
     spoken = F.col("kind").isin("paragraph", "heading", "item", "quote", "caption")
     rows = rows.withColumn("_runs", inline(F.when(spoken, F.array("text")).otherwise(F.col("cells"))))
     first = F.get("_runs", F.lit(0))
@@ -235,7 +242,7 @@ def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     flat = lambda r: F.array_join(F.transform(r, lambda x: x["text"]), "")
     body_rows = rows.select(
         "key",
-        F.col("at").alias("top"),
+        "top",
         "part",
         F.col("kind").isin("item", "quote").cast("int").alias("depth"),
         "kind",
@@ -246,5 +253,4 @@ def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("kind") == "row", F.transform("_runs", flat)).alias("cells"),
         F.when(F.col("kind") == "figure", "").alias("src"),
     )
-    titles = own.where("title <> ''").select("key", F.lit(-1).alias("top"), F.lit(0).alias("part"), F.lit(0).alias("depth"), F.lit("title").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("ordered"), F.col("title").alias("text"), F.lit(None).cast(f"array<{RUN}>").alias("runs"), F.lit(None).cast("array<string>").alias("cells"), F.lit(None).cast("string").alias("src"))
-    return titles.unionByName(body_rows).withColumnRenamed("key", key)
+    return body_rows.withColumnRenamed("key", key)

@@ -68,7 +68,8 @@ def classified(line: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), indent.alias("indent"), content.alias("content"), mark.alias("mark"), n.cast("int").alias("n"))
 
     return (
-        F.when(body == "", one("blank"))
+        F.when(~line.rlike(r"^[ \t]*(?:$|[`~$#=*_>+0-9-])|\|"), one("text"))
+        .when(body == "", one("blank"))
         .when(flat.rlike(r"^ {0,3}(?:`{3,}[^`]*|~{3,}.*)$"), one("fence", F.concat(F.substring(body, 1, 1), F.when(body.rlike("^(?:`+|~+)$"), "").otherwise("info")), F.length(F.regexp_extract(body, "^(`+|~+)", 1))))
         .when(near & body.rlike(r"^\$\$$"), one("math"))
         .when(flat.rlike(r"^ {0,3}#{1,6}(?:[ ]|$)"), one("heading"))
@@ -256,7 +257,8 @@ def _tokens(text: Column, marks: dict[str, str], deeper: dict[str, str]) -> Colu
 
 def runs(text: Column) -> Column:
     """Inline text as (text, marks) runs."""
-    return _tokens(text, TOKENS, TOKENS)
+    whole = F.filter(F.array(F.struct(text.alias("text"), F.array().cast("array<string>").alias("marks"))), lambda r: r["text"] != "")
+    return F.when(text.rlike(r"[`*~$\[]"), _tokens(text, TOKENS, TOKENS)).otherwise(whole)
 
 
 def joined(content: Column) -> Column:
@@ -280,7 +282,8 @@ def content_of(kind: Column, text: Column, number: Column) -> Column:
 
 def markdown_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Block rows of Markdown texts; a null or blank text has none, key may be shared or null."""
-    found = texts.select(F.col(f"`{key}`").alias("key"), lines(F.col(f"`{text}`")).alias("lines"))
+    # exploded, so that what the text is made of is made once, not for each use of its lines
+    found = texts.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(lines(F.col(f"`{text}`")))).alias("lines"))
     found = found.withColumn("ranges", ranges(F.transform("lines", classified)))
     at = lambda b: F.slice("lines", b["first"] + 1, b["n"])
     whole = F.transform("ranges", lambda b: F.struct(b.alias("b"), at(b).alias("own")))
@@ -301,8 +304,9 @@ def markdown_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     figure = lambda m: part("figure", F.regexp_extract(m, r"^!\[([^\[\]]*)\]", 1), F.regexp_extract(m, r"\(\s*([^()\s]*)", 1))
     cut = F.flatten(F.transform(around, lambda t, k: F.concat(F.array(part("paragraph", F.trim(t), none)), F.when(k < F.size(images), F.array(figure(F.get(images, k)))).otherwise(F.array().cast("array<struct<kind:string,text:string,src:string>>")))))
     split = F.when((F.col("kind") == "paragraph") & F.col("body").rlike(IMAGE), F.filter(cut, lambda p: (p["kind"] == "figure") | (p["text"] != ""))).otherwise(F.array(F.struct("kind", F.col("body").alias("text"), none.alias("src"))))
-    rows = rows.select("key", "place", "title", "top", "depth", "level", "ordered", F.element_at("own", 1).alias("line"), F.posexplode(split).alias("part", "p"))
-    rows = rows.withColumn("runs", F.when(F.col("p.kind").isin("heading", "paragraph", "item", "more", "quote"), runs(F.col("p.text"))))
+    spoken = lambda p: p["kind"].isin("heading", "paragraph", "item", "more", "quote")
+    parsed = F.transform(split, lambda p: F.struct(p["kind"].alias("kind"), p["text"].alias("text"), p["src"].alias("src"), F.when(spoken(p), runs(p["text"])).alias("runs")))
+    rows = rows.select("key", "place", "title", "top", "depth", "level", "ordered", F.element_at("own", 1).alias("line"), F.posexplode(parsed).alias("part", "p")).withColumn("runs", F.col("p.runs"))
     plain = F.array_join(F.transform("runs", lambda r: r["text"]), "")
     row_cells = F.transform(cells(F.col("line")), lambda c: F.array_join(F.transform(runs(c), lambda r: r["text"]), ""))
     return rows.select(
