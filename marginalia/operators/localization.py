@@ -1,12 +1,15 @@
 """Where units of text stand among the lines that they were read from.
 
-Both look the pieces of a text up among all places of the same document by joins on equal pieces, instead of scanning the
-document for each text, and vote for the offset that most pieces agree on.
+Both look the pieces of a text up among all places of the same document, by equal pieces, instead of scanning the document
+for each text, and vote for the offset that most pieces agree on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.typography import joined_lines
@@ -20,53 +23,84 @@ ORPHANS = r"(?:^|\s)[、。，；：！？](?=\s|$)"
 SEEDS, BAND, FOUND = 8, 8, 0.25
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+PLACES = "array<struct<first:int,last:int,score:double>>"
+
+
+def _place(words: list[str], at: dict[str, list[int]], needle: str) -> tuple[int, int, float] | None:
+    """(first word, last word, score) of a needle among words, whose neighbouring pairs stand at these places."""
+    own = _WORD.findall(needle)
+    pairs = [f"{a} {b}" for a, b in zip(own, own[1:], strict=False)]
+    rarest = sorted((len(at[p]), i, p) for i, p in enumerate(pairs) if p in at)[:SEEDS]
+    begun: dict[int, tuple[set[int], int]] = {}
+    for _, i, pair in rarest:
+        for spot in at[pair]:
+            for band in ((spot - i) // BAND, (spot - i) // BAND + 1):
+                votes, begin = begun.get(band, (set(), spot - i))
+                votes.add(i)
+                begun[band] = votes, min(begin, spot - i)
+    votes, back = max(((len(v), -b) for v, b in begun.values()), default=(0, 0))
+    score = votes / min(SEEDS, len(pairs)) if pairs else 0.0
+    begin = max(0, -back)
+    return (begin, min(begin + len(own), len(words)) - 1, score) if score >= FOUND and begin < len(words) else None
+
 
+def _places(lines: pd.Series, needles: pd.Series) -> pd.Series:
+    """Of each row's needles the lines that they begin and end in, and their scores; null where they aren't found."""
 
-def _pairs(words: Column, word: str | None = None) -> Column:
-    of = (lambda w: w[word]) if word else (lambda w: w)
-    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(of(F.get(words, i)), F.lit(" "), of(F.get(words, i + 1)))))
+    def of(texts: list[str] | None, wanted: list[str]) -> list[dict | None]:
+        words, line_of = [], []
+        for k, text in enumerate(texts if texts is not None else ()):
+            found = _WORD.findall(text or "")
+            words += found
+            line_of += [k] * len(found)
+        at: dict[str, list[int]] = {}
+        for i, (a, b) in enumerate(zip(words, words[1:], strict=False)):
+            at.setdefault(f"{a} {b}", []).append(i)
+        known: dict[str, dict | None] = {}
+        for n in wanted:
+            if n not in known:
+                place = _place(words, at, n)
+                known[n] = place and {"first": line_of[place[0]], "last": line_of[place[1]], "score": place[2]}
+        return [known[n] for n in wanted]
+
+    return pd.Series([of(t, w) for t, w in zip(lines, needles, strict=True)])
 
 
 def located(units: DataFrame, spans: DataFrame, keys: list[str], unit: str) -> DataFrame:
     """(keys, unit, page, x0, y0, x1, y1, score) of units (keys, unit, text) among spans (keys, pos, page, bbox, text).
 
-    The words of a key's spans are numbered across white space and line ends, each with its span. A unit's first NEEDLE
-    characters are looked for by up to SEEDS pairs of neighbouring words, the rarest of those that the key has; what the
-    pairs' places say of where the unit begins is counted in overlapping bands, so that some words more or less between
-    them do no harm. The best band's first place is the unit's; its box spans the lines of the first page that the unit
-    covers. Below a score of FOUND, the share of its pairs that were found there, a unit is put at the key's first span,
-    as is one of fewer than two words. Units of one text are looked up once. A key without spans gives page 0 and a box
-    of zeros; units are told apart by their name within the key.
+    The words of a key's spans are numbered across white space and line ends. A unit's first NEEDLE characters are looked
+    for by up to SEEDS pairs of neighbouring words, the rarest of those that the key has; what the pairs' places say of
+    where the unit begins is counted in overlapping bands, so that some words more or less between them do no harm. The
+    best band's first place is the unit's; its box spans the lines of the first page that the unit covers. Below a score
+    of FOUND, the share of its pairs that were found there, a unit is put at the key's first span, as is one of fewer than
+    two words. Units of one text are looked up once. A key without spans gives page 0 and a box of zeros; units are told
+    apart by their name within the key.
+
+    Spans and units are gathered by key, a document, which is all that is shuffled; a document's pairs are looked up in a
+    table of its own.
     """
     box = ["x0", "y0", "x1", "y1"]
     lines = spans.select(*keys, F.struct("pos", F.col("text").alias("t"), "page", *(F.col("bbox")[i].alias(b) for i, b in enumerate(box))).alias("s"))
     whole = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))
-    words = F.flatten(F.transform("s", lambda s: F.transform(_words(s["t"]), lambda w: F.struct(w.alias("w"), s["page"].alias("page"), *(s[b].alias(b) for b in box)))))
-    whole = whole.select(*keys, F.get("s", F.lit(0)).alias("first"), words.alias("words"))
-    places = whole.select(*keys, F.posexplode("words").alias("at", "w")).select(*keys, "at", "w.*")
-    seeds = whole.select(*keys, F.posexplode(_pairs(F.col("words"), "w")).alias("at", "seed"))
-    clean = units.select(*keys, unit, F.substring(F.array_join(_words(F.coalesce("text", F.lit(""))), " "), 1, NEEDLE).alias("needle"))
-    needles = clean.select(*keys, "needle").distinct()
-    asked = needles.select(*keys, "needle", F.posexplode(_pairs(_words(F.col("needle")))).alias("i", "seed"))
-    rarity = seeds.groupBy(*keys, "seed").agg(F.count(F.lit(1)).alias("often"))
-    rare = Window.partitionBy(*keys, "needle").orderBy("often", "i")
-    chosen = asked.join(rarity, [*keys, "seed"]).withColumn("k", F.row_number().over(rare)).where(F.col("k") <= SEEDS)
-    votes = chosen.join(seeds, [*keys, "seed"]).select(*keys, "needle", "i", (F.col("at") - F.col("i")).alias("begin"))
-    band = F.floor(F.col("begin") / BAND)
-    votes = votes.withColumn("band", F.explode(F.array(band, band + 1)))
-    counted = votes.groupBy(*keys, "needle", "band").agg(F.count_distinct("i").alias("votes"), F.min("begin").alias("begin"))
-    best = counted.groupBy(*keys, "needle").agg(F.max(F.struct("votes", (-F.col("begin")).alias("back"))).alias("best"))
-    size = F.size(_words(F.col("needle")))
-    score = F.col("best.votes") / F.least(F.lit(SEEDS), size - 1)
-    found = best.select(*keys, "needle", score.alias("score"), F.greatest(-F.col("best.back"), F.lit(0)).alias("begin"), size.alias("n")).where(F.col("score") >= FOUND)
-    covered = found.select(*keys, "needle", "score", F.explode(F.sequence("begin", F.col("begin") + F.col("n") - 1)).alias("at")).join(places, [*keys, "at"])
-    by_page = covered.groupBy(*keys, "needle", "page").agg(F.min("at").alias("at"), F.first("score").alias("score"), *(f(b).alias(b) for f, b in zip((F.min, F.min, F.max, F.max), box, strict=True)))
-    placed = by_page.groupBy(*keys, "needle").agg(F.min(F.struct("at", "page", *box, "score")).alias("p"))
-    own = clean.join(placed, [*keys, "needle"], "left").join(whole.select(*keys, "first"), keys, "left")
-    zero = {"page": F.lit(0), **{b: F.lit(0.0) for b in box}}
-    return own.select(*keys, unit, *(F.coalesce(F.col(f"p.{c}"), F.col(f"first.{c}"), z).alias(c) for c, z in zero.items()), F.coalesce("p.score", F.lit(0.0)).alias("score"))
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), r"\s+", " ")
+    wanted = units.select(*keys, F.struct(unit, F.substring(clean, 1, NEEDLE).alias("needle")).alias("u")).groupBy(*keys).agg(F.collect_list("u").alias("u"))
+    both = wanted.join(whole, keys, "left")
+    found = F.pandas_udf(_places, PLACES)(F.transform("s", lambda s: s["t"]), F.transform("u", lambda u: u["needle"]))
+    rows = both.withColumn("p", found)
+    top = F.get("s", F.lit(0))
+
+    def placed(z: Column) -> Column:
+        """Boxes are made beside their document's lines, which so go into no unit's row."""
+        lying = F.slice("s", z["p"]["first"] + 1, z["p"]["last"] - z["p"]["first"] + 1)
+        page = F.get(lying, F.lit(0))["page"]
+        there = F.when(z["p"].isNotNull(), F.filter(lying, lambda s: s["page"] == page))
+        side = lambda b, f: F.coalesce(f(F.transform(there, lambda s: s[b])), top[b], F.lit(0.0)).alias(b)
+        sides = [side(b, F.array_min if b in ("x0", "y0") else F.array_max) for b in box]
+        return F.struct(z["u"][unit].alias(unit), F.coalesce(F.when(z["p"].isNotNull(), page), top["page"], F.lit(0)).alias("page"), *sides, F.coalesce(z["p"]["score"], F.lit(0.0)).alias("score"))
+
+    return rows.select(*keys, F.explode(F.transform(F.arrays_zip("u", "p"), placed)).alias("z")).select(*keys, "z.*")
 
 
 def restored(paragraphs: DataFrame, originals: DataFrame, key: str, place: str) -> DataFrame:
