@@ -196,6 +196,8 @@ QUERIES: dict[str, Query] = {
 _S02 = "l AS (SELECT doc_id, unnest(s) AS text, unnest(range(len(s)))::INTEGER AS line FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS s FROM documents)), a AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"at\" FROM l)"
 _X01 = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)^\\s*{'' if n == 'Abstract' else N.NUMBER}(?:{w})([^\\pL\\pN_]|$)') THEN '{n}'" for n, w in N.HEADINGS.items()) + " END"
 _FOLD = """e AS (SELECT paper_id, section, k, length(text) AS n, row_number() OVER (PARTITION BY paper_id, section ORDER BY k) AS r FROM edus)"""
+#: Characters with their neighbours, by windows: places in a text of wide characters take time by their number.
+_CELLS = "u AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM mixed), c AS (SELECT doc_id, i, c, coalesce(lag(c) OVER w, '') AS b, coalesce(lead(c) OVER w, '') AS n FROM u WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
 _CHARS = "c AS (SELECT doc_id, i, substr(text, i, 1) AS c, CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END AS b, substr(text, i + 1, 1) AS n, text FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM mixed))"
 _CJK = "'[㐀-䶿一-鿿]'"
 _HALVES = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in T.FULL_WIDTH.items())
@@ -222,8 +224,8 @@ ORACLES: dict[str, str] = {
     "x05_indexed": with_tables("edus", "SELECT paper_id, section, k, ord::BIGINT AS ord, edu_id FROM edus"),
     "x09_echoes": r"WITH h AS (SELECT doc_id, left(text, length(text) // 2) AS c, text[length(text) // 2 + 1 :] AS t FROM documents), p AS (SELECT doc_id, 0 AS own, regexp_extract_all(c, '((?s).*?[。．.！？!?\n]+|.+$)') AS s FROM h UNION ALL SELECT doc_id, 1, regexp_extract_all(t, '((?s).*?[。．.！？!?\n]+|.+$)') FROM h), e AS (SELECT doc_id, own, unnest(s) AS t, unnest(range(len(s))) AS i FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(t, '\s', '', 'g') ORDER BY own, i) > 1 AND regexp_replace(t, '\s', '', 'g') <> '' AND own = 1 AS echo FROM e), f AS (SELECT doc_id, min(i) FILTER (WHERE echo) AS cut FROM k GROUP BY 1) SELECT d.doc_id, coalesce((SELECT string_agg(t, '' ORDER BY i) FROM k WHERE k.doc_id = d.doc_id AND own = 1 AND (cut IS NULL OR i < cut)), '') AS given FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id",
     "x08_collapsed": r"WITH p AS (SELECT doc_id, regexp_extract_all(text, '((?s).*?[。．.！？!?\n]+|.+$)') AS s FROM documents), e AS (SELECT doc_id, unnest(s) AS t, unnest(range(len(s))) AS i, len(s) AS n FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(t, '\s', '', 'g') ORDER BY i) AS nth FROM e) SELECT d.doc_id, coalesce(string_agg(t, '' ORDER BY i) FILTER (WHERE nth = 1 OR i = n - 1 OR regexp_replace(t, '\s', '', 'g') = ''), '') AS collapsed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY d.doc_id",
-    "x10_half_width": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i AS \"end\", c AS original, CASE c {_HALVES} END AS replacement FROM c WHERE CASE c {_HALVES} END IS NOT NULL AND (regexp_matches(b, {_CJK}) OR regexp_matches(n, {_CJK}))",
-    "x11_spacing": f"WITH {_MIXED}, {_CHARS} SELECT doc_id, i - 1 AS \"at\", i + 1 AS \"end\", c || n AS original, c || ' ' || n AS replacement FROM c WHERE (regexp_matches(c, {_CJK}) AND regexp_matches(n, '[A-Za-z]')) OR (regexp_matches(c, '[A-Za-z]') AND regexp_matches(n, {_CJK}))",
+    "x10_half_width": f"WITH {_MIXED}, {_CELLS} SELECT doc_id, i - 1 AS \"at\", i AS \"end\", c AS original, CASE c {_HALVES} END AS replacement FROM c WHERE CASE c {_HALVES} END IS NOT NULL AND (regexp_matches(b, {_CJK}) OR regexp_matches(n, {_CJK}))",
+    "x11_spacing": f"WITH {_MIXED}, {_CELLS} SELECT doc_id, i - 1 AS \"at\", i + 1 AS \"end\", c || n AS original, c || ' ' || n AS replacement FROM c WHERE (regexp_matches(c, {_CJK}) AND regexp_matches(n, '[A-Za-z]')) OR (regexp_matches(c, '[A-Za-z]') AND regexp_matches(n, {_CJK}))",
     "x12_spaces": f"WITH {_MIXED}, {_CHARS}, r AS (SELECT *, regexp_extract(substr(text, i), '^( +)[{T.CLOSING}]', 1) AS r FROM c WHERE c = ' ' AND b <> ' ') SELECT doc_id, i - 1 AS \"at\", i - 1 + length(r) AS \"end\", r AS original, '' AS replacement FROM r WHERE r <> ''",
     "x15_chapters": with_tables("edus", f"WITH {_BLOCKS}, c AS (SELECT *, {_ISLAND}::BIGINT AS chapter FROM blocks) SELECT * FROM (SELECT doc_id, chapter, max(CASE WHEN level = 1 THEN text END) AS title, sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS chars FROM c GROUP BY 1, 2) WHERE chapter > 0 OR chars > 0"),
     "x16_occurrences": "SELECT doc_id, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS n, (length(text) - length(replace(text, 'en', ''))) // 2 AS exact FROM documents",
