@@ -146,6 +146,18 @@ def occurrences(text: Column, needle: Column, fold: bool = False) -> Column:
     return F.when(F.char_length(needle) > 0, n.cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def matches(texts: DataFrame, key: str, text: str, needle: Column, fold: bool = False) -> DataFrame:
+    """(key, from, to) of every place where needle stands in a text, from its beginning on without overlap; places
+    from 0. Texts are split at the needle, and lengths added up, so that a text is read once. An empty needle stands
+    nowhere; a null text or needle has no places."""
+    text_, needle = (F.lower(F.col(text)), F.lower(needle)) if fold else (F.col(text), needle)
+    own = texts.select(key, text_.alias("_text"), needle.alias("_needle")).where(F.col("_needle") != "")
+    pieces = F.split("_text", F.concat(F.lit("\\Q"), "_needle", F.lit("\\E")))
+    rows = own.select(key, F.char_length("_needle").alias("n"), F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("_k", "_piece"))
+    to = F.sum(F.char_length("_piece") + F.col("n")).over(Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(key, (to - F.col("n")).alias("from"), to.alias("to"))
+
+
 def claim(before: Column) -> Column:
     """The last sentence of what stands before a citation, else all of it."""
     parts = F.filter(F.split(before, r"(?<=[。．.!?！？])\s*"), lambda s: F.trim(s) != "")

@@ -21,6 +21,8 @@ HEADINGS = {
     "Conclusion": "conclusions?|結論|總結",
 }
 FIRST, NONE = "Abstract", "Other"
+#: Characters between which lines are joined without a space.
+IDEOGRAPHS = "㐀-鿿豈-﫿"
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -103,12 +105,18 @@ def paragraphs(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def scanned_paragraphs(boxes: DataFrame, key: str) -> DataFrame:
     """Boxes (key, page, y, height, text) of lines to (key, paragraph, text): a new one on a new page, and where the
-    gap to the line before is over 0.8 of its height."""
+    gap to the line before is over 0.8 of its height, 1 at least; no space goes between ideographs, and
+    blank paragraphs are left out."""
     own = Window.partitionBy(key).orderBy("page", "y")
+    height = F.greatest(F.lag("height").over(own), F.lit(1))
     gap = F.col("y") - F.lag("y").over(own) - F.lag("height").over(own)
-    new = F.coalesce((F.col("page") != F.lag("page").over(own)) | (gap > 0.8 * F.lag("height").over(own)), F.lit(False))
+    new = F.coalesce((F.col("page") != F.lag("page").over(own)) | (gap > 0.8 * height), F.lit(False))
     numbered = boxes.withColumn("_new", new.cast("int")).withColumn("paragraph", F.sum("_new").over(own))
-    return numbered.groupBy(key, "paragraph").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "y", "text"))), lambda b: b["text"]), " ").alias("text"))
+    lines = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("page", "y", "text"))), lambda b: F.trim(b["text"])), lambda t: t != "")
+    rows = numbered.groupBy(key, "paragraph").agg(lines.alias("_lines"))
+    tight = lambda a, b: a.rlike(f"[{IDEOGRAPHS}]$") & b.rlike(f"^[{IDEOGRAPHS}]")
+    spaced = F.transform("_lines", lambda t, k: F.when((k == 0) | tight(F.get("_lines", k - 1), t), t).otherwise(F.concat(F.lit(" "), t)))
+    return rows.select(key, "paragraph", F.array_join(spaced, "").alias("text")).where("text <> ''")
 
 
 def needs_scan(text: Column, garbled: Column) -> Column:

@@ -163,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "x11_spacing": _lint("spacing"),
     "x12_spaces": _lint("space"),
     "x15_chapters": _UNITS(lambda u: N.chapter_counts(blocks(u), "doc_id")),
+    "x16_places": lambda s, d: T.matches(S.table(s, d, "documents"), "doc_id", "text", F.lit("The"), True),
     "x16_occurrences": _documents(n=lambda t: T.occurrences(t, F.lit("The"), True), exact=lambda t: T.occurrences(t, F.lit("en"))),
     "x17_joined": lambda s, d: mixed(s, d).select("doc_id", T.joined_lines(F.split("text", "\n")).alias("joined")),
     "x19_gaps": lambda s, d: mixed(s, d).select("doc_id", T.without_gaps(F.col("text")).alias("text")),
@@ -228,6 +229,7 @@ ORACLES: dict[str, str] = {
     "x11_spacing": f"WITH {_MIXED}, {_CELLS} SELECT doc_id, i - 1 AS \"at\", i + 1 AS \"end\", c || n AS original, c || ' ' || n AS replacement FROM c WHERE (regexp_matches(c, {_CJK}) AND regexp_matches(n, '[A-Za-z]')) OR (regexp_matches(c, '[A-Za-z]') AND regexp_matches(n, {_CJK}))",
     "x12_spaces": f"WITH {_MIXED}, {_CHARS}, r AS (SELECT *, regexp_extract(substr(text, i), '^( +)[{T.CLOSING}]', 1) AS r FROM c WHERE c = ' ' AND b <> ' ') SELECT doc_id, i - 1 AS \"at\", i - 1 + length(r) AS \"end\", r AS original, '' AS replacement FROM r WHERE r <> ''",
     "x15_chapters": with_tables("edus", f"WITH {_BLOCKS}, c AS (SELECT *, {_ISLAND}::BIGINT AS chapter FROM blocks) SELECT * FROM (SELECT doc_id, chapter, max(CASE WHEN level = 1 THEN text END) AS title, sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS chars FROM c GROUP BY 1, 2) WHERE chapter > 0 OR chars > 0"),
+    "x16_places": """WITH p AS (SELECT doc_id, unnest(string_split(lower(text), 'the')[: -2]) AS piece, unnest(range(len(string_split(lower(text), 'the')) - 1)) AS k FROM documents) SELECT doc_id, (sum(length(piece) + 3) OVER w - 3)::BIGINT AS "from", sum(length(piece) + 3) OVER w::BIGINT AS "to" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY k)""",
     "x16_occurrences": "SELECT doc_id, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS n, (length(text) - length(replace(text, 'en', ''))) // 2 AS exact FROM documents",
     "x17_joined": f"WITH {_MIXED} SELECT doc_id, list_reduce(list_prepend('', string_split(text, chr(10))), lambda a, b: CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN (a LIKE '%-' AND regexp_matches(b, '^[a-z]')) OR regexp_matches(right(a, 1), '[{T.NO_SPACE}]') OR regexp_matches(left(b, 1), '[{T.NO_SPACE}]') THEN a || b ELSE a || ' ' || b END) AS joined FROM mixed",
     "x19_gaps": f"WITH {_MIXED}, a AS (SELECT doc_id, regexp_replace(text, '([{T.NO_SPACE}])[ \\t]+([{T.NO_SPACE}])', '\\1\\2', 'g') AS t FROM mixed), b AS (SELECT doc_id, regexp_replace(t, '([{T.NO_SPACE}])[ \\t]+([{T.NO_SPACE}])', '\\1\\2', 'g') AS t FROM a) SELECT doc_id, regexp_replace(regexp_replace(t, '([（「『《〈【])[ \\t]+', '\\1', 'g'), '[ \\t]+([）」』》〉】])', '\\1', 'g') AS text FROM b",

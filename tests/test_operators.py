@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
+from marginalia.functions import typography as T2
 from marginalia.operators import aggregates as A
 from marginalia.operators import mutations as M
 from marginalia.operators import ranking as W
@@ -242,3 +243,17 @@ def test_graph_rules_on_a_small_graph_by_hand(spark):
     assert [(r.fru_id, r.edu_texts) for r in R.r01_claim_evidence(g).collect()] == [("f7", "unit number 7 of the paper")]
     assert [r.paper_id for r in R.r03_action_justification(g).collect()] == ["q"]  # in p the motivation is three units on
     assert R.r18_unit(g, "q", "p:Results:edu:3").count() == 1 and R.r17_graph_nodes(g).count() == 9 + 6
+
+
+def test_places_of_matches(spark):
+    df = spark.createDataFrame([(1, "aXa.Xaaa x", "xa"), (2, "aaaa", "aa"), (3, "a.b", "."), (4, "x", ""), (5, None, "x"), (6, "\\Ee", "e")], "id int, t string, n string")
+    got = sorted(map(tuple, T2.matches(df, "id", "t", F.col("n"), True).collect()))
+    assert got == [(1, 1, 3), (1, 4, 6), (2, 0, 2), (2, 2, 4), (3, 1, 2), (6, 1, 2), (6, 2, 3)]
+
+
+def test_scanned_lines_join_by_script_and_height(spark):
+    from marginalia.operators import sections as N
+
+    rows = [(1, 0, 0, 10, "一行"), (1, 0, 12, 10, " 接著"), (1, 0, 24, 10, "latin"), (1, 0, 43, 0, "近"), (1, 0, 44, 0, ""), (1, 1, 0, 10, "page")]
+    got = N.scanned_paragraphs(spark.createDataFrame(rows, "id int, page int, y int, height int, text string"), "id").orderBy("paragraph").collect()
+    assert [r["text"] for r in got] == ["一行接著 latin", "近", "page"]
