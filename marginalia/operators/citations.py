@@ -17,8 +17,9 @@ WEB = r"(?i)wiki|https?://|維基|\bn\.?\s?d\.?\b|無日期|retrieved|取自"
 BETWEEN = r"\s*(?:&|et al\.?|,|，|and|與|；|;)\s*"
 CJK = "[぀-ヿ㐀-䶿一-鿿]"
 NUMBERED = ("ieee", "numeric")
-#: An author run with its year in brackets, led by a Latin name; leads that are no author's name alone.
-NARRATIVE = r"([A-Z][A-Za-z.'\-]+(?:\s*(?:,|，|、|&|and|與|et\s+al\.?)\s*(?:[A-Z][A-Za-z.'\-]+|[一-鿿]{2,}))*(?:\s+et\s+al\.?)?)\s*[（(]((?:19|20)\d{2})[a-z]?[）)]"
+#: An author run with its year in brackets, led by a Latin name, which begins no later than its word (an
+#: ideograph may stand right before it, a Latin letter not); leads that are no author's name alone.
+NARRATIVE = r"(?<![\p{IsLatin}\p{M}])([A-Z][A-Za-z.'\-]+(?:\s*(?:,|，|、|&|and|與|et\s+al\.?)\s*(?:[A-Z][A-Za-z.'\-]+|[一-鿿]{2,}))*(?:\s+et\s+al\.?)?)\s*[（(]((?:19|20)\d{2})[a-z]?[）)]"
 LEADS = ("table", "figure", "fig", "chapter", "section", "appendix", "equation", "eq", "vol", "no", "the", "this", "that", "in", "since", "around", "circa", "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

@@ -257,3 +257,10 @@ def test_scanned_lines_join_by_script_and_height(spark):
     rows = [(1, 0, 0, 10, "一行"), (1, 0, 12, 10, " 接著"), (1, 0, 24, 10, "latin"), (1, 0, 43, 0, "近"), (1, 0, 44, 0, ""), (1, 1, 0, 10, "page")]
     got = N.scanned_paragraphs(spark.createDataFrame(rows, "id int, page int, y int, height int, text string"), "id").orderBy("paragraph").collect()
     assert [r["text"] for r in got] == ["一行接著 latin", "近", "page"]
+
+
+def test_a_narrative_citation_does_not_begin_inside_a_word(spark):
+    from marginalia.operators import citations as C
+
+    df = spark.createDataFrame([(1, "ÉAI et al.（1951a） and ÉSmith (2001), 根據Smith (2002), (Lee (2003)"), (2, "E\u0301AI (1951)")], "id int, text string")
+    assert sorted((r.surname, r.year) for r in C.narrative(df, "id", "text").collect()) == [("lee", 2003), ("smith", 2002)]
