@@ -272,3 +272,20 @@ def test_an_edit_at_the_end_of_the_gap_begins_a_new_run(spark):
     df = spark.sql("SELECT k, timestamp(t) AS time FROM VALUES (1, '2024-01-01 00:00:00'), (1, '2024-01-01 08:00:00'), (1, '2024-01-01 15:59:59.999999'), (1, '2024-01-01 15:59:59.999999'), (2, '2024-01-01 00:00:00') x(k, t)")
     got = sorted((r.k, str(r.began), str(r.saved), r.edits) for r in T.debounced(df, "k", "8 hours").collect())
     assert got == [(1, "2024-01-01 00:00:00", "2024-01-01 08:00:00", 1), (1, "2024-01-01 08:00:00", "2024-01-01 23:59:59.999999", 3), (2, "2024-01-01 00:00:00", "2024-01-01 08:00:00", 1)]
+
+
+def test_mean_similarity_of_many_equal_runs_is_counted_not_paired(spark):
+    from itertools import combinations
+    from time import monotonic
+
+    sets = {"a": [], "b": [], "c": ["x", "y"], "d": ["X ", "y"], "e": ["y", "z"], "f": ["w"], "g": ["x", "y", "z"]}
+    rows = [("g", r, i) for r, issues in sets.items() for i in issues or [None, " "]] + [("one", "a", "x")]
+    got = {r["group"]: r["jaccard"] for r in E.e04_jaccard(spark.createDataFrame(rows, "group string, run string, issue string")).collect()}
+    plain = [{i.lower().strip() for i in s} for s in sets.values()]
+    alike = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in combinations(plain, 2)]
+    assert got == {"g": round(sum(alike) / len(alike), 3), "one": None}
+    # half of 60,000 runs have each of two sets, whose pairs, two thousand million, are not to be made
+    many = spark.range(120000).selectExpr("'g' AS `group`", "id div 2 AS run", "if(id % 2 = 0, 'x', concat('y', id div 2 % 2)) AS issue")
+    begun = monotonic()
+    assert [r["jaccard"] for r in E.e04_jaccard(many).collect()] == [0.667]
+    assert monotonic() - begun < 60
