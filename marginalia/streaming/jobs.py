@@ -1,9 +1,10 @@
-"""Job states on a stream (T06, T08, T11): state with timers, by job.
+"""Job states on a stream (T06, T08, T11): state with timers, by bucket of jobs.
 
 A job's state is how far it has come and when it was last heard of. Updates may come in any order: the furthest state
 stands, and the latest time. Timers of the event's time do what sweeps do in a batch: a job unfinished for ``stalled``
 seconds ends as interrupted, and one that ended is forgotten ``keep`` seconds later, so that state follows the jobs of
-late, not all jobs. Both are restored from the checkpoint.
+late, not all jobs. Both are restored from the checkpoint. Jobs are kept in buckets by their hash, so that the number of
+calls follows the buckets, and what a call does is done for all of its jobs at once.
 
 Needs Spark's RocksDB state store (spark.sql.streaming.stateStore.providerClass), which with_store() sets.
 """
@@ -15,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +26,8 @@ from .limits import STATES
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds that an ended analysis or import is kept.
 KEEP, KEEP_IMPORT = 3600, 1800
+#: Buckets that jobs are kept in; a checkpoint is bound to their number.
+BUCKETS = 4096
 ENDED, ERROR = STATES.index("done") + 1, STATES.index("error") + 1
 OUT = "job string, state string, time timestamp, message string"
 
@@ -34,41 +38,64 @@ def with_store(spark: SparkSession) -> SparkSession:
 
 
 class Jobs(StatefulProcessor):
-    """Changes of each job's state; gone: it ended ``keep`` seconds ago."""
+    """Changes of the states of a bucket's jobs; gone: one ended ``keep`` seconds ago.
+
+    A bucket's jobs are one value, read and written once for each batch that brings some of them, and its timer is for the
+    first of them that is due.
+    """
 
     def __init__(self, stalled: int, keep: int) -> None:
         self.stalled, self.keep = stalled * 1000, keep * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "rank int, at long")
+        self.state = handle.getValueState("jobs", "jobs binary")
+
+    def _held(self) -> pd.DataFrame:
+        if not self.state.exists():
+            return pd.DataFrame({"rank": pd.Series([], dtype="int64"), "at": pd.Series([], dtype="int64")}, index=pd.Index([], dtype="object", name="job"))
+        with pa.ipc.open_stream(bytes(self.state.get()[0])) as stored:
+            return stored.read_all().to_pandas().set_index("job")
 
-    def _row(self, job: str, state: str, at: int, message: str = "") -> pd.DataFrame:
-        return pd.DataFrame({"job": [job], "state": [state], "time": [pd.Timestamp(at, unit="ms")], "message": [message]})
+    def _due(self, held: pd.DataFrame) -> pd.Series:
+        return held["at"] + (held["rank"] >= ENDED).map({True: self.keep, False: self.stalled}).astype("int64")
 
-    def _hold(self, rank: int, at: int) -> None:
-        self.state.update((rank, at))
+    def _hold(self, held: pd.DataFrame) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at + (self.keep if rank >= ENDED else self.stalled))
+        if held.empty:
+            self.state.clear()
+            return
+        rows = pa.Table.from_pandas(held[["rank", "at"]].reset_index(names="job"), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        self.state.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(int(self._due(held).min()))
+
+    def _rows(self, jobs: pd.DataFrame, states: list[str], message: str = "") -> pd.DataFrame:
+        return pd.DataFrame({"job": jobs.index, "state": states, "time": pd.to_datetime(jobs["at"].to_numpy(), unit="ms"), "message": message})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rank, at = self.state.get() if self.state.exists() else (0, 0)
-        before = rank
-        for batch in rows:
-            rank, at = max(rank, int(batch["rank"].max())), max(at, int(batch["at"].max()))
-        self._hold(rank, at)
-        if rank > before:
-            yield self._row(key[0], STATES[rank - 1], at)
+        own = self._held()
+        new = pd.concat([batch[["job", "rank", "at"]].astype({"rank": "int64", "at": "int64"}).groupby("job", dropna=False).max() for batch in rows])
+        held = pd.concat([own, new]).groupby(level=0, dropna=False).max()
+        held.index.name = "job"
+        self._hold(held)
+        further = held[held["rank"] > own["rank"].reindex(held.index).fillna(0)]
+        if len(further):
+            yield self._rows(further, [STATES[r - 1] for r in further["rank"]])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rank, at = self.state.get()
-        if rank >= ENDED:
-            self.state.clear()
-            yield self._row(key[0], "gone", at + self.keep)
-        else:
-            self._hold(ERROR, at + self.stalled)
-            yield self._row(key[0], "error", at + self.stalled, "Interrupted")
+        held = self._held()
+        due = self._due(held) <= timerValues.getCurrentWatermarkInMs()
+        ended, stalled = held[due & (held["rank"] >= ENDED)], held[due & (held["rank"] < ENDED)]
+        ended, stalled = ended.assign(at=ended["at"] + self.keep), stalled.assign(rank=ERROR, at=stalled["at"] + self.stalled)
+        self._hold(pd.concat([held[~due], stalled]))
+        if len(ended):
+            yield self._rows(ended, ["gone"] * len(ended))
+        if len(stalled):
+            yield self._rows(stalled, ["error"] * len(stalled), "Interrupted")
 
     def close(self) -> None:
         pass
@@ -77,8 +104,9 @@ class Jobs(StatefulProcessor):
 def job_changes(updates: DataFrame, late: str, stalled: int, keep: int = KEEP) -> DataFrame:
     """(job, state, time, message) of a stream of updates (job, time, state); unknown states are left out."""
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state")).cast("int")
-    known = updates.withWatermark("time", late).select(F.col("job").cast("string").alias("job"), "time", rank.alias("rank"), F.unix_millis("time").alias("at")).where(F.col("rank") > 0)
-    return known.groupBy("job").transformWithStateInPandas(statefulProcessor=Jobs(stalled, keep), outputStructType=OUT, outputMode="append", timeMode="eventTime")
+    job = F.col("job").cast("string")
+    known = updates.withWatermark("time", late).select(F.pmod(F.xxhash64(job), F.lit(BUCKETS)).cast("int").alias("bucket"), job.alias("job"), "time", rank.alias("rank"), F.unix_millis("time").alias("at")).where(F.col("rank") > 0)
+    return known.groupBy("bucket").transformWithStateInPandas(statefulProcessor=Jobs(stalled, keep), outputStructType=OUT, outputMode="append", timeMode="eventTime")
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -56,3 +56,15 @@ def test_states_of_a_stream_are_those_of_the_batch_and_expire(spark, tmp_path):
     assert {v for j, v in after.items() if not j.startswith("late")} == {("error", "Interrupted")}
     add(spark, tmp_path, [("last", START + dt.timedelta(hours=9), "queued")])
     assert {r["job"] for r in J.latest(J.run_through(changes(), folder)).collect()} <= {"last", "late", "later"}
+
+
+def test_a_call_handles_all_jobs_of_a_bucket(spark, tmp_path, monkeypatch):
+    """One call to a bucket of many jobs, null names and repeated updates included, gives a row for each job that went on."""
+    J.with_store(spark)
+    monkeypatch.setattr(J, "BUCKETS", 2)
+    rows = [(f"j{k}", START + dt.timedelta(seconds=k), T.STATES[k % 4]) for k in range(500)] + [(None, START, "queued"), ("j1", START, "queued")]
+    add(spark, tmp_path, rows)
+    changes = J.job_changes(stream(spark, tmp_path), "1 hour", stalled=3000, keep=600)
+    assert "bucket" in changes._jdf.queryExecution().analyzed().toString()
+    got = J.latest(J.run_through(changes, f"file://{tmp_path}/job")).collect()
+    assert {(r["job"], r["state"]) for r in got} == {(j, s) for j, _, s in rows[:501]}
