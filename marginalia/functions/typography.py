@@ -77,13 +77,18 @@ def without_overlaps(issues: DataFrame, key: str) -> DataFrame:
 
 
 def joined_lines(lines: Column) -> Column:
-    """Lines as one text: nothing between ideographs or full-width marks, nor behind a hyphen before a small letter."""
+    """Lines as one text: nothing between ideographs or full-width marks, nor behind a hyphen before a small letter.
 
-    def add(a: Column, b: Column) -> Column:
-        tight = (a.endswith("-") & b.rlike("^[a-z]")) | a.rlike(f"[{NO_SPACE}]$") | b.rlike(f"^[{NO_SPACE}]")
-        return F.when(a == "", b).when(b == "", a).when(tight, F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
+    What goes before a line follows from it and the one before that is not empty, so that a text is put together once.
+    """
+
+    def led(a: Column, b: Column) -> Column:
+        tight = (a == "") | (a.endswith("-") & b.rlike("^[a-z]")) | a.rlike(f"[{NO_SPACE}]$") | b.rlike(f"^[{NO_SPACE}]")
+        return F.when(tight, b).otherwise(F.concat(F.lit(" "), b))
 
-    return F.aggregate(lines, F.lit(""), add)
+    some = F.filter(lines, lambda t: t != "")
+    pieces = F.zip_with(F.concat(F.array(F.lit("")), some), some, led)  # the last has no line, and is null
+    return F.when(~F.exists(lines, lambda t: t.isNull()), F.array_join(pieces, ""))
 
 
 def without_gaps(text: Column) -> Column:

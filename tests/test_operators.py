@@ -289,3 +289,13 @@ def test_mean_similarity_of_many_equal_runs_is_counted_not_paired(spark):
     begun = monotonic()
     assert [r["jaccard"] for r in E.e04_jaccard(many).collect()] == [0.667]
     assert monotonic() - begun < 60
+
+
+def test_many_lines_are_joined_in_time_that_follows_their_length(spark):
+    from time import monotonic
+
+    got = values(spark, "t array<string>", [(["", "a-", "", "b", "C", "王", "d", ""],), ([],), (["", ""],), (["a", None],), (None,)], T2.joined_lines(F.col("t")))
+    assert got == [("a-b C王d",), ("",), ("",), (None,), (None,)]
+    begun = monotonic()
+    assert spark.range(1).select(F.length(T2.joined_lines(F.expr("transform(sequence(1, 100000), k -> concat('line ', k, ' of a long text'))")))).first()[0] > 10**6
+    assert monotonic() - begun < 20
