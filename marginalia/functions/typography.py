@@ -31,11 +31,15 @@ MESSAGE_LIMIT = 2000
 ISSUE = "at long, end long, type string, original string, replacement string"
 
 
-def lint(texts: DataFrame, key: str, text: str) -> DataFrame:
+KINDS = ("half", "spacing", "space")
+
+
+def lint(texts: DataFrame, key: str, text: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(key, at, end, type, original, replacement), places from 0: half-width marks beside an ideograph, ideographs
     beside Latin letters, and spaces before closing full-width marks.
 
-    Characters are looked at in one array for each text, of which only those at fault become rows.
+    Characters are looked at in one array for each text, of which only those at fault become rows. kinds: the types asked
+    for; nothing is done for others, and spaces alone need no characters.
     """
     full = F.create_map(*(F.lit(x) for pair in FULL_WIDTH.items() for x in pair))
     ideograph = lambda c: F.coalesce(c.rlike(IDEOGRAPH), F.lit(False))
@@ -46,17 +50,19 @@ def lint(texts: DataFrame, key: str, text: str) -> DataFrame:
         before, after = F.when(i > 0, F.get("_chars", i - 1)), F.get("_chars", i + 1)
         half = F.when(F.try_element_at(full, c).isNotNull() & (ideograph(before) | ideograph(after)), issue(i, 1, "half", c, F.try_element_at(full, c)))
         pair = F.when((ideograph(c) & latin(after)) | (latin(c) & ideograph(after)), issue(i, 2, "spacing", F.concat(c, after), F.concat(c, F.lit(" "), after)))
-        return F.coalesce(half, pair)  # a mark is neither letter nor ideograph: never both
+        return F.coalesce(*(x for kind, x in (("half", half), ("spacing", pair)) if kind in kinds))  # a mark is neither letter nor ideograph: never both
 
-    some = texts.where(F.col(text).rlike(IDEOGRAPH)).withColumn("_chars", F.split(text, ""))
-    pairs = some.select(key, F.explode(F.filter(F.transform("_chars", at), lambda x: x.isNotNull())).alias("i")).select(key, "i.*")
     run = f" +(?=[{CLOSING}])"
     pieces = F.arrays_zip(F.split(text, run).alias("piece"), F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)).alias("run"))
     runs = texts.where(F.col(text).rlike(f" [{CLOSING}]")).select(key, F.posexplode(pieces).alias("place", "p")).where("p.run is not null")
     size = F.char_length("p.run")
     end = F.sum(F.char_length("p.piece") + size).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     spaces = runs.select(key, (end - size).alias("at"), end.alias("end"), F.lit("space").alias("type"), F.col("p.run").alias("original"), F.lit("").alias("replacement"))
-    return pairs.unionByName(spaces)
+    if set(kinds) == {"space"}:
+        return spaces
+    some = texts.where(F.col(text).rlike(IDEOGRAPH)).withColumn("_chars", F.split(text, ""))
+    pairs = some.select(key, F.explode(F.filter(F.transform("_chars", at), lambda x: x.isNotNull())).alias("i")).select(key, "i.*")
+    return pairs.unionByName(spaces) if "space" in kinds else pairs
 
 
 def without_overlaps(issues: DataFrame, key: str) -> DataFrame:

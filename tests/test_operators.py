@@ -299,3 +299,13 @@ def test_many_lines_are_joined_in_time_that_follows_their_length(spark):
     begun = monotonic()
     assert spark.range(1).select(F.length(T2.joined_lines(F.expr("transform(sequence(1, 100000), k -> concat('line ', k, ' of a long text'))")))).first()[0] > 10**6
     assert monotonic() - begun < 20
+
+
+def test_spaces_alone_look_at_no_characters(spark):
+    df = spark.createDataFrame([(1, "字 ，a字, b  。"), (2, None), (3, "plain")], "id int, text string")
+    rows = lambda kinds: sorted(map(tuple, T2.lint(df, "id", "text", kinds).select("id", "at", "end", "type", "original", "replacement").collect()))
+    whole = rows(T2.KINDS)
+    assert {r[3] for r in whole} == set(T2.KINDS)
+    for kinds in [("half",), ("spacing",), ("space",), ("half", "space"), ("half", "spacing")]:
+        assert rows(kinds) == [r for r in whole if r[3] in kinds]
+    assert "_chars" not in T2.lint(df, "id", "text", ("space",))._jdf.queryExecution().optimizedPlan().toString()
