@@ -3,19 +3,19 @@
 Texts, A-Z lower-cased, are cut into pieces at marks and ends of lines, and those into words. Three scans find how often
 each phrase of one to ``longest`` words stands in the pieces of a language, for all that do so ``least`` times:
 
-1. Every task adds up the hashes of its phrases in a sketch, two rows of 2**bits counters. Summed over all tasks a
-   phrase's lesser counter is an upper bound of its count; what is kept of the sketch is a bit for each counter, whether
-   it reached ``least``. The bits have a fixed size, and so travel to all tasks.
-2. A phrase is a candidate if its bounds, and those of all phrases inside it, reach ``least``. No phrase that does can
+1. Every task gives the hashes of its phrases, cut to ``bits`` bits, with their counts: sorted, as differences, in
+   stretches by their first bits. Summed over all tasks the counter of a hash is an upper bound of its phrases' counts;
+   the counters that reached ``least`` are kept by number, and travel to all tasks.
+2. A phrase is a candidate if its bound, and those of all phrases inside it, reach ``least``. No phrase that does can
    miss; one that doesn't costs time alone.
 3. Candidates, dealt to blocks of bounded bytes by language, are compiled into Aho-Corasick automata, one for each block and
    language. Words are guarded by a space on either side and pieces by a line end, so that only whole words of one piece
    match, overlapping matches too. A job for each block scans the texts of its languages; tasks give the matches of each
    candidate, which are summed, and only then held against ``least``.
 
-Scores are integer quotients in decimal(38), exact up to 10**11 words. The sketch's ``bits`` follow the corpus up to
-BITS, which suits some 10**9 phrase occurrences at a ``least`` of 100, and as many more as least is larger; beyond that
-candidates grow in number, not results in error.
+Scores are integer quotients in decimal(38), exact up to 10**11 words. There are as many counters as the corpus has bytes,
+about, so that rare phrases do not fill them however large it is; no task holds more of them than a stretch. Were there
+fewer, candidates would grow in number, not results in error.
 
 Defined cases: null texts are empty; a null language is `und`; ids are not read, repeated rows count each time; an empty
 table gives an empty result; other columns are not read.
@@ -40,9 +40,12 @@ from .tables import load, new_path, slices, tidy, utf8, written
 
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 NO_LANGUAGE = "und"
-#: Bits of a counter's number at most, of a stretch of counters that travels, and bytes of text handled at once.
-BITS, STRETCH, SLICE = 24, 16, 2 << 20
-ROWS = 2
+#: Bits of a counter's number at least and at most, of counters that a task sums at once, and of phrases' counts in a row.
+LEAST_BITS, BITS, SUMMED, STRETCH = 16, 40, 24, 16
+#: Bits of the number of stretches at least, hashes that a task holds back, and bytes of text handled at once.
+SPREAD, HASHES, SLICE = 6, 8 << 20, 2 << 20
+#: Tasks for each core in which candidates are looked up: each task gives each of its candidates once.
+TASKS = 4
 #: Bits of a bucket's number in which phrases are merged, and bytes of them that a task holds back.
 BUCKETS, HELD = 8, 8 << 20
 #: Bytes of the phrases in a block of automata, about.
@@ -110,65 +113,125 @@ def _languages(part: pa.RecordBatch) -> list[str]:
     return [x if x is not None else NO_LANGUAGE for x in part.column("lang").to_pylist()]
 
 
-def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of hashes in the two rows of the sketch."""
-    mask = np.uint64((1 << bits) - 1)
-    return (h & mask).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)
+def cells(h: np.ndarray, bits: int) -> np.ndarray:
+    """The numbers of the counters of hashes."""
+    return h & np.uint64((1 << bits) - 1)
+
+
+def bits_for(size: int) -> int:
+    """Bits of a counter's number for a corpus of so many bytes, of which a phrase begins at each, about: a word has five
+    or six with its space, and begins five phrases."""
+    return min(BITS, max(LEAST_BITS, size.bit_length()))
+
+
+def stretch_bits(bits: int) -> int:
+    """Bits of a counter's number within its stretch."""
+    return max(0, min(bits - SPREAD, SUMMED))
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Ascending whole numbers below 2**32 as differences, their bytes by significance, compressed."""
+    return pa.compress(np.diff(numbers, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
 def heavy_cells(rows: DataFrame, least: int, longest: int, bits: int) -> DataFrame:
-    """(stretch, heavy): a bit for each counter of the sketch of rows (lang, text), whether it reaches least."""
-    stretch = min(bits, STRETCH)
-    kind = np.uint8 if least <= 255 else np.uint16 if least <= 65535 else np.int64  # a task's count beyond that is heavy alone
+    """(stretch, size, heavy): the counters, by number within their stretch, that phrases of rows (lang, text) bring to least."""
+    within = stretch_bits(bits)
+    kind = np.dtype("<u1" if least <= 255 else "<u2" if least <= 65535 else "<i8")  # beyond least a count says no more
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((ROWS, 1 << bits), np.int32)
+        held: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            own = np.concatenate(held)
+            held.clear()
+            own.sort()
+            at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            times = np.minimum(np.diff(at, append=len(own)), least).astype(kind)
+            own = own[at]
+            ends = np.searchsorted(own, (np.arange(1, 1 << (bits - within), dtype=np.uint64) << np.uint64(within)).astype(own.dtype)).tolist()
+            parts = [(a, b) for a, b in zip([0, *ends], [*ends, len(own)], strict=True) if a < b]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(own[a]) >> within for a, _ in parts], pa.int32()),
+                    pa.array([b - a for a, b in parts], pa.int32()),
+                    pa.array([packed(own[a:b] & own.dtype.type((1 << within) - 1)) for a, b in parts], pa.binary()),
+                    pa.array([pa.compress(times[a:b].tobytes(), "zstd", asbytes=True) for a, b in parts], pa.binary()),
+                ],
+                names=["stretch", "size", "cells", "counts"],
+            )
+
         for part in slices(batches, "text", SLICE):
             for _, h in Phrases(part).hashes(_languages(part), longest):
-                for row, at in zip(sketch, cells(h, bits), strict=True):
-                    np.add.at(row, at, np.int32(1))
-        for k, own in enumerate(sketch.reshape(-1, 1 << stretch)):
-            if own.any():
-                blob = pa.compress(np.minimum(own, np.iinfo(kind).max).astype(kind).tobytes(), "zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], names=["stretch", "counts"])
+                if len(h):
+                    held.append(cells(h, bits).astype(np.uint32 if bits <= 32 else np.uint64))
+            if sum(map(len, held)) > HASHES:
+                yield done()
+        if held:
+            yield done()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, None
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["stretch", "heavy"])
+            heavy = np.flatnonzero(total >= least)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(heavy)], pa.int32()), pa.array([packed(heavy)], pa.binary())], names=["stretch", "size", "heavy"])
 
         for batch in batches:
-            for k, blob in zip(batch.column("stretch").to_pylist(), batch.column("counts"), strict=True):
+            for k, n, numbers, counts in zip(batch.column("stretch").to_pylist(), batch.column("size").to_pylist(), batch.column("cells"), batch.column("counts"), strict=True):
                 if k != now:
                     if now is not None:
                         yield done()
-                    now, total = k, np.zeros(1 << stretch, np.int64)
-                total += np.frombuffer(pa.decompress(blob.as_py(), (1 << stretch) * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+                    now, total = k, np.zeros(1 << within, np.int32 if least < 1 << 30 else np.int64)
+                at = unpacked(numbers.as_py(), n)
+                total[at] = np.minimum(total[at] + np.frombuffer(pa.decompress(counts.as_py(), n * kind.itemsize, "zstd", asbytes=True), kind), least)
         if now is not None:
             yield done()
 
-    counted = rows.mapInArrow(tidy(count), "stretch int, counts binary")
-    return counted.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(tidy(add), "stretch int, heavy binary")
+    counted = rows.mapInArrow(tidy(count), "stretch int, size int, cells binary, counts binary")
+    return counted.repartition("stretch").sortWithinPartitions("stretch").mapInArrow(tidy(add), "stretch int, size int, heavy binary")
+
+
+class Heavy:
+    """Numbers of counters, ascending, and a bit for each of sixteen times as many places, by which most others are told."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.numbers = numbers
+        self.mask = np.uint64((1 << max(3, (16 * len(numbers)).bit_length())) - 1)
+        bit = np.zeros(int(self.mask) + 1, bool)
+        bit[(numbers & self.mask).astype(np.int64)] = True
+        self.bit = np.packbits(bit)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        at = (numbers & self.mask).astype(np.int64)
+        yes = (self.bit[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        some = numbers[yes]
+        place = np.minimum(np.searchsorted(self.numbers, some), len(self.numbers) - 1)
+        yes[yes] = self.numbers[place] == some if len(self.numbers) else False
+        return yes
 
 
 def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> DataFrame:
     """(lang, phrase, n): phrases whose bounds reach least, of n 0; and for each language the empty phrase, n its words.
 
-    A task gives each of its phrases once, those of a bucket of hashes in one row; buckets are merged one at a time.
+    heavy: the counters that do, ascending. A task gives each of its phrases once, those of a bucket of hashes in one row;
+    buckets are merged one at a time. What is sent follows the number of tasks, which so is bounded by that of cores.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(heavy, axis=1))
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast(heavy)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = sent.value
+        known = Heavy(sent.value)
         seen = np.zeros(0, np.uint64)
         words: Counter[str] = Counter()
         held: dict[int, list[tuple[str, str]]] = {}
         size = 0
 
-        def is_heavy(row: int, at: np.ndarray) -> np.ndarray:
-            return (bit[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
         def rows_of(held: dict[int, list[tuple[str, str]]], counts: list[int] | None = None) -> pa.RecordBatch:
             keys = sorted(held)
             lists = [pa.array([[x[k] for x in held[b]] for b in keys], pa.list_(pa.string())) for k in (0, 1)]
@@ -182,9 +245,8 @@ def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> D
                 words[lang] += n
             may = np.ones(len(own.starts) + 1, bool)
             for k, (at, h) in enumerate(own.hashes(langs, longest), 1):
-                a, b = cells(h, bits)
                 yes = may[at] & (may[at + 1] if k > 1 else True)
-                yes[yes] = is_heavy(0, a[yes]) & is_heavy(1, b[yes])
+                yes[yes] = known.has(cells(h[yes], bits))
                 may = np.zeros(len(own.starts) + 1, bool)
                 may[at[yes]] = True
                 h, first = np.unique(h[yes], return_index=True)
@@ -222,7 +284,7 @@ def candidates(rows: DataFrame, heavy: np.ndarray, bits: int, longest: int) -> D
         if now is not None:
             yield done()
 
-    found = rows.mapInArrow(tidy(find), "bucket int, langs array<string>, phrases array<string>, n array<bigint>")
+    found = rows.coalesce(TASKS * context.defaultParallelism).mapInArrow(tidy(find), "bucket int, langs array<string>, phrases array<string>, n array<bigint>")
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merge), "lang string, phrase string, n long")
 
 
@@ -327,11 +389,11 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(BITS, max(STRETCH, (size // 25).bit_length()))
-    heavy = np.zeros((ROWS, 1 << bits), bool)
-    by_stretch = heavy.reshape(-1, 1 << min(bits, STRETCH))
-    for r in heavy_cells(rows, least, longest, bits).collect():  # a bit for each counter, 4 MB at most
-        by_stretch[r["stretch"]] = np.unpackbits(np.frombuffer(r["heavy"], np.uint8)).view(bool)
+        bits = bits_for(size)
+    parts = [np.zeros(0, np.uint64)]
+    for r in sorted(heavy_cells(rows, least, longest, bits).collect()):  # of the counters those that reach least alone
+        parts.append((unpacked(r["heavy"], r["size"]) + (r["stretch"] << stretch_bits(bits))).astype(np.uint64))
+    heavy = np.concatenate(parts)
     found = written(candidates(rows, heavy, bits, longest), "candidates")
     phrases = found.where("phrase <> ''")
     spark = docs.sparkSession

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,26 @@ def test_a_crowded_sketch_costs_no_results(spark):
     assert {tuple(r) for r in got.select("lang", "phrase", "a", "l", "r", "n", "score").collect()} == brute_collocations(rows, 5, 5, 100)
 
 
+@pytest.mark.parametrize("gigabytes", [0.1, 1, 6, 100])
+def test_counters_follow_the_corpus(gigabytes):
+    size = int(gigabytes * (1 << 30))
+    assert 5 * size / 6 / 2 ** op13.bits_for(size) < op13.LEAST / 20
+    assert 2 ** op13.stretch_bits(op13.bits_for(size)) <= 1 << 24
+
+
+@pytest.mark.parametrize("bits", [4, 12, 20, 36])
+def test_counters_that_reach_least_are_those_of_a_count(spark, bits):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(rng.choice(["ab", "ba", "c", "dd", f"x{k}"], 40)), "en") for k in range(20)]
+    frame = documents(spark, rows).select("lang", "text")
+    found = {(r["stretch"] << op13.stretch_bits(bits)) + int(x) for r in op13.heavy_cells(frame, 7, 3, bits).collect() for x in op13.unpacked(r["heavy"], r["size"])}
+    part = pa.RecordBatch.from_pydict({"text": [t for _, t, _ in rows]})
+    every = np.concatenate([op13.cells(h, bits) for _, h in op13.Phrases(part).hashes(["en"] * len(rows), 3)])
+    numbers, times = np.unique(every, return_counts=True)
+    assert found == set(numbers[times >= 7].tolist())
+    assert op13.Heavy(numbers[times >= 7]).has(numbers).tolist() == (times >= 7).tolist()
+
+
 def test_collocations_of_nothing(spark):
     assert op13.collocations(documents(spark, []), least=2).collect() == []
     assert op13.collocations(documents(spark, [(1, None, None), (2, " . ", "en")]), least=2).collect() == []
