@@ -1,9 +1,9 @@
 """LaTeX texts to block rows, of the form that markdown.markdown_blocks gives.
 
 Braces and environments nest, so that two small scans with a stack, of time in proportion to the text, do what column
-expressions can't: segments() cuts a body into paragraphs, headings and environments, going into environments that only
-wrap others, and inline() resolves commands with braced arguments into runs. Around them, comments, titles, list items,
-quotations, rows of tables and captions are expressions. A text stays in its row until its segments are rows.
+expressions can't: _read() cuts a body into paragraphs, headings and environments, going into environments that only
+wrap others, and inline() resolves commands with braced arguments into runs. Around them, comments, list items,
+quotations and rows of tables are expressions. A text stays in its row until its segments are rows.
 
 An environment ends at the first end of its name, or with the text around it. An unclosed brace goes to the end of what
 it stands in. Commands that name no mark keep their argument; bare commands go; unknown environments are read through.
@@ -14,11 +14,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.typography import latex_uncommented
+from .arrow import each
 from .markdown import RUN
 
 #: What commands, escapes and environments mean.
@@ -39,7 +39,8 @@ _BRACE = re.compile(r"\\(?s:.)|[{}]")
 _PLAIN = re.compile(r"[^$\\~]+")
 _COMMAND = re.compile(r"\\([a-zA-Z]+)\*?( *)")
 _OWN = {*LISTS, *QUOTES, *CODE, *MATH, *TABLES, "figure"}
-SEGMENTS = "array<struct<kind:string,env:string,text:string>>"
+READ = "struct<title:string,segments:array<struct<kind:string,env:string,text:string,caption:string>>>"
+_BEGIN, _END = "\\begin{document}", "\\end{document}"
 
 
 def closes(s: str) -> dict[int, int]:
@@ -157,27 +158,27 @@ def _inline(s: str) -> list[tuple[str, list[str]]]:
             at = plain.end()
 
 
-def _udf(function, kind: str):
-    """A function of one text as one of columns of texts; nulls stay null."""
+def _title(t: str) -> str:
+    """The text of a title, formulas and line breaks left out."""
+    return "".join(x for x, marks in _inline(argument(t, "\\title")) if "math" not in marks and x != "\n")
 
-    def each(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else function(t))
 
-    return F.pandas_udf(each, kind)
-
-
-def segments(body: Column) -> Column:
-    return _udf(lambda t: [dict(zip(("kind", "env", "text"), s, strict=True)) for s in _segments(t) if s[0] != "paragraph" or s[2].strip()], SEGMENTS)(body)
+def _read(t: str) -> dict:
+    """The title of a text without comments, and the segments of its body, tables and figures with their caption."""
+    begin, end = t.find(_BEGIN), t.rfind(_END)
+    body = t[begin + len(_BEGIN) : end] if 0 <= begin <= end - len(_BEGIN) else t
+    found = [(*s, argument(s[2], "\\caption") if s[1] in ("table", "figure") else None) for s in _segments(body) if s[0] != "paragraph" or s[2].strip()]
+    return {"title": _title(t), "segments": [dict(zip(("kind", "env", "text", "caption"), s, strict=True)) for s in found]}
 
 
 def inline(texts: Column) -> Column:
     """an array of texts as arrays of runs; formulas bear the mark math, line breaks are a run of their own."""
-    return _udf(lambda ts: [[{"text": t, "marks": m} for t, m in _inline(x)] for x in ts], f"array<array<{RUN}>>")(texts)
+    return each(lambda ts: [[{"text": t, "marks": m} for t, m in _inline(x)] for x in ts], f"array<array<{RUN}>>")(texts)
 
 
 def argument_of(text: Column, command: str) -> Column:
     """the balanced argument of a command's first occurrence."""
-    return _udf(lambda t: argument(t, command), "string")(text)
+    return each(lambda t: argument(t, command), "string")(text)
 
 
 def plain(runs: Column) -> Column:
@@ -185,16 +186,18 @@ def plain(runs: Column) -> Column:
     return F.array_join(F.transform(F.filter(runs, lambda r: ~F.array_contains(r["marks"], "math")), lambda r: r["text"]), "")
 
 
+def cleaned(text: Column) -> Column:
+    return latex_uncommented(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"))
+
+
 def parts(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, title, body) of LaTeX texts without their comments."""
-    clean = latex_uncommented(F.regexp_replace(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\r\n?", "\n"))
+    clean = cleaned(F.col(f"`{text}`"))
     # exploded, so that what the text is made of is made once, not for each use of it
     rows = texts.select(F.col(f"`{key}`").alias("key"), F.explode(F.array(clean)).alias("_clean"))
     inner = F.regexp_extract("_clean", r"(?s)\\begin\{document\}(.*)\\end\{document\}", 1)
     held = F.col("_clean").rlike(r"(?s)\\begin\{document\}.*\\end\{document\}")
-    rows = rows.select("key", F.when(F.col("_clean").contains("\\title"), argument_of(F.col("_clean"), "\\title")).otherwise("").alias("title"), F.when(held, inner).otherwise(F.col("_clean")).alias("body"))
-    said = F.filter(F.element_at(inline(F.array("title")), 1), lambda r: ~F.array_contains(r["marks"], "math") & (r["text"] != "\n"))
-    return rows.select("key", F.trim(F.array_join(F.transform(said, lambda r: r["text"]), "")).alias("title"), "body")
+    return rows.select("key", F.trim(each(_title, "string")(F.col("_clean"))).alias("title"), F.when(held, inner).otherwise(F.col("_clean")).alias("body"))
 
 
 def table_rows(inner: Column) -> Column:
@@ -205,12 +208,11 @@ def table_rows(inner: Column) -> Column:
 
 def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Block rows of LaTeX texts: a row of kind title, of top -1, where there is one, and those of the body."""
-    own = parts(texts, key, text)
-    found = own.select("key", "title", F.posexplode_outer(segments(F.col("body"))).alias("at", "s")).select("key", "title", "at", "s.*")
+    own = texts.select(F.col(f"`{key}`").alias("key"), each(_read, READ)(cleaned(F.col(f"`{text}`"))).alias("r"))
+    found = own.select("key", F.trim("r.title").alias("title"), F.posexplode_outer("r.segments").alias("at", "s")).select("key", "title", "at", "s.*")
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     env, body = F.col("env"), F.col("text")
     tabular = F.regexp_extract("text", r"(?s)\\begin\{tabular\}(.*?)\\end\{tabular\}", 1)
-    found = found.withColumn("caption", F.when(env.isin("table", "figure"), argument_of(body, "\\caption")))
     image = F.regexp_extract("text", r"\\includegraphics(?:\[[^\]]*\])?\{([^}]*)\}", 1)
     none = F.array().cast("array<string>")
     kind_of = F.col("kind")
@@ -235,7 +237,8 @@ def latex_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
     numbered = F.when(F.col("at").isNotNull(), F.transform(cut, lambda b, k: F.struct(F.col("at").alias("top"), k.alias("part"), b.alias("b"))))
     rows = found.select("key", F.explode(F.concat(F.coalesce(titled, no_blocks), F.coalesce(numbered, no_blocks))).alias("x")).select("key", "x.top", "x.part", "x.b.*")
     spoken = F.col("kind").isin("paragraph", "heading", "item", "quote", "caption")
-    rows = rows.withColumn("_runs", inline(F.when(spoken, F.array("text")).otherwise(F.col("cells"))))
+    # exploded, so that the filter behind it does not have the runs made again
+    rows = rows.select("*", F.explode(F.array(inline(F.when(spoken, F.array("text")).otherwise(F.col("cells"))))).alias("_runs"))
     first = F.get("_runs", F.lit(0))
     # a paragraph of commands alone is none
     rows = rows.where((F.col("kind") != "paragraph") | (F.size(first) > 0))

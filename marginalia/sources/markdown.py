@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import each
+
 DELIMITER = r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$"
 ITEM = r"^( *)([-*+]|[0-9]{1,9}[.)])( +|$)"
 #: Inline tokens, in the order in which they are tried, with their mark.
@@ -214,14 +215,14 @@ def _ranges(found: list) -> Iterator[list]:
         yield block
 
 
-def _ranges_of(found: pd.Series) -> pd.Series:
+def _ranges_of(found: list) -> list[dict]:
     names = ("kind", "top", "depth", "ordered", "level", "first", "n")
-    return found.map(lambda f: [dict(zip(names, b, strict=True)) for b in _ranges(list(f))])
+    return [dict(zip(names, b, strict=True)) for b in _ranges(found)]
 
 
 def ranges(found: Column) -> Column:
     """The line ranges of each document's blocks."""
-    return F.pandas_udf(_ranges_of, RANGES)(found)
+    return each(_ranges_of, RANGES)(found)
 
 
 def _tokens(text: Column, marks: dict[str, str], deeper: dict[str, str]) -> Column:

@@ -211,3 +211,34 @@ def test_comments_end_where_an_even_number_of_escapes_stands_before(spark):
     df = spark.createDataFrame([("a % b\n\\% c \\\\% d\n%e", "x" * 50_000 + "\\%" * 20_000 + "%y")], "a string, b string")
     row = df.select(T.latex_uncommented(F.col("a")).alias("a"), F.length(T.latex_uncommented(F.col("b"))).alias("b")).first()
     assert tuple(row) == ("a \n\\% c \\\\\n", 90_000)
+
+
+def test_values_are_objects_slice_by_slice():
+    import pyarrow as pa
+
+    from marginalia.sources import arrow
+
+    alive, most = 0, 0
+
+    class Held(str):
+        def __new__(cls, value):
+            nonlocal alive, most
+            alive += 1
+            most = max(most, alive)
+            return super().__new__(cls, value)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    texts = pa.array([None if k % 7 == 0 else "x" * 20_000 for k in range(1000)])
+    got = arrow.sliced(texts, lambda t: Held(t[:3]), pa.string())
+    assert got.to_pylist() == [None if k % 7 == 0 else "xxx" for k in range(1000)]
+    assert most * 20_000 <= 2 * arrow.SLICE_BYTES + 20_000
+    assert arrow.sliced(texts.slice(0, 0), len, pa.int64()).to_pylist() == []
+
+
+def test_latex_is_read_by_two_workers(spark):
+    rows = spark.createDataFrame([(1, "\\begin{table}\\caption{a}\\begin{tabular}{l}b\\\\ \\end{tabular}\\end{table}")], "doc long, text string")
+    plan = TEX.latex_blocks(rows, "doc", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
