@@ -245,8 +245,7 @@ FROM documents d LEFT JOIN titles t ON t.doc_id = d.doc_id
 def _rendered(form: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         blocks = MD.markdown_blocks(dressed(spark, sf_dir), "doc_id", "text")
-        titles = S.table(spark, sf_dir, "documents").select("doc_id").join(blocks.where("kind = 'title'").select("doc_id", F.col("text").alias("title")), "doc_id", "left")
-        return RE.rendered(blocks, titles, "doc_id", form)
+        return RE.rendered(blocks, S.table(spark, sf_dir, "documents").select("doc_id"), "doc_id", form)
 
     return query
 

@@ -90,7 +90,8 @@ def _lines(form: str, inline: Column) -> Column:
 
 
 def rendered(blocks: DataFrame, titles: DataFrame, key: str, form: str, references: DataFrame | None = None, heading: str = "References") -> DataFrame:
-    """(key, text) of titles (key, title) with their blocks; a null or empty title is UNTITLED.
+    """(key, text) of titles (key, title) with their blocks; a null or empty title is UNTITLED. Where titles have keys alone,
+    a document's title is that of its blocks, which are then read once for both.
 
     references: (key, cited, label, full) of the works that a document knows, label as its text has it, full as its list
     does, with {n} in place of the work's number. Keys that none is known for are left out of the text and the list.
@@ -98,7 +99,9 @@ def rendered(blocks: DataFrame, titles: DataFrame, key: str, form: str, referenc
     if form not in FORMS:
         raise ValueError(f"unknown form: {form}")
     own = Window.partitionBy(key).orderBy("place", "part")
-    rows = blocks.where("kind <> 'title' and not (kind in ('item', 'more') and depth > 1)")
+    entitled = "title" not in titles.columns
+    shown = "not (kind in ('item', 'more') and depth > 1)"
+    rows = blocks.where(shown if entitled else f"kind <> 'title' and {shown}")
     none = F.array().cast("array<struct<text:string,marks:array<string>>>")
     labels = F.lit(None).cast("map<string,string>")
     if references is not None:
@@ -124,8 +127,9 @@ def rendered(blocks: DataFrame, titles: DataFrame, key: str, form: str, referenc
     )
     inline = F.array_join(F.transform(F.coalesce("runs", none), lambda r: _run(r, form, labels)), "")
     gap = F.lit("") if form == "html" else F.when(F.col("first"), "\n\n").when(kind == "more", "").otherwise("\n")
-    lines = rows.select(key, F.struct("place", "part", gap.alias("gap"), _lines(form, inline).alias("line")).alias("l"))
-    body = lines.groupBy(key).agg(F.sort_array(F.collect_list("l")).alias("l"))
+    line = F.struct("place", "part", gap.alias("gap"), _lines(form, inline).alias("line"))
+    lines = rows.select(key, F.when(kind != "title", line).alias("l"), F.when(kind == "title", F.col("text")).alias("title"))
+    body = lines.groupBy(key).agg(F.sort_array(F.collect_list("l")).alias("l"), *([F.max("title").alias("title")] if entitled else []))
     whole = titles.join(body, key, "left")
     title = F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED))
     text = F.coalesce(F.array_join(F.transform("l", lambda x: F.concat(x["gap"], x["line"])), ""), F.lit(""))

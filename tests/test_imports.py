@@ -242,3 +242,11 @@ def test_latex_is_read_by_two_workers(spark):
     rows = spark.createDataFrame([(1, "\\begin{table}\\caption{a}\\begin{tabular}{l}b\\\\ \\end{tabular}\\end{table}")], "doc long, text string")
     plan = TEX.latex_blocks(rows, "doc", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
+
+
+@pytest.mark.parametrize("name", ["f09_markdown", "f11_text", "f12_html"])
+def test_a_render_reads_its_documents_once(spark, tiny, name):
+    from marginalia.queries_imports import QUERIES
+
+    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if x.strip(" +-:").startswith("ArrowEvalPython")]) == 1
