@@ -6,8 +6,14 @@ the shuffle. Windows are left where several rows of a group stay.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..schema import SEVERITIES
 from .aggregates import severity_rank
@@ -20,25 +26,94 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
 
 
-#: Parts that the chunks of a topic are dealt into.
-BLOCKS = 8
+#: Chunks of a topic's block and claims of its group, at most about; scores that are held at once.
+BLOCK, ASKED, TILE = 16_384, 16_384, 1 << 18
+#: The score of vectors of two sizes, which is null.
+NO_SCORE = -np.finfo(np.float64).max
+
+
+def _sizes(table: pa.Table, vector: str) -> np.ndarray:
+    return pc.list_value_length(table[vector]).fill_null(-1).to_numpy()
+
+
+def _components(table: pa.Table, vector: str, rows: np.ndarray) -> np.ndarray:
+    """(component, row) of rows of one size, in doubles."""
+    values = table[vector].combine_chunks().take(pa.array(rows)).flatten().cast(pa.float64())
+    return np.ascontiguousarray(values.to_numpy(zero_copy_only=False).reshape(len(rows), -1).T)
+
+
+@np.errstate(all="ignore")
+def _tiles(asked: pa.Table, here: pa.Table, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first claim, scores) of so many claims at a time against all chunks, as cosine() gives them.
+
+    Products are summed in the order of the components, one component for a whole tile at a time, so that scores are to
+    the bit those of a sum row by row. Vectors of two sizes have the lowest number as their score, for null.
+    """
+    (own, other), (own_size, size) = (t["_norm"].to_numpy() for t in (asked, here)), (_sizes(asked, "claim"), _sizes(here, "chunk"))
+    (known, counted) = (t["_norm"].is_valid().to_numpy() for t in (asked, here))
+    chunks = {n: (at := np.flatnonzero(counted & (size == n)), _components(here, "chunk", at)) for n in np.unique(size[counted])}
+    for begin in range(0, len(asked), rows):
+        part = np.arange(begin, min(begin + rows, len(asked)))
+        score = np.full((len(part), len(here)), NO_SCORE)
+        for n in np.unique(own_size[part][known[part]]):
+            line = np.flatnonzero(known[part] & (own_size[part] == n))
+            if n not in chunks:
+                continue
+            at, x = chunks[n]
+            q = _components(asked, "claim", part[line])
+            total = np.zeros((len(line), len(at)))
+            product = np.empty_like(total)
+            for a, b in zip(q, x, strict=True):
+                total += np.multiply.outer(a, b, out=product)
+            np.divide(total, np.multiply.outer(own[part[line]], other[at], out=product), out=total)
+            score[np.ix_(line, at)] = total
+        with_norms = known[part][:, None] & counted
+        # above 0, or not a number, as Spark compares
+        with_norms &= ~(np.multiply.outer(own[part], other) <= 0)
+        score[~with_norms] = 0.0
+        yield begin, score
 
 
 def w01_top_chunks(claims: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """(topic, claim_id, rank, chunk_id, score): the k chunks of its topic that are most like each claim.
 
-    Norms are taken once for each vector. Chunks are dealt into BLOCKS of a topic, claims go to each, so that a topic is
-    many tasks; the k best of each block are merged. Work is claims times chunks of a topic: the claims are a set stated.
+    Norms are taken once for each vector. Chunks of a topic are dealt into blocks of BLOCK at most, its claims into groups
+    of ASKED; each group meets each block in a task, which holds TILE scores at once and gives the k best of the block;
+    those are merged. No pair is a row. Work is claims times chunks of a topic: the claims are a set stated.
     """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    here = chunks.withColumns({"_norm": F.sqrt(dot(F.col("chunk"), F.col("chunk"))), "_block": F.pmod(F.xxhash64("chunk_id"), F.lit(BLOCKS)).cast("int")})
-    asked = claims.withColumns({"_own": F.sqrt(dot(F.col("claim"), F.col("claim"))), "_block": F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))})
-    norms = F.col("_own") * F.col("_norm")
-    score = F.when(norms > 0, dot(F.col("claim"), F.col("chunk")) / norms).otherwise(0.0)
-    pairs = asked.join(here, ["topic", "_block"]).where("claim_id <> chunk_id").select("topic", "_block", "claim_id", "chunk_id", score.alias("score"))
-    best = [F.desc("score"), "chunk_id"]
-    in_block = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "_block", "claim_id").orderBy(*best))).where(F.col("rank") <= k)
-    merged = in_block.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "claim_id").orderBy(*best))).where(F.col("rank") <= k)
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    blocks, groups = max(1, -(-chunks.count() // BLOCK)), max(1, -(-claims.count() // ASKED))
+    deal = lambda salt, c, parts: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    here = chunks.where("topic is not null and chunk_id is not null").select("topic", "chunk_id", "chunk", norm("chunk").alias("_norm"), deal("block", "chunk_id", blocks).alias("_block"), every(groups).alias("_group"))
+    asked = claims.where("topic is not null and claim_id is not null").select("topic", "claim_id", "claim", norm("claim").alias("_norm"), every(blocks).alias("_block"), deal("group", "claim_id", groups).alias("_group"))
+    schema = StructType([asked.schema["topic"], asked.schema["claim_id"], here.schema["chunk_id"], StructField("score", DoubleType())])
+
+    def best(asked: pa.Table, here: pa.Table) -> pa.Table:
+        out = []
+        if len(asked) and len(here):
+            here = here.take(pc.sort_indices(here["chunk_id"]))
+            ids, own = (c.to_numpy() for c in (here["chunk_id"], asked["claim_id"]))
+            for begin, score in _tiles(asked, here, max(1, TILE // len(here))):
+                order = np.where(np.isnan(score), np.inf, score)
+                order[own[begin : begin + len(score), None] == ids] = -np.inf
+                n = len(ids) - min(k, len(ids))
+                least = np.partition(order, n, axis=1)[:, n, None]
+                row, at = np.nonzero((order >= least) & (order > -np.inf))
+                # by claim and score; places are as ids, so that ties keep theirs
+                by = np.lexsort((at, -order[row, at], row))
+                row, at = row[by], at[by]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[first], at[first]
+                out.append((begin + row, at, score[row, at]))
+        row, at, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        columns = asked["topic"].take(pa.array(row)), asked["claim_id"].take(pa.array(row)), here["chunk_id"].take(pa.array(at))
+        return pa.table([*columns, pa.array(score, pa.float64(), mask=score == NO_SCORE)], names=schema.names)
+
+    keys = ("topic", "_block", "_group")
+    in_block = asked.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInArrow(best, schema)
+    merged = in_block.withColumn("rank", F.row_number().over(Window.partitionBy("topic", "claim_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
     return merged.select("topic", "claim_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

@@ -309,3 +309,21 @@ def test_spaces_alone_look_at_no_characters(spark):
     for kinds in [("half",), ("spacing",), ("space",), ("half", "space"), ("half", "spacing")]:
         assert rows(kinds) == [r for r in whole if r[3] in kinds]
     assert "_chars" not in T2.lint(df, "id", "text", ("space",))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_meet_chunks_in_tiles_not_in_rows(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [0.0, 0.0], [None, 1.0], [nan, 1.0], [inf, 1.0], [1.0], [], [1e200, 1e200], [1e-200, 0.0], [1.0, 2.0]]
+    rows = [("a", i, [float(i % 5), float(i % 3 - 1)]) for i in range(40)] + [("a", 50 + i, v) for i, v in enumerate(odd)] + [("b", 90, [1.0, 1.0]), ("b", 91, [2.0]), (None, 92, [1.0]), ("a", None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "topic string, id long, v array<double>")
+    claims, chunks = df.selectExpr("topic", "id AS claim_id", "v AS claim"), df.selectExpr("topic", "id AS chunk_id", "v AS chunk")
+    pairs = claims.join(chunks, "topic").where("claim_id <> chunk_id").withColumn("score", W.cosine(F.col("claim"), F.col("chunk")))
+    place = F.expr("row_number() OVER (PARTITION BY topic, claim_id ORDER BY score DESC, chunk_id)")
+    plain = pairs.withColumn("rank", place).where("rank <= 3").select("topic", "claim_id", "chunk_id", F.round("score", 4).alias("score"), "rank")
+    wanted = sorted(map(str, plain.collect()))
+    assert sorted(map(str, W.w01_top_chunks(claims, chunks).collect())) == wanted
+    for name, size in {"BLOCK": 7, "ASKED": 9, "TILE": 20}.items():
+        monkeypatch.setattr(W, name, size)
+    found = W.w01_top_chunks(claims, chunks)
+    assert sorted(map(str, found.collect())) == wanted
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
