@@ -327,3 +327,22 @@ def test_claims_meet_chunks_in_tiles_not_in_rows(spark, monkeypatch):
     found = W.w01_top_chunks(claims, chunks)
     assert sorted(map(str, found.collect())) == wanted
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_halves_are_cut_within_a_row(spark):
+    from marginalia.operators import sections as N
+
+    def cut(sizes, lo, hi):
+        if hi - lo > 1 and sum(s or 0 for s in sizes[lo:hi]) > 10:
+            return cut(sizes, lo, (lo + hi) // 2) + cut(sizes, (lo + hi) // 2, hi)
+        return [lo] * (hi - lo)
+
+    groups = {1: [3], 2: [30], 3: [4, 7], 4: [5, 5], 5: [1] * 37, 6: [20, 0, 0, None, 11, 3, 3, 3, 3, 12], 7: [0] * 5, None: [9, 9, 9], 8: [k * 7 % 5 for k in range(1000)]}
+    rows = [(g, "s", k * 2, None if n is None else "x" * n) for g, sizes in groups.items() for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc int, section string, k int, text string").repartition(3)
+    found = N.halves(df, ["doc", "section"], "k", "text", 10)
+    wanted = [(g, "s", k * 2, lo) for g, sizes in groups.items() for k, lo in enumerate(cut(sizes, 0, len(sizes)))]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [("doc", "int"), ("section", "string"), ("k", "int"), ("part", "bigint")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
