@@ -346,3 +346,13 @@ def test_halves_are_cut_within_a_row(spark):
     assert [(f.name, f.dataType.simpleString()) for f in found.schema] == [("doc", "int"), ("section", "string"), ("k", "int"), ("part", "bigint")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort " not in plan
+
+
+def test_sentences_of_a_text_are_made_once(spark, tmp_path):
+    from marginalia.sources import standins as S
+
+    texts = ["A sentence of enough letters.\nshort. Another one that is long enough! ", None, "", "short", "one  more\tsentence without an end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    units = S._edus(spark, str(tmp_path))
+    assert [tuple(r) for r in units.orderBy("doc_id", "k").select("doc_id", "k", "n", "text").collect()] == [(0, 0, 2, "A sentence of enough letters."), (0, 1, 2, "Another one that is long enough!"), (4, 0, 1, "one more sentence without an end")]
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
