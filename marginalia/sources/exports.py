@@ -44,8 +44,12 @@ def merged_corpora(papers: list[DataFrame], results: list[DataFrame]) -> DataFra
 
 
 def graph_upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Stored rows of a graph after new ones were merged by key; merging twice changes nothing."""
-    rows = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    """Stored rows of a graph after new ones were merged by key; merging twice changes nothing.
+
+    Rows are dealt by key before they are grouped: most keys are there once, so that an aggregate before the shuffle would
+    sort them all and leave as many.
+    """
+    rows = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))).repartition(*key)
     rest = [c for c in stored.columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_new").alias("r")).select(*key, "r.*") if rest else rows.select(*key).distinct()
 

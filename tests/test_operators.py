@@ -356,3 +356,16 @@ def test_sentences_of_a_text_are_made_once(spark, tmp_path):
     units = S._edus(spark, str(tmp_path))
     assert [tuple(r) for r in units.orderBy("doc_id", "k").select("doc_id", "k", "n", "text").collect()] == [(0, 0, 2, "A sentence of enough letters."), (0, 1, 2, "Another one that is long enough!"), (4, 0, 1, "one more sentence without an end")]
     assert units._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_graph_rows_are_sorted_once_behind_the_shuffle(spark):
+    from marginalia.sources import exports as O
+
+    stored = spark.createDataFrame([("a", 1, "x"), ("b", 1, None), ("c", 2, "z"), (None, 3, "n")], "k string, j int, v string")
+    new = spark.createDataFrame([("a", 1, None), ("d", 4, "w"), (None, 3, "m"), ("c", 3, "y")], "k string, j int, v string")
+    found = O.graph_upsert(stored, new, ["k", "j"])
+    wanted = [("a", 1, None), ("b", 1, None), ("c", 2, "z"), ("c", 3, "y"), ("d", 4, "w"), (None, 3, "m")]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    assert sorted(map(tuple, O.graph_upsert(found, new, ["k", "j"]).collect()), key=repr) == sorted(wanted, key=repr)
+    plan = O.graph_upsert(stored, new, ["k", "j"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.index("Sort [") < plan.index("Exchange")
