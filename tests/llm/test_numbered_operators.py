@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -604,6 +605,74 @@ def test_op7_latent_space_alone_finds_what_brute_force_does(spark, tiny):
     assert len(found(lookup=False, space=identity) & want) < 0.5 * len(want)
 
 
+def test_op7_sorts_out_stretches_in_bulk_as_one_by_one():
+    """Sums of strides, stretches made one, and the bound on an item's words there: what is done for all at once, one by one."""
+    from collections import Counter
+
+    from marginalia.llm import op7_decontamination as op7
+
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 90, n).astype(np.uint32) for n in (0, 300, 5, 64, 1)]
+    raw = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array([w.tobytes() for w in words], pa.binary())], names=["doc", "row", "words"])
+    (p,) = op7.placed(iter([raw]), op7.GAP)
+    space = rng.normal(0, 1, (op7.FEATURES, 4)).astype(np.float32)
+    space[::3] = 0
+    want = np.zeros((int(p.at[-1]) // op7.STRIDE + 1, 4))
+    for stride, feature in {(a // op7.STRIDE, c) for a, c in zip(p.at.tolist(), p.code.tolist(), strict=True)}:
+        want[stride] += space[feature]
+    assert np.allclose(op7.stride_sums(p, space, space.any(1), len(want)), want, atol=1e-5)
+
+    rows = sorted((int(d), int(i), int(a), int(a + n), float(c)) for d, i, a, n, c in zip(rng.integers(0, 4, 400), rng.integers(0, 3, 400), rng.integers(0, 900, 400), rng.integers(1, 60, 400), rng.random(400), strict=True))
+    longest, one = np.array([20, 90, 2000]), []
+    for d, i, a, b, c in rows:
+        if one and one[-1][:2] == (d, i) and a <= one[-1][3] and max(b, one[-1][3]) - one[-1][2] <= longest[i]:
+            one[-1] = (d, i, one[-1][2], max(b, one[-1][3]), max(c, one[-1][4]))
+        else:
+            one.append((d, i, a, b, c))
+    got = op7.side_by_side(*(np.array(x) for x in zip(*rows, strict=True)), longest)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == one and len(one) < 300
+    assert [len(x) for x in op7.side_by_side(*(np.zeros(0, np.int64) for _ in range(5)), longest)] == [0] * 5
+
+    block = op7.block_of([(1, "a b c a d"), (2, "c c c e f g"), (3, "h")])
+    known = op7.shares(block)
+    word = rng.integers(0, len(known.vocabulary), 200)
+    begin = rng.integers(0, 190, 500)
+    end, item = begin + rng.integers(0, 11, 500), rng.integers(0, 3, 500)
+    most = known.most(word, item, begin, end)
+    for n, k, a, b in zip(most.tolist(), item.tolist(), begin.tolist(), end.tolist(), strict=True):
+        own = Counter(block.words[k].tolist())
+        assert n == sum(own[w] for w in set(known.vocabulary[word[a:b]].tolist()))
+    # where all share one place the bound is too high, never too low
+    known.of_word[:], known.of_item[:] = 0, 0
+    known.table[:] = 0
+    known.table[0] = sum(map(len, block.words))
+    assert (known.most(word, item, begin, end) >= most).all()
+    assert len(known.most(word[:0], item[:0], begin[:0], end[:0])) == 0
+
+
+def test_op7_takes_up_no_stretch_that_cannot_hold_its_item(spark, tiny):
+    """Stretches near an item in the latent space, but with too few of its words, cost no Python of their own."""
+    from marginalia.llm import op7_decontamination as op7
+
+    docs, bench = spark.read.parquet(f"{tiny}/documents.parquet"), spark.read.parquet(f"{tiny}/benchmark.parquet")
+    block = op7.block_of([(r.item_id, r.text) for r in bench.collect()])
+    found = op7.codes(docs, "doc_id", "text")
+    df, passages = op7.frequencies(found)
+    space = op7.latent_space(found, op7.weights(df, passages), 32)
+    vectors, rare, known = op7.folded(block, space), op7.rare_words(block, df, 0.6), op7.shares(block)
+    taken = near = right = 0
+    for p in op7.placed(iter(found.toArrow().to_batches()), op7.GAP):
+        own, word = op7.among(p.code, known.vocabulary)
+        _, item, lo, hi, _ = op7.stretches(p, block, space, space.any(1), vectors, rare, op7.COSINE)
+        a, b = np.searchsorted(p.at[own], lo), np.searchsorted(p.at[own], hi)
+        size = np.array([len(block.words[k]) for k in item])
+        held = np.array([np.isin(block.words[k], p.code[own[x:y]]).sum() for k, x, y in zip(item, a, b, strict=True)])
+        kept = known.most(word, item, a, b) >= op7.FAINT * size
+        assert kept[held >= op7.FAINT * size].all()
+        near, taken, right = near + len(item), taken + int(kept.sum()), right + int((held >= op7.FAINT * size).sum())
+    assert 0 < right <= taken < 0.2 * near
+
+
 def test_pipeline_decontamination_and_near_duplicates_keep_clean_rows_of_shared_ids(spark, tiny):
     import corpus_pipeline
 
