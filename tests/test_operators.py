@@ -11,6 +11,19 @@ from marginalia.operators import statistics as E
 from marginalia.operators import verdicts as V
 
 
+def test_outline_sections_hold_all_of_their_text(spark, tiny):
+    from marginalia import registry
+    from marginalia.sources import standins as S
+
+    units, sections = {}, {}
+    for r in S.edus(spark, tiny).select("doc_id", "k", "text").orderBy("doc_id", "k").collect():
+        units.setdefault(r["doc_id"], []).append(r["text"])
+    for r in registry.queries()["x38_outline_sections"](spark, tiny).orderBy("doc_id", "section").collect():
+        sections.setdefault(r["doc_id"], []).append(r["text"])
+    assert {d: "\n".join(t) for d, t in sections.items()} == {d: "\n".join(t) for d, t in units.items()}
+    assert max(len(t) for texts in sections.values() for t in texts) > 500
+
+
 def values(spark, schema, rows, *columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
 
