@@ -605,6 +605,62 @@ def test_op7_latent_space_alone_finds_what_brute_force_does(spark, tiny):
     assert len(found(lookup=False, space=identity) & want) < 0.5 * len(want)
 
 
+def test_op7_latent_space_is_fitted_on_all_documents(spark, monkeypatch):
+    import numpy as np
+
+    from marginalia.llm import op7_decontamination as op7
+
+    fitted = []
+    monkeypatch.setattr(op7, "latent_space", lambda found, weight, rank: fitted.append(found.count()) or np.eye(op7.FEATURES, rank, dtype=np.float32))
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "concat_ws(' ', id, id + 1, id + 2, 'and') AS text")
+    op7.contaminated(docs, spark.createDataFrame([(1, "some item of words that are nowhere")], "item_id long, text string"))
+    assert fitted == [9_000]
+
+
+def test_op7_finds_items_in_scripts_without_spaces(spark, tiny):
+    import random
+
+    from marginalia.llm.op7_decontamination import contaminated, plain
+
+    rng = random.Random(7)
+    said = lambda n, letters: "".join(rng.choices(letters, [1 / (k + 3) for k in range(len(letters))], k=n))
+    han, kana, thai = ([chr(c) for c in range(a, b)] for a, b in ((0x4E00, 0x4E00 + 900), (0x3041, 0x3097), (0x0E01, 0x0E2F)))
+    items = [(1, said(60, han)), (2, said(25, han) + "，" + said(40, han) + "。"), (3, said(80, kana)), (4, said(80, thai)), (5, "plain words before " + said(50, han))]
+    docs, wanted = [], set()
+    for i, text in items:
+        letters = {3: kana, 4: thai}.get(i, han)
+        copy = "".join(c for k, c in enumerate(text) if k % 12 != 5)  # with letters left out
+        for k, t in enumerate([text, said(300, letters) + text + said(300, letters), said(2_000, letters) + copy + said(50, letters)]):
+            docs.append((10 * i + k, t))
+            wanted.add((10 * i + k, i))
+        docs += [(100 * i + k, said(3_000, letters)) for k in range(4)]
+    rows = spark.read.parquet(f"{tiny}/documents.parquet").where("doc_id < 100").selectExpr("doc_id + 10000 AS doc_id", "text")
+    got = contaminated(rows.unionByName(spark.createDataFrame(docs, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == wanted
+    assert plain("Ab 甲乙，丙丁戊！é戊 c-d") == "ab  甲乙   丙丁 丁戊  é 戊  c d".encode()
+
+
+def test_op7_product_is_that_of_the_dense_matrix(spark):
+    import numpy as np
+
+    from marginalia.llm import op7_decontamination as op7
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{min(int(k), 40)}" for k in rng.geometric(0.08, n)) for n in rng.integers(0, 200, 60)] + [None, "", "w1 " * 3_000]
+    found = op7.codes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), "doc_id", "text")
+    weight = rng.uniform(0, 2, op7.FEATURES) * (np.arange(op7.FEATURES) % 5 > 0)
+    rows = []
+    for text in texts:
+        code = op7.features(op7.coded([text])[0])
+        rows += [np.unique(code[a : a + op7.PASSAGE]) for a in range(0, len(code), op7.PASSAGE)]
+    used = np.unique(np.concatenate(rows))
+    dense = np.array([np.isin(used, r) for r in rows]) * weight[used]
+    x = rng.standard_normal((op7.FEATURES, 7))
+    got = op7.product(found, weight, x)
+    assert np.allclose(got[used], dense.T @ (dense @ x[used]), rtol=1e-4, atol=1e-2)
+    assert not got[np.setdiff1d(np.arange(op7.FEATURES), used)].any()
+
+
 def test_op7_sorts_out_stretches_in_bulk_as_one_by_one():
     """Sums of strides, stretches made one, and the bound on an item's words there: what is done for all at once, one by one."""
     from collections import Counter
