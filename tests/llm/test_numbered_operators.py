@@ -640,6 +640,21 @@ def test_op7_finds_items_in_scripts_without_spaces(spark, tiny):
     assert plain("Ab 甲乙，丙丁戊！é戊 c-d") == "ab  甲乙   丙丁 丁戊  é 戊  c d".encode()
 
 
+def test_pipeline_removes_items_amid_letters_of_their_script(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from marginalia.llm import op7_decontamination as op7
+
+    fitted, fit = [], op7.latent_space
+    monkeypatch.setattr(op7, "latent_space", lambda found, weight, rank: fitted.append(found.count()) or fit(found, weight, rank))
+    item = "".join(chr(0x4E00 + 37 * k % 2_000) for k in range(60))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    around = "".join(chr(0x5E00 + 41 * k % 3_000) for k in range(200))
+    docs = spark.range(9_000).selectExpr("id AS doc_id", f"concat(concat_ws(' ', id, id + 1, 'and '), '{around}', if(id % 3000 = 7, '{item}', ''), '{around}') AS text")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in docs.select("doc_id").subtract(kept.select("doc_id")).collect()} == {7, 3_007, 6_007} and kept.count() == 8_997
+    assert fitted == [9_000]
+
+
 def test_op7_product_is_that_of_the_dense_matrix(spark):
     import numpy as np
 
